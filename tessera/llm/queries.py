@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, exact_dedup, langid, pack, shard
+from tessera.llm import chat, exact_dedup, langid, near_dedup, pack, shard
 from tessera.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.digest(pack.pack(table(spark, sf_dir, "documents")))
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     fold = langid.fold_of(F.col("doc_id"))
@@ -44,6 +48,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_exact_dedup": op2_exact_dedup,
         "op4_chat_format": op4_chat_format,
         "op5_pack": op5_pack,
+        "op7_minhash_near_dedup": op7_minhash_near_dedup,
         "op8_language_id": op8_language_id,
         "op9_shard": op9_shard,
     }
