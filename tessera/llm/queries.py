@@ -7,10 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, exact_dedup, langid, near_dedup, pack, shard
+from tessera.llm import chat, exact_dedup, langid, mixing, near_dedup, pack, shard, substring
 from tessera.llm.common import table
 
 
+#: Target token shares of the production mixture.
+WEIGHTS = {"good": 0.80, "low": 0.15, "toxic": 0.05}
+
+
+def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = mixing.domains_of(table(spark, sf_dir, "labels"))
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text"), labelled, WEIGHTS)
+    shares = [F.col("posterior")[i].alias(f"p_{name}") for i, name in enumerate(sorted(WEIGHTS))]
+    return mixed.select("doc_id", "tokens", *shares, "rate", "copies")
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.resolve_copies(table(spark, sf_dir, "documents"))
 
@@ -43,14 +54,20 @@ def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), "slot", "shard")
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeats(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_mix": op1_mix,
         "op2_exact_dedup": op2_exact_dedup,
         "op4_chat_format": op4_chat_format,
         "op5_pack": op5_pack,
         "op7_minhash_near_dedup": op7_minhash_near_dedup,
         "op8_language_id": op8_language_id,
         "op9_shard": op9_shard,
+        "op10_substring_dedup": op10_substring_dedup,
     }
 
 
