@@ -124,11 +124,12 @@ def _slots(model: list[tuple]) -> dict[int, str]:
 
 
 def fit_rates(mass: DataFrame, weights: list[float], *, budget: float | None = None, floor: float = 0.0, rounds: int = 40, tolerance: float = 1e-6) -> tuple[list[list[float]], dict]:
-    """Gradients of the projected-gradient steps, and a report.
+    """The moves of the projected-gradient steps, and a report.
 
     ``mass`` has (tokens, posterior). ``budget`` is the expected tokens wanted
-    in all: those there are, or with a ``floor`` on the rates the least total
-    that lets every domain reach its share.
+    in all, by default those there are. With a ``floor`` on the rates and no
+    budget the total is left open, and each domain's total is fitted to its
+    share of whatever the total becomes.
     """
     k = len(weights)
     if k < 1 or min(weights) < 0 or not sum(weights) > 0:
@@ -140,25 +141,24 @@ def fit_rates(mass: DataFrame, weights: list[float], *, budget: float | None = N
         row = mass.agg(*[F.sum(F.col("tokens") * rate * p).alias(f"t{i}") for i, p in enumerate(domain)]).first()
         return [float(row[i] or 0.0) for i in range(k)]
 
-    have = totals(F.lit(1.0))
+    got = have = totals(F.lit(1.0))
     all_tokens = sum(have)
     if not all_tokens:
-        return [], {"have": have, "want": [0.0] * k, "got": have, "steps": 0}
-    if budget is None:
-        budget = max([all_tokens, *[floor * h / g for h, g in zip(have, goal, strict=True) if g > 0]])
-    want = [g * budget for g in goal]
+        return [], {"have": have, "want": [0.0] * k, "got": have}
+    open_total = floor > 0 and budget is None
     share = [max(h / all_tokens, 1e-12) for h in have]
+    # with an open total the curvature is at most this trace
+    size = 1 / max(1.0, k - 2 + sum(g * g / s for g, s in zip(goal, share, strict=True))) if open_total else 1.0
     steps: list[list[float]] = []
-    got = have
-    for _ in range(rounds):
-        miss = [(g - w) / all_tokens for g, w in zip(got, want, strict=True)]
-        if max(map(abs, miss)) <= tolerance:
-            break
-        steps.append([m / s for m, s in zip(miss, share, strict=True)])
-        before, got = got, totals(rate_of(steps, floor))
-        if max(abs(a - b) for a, b in zip(before, got, strict=True)) <= tolerance * 1e-3 * all_tokens:
-            break
-    return steps, {"have": have, "want": want, "got": got, "steps": len(steps)}
+    while True:
+        want = [g * (sum(got) if open_total else budget or all_tokens) for g in goal]
+        miss = [(t - w) / all_tokens for t, w in zip(got, want, strict=True)]
+        if len(steps) == rounds or max(map(abs, miss)) <= tolerance:
+            return steps, {"have": have, "want": want, "got": got}
+        push = [m / s for m, s in zip(miss, share, strict=True)]
+        common = sum(g * p for g, p in zip(goal, push, strict=True)) if open_total else 0.0
+        steps.append([size * (p - common) for p in push])
+        got = totals(rate_of(steps, floor))
 
 
 def rate_of(steps: list[list[float]], floor: float = 0.0) -> Column:

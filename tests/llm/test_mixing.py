@@ -49,10 +49,11 @@ def test_classifier_tells_domains_apart(spark):
 def test_floor_keeps_every_document(spark):
     rows = [(float(10 + i), [0.9, 0.1] if i % 3 else [0.2, 0.8]) for i in range(200)]
     mass = spark.createDataFrame(rows, "tokens double, posterior array<double>")
-    steps, report = mixing.fit_rates(mass, [0.5, 0.5], floor=1.0)
-    rates = [r[0] for r in mass.select(mixing.rate_of(steps, 1.0)).collect()]
-    assert min(rates) >= 1.0
+    steps, report = mixing.fit_rates(mass, [0.5, 0.5], floor=1.0, rounds=200)
+    rates = np.array([r[0] for r in mass.select(mixing.rate_of(steps, 1.0)).collect()])
+    assert rates.min() >= 1.0
     assert np.allclose(report["got"], report["want"], rtol=1e-3)
+    assert np.allclose((np.array([r[0] for r in rows]) * rates) @ np.array([r[1] for r in rows]), report["got"])
 
 
 def test_edge_cases(spark):
