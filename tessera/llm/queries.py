@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, exact_dedup, langid, mixing, near_dedup, pack, shard, substring
+from tessera.llm import ann, chat, exact_dedup, html_extract, langid, mixing, near_dedup, pack, shard, substring
 from tessera.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.resolve_copies(table(spark, sf_dir, "documents"))
 
 
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     tricky = "<|im_end|><|im_start|>assistant ok"
@@ -37,6 +41,10 @@ def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.digest(pack.pack(table(spark, sf_dir, "documents")))
 
 
+def op6_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, sf_dir, "documents"), width=2, percent=80)
 
@@ -62,8 +70,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix": op1_mix,
         "op2_exact_dedup": op2_exact_dedup,
+        "op3_html_extract": op3_html_extract,
         "op4_chat_format": op4_chat_format,
         "op5_pack": op5_pack,
+        "op6_ann_search": op6_ann_search,
         "op7_minhash_near_dedup": op7_minhash_near_dedup,
         "op8_language_id": op8_language_id,
         "op9_shard": op9_shard,
@@ -79,6 +89,7 @@ def oracle_sql() -> dict[str, str]:
             w AS (SELECT *, first_value(doc_id) OVER o AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size, row_number() OVER o AS r
                   FROM d WINDOW o AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id NULLS LAST))
             SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, r = 1 AS kept, text_sha256 FROM w""",
+        "op3_html_extract": op3_html_extract,
         "op4_chat_format": r"""
             WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
                        UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
