@@ -123,12 +123,12 @@ def _slots(model: list[tuple]) -> dict[int, str]:
     return taken
 
 
-def fit_rates(mass: DataFrame, weights: list[float], *, budget: float | None = None, floor: float = 0.0, rounds: int = 40, tolerance: float = 1e-6) -> tuple[list[list[float]], dict]:
+def fit_rates(mass: DataFrame, weights: list[float], *, budget: float | None = None, floor: float | Column = 0.0, rounds: int = 40, tolerance: float = 1e-6) -> tuple[list[list[float]], dict]:
     """The moves of the projected-gradient steps, and a report.
 
     ``mass`` has (tokens, posterior). ``budget`` is the expected tokens wanted
-    in all, by default those there are. With a ``floor`` on the rates and no
-    budget the total is left open, and each domain's total is fitted to its
+    in all, by default those there are. With a ``floor`` on the rates (a number,
+    or a column of a document's posterior, see ``at_least_once``) and no budget the total is left open, and each domain's total is fitted to its
     share of whatever the total becomes.
     """
     k = len(weights)
@@ -145,7 +145,7 @@ def fit_rates(mass: DataFrame, weights: list[float], *, budget: float | None = N
     all_tokens = sum(have)
     if not all_tokens:
         return [], {"have": have, "want": [0.0] * k, "got": have}
-    open_total = floor > 0 and budget is None
+    open_total = budget is None and (isinstance(floor, Column) or floor > 0)
     share = [max(h / all_tokens, 1e-12) for h in have]
     # with an open total the curvature is at most this trace
     size = 1 / max(1.0, k - 2 + sum(g * g / s for g, s in zip(goal, share, strict=True))) if open_total else 1.0
@@ -161,22 +161,23 @@ def fit_rates(mass: DataFrame, weights: list[float], *, budget: float | None = N
         got = totals(rate_of(steps, floor))
 
 
-def rate_of(steps: list[list[float]], floor: float = 0.0) -> Column:
+def rate_of(steps: list[list[float]], floor: float | Column = 0.0) -> Column:
     """A document's rate: from 1, each step moves it against its gradient and projects it to ``floor`` or more."""
     if not steps:
         return F.lit(1.0)
     k = len(steps[0])
+    least = floor if isinstance(floor, Column) else F.lit(float(floor))
     history = F.split(F.lit(",".join(repr(x) for g in steps for x in g)), ",").cast("array<double>")
 
 
     def step(x: Column, i: Column) -> Column:
         push = [F.get(history, i * k + j) * F.col("posterior")[j] for j in range(k)]
-        return F.greatest(F.lit(float(floor)), x - sum(push[1:], push[0]))
+        return F.greatest(least, x - sum(push[1:], push[0]))
 
     return F.aggregate(F.sequence(F.lit(0), F.lit(len(steps) - 1)), F.lit(1.0), step)
 
 
-def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], *, id_col: str = "doc_id", text_col: str = "text", floor: float = 0.0, budget: float | None = None, labelled_rows: int = 4000, vocabulary: int = 1000) -> DataFrame:
+def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], *, id_col: str = "doc_id", text_col: str = "text", floor: float | Column = 0.0, budget: float | None = None, labelled_rows: int = 4000, vocabulary: int = 1000) -> DataFrame:
     """``docs`` with tokens, posterior, rate and copies.
 
     ``copies`` rounds the rate to a whole number, up with the probability of
@@ -192,6 +193,12 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], *, id_c
     return scored.withColumn("rate", rate).withColumn("copies", F.floor(F.col("rate") + draw).cast("bigint"))
 
 
+def at_least_once(domains: list[str], which: list[str]) -> Column:
+    """A floor of 1 for documents whose most probable domain is one of ``which``, else 0."""
+    best = F.array_position("posterior", F.array_max("posterior"))
+    return F.when(best.isin([sorted(domains).index(d) + 1 for d in which]), 1.0).otherwise(0.0)
+
+
 def realise(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """Each document as many times as its ``copies`` say."""
     times = F.explode(F.expr("CASE WHEN copies > 0 THEN sequence(1L, copies) ELSE array() END"))
