@@ -26,7 +26,7 @@ import zlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut
+from tessera.llm.common import cut, stored
 
 
 def words_of(text: Column) -> Column:
@@ -177,20 +177,22 @@ def rate_of(steps: list[list[float]], floor: float | Column = 0.0) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(len(steps) - 1)), F.lit(1.0), step)
 
 
-def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], *, id_col: str = "doc_id", text_col: str = "text", floor: float | Column = 0.0, budget: float | None = None, labelled_rows: int = 4000, vocabulary: int = 1000) -> DataFrame:
-    """``docs`` with tokens, posterior, rate and copies.
+def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], *, id_col: str = "doc_id", text_col: str = "text", floor: float | Column = 0.0, budget: float | None = None, labelled_rows: int = 4000, vocabulary: int = 1000, keep: list[str] | None = None) -> DataFrame:
+    """``docs`` (or its columns ``keep``) with tokens, posterior, rate and copies.
 
     ``copies`` rounds the rate to a whole number, up with the probability of
     its fraction, drawn from a hash of id and text: its expectation is the rate.
     """
     names = sorted(weights)
     priors, model = learn(docs, labelled, names, id_col=id_col, text_col=text_col, labelled_rows=labelled_rows, vocabulary=vocabulary)
-    slim = cut(posteriors(docs.select(F.col(f"`{text_col}`").alias("text")), names, priors, model, text_col="text").select("tokens", "posterior"))
-    steps, _ = fit_rates(slim, [weights[n] for n in names], budget=budget, floor=floor)
-    rate = rate_of(steps, floor)
     draw = F.pmod(F.xxhash64(F.col(f"`{id_col}`"), F.length(F.col(f"`{text_col}`")), F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
-    scored = posteriors(docs, names, priors, model, text_col=text_col)
-    return scored.withColumn("rate", rate).withColumn("copies", F.floor(F.col("rate") + draw).cast("bigint"))
+    carried = [c for c in (docs.columns if keep is None else keep) if c not in ("tokens", "posterior", "rate", "copies")]
+    # texts are scored once; the steps then read the two columns they need
+    scored = posteriors(docs.withColumn("__draw", draw), names, priors, model, text_col=text_col)
+    scored = stored(scored.select(*[F.col(f"`{c}`") for c in carried], "__draw", "tokens", "posterior"))
+    steps, _ = fit_rates(scored.select("tokens", "posterior"), [weights[n] for n in names], budget=budget, floor=floor)
+    mixed = scored.withColumn("rate", rate_of(steps, floor))
+    return mixed.withColumn("copies", F.floor(F.col("rate") + F.col("__draw")).cast("bigint")).drop("__draw")
 
 
 def at_least_once(domains: list[str], which: list[str]) -> Column:
