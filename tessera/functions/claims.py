@@ -46,40 +46,56 @@ def base_set(token: Column) -> Column:
     return F.array_distinct(F.concat(F.array(token), kept))
 
 
+def prepared(tokens: Column) -> Column:
+    """Tokens with what matching needs: struct(token, function, bases); function words have no bases.
+
+    Keep the result in a column of its own: array functions evaluate an
+    expression again for every element.
+    """
+
+    def one(t: Column) -> Column:
+        function = F.array_contains(words(FUNCTION_WORDS), t)
+        return F.struct(t.alias("token"), function.alias("function"), F.when(function, F.array().cast("array<string>")).otherwise(base_set(t)).alias("bases"))
+
+    return F.transform(tokens, one)
+
+
 def tokens_match(a: Column, b: Column) -> Column:
-    """Equal, or both content words with a base in common."""
-    plain = ~F.array_contains(words(FUNCTION_WORDS), a) & ~F.array_contains(words(FUNCTION_WORDS), b)
-    return (a == b) | (plain & F.arrays_overlap(base_set(a), base_set(b)))
+    """Equal, or both content words with a base in common; for prepared tokens."""
+    return (a["token"] == b["token"]) | F.arrays_overlap(a["bases"], b["bases"])
 
 
 def additive_failure(claim: Column, parent: Column) -> Column:
-    """Why a claim adds to its parent: struct(category, token), or null.
+    """Why a claim adds to its parent: struct(category, token), or null. Both are prepared.
 
     Each claim token takes the first unused parent token that matches. The fold
     keeps the used positions, the number of added function words and the first failure.
     """
     start = F.struct(F.array().cast("array<int>").alias("used"), F.lit(0).alias("added"), F.lit(None).cast("string").alias("category"), F.lit(None).cast("string").alias("token"))
+    positions = F.when(F.size(parent) > 0, F.sequence(F.lit(1), F.size(parent))).otherwise(F.array().cast("array<int>"))
+
+    def state(used: Column, added: Column, category: Column, token: Column) -> Column:
+        return F.struct(used.alias("used"), added.alias("added"), category.alias("category"), token.alias("token"))
+
+    def seat(acc: Column, t: Column) -> Column:
+        return F.try_element_at(F.filter(positions, lambda i: ~F.array_contains(acc["used"], i) & tokens_match(t, F.element_at(parent, i))), F.lit(1))
 
     def step(acc: Column, t: Column) -> Column:
-        positions = F.when(F.size(parent) > 0, F.sequence(F.lit(1), F.size(parent))).otherwise(F.array().cast("array<int>"))
-        free = F.filter(positions, lambda i: ~F.array_contains(acc["used"], i) & tokens_match(t, F.element_at(parent, i)))
-        hit = F.try_element_at(free, F.lit(1))
-        function = F.array_contains(words(FUNCTION_WORDS), t)
-        over = function & (acc["added"] + 1 > MAX_ADDED)
-        failed = acc["category"].isNotNull()
-        return (
-            F.when(failed, acc)
-            .when(hit.isNotNull(), F.struct(F.array_append(acc["used"], hit).alias("used"), acc["added"].alias("added"), acc["category"].alias("category"), acc["token"].alias("token")))
-            .when(~function | over, F.struct(acc["used"].alias("used"), acc["added"].alias("added"), F.when(function, "function_word_overrun").otherwise("content_token").alias("category"), t.alias("token")))
-            .otherwise(F.struct(acc["used"].alias("used"), (acc["added"] + 1).alias("added"), acc["category"].alias("category"), acc["token"].alias("token")))
+        # the seat is looked up once, in a one-element array
+        done = F.transform(
+            F.array(seat(acc, t)),
+            lambda hit: F.when(hit.isNotNull(), state(F.array_append(acc["used"], hit), acc["added"], acc["category"], acc["token"]))
+            .when(~t["function"], state(acc["used"], acc["added"], F.lit("content_token"), t["token"]))
+            .when(acc["added"] + 1 > MAX_ADDED, state(acc["used"], acc["added"], F.lit("function_word_overrun"), t["token"]))
+            .otherwise(state(acc["used"], acc["added"] + 1, acc["category"], acc["token"])),
         )
+        return F.when(acc["category"].isNotNull(), acc).otherwise(F.element_at(done, 1))
 
-    end = F.aggregate(claim, start, step)
-    return F.when(end["category"].isNotNull(), F.struct(end["category"].alias("category"), end["token"].alias("token")))
+    return F.aggregate(claim, start, step, lambda end: F.when(end["category"].isNotNull(), F.struct(end["category"].alias("category"), end["token"].alias("token"))))
 
 
 def first_uncovered(parent: Column, response: Column) -> Column:
-    """The first parent token, not exempt, that no response token matches; null if complete."""
+    """The first parent token, not exempt, that no response token matches; null if complete. Both are prepared."""
     exempt = words(FUNCTION_WORDS + CLAUSE_CONNECTIVES)
-    missed = F.filter(parent, lambda p: ~F.array_contains(exempt, p) & ~F.exists(response, lambda r: tokens_match(p, r)))
-    return F.try_element_at(missed, F.lit(1))
+    missed = F.filter(parent, lambda p: ~F.array_contains(exempt, p["token"]) & ~F.exists(response, lambda r: tokens_match(p, r)))
+    return F.try_element_at(missed, F.lit(1))["token"]

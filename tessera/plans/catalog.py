@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import retrieval_queries
+from tessera.plans import index_queries, retrieval_queries, text_queries
 
-ALL = {**retrieval_queries.QUERIES}
+ALL = {**retrieval_queries.QUERIES, **text_queries.QUERIES, **index_queries.QUERIES}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
