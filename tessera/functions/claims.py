@@ -22,10 +22,6 @@ MAX_ADDED, MAX_CLAIMS = 2, 8
 MIN_BASE = 3
 
 
-def words(names: list[str]) -> Column:
-    return F.array(*[F.lit(w) for w in names])
-
-
 def sentence_tokens(text: Column) -> Column:
     """Tokens of an already folded text, split at blanks, without edge marks."""
     parts = F.transform(F.split(F.trim(text), r"\s+"), lambda t: F.regexp_replace(t, f"^[{EDGE_MARKS}]+|[{EDGE_MARKS}]+$", ""))
@@ -54,7 +50,7 @@ def prepared(tokens: Column) -> Column:
     """
 
     def one(t: Column) -> Column:
-        function = F.array_contains(words(FUNCTION_WORDS), t)
+        function = t.isin(FUNCTION_WORDS)
         return F.struct(t.alias("token"), function.alias("function"), F.when(function, F.array().cast("array<string>")).otherwise(base_set(t)).alias("bases"))
 
     return F.transform(tokens, one)
@@ -96,6 +92,6 @@ def additive_failure(claim: Column, parent: Column) -> Column:
 
 def first_uncovered(parent: Column, response: Column) -> Column:
     """The first parent token, not exempt, that no response token matches; null if complete. Both are prepared."""
-    exempt = words(FUNCTION_WORDS + CLAUSE_CONNECTIVES)
-    missed = F.filter(parent, lambda p: ~F.array_contains(exempt, p["token"]) & ~F.exists(response, lambda r: tokens_match(p, r)))
+    exempt = FUNCTION_WORDS + CLAUSE_CONNECTIVES
+    missed = F.filter(parent, lambda p: ~p["token"].isin(exempt) & ~F.exists(response, lambda r: tokens_match(p, r)))
     return F.try_element_at(missed, F.lit(1))["token"]

@@ -65,59 +65,61 @@ def body_units(body: Column) -> Column:
 
 
 def pack(pieces: Column, joiner: str, target: int = TARGET, count: Counter = token_count) -> Column:
-    """Greedy packing of an array of texts: each pack has ``target`` tokens at most, or is one piece."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("cur"))
+    """Greedy packing of an array of texts: each pack has ``target`` tokens at most, or is one piece.
+
+    ``count`` is additive over blanks, as the offline counter is: each piece is counted once.
+    """
+    sized = F.transform(pieces, lambda p: F.struct(p.alias("text"), count(p).alias("n")))
+    return F.aggregate(sized, _nothing(), lambda acc, p: _added(acc, p, joiner, target), lambda acc: _closed(acc, joiner))
+
+
+def _nothing() -> Column:
+    none = F.array().cast("array<string>")
+    return F.struct(none.alias("done"), none.alias("cur"), F.lit(0).alias("n"))
+
+
+def _added(acc: Column, p: Column, joiner: str, target: int) -> Column:
+    """A fold step: the open pack is a list of texts, joined when it closes."""
+    fits = (F.size(acc["cur"]) == 0) | (acc["n"] + p["n"] <= target)
+    more = F.struct(acc["done"].alias("done"), F.array_append(acc["cur"], p["text"]).alias("cur"), (acc["n"] + p["n"]).alias("n"))
+    return F.when(fits, more).otherwise(F.struct(F.array_append(acc["done"], F.array_join(acc["cur"], joiner)).alias("done"), F.array(p["text"]).alias("cur"), p["n"].alias("n")))
 
-    def step(acc: Column, p: Column) -> Column:
-        both = F.concat(acc["cur"], F.lit(joiner), p)
-        return (
-            F.when(acc["cur"].isNull(), F.struct(acc["done"].alias("done"), p.alias("cur")))
-            .when(count(both) <= target, F.struct(acc["done"].alias("done"), both.alias("cur")))
-            .otherwise(F.struct(F.array_append(acc["done"], acc["cur"]).alias("done"), p.alias("cur")))
-        )
 
-    return F.aggregate(pieces, start, step, lambda acc: F.array_compact(F.array_append(acc["done"], acc["cur"])))
+def _closed(acc: Column, joiner: str) -> Column:
+    return F.when(F.size(acc["cur"]) > 0, F.array_append(acc["done"], F.array_join(acc["cur"], joiner))).otherwise(acc["done"])
 
 
 def packed(text: Column, target: int = TARGET, count: Counter = token_count, compat: bool = False) -> Column:
     """The chunks of a text: packed paragraphs; a longer paragraph is packed by sentences, on its own."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("cur"))
+    sized = F.transform(paragraphs(text), lambda p: F.struct(p.alias("text"), count(p).alias("n")))
 
     def step(acc: Column, p: Column) -> Column:
-        both = F.concat(acc["cur"], F.lit("\n\n"), p)
-        closed = F.array_compact(F.array_append(acc["done"], acc["cur"]))
-        alone = F.concat(closed, pack(sentences(p, compat), " ", target, count))
-        return (
-            F.when(count(p) > target, F.struct(alone.alias("done"), F.lit(None).cast("string").alias("cur")))
-            .when(acc["cur"].isNull(), F.struct(acc["done"].alias("done"), p.alias("cur")))
-            .when(count(both) <= target, F.struct(acc["done"].alias("done"), both.alias("cur")))
-            .otherwise(F.struct(closed.alias("done"), p.alias("cur")))
-        )
+        alone = F.concat(_closed(acc, "\n\n"), pack(sentences(p["text"], compat), " ", target, count))
+        return F.when(p["n"] > target, F.struct(alone.alias("done"), F.array().cast("array<string>").alias("cur"), F.lit(0).alias("n"))).otherwise(_added(acc, p, "\n\n", target))
 
-    return F.aggregate(paragraphs(text), start, step, lambda acc: F.array_compact(F.array_append(acc["done"], acc["cur"])))
+    return F.aggregate(sized, _nothing(), step, lambda acc: _closed(acc, "\n\n"))
 
 
 def overlap(chunk: Column, count: Counter = token_count, compat: bool = False) -> Column:
     """The longest run of whole sentences at a chunk's end within 15 % of its tokens; empty if none fits."""
-    limit = F.greatest(F.lit(1), F.floor(count(chunk) * OVERLAP).cast("int"))
-    own = sentences(chunk, compat)
-    start = F.struct(F.lit("").alias("text"), F.lit(False).alias("full"))
+    sized = F.transform(F.reverse(sentences(chunk, compat)), lambda s: F.struct(s.alias("text"), count(s).alias("n")))
+    none = F.array().cast("array<string>")
+    start = F.struct(none.alias("tail"), F.lit(0).alias("n"), F.lit(False).alias("full"), F.greatest(F.lit(1), F.floor(count(chunk) * OVERLAP).cast("int")).alias("limit"))
 
     def step(acc: Column, s: Column) -> Column:
-        longer = F.when(acc["text"] == "", s).otherwise(F.concat(s, F.lit(" "), acc["text"]))
-        return F.when(acc["full"] | (count(longer) > limit), F.struct(acc["text"].alias("text"), F.lit(True).alias("full"))).otherwise(F.struct(longer.alias("text"), F.lit(False).alias("full")))
+        full = acc["full"] | (acc["n"] + s["n"] > acc["limit"])
+        return F.struct(F.when(full, acc["tail"]).otherwise(F.array_append(acc["tail"], s["text"])).alias("tail"), F.when(full, acc["n"]).otherwise(acc["n"] + s["n"]).alias("n"), full.alias("full"), acc["limit"].alias("limit"))
 
-    return F.aggregate(F.reverse(own), start, step, lambda acc: acc["text"])
+    return F.aggregate(sized, start, step, lambda acc: F.array_join(F.reverse(acc["tail"]), " "))
 
 
 def with_overlap(chunks: Column, count: Counter = token_count, compat: bool = False) -> Column:
     """Each chunk but the first with the end of its predecessor before it."""
 
     def one(c: Column, i: Column) -> Column:
-        tail = overlap(F.get(chunks, i - 1), count, compat)
-        return F.when((i > 0) & (F.coalesce(tail, F.lit("")) != ""), F.concat(tail, F.lit("\n\n"), c)).otherwise(c)
+        return F.array_join(F.filter(F.array(overlap(F.get(chunks, i - 1), count, compat), c), lambda x: x != ""), "\n\n")
 
-    return F.transform(chunks, one)
+    return F.transform(chunks, lambda c, i: F.when(i > 0, one(c, i)).otherwise(c))
 
 
 def embedding_input(title: Column, value_path: Column, text: Column) -> Column:

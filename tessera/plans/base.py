@@ -13,8 +13,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt evenly if the scan has fewer tasks than there are cores (a small file of one row group)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` for work that is heavy on each text."""
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return document_snapshot(table(spark, sf_dir, "documents"))
+    return document_snapshot(texts(spark, sf_dir))
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 from tessera.functions.paths import path_selected
 from tessera.functions.text import lexical_tokens
 from tessera.operators import retrieval as r
-from tessera.plans.base import BM25_SQL, DIVERSE_SQL, FAR_SQL, FUSED_SQL, KEY, LEX_SQL, SEM_SQL, SNAPSHOT_SQL, question_vectors, questions, snapshot, table, tokens_sql, vectors
+from tessera.plans.base import BM25_SQL, DIVERSE_SQL, FAR_SQL, FUSED_SQL, KEY, LEX_SQL, SEM_SQL, SNAPSHOT_SQL, question_vectors, questions, snapshot, texts, tokens_sql, vectors
 
 FILTERS = r.Filters(record_ids=("src1", "src2", "src3"), statuses=("en", "fr"), tags=("en", "src2"), value_paths=("decision.chosen", "body[*]"))
 
 
 def tokenize_documents(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", F.posexplode(lexical_tokens(F.col("text"))).alias("pos", "token"))
+    rows = texts(spark, d).select("doc_id", F.posexplode(lexical_tokens(F.col("text"))).alias("pos", "token"))
     return rows.select("doc_id", F.col("pos").cast("bigint").alias("pos"), "token")
 
 

@@ -9,14 +9,14 @@ from tessera.functions.paths import LABELS, evidence_block
 from tessera.functions.text import SENTENCE_END, is_one_sentence, paragraphs, sentences, without_markers
 from tessera.operators import chunking, doctor
 from tessera.operators import claims as oc
-from tessera.plans.base import quoted, table
+from tessera.plans.base import quoted, table, texts
 
 END = SENTENCE_END.replace("'", "''")
 
 
 def _spaced(spark, d):
     """Documents whose lines are paragraphs."""
-    return table(spark, d, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n \n")).alias("text"))
+    return texts(spark, d).select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n \n")).alias("text"))
 
 
 def paragraph_split(spark, d):
@@ -24,12 +24,12 @@ def paragraph_split(spark, d):
 
 
 def sentence_split(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", F.posexplode(sentences(F.col("text"))).alias("pos", "sentence"))
+    rows = texts(spark, d).select("doc_id", F.posexplode(sentences(F.col("text"))).alias("pos", "sentence"))
     return rows.withColumn("pos", F.col("pos").cast("bigint"))
 
 
 def sentence_split_compat(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", F.posexplode(sentences(F.col("text"), compat=True)).alias("pos", "sentence"))
+    rows = texts(spark, d).select("doc_id", F.posexplode(sentences(F.col("text"), compat=True)).alias("pos", "sentence"))
     return rows.withColumn("pos", F.col("pos").cast("bigint"))
 
 
@@ -115,37 +115,37 @@ def overlap_chunks(spark, d):
 
 def batch_assignment(spark, d):
     """Documents of a source in order of id, dealt to batches of bounded size."""
-    tokens = table(spark, d, "documents").select("source", "doc_id", (F.length("text") / 4 + 1).cast("bigint").alias("tokens"))
+    tokens = texts(spark, d).select("source", "doc_id", (F.length("text") / 4 + 1).cast("bigint").alias("tokens"))
     lists = tokens.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", "tokens"))).alias("own"))
     numbered = lists.select("own", chunking.batches(F.transform("own", lambda x: x["tokens"])).alias("batch"))
     return numbered.select(F.inline(F.arrays_zip("own", "batch"))).select("own.doc_id", "batch")
 
 
 def marker_strip(spark, d):
-    docs = table(spark, d, "documents")
+    docs = texts(spark, d)
     marked = F.concat(F.lit("[ch_"), F.sha2("text", 256), F.lit("] "), F.col("text"), F.lit(" ch_"), F.sha2("source", 256), F.lit(" ."))
     return docs.select("doc_id", without_markers(marked).alias("text"))
 
 
 def one_sentence(spark, d):
-    return table(spark, d, "documents").select("doc_id", is_one_sentence(F.col("text")).alias("one"))
+    return texts(spark, d).select("doc_id", is_one_sentence(F.col("text")).alias("one"))
 
 
 def claim_containment(spark, d):
     """Which documents hold which benchmark passage: a bounded set of claims against all rows."""
     fold = oc.containment_form_ascii
     claims = table(spark, d, "benchmark").select("item_id", fold(F.col("text")).alias("claim"))
-    docs = table(spark, d, "documents").select("doc_id", fold(F.col("text")).alias("chunk"))
+    docs = texts(spark, d).select("doc_id", fold(F.col("text")).alias("chunk"))
     return docs.join(F.broadcast(claims), F.contains(F.col("chunk"), F.col("claim"))).select("item_id", "doc_id")
 
 
 def sentence_tokens(spark, d):
     tokens = fc.sentence_tokens(oc.containment_form_ascii(F.col("text")))
-    return table(spark, d, "documents").select("doc_id", F.posexplode(tokens).alias("pos", "token")).withColumn("pos", F.col("pos").cast("bigint"))
+    return texts(spark, d).select("doc_id", F.posexplode(tokens).alias("pos", "token")).withColumn("pos", F.col("pos").cast("bigint"))
 
 
 def _vocabulary(spark, d):
-    return table(spark, d, "documents").select(F.explode(fc.sentence_tokens(oc.containment_form_ascii(F.col("text")))).alias("token")).distinct()
+    return texts(spark, d).select(F.explode(fc.sentence_tokens(oc.containment_form_ascii(F.col("text")))).alias("token")).distinct()
 
 
 def base_sets(spark, d):
@@ -196,7 +196,7 @@ def sentence_fate(spark, d):
     items = table(spark, d, "benchmark")
     cited = F.array(F.col("item_id").cast("string"), (F.col("item_id") + 1).cast("string"))
     drafts = items.select(F.col("item_id").alias("sentence_id"), "text", cited.alias("chunk_ids"))
-    chunks = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), "text")
+    chunks = texts(spark, d).select(F.col("doc_id").cast("string").alias("chunk_id"), "text")
     split = items.select(F.col("item_id").alias("sentence_id"), F.lit(1).alias("attempt"), sentences(F.col("text")).alias("sub_claims"))
     judged = split.select("sentence_id", F.explode("sub_claims").alias("sub_claim")).withColumn("supported", F.col("sentence_id") % 2 == 0).distinct()
     return oc.sentence_fates(drafts, chunks, split, judged).select("sentence_id", "fate", "reason", F.array_join("citations", ",").alias("citations"))
@@ -211,7 +211,7 @@ def coverage_abstention(spark, d):
 
 def _surveyed(spark, d):
     heads = F.array_distinct(F.transform(F.split("text", "\n"), lambda line: F.substring_index(line, " ", 1)))
-    return table(spark, d, "documents").select(F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.filter(heads, lambda h: h != "").alias("headings"))
+    return texts(spark, d).select(F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.filter(heads, lambda h: h != "").alias("headings"))
 
 
 def doctor_heading_frequency(spark, d):
