@@ -1,10 +1,10 @@
 """Packing along a space-filling curve.
 
 Each document is tokenized once; a hashed bag of its tokens is projected to a
-few dimensions and turned into a Hilbert key. Documents are range-sorted by
-(key, id), so that like documents become neighbours and equal keys still
-spread over tasks, and each task cuts its stretch of the curve into full
-sequences. The last, partial stretch of a task is cut at powers of two, which
+few dimensions and turned into a Hilbert key. Slices of documents are
+range-sorted by (key, id, start), so that like documents become neighbours,
+while equal keys and very long documents still spread over tasks, and each
+task cuts its stretch of the curve into full sequences. The last, partial stretch of a task is cut at powers of two, which
 need no padding, so no padding remains.
 
 Null text counts as empty: such a document is its end id alone. Rows that
@@ -80,8 +80,13 @@ def project(ids: np.ndarray, dims: int) -> np.ndarray:
     return 0.5 + 0.5 * np.tanh(4.0 * np.array(v))
 
 
-def tokenized(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, end_id: int, dims: int, bits: int) -> DataFrame:
-    """(id, key, ids, n): little-endian 16-bit ids with ``end_id`` last, and the Hilbert key."""
+def tokenized(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, end_id: int, dims: int, bits: int, slice_tokens: int) -> DataFrame:
+    """(id, key, start, n, ids): slices of a document's ids, ``end_id`` last, and its Hilbert key.
+
+    ``ids`` are little-endian 16-bit numbers, ``n`` counts the whole document.
+    Slices bound the size of a row, and with it what a range of rows weighs.
+    """
+    names = ["id", "key", "start", "n", "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = load_encoder(tokenizer)
@@ -95,13 +100,14 @@ def tokenized(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, end_i
                     ids.append(own)
                     where.append(project(own, dims))
                 spot = np.minimum((np.array(where) * (1 << bits)).astype(np.int64), (1 << bits) - 1)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(hilbert_key(spot, bits), pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([x.size for x in ids], pa.int64())],
-                    ["id", "key", "ids", "n"],
-                )
+                keys = hilbert_key(spot, bits)
+                rows = [(i, at, x[at : at + slice_tokens].tobytes()) for i, x in enumerate(ids) for at in range(0, x.size, slice_tokens)]
+                which = np.array([r[0] for r in rows])
+                sizes = np.array([x.size for x in ids])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(which)), pa.array(keys[which], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(sizes[which], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names)
 
     slim = bare(docs, id_col, text_col).toDF("id", "text")
-    return slim.mapInArrow(run, f"id {slim.schema['id'].dataType.simpleString()}, key bigint, ids binary, n bigint")
+    return slim.mapInArrow(run, f"id {slim.schema['id'].dataType.simpleString()}, key bigint, start bigint, n bigint, ids binary")
 
 
 class _Packer:
@@ -110,11 +116,11 @@ class _Packer:
     def __init__(self, task: int, size: int):
         self.next, self.size, self.at, self.open, self.done = task << 40, size, 0, [], []
 
-    def add(self, doc: object, ids: np.ndarray) -> None:
-        start, total = 0, int(ids.size)
-        while start < total:
-            take = min(total - start, self.size - self.at)
-            self.open.append((doc, start, ids[start : start + take], total))
+    def add(self, doc: object, first: int, total: int, ids: np.ndarray) -> None:
+        start = 0
+        while start < ids.size:
+            take = min(ids.size - start, self.size - self.at)
+            self.open.append((doc, first + start, ids[start : start + take], total))
             self.at += take
             start += take
             if self.at == self.size:
@@ -149,23 +155,22 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, siz
     ``size`` is a power of two. Number and size of the sorted stretches follow
     ``spark.sql.shuffle.partitions`` and adaptive coalescing.
     """
-    rows = stored(tokenized(docs, id_col, text_col, tokenizer, end_id, dims, bits))
+    rows = stored(tokenized(docs, id_col, text_col, tokenizer, end_id, dims, bits, size))
     kind = rows.schema["id"].dataType.simpleString()
     schema = pa.schema([("id", _arrow(rows, "id")), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = _Packer(TaskContext.get().partitionId(), size)
         for b in batches:
-            for doc, ids in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                packer.add(doc, np.frombuffer(ids.as_buffer(), np.uint16))
+            for doc, first, total, ids in zip(*(b.column(i).to_pylist() for i in range(3)), b.column(3), strict=True):
+                packer.add(doc, first, total, np.frombuffer(ids.as_buffer(), np.uint16))
                 if len(packer.done) >= 4096:
                     yield packer.flush(schema)
         packer.finish()
         yield packer.flush(schema)
 
-    order = ["key", "id", "n", "ids"]
-    ranged = rows.repartitionByRange("key", "id").sortWithinPartitions(*order)
-    return ranged.select("id", "ids").mapInArrow(run, PIECES.format(id=kind)).withColumnRenamed("id", id_col)
+    ranged = rows.repartitionByRange("key", "id", "start").sortWithinPartitions("key", "id", "n", "start", "ids")
+    return ranged.select("id", "start", "n", "ids").mapInArrow(run, PIECES.format(id=kind)).withColumnRenamed("id", id_col)
 
 
 def _arrow(df: DataFrame, name: str) -> pa.DataType:
