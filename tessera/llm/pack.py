@@ -120,7 +120,11 @@ class _Packer:
         start = 0
         while start < ids.size:
             take = min(ids.size - start, self.size - self.at)
-            self.open.append((doc, first + start, ids[start : start + take], total))
+            own, last = ids[start : start + take], self.open[-1] if self.open else None
+            if last and last[0] == doc and last[3] == total and last[1] + last[2].size == first + start:
+                self.open[-1] = (doc, last[1], np.concatenate((last[2], own)), total)  # a slice goes on where the one before ended
+            else:
+                self.open.append((doc, first + start, own, total))
             self.at += take
             start += take
             if self.at == self.size:

@@ -89,7 +89,6 @@ def oracle_sql() -> dict[str, str]:
             w AS (SELECT *, first_value(doc_id) OVER o AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size, row_number() OVER o AS r
                   FROM d WINDOW o AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id NULLS LAST))
             SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, r = 1 AS kept, text_sha256 FROM w""",
-        "op3_html_extract": op3_html_extract,
         "op4_chat_format": r"""
             WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
                        UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
@@ -101,4 +100,33 @@ def oracle_sql() -> dict[str, str]:
                    sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
                    CAST(sum(12 + length(role) + 1 + body + 10 + 1) AS BIGINT) AS formatted_chars
             FROM e GROUP BY conv_id""",
+        "op7_minhash_near_dedup": r"""
+            WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+            s AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) > 1 THEN list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) ELSE ws END) AS g FROM w),
+            n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+            p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+            l AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+            e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+            r AS (SELECT doc_id AS node, doc_id AS seen FROM documents UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.seen),
+            c AS (SELECT node, min(seen) AS component_id FROM r GROUP BY node)
+            SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM documents d LEFT JOIN n USING (doc_id) JOIN c ON c.node = d.doc_id""",
+        "op9_shard": f"""
+            WITH t AS (SELECT '{"".join(f"{x:02x}" for x in shard.lookup_table([f"shard-{i:05d}" for i in range(64)]))}' AS filled),
+            d AS (SELECT doc_id, length(text) AS n_chars, CAST(CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT) % {shard.SLOTS} AS INTEGER) AS slot FROM documents)
+            SELECT doc_id, n_chars, slot, CAST('0x' || substr(filled, 2 * slot + 1, 2) AS INTEGER) AS shard FROM d, t""",
+        "op10_substring_dedup": r"""
+            WITH RECURSIVE ls AS (SELECT doc_id, string_split(text, chr(10)) AS xs FROM documents),
+            x AS (SELECT doc_id, i, xs[i] AS line, CAST(list_sum(list_transform(xs[1:i - 1], lambda t: length(t) + 1)) AS BIGINT) AS before FROM (SELECT doc_id, xs, unnest(range(1, len(xs) + 1)) AS i FROM ls)),
+            w AS MATERIALIZED (SELECT doc_id, coalesce(before, 0) AS start, length(line) AS length, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM x),
+            u AS MATERIALIZED (SELECT row_number() OVER (ORDER BY doc_id, start) AS u, * FROM w WHERE len(ws) >= 25),
+            s AS MATERIALIZED (SELECT DISTINCT u, unnest(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) AS g FROM u),
+            n AS MATERIALIZED (SELECT u, count(*) AS n FROM s GROUP BY u),
+            p AS (SELECT a.u AS a, b.u AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.u < b.u GROUP BY ALL),
+            l AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.u = a JOIN n y ON y.u = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+            e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+            r AS (SELECT DISTINCT a AS node, a AS seen FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.seen),
+            c AS (SELECT node, min(seen) AS head FROM r GROUP BY node),
+            k AS (SELECT head, count(*) AS cluster_size, min(doc_id) AS lo, max(doc_id) AS hi FROM c JOIN u ON u.u = c.node GROUP BY head)
+            SELECT u.doc_id, u.start, u.length, f.doc_id AS cluster_doc, f.start AS cluster_start, cluster_size, u.u <> head AS removed
+            FROM c JOIN u ON u.u = c.node JOIN k USING (head) JOIN u f ON f.u = head WHERE lo < hi""",
     }
