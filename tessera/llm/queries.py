@@ -118,7 +118,7 @@ def oracle_sql() -> dict[str, str]:
             WITH RECURSIVE ls AS (SELECT doc_id, string_split(text, chr(10)) AS xs FROM documents),
             x AS (SELECT doc_id, i, xs[i] AS line, CAST(list_sum(list_transform(xs[1:i - 1], lambda t: length(t) + 1)) AS BIGINT) AS before FROM (SELECT doc_id, xs, unnest(range(1, len(xs) + 1)) AS i FROM ls)),
             w AS MATERIALIZED (SELECT doc_id, coalesce(before, 0) AS start, length(line) AS length, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM x),
-            u AS MATERIALIZED (SELECT row_number() OVER (ORDER BY doc_id, start) AS u, * FROM w WHERE len(ws) >= 25),
+            u AS MATERIALIZED (SELECT row_number() OVER (ORDER BY doc_id, start) AS u, * FROM w WHERE len(ws) >= 15),
             s AS MATERIALIZED (SELECT DISTINCT u, unnest(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) AS g FROM u),
             n AS MATERIALIZED (SELECT u, count(*) AS n FROM s GROUP BY u),
             p AS (SELECT a.u AS a, b.u AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.u < b.u GROUP BY ALL),

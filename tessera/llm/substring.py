@@ -98,7 +98,7 @@ def _sets(docs: DataFrame, units: DataFrame, nodes: DataFrame) -> DataFrame:
     return docs.join(where, "id").select("node", cutout, "print").mapInArrow(run, "node bigint, members binary").dropDuplicates(["node"])
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = 80, min_words: int = 25, recall: float = 0.9998) -> DataFrame:
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = 80, min_words: int = 15, recall: float = 0.9998) -> DataFrame:
     """A row for each occurrence of a paragraph that repeats across documents.
 
     id, start, length, cluster_doc and cluster_start (the occurrence that

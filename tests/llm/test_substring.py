@@ -7,7 +7,7 @@ from tessera.llm import substring
 from tessera.llm.common import table
 
 
-def brute(rows, min_words=25, percent=80):
+def brute(rows, min_words=15, percent=80):
     """(doc, start, length, cluster_doc, cluster_start, size, removed) of every repeated paragraph."""
     paras = []
     for doc, text in rows:
@@ -58,8 +58,8 @@ def test_planted_passages_and_edge_cases(spark):
         (4, f"{own}\n{own}"),  # repeats in one document only
         (5, None),
         (6, ""),
-        (7, say(24)),
-        (8, say(24)),
+        (7, say(14)),
+        (8, say(14)),
         (9, say(40_000)),
         (10, f"🙂\n{passage}"),
         (None, passage),
