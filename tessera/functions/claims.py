@@ -95,3 +95,8 @@ def first_uncovered(parent: Column, response: Column) -> Column:
     exempt = FUNCTION_WORDS + CLAUSE_CONNECTIVES
     missed = F.filter(parent, lambda p: ~p["token"].isin(exempt) & ~F.exists(response, lambda r: tokens_match(p, r)))
     return F.try_element_at(missed, F.lit(1))["token"]
+
+
+def stem_match(a: Column, b: Column) -> Column:
+    """The directional relation: equal, or one token is derived from the other by one rule."""
+    return (a == b) | F.array_contains(base_set(a), b) | F.array_contains(base_set(b), a)

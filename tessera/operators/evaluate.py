@@ -75,3 +75,9 @@ def attempts(rows: DataFrame) -> DataFrame:
     ``rows`` (concern, attempt_number, elapsed_ms, outcome, tokens).
     """
     return rows.groupBy("concern", "outcome").agg(F.count("*").alias("attempts"), F.count_if(F.col("attempt_number") > 1).alias("retries"), F.round(F.sum("elapsed_ms"), 3).alias("elapsed_ms"), F.sum("tokens").alias("tokens"))
+
+
+def write_deviations(results: DataFrame, checks: DataFrame, path: str) -> None:
+    """The whole results of failing runs as JSON, in a folder for each question."""
+    failed = checks.where(~F.col("passed")).select("query_id", "run", "detail")
+    results.join(failed, ["query_id", "run"]).write.partitionBy("query_id").json(path)

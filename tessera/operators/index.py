@@ -137,3 +137,31 @@ def store_diff(one: DataFrame, two: DataFrame, key: list[str]) -> DataFrame:
     b = two.groupBy(*key).agg(F.count("*").alias("in_two"))
     both = a.join(b, key, "full_outer").na.fill(0, ["in_one", "in_two"])
     return both.where("in_one <> in_two")
+
+
+def live_ledger(ledger: DataFrame, column: str) -> DataFrame:
+    """(record_id, column) of records that are not removed: fingerprints or entry digests."""
+    return ledger.where("state <> 'removed'").select("record_id", column)
+
+
+def has_failed(ledger: DataFrame) -> bool:
+    return not ledger.where("state = 'failed'").isEmpty()
+
+
+def eligible_versions(chunks: DataFrame, generation: str) -> DataFrame:
+    """The distinct (generation, record_id, fingerprint) that have chunks."""
+    return chunks.select(F.lit(generation).alias("generation"), "record_id", "fingerprint").distinct()
+
+
+def source_states(refs: DataFrame, listing: DataFrame | None) -> DataFrame:
+    """``refs`` (path, ...) with ``resolution``: resolved, missing, hint_unavailable or invalid_relative_path.
+
+    ``listing`` (path) holds the files under the root, case and all; None if there is no root.
+    """
+    parts = F.split("path", "/")
+    valid = (F.col("path") != "") & ~F.array_contains(parts, "") & ~F.array_contains(parts, "..")
+    if listing is None:
+        return refs.withColumn("resolution", F.when(F.coalesce(valid, F.lit(False)), "hint_unavailable").otherwise("invalid_relative_path"))
+    rows = refs.join(listing.select("path").distinct().withColumn("__there", F.lit(True)), "path", "left")
+    state = F.when(~F.coalesce(valid, F.lit(False)), "invalid_relative_path").when(F.col("__there"), "resolved").otherwise("missing")
+    return rows.withColumn("resolution", state).drop("__there")

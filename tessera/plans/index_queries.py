@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.functions.claims import base_set
 from tessera.operators import evaluate, index, validate
+from tessera.operators import retrieval as r
 from tessera.operators.corpus import active_chunks as assemble
-from tessera.plans.base import snapshot, table
-from tessera.plans.text_queries import RECORDS_SQL, records
+from tessera.plans.base import FAR_SQL, question_vectors, snapshot, table, vectors
+from tessera.plans.text_queries import RECORDS_SQL, VOCAB_SQL, _base_sql, _vocabulary, records
 
 
 def _manifest(spark, d):
@@ -208,6 +210,33 @@ def provider_attempt_summary(spark, d):
     return evaluate.attempts(rows)
 
 
+def ledger_live(spark, d):
+    return index.live_ledger(_ledger(spark, d), "active_fingerprint")
+
+
+def source_resolution(spark, d):
+    """Order priorities and parts as paths, against the parts that are listed."""
+    refs = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_partkey") % 9 == 0, F.concat(F.lit("/p/"), "l_partkey")).when(F.col("l_partkey") % 9 == 1, "a/../b").otherwise(F.concat(F.lit("p/"), F.col("l_partkey"))).alias("path"))
+    return index.source_states(refs, table(spark, d, "part").where("p_size < 30").select(F.concat(F.lit("p/"), F.col("p_partkey")).alias("path")))
+
+
+def semantic_integrity(spark, d):
+    """A vector search over documents whose id is not a multiple of three, held against all with a vector."""
+    far = r.distances(vectors(spark, d), question_vectors(spark, d))
+    accepted = far.where("chunk_id % 3 <> 0").select("query_id", "chunk_id")
+    answered = far.where("chunk_id % 5 <> 0").withColumn("distance", F.when(F.col("chunk_id") % 7 == 0, 3.0).otherwise(F.col("distance")))
+    return r.search_problems(answered, accepted)
+
+
+def stem_relation_counts(spark, d):
+    """How many pairs of vocabulary words the directional relation and the shared bases hold for."""
+    bases = _vocabulary(spark, d).select("token", F.explode(base_set(F.col("token"))).alias("base"))
+    one = bases.join(bases.select(F.col("token").alias("base")).distinct(), "base").where("token <> base").agg(F.count("*").alias("directional"))
+    other = bases.select(F.col("token").alias("other"), "base")
+    two = bases.join(other, "base").where("token < other").select("token", "other").distinct().agg(F.count("*").alias("shared"))
+    return one.join(two, how="cross")
+
+
 RESULTS_SQL = """res AS (SELECT conv_id AS query_id, turn AS run, CASE role WHEN 'assistant' THEN 'answered' WHEN 'user' THEN 'abstained' ELSE 'failed' END AS state,
     role = 'assistant' AS answered, substr(text, 1, 1) AS head, 'body[' || (length(text) % 3) || ']' AS path,
     CASE WHEN length(text) % 2 = 0 THEN 'uncovered_facet' ELSE 'no_emitted_sentences' END AS cause, CASE WHEN conv_id % 3 = 0 THEN 'abstained' ELSE 'answered' END AS expected FROM conversations),
@@ -324,6 +353,23 @@ QUERIES = {
         """WITH k AS (SELECT conv_id AS query_id, bool_or(role = 'user') AS has_reason, bool_or(role <> 'user') AS has_decision, arg_min(length(text) % 2 = 0, turn) FILTER (role <> 'user') AS covered FROM conversations GROUP BY conv_id)
         SELECT query_id, CASE WHEN query_id % 5 = 0 THEN NULL WHEN NOT (has_reason AND has_decision) THEN 'facet_extraction' WHEN covered THEN 'coverage_directness' WHEN query_id % 2 = 0 THEN 'query_state' END AS stage FROM k""",
     ),
+    "ledger_live": (ledger_live, f"WITH {BOOKS_SQL} SELECT record_id, active_fingerprint FROM ledger WHERE state <> 'removed'"),
+    "source_resolution": (
+        source_resolution,
+        """WITH f AS (SELECT l_orderkey, l_linenumber, CASE l_partkey % 9 WHEN 0 THEN '/p/' || l_partkey WHEN 1 THEN 'a/../b' ELSE 'p/' || l_partkey END AS path FROM lineitem)
+        SELECT l_orderkey, l_linenumber, path, CASE WHEN starts_with(path, '/') OR path = 'a/../b' THEN 'invalid_relative_path' WHEN path IN (SELECT 'p/' || p_partkey FROM part WHERE p_size < 30) THEN 'resolved' ELSE 'missing' END AS resolution FROM f""",
+    ),
+    "semantic_integrity": (
+        semantic_integrity,
+        f"""WITH {FAR_SQL} SELECT * FROM (SELECT query_id, chunk_id, CASE WHEN chunk_id % 5 = 0 THEN CASE WHEN chunk_id % 3 <> 0 THEN 'missing' END WHEN chunk_id % 3 = 0 THEN 'unexpected'
+        WHEN chunk_id % 7 = 0 THEN 'distance' END AS problem FROM far) WHERE problem IS NOT NULL""",
+    ),
+    "stem_relation_counts": (
+        stem_relation_counts,
+        f"""WITH {VOCAB_SQL}, b AS MATERIALIZED (SELECT token, unnest({_base_sql("token")}) AS base FROM vocab)
+        SELECT (SELECT count(*) FROM b WHERE token <> base AND base IN (SELECT token FROM vocab)) AS directional,
+        (SELECT count(*) FROM (SELECT DISTINCT x.token, y.token AS other FROM b x JOIN b y USING (base) WHERE x.token < y.token)) AS shared""",
+    ),
     "provider_attempt_summary": (
         provider_attempt_summary,
         """SELECT event_type AS concern, CASE WHEN event_id % 4 < 2 THEN 'success' WHEN event_id % 4 = 2 THEN 'retryable_failure' ELSE 'final_failure' END AS outcome, count(*) AS attempts,

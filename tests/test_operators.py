@@ -302,3 +302,21 @@ def test_validation_rules(spark):
 def test_pass_rates(spark):
     checks = spark.createDataFrame([("q", 1, True, None), ("q", 2, False, "late"), ("q", 3, False, "later"), ("p", 1, True, None)], "query_id string, run int, passed boolean, detail string")
     assert {r["query_id"]: (r["runs"], r["passed"], r["first_failure"]) for r in evaluate.pass_rates(checks).collect()} == {"q": (3, 1, "late"), "p": (1, 1, None)}
+
+
+def test_stem_relation_is_directional(spark):
+    pairs = [("falls", "falling"), ("fall", "falling"), ("rely", "relied"), ("a", "as"), ("x", "x"), ("ship", "shipped")]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    assert [r[0] for r in df.select(fc.stem_match(F.col("a"), F.col("b"))).collect()] == [False, True, True, False, True, True]
+
+
+def test_deviations_are_written_whole(spark, tmp_path):
+    checks = spark.createDataFrame([("q", 1, True, None), ("q", 2, False, "late")], "query_id string, run int, passed boolean, detail string")
+    results = spark.createDataFrame([("q", 1, "answered"), ("q", 2, "abstained")], "query_id string, run int, state string")
+    evaluate.write_deviations(results, checks, str(tmp_path / "t"))
+    assert [(r["run"], r["state"], r["detail"]) for r in spark.read.json(str(tmp_path / "t")).collect()] == [(2, "abstained", "late")]
+
+
+def test_sources_without_a_root(spark):
+    refs = spark.createDataFrame([("a/b",), ("/a",), ("",), (None,)], "path string")
+    assert [r["resolution"] for r in index.source_states(refs, None).collect()] == ["hint_unavailable"] + ["invalid_relative_path"] * 3
