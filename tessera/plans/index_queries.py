@@ -9,7 +9,10 @@ from tessera.operators import evaluate, index, validate
 from tessera.operators import retrieval as r
 from tessera.operators.corpus import active_chunks as assemble
 from tessera.plans.base import FAR_SQL, question_vectors, snapshot, table, vectors
+from tessera.plans.ingest import with_digest
 from tessera.plans.text_queries import RECORDS_SQL, VOCAB_SQL, _base_sql, _vocabulary, records
+from tessera.schemas import RECORD
+from tessera.streaming import cdc
 
 
 def _manifest(spark, d):
@@ -237,6 +240,24 @@ def stem_relation_counts(spark, d):
     return one.join(two, how="cross")
 
 
+def change_windows(spark, d):
+    """Events counted in windows of ten minutes, by type: what the stream operator counts, over a table."""
+    rows = cdc.windowed_counts(table(spark, d, "events"), by=("event_type",))
+    return rows.select(F.col("window.start").cast("string").alias("start"), "event_type", "changes")
+
+
+def change_latest(spark, d):
+    """The last change of each key of a batch."""
+    rows = table(spark, d, "events").select("user_id", F.struct("ts", "event_id").alias("at"), "event_id", "event_type")
+    return cdc.latest(rows, key="user_id", stamp="at").select("user_id", "event_id", "event_type")
+
+
+def record_digests(spark, d):
+    """Canonical digests of the part records: equal content, equal digest."""
+    rows = records(spark, d)
+    return with_digest(rows.select(F.struct(*RECORD.fieldNames()).alias("record"))).select("record.id", "record_digest")
+
+
 RESULTS_SQL = """res AS (SELECT conv_id AS query_id, turn AS run, CASE role WHEN 'assistant' THEN 'answered' WHEN 'user' THEN 'abstained' ELSE 'failed' END AS state,
     role = 'assistant' AS answered, substr(text, 1, 1) AS head, 'body[' || (length(text) % 3) || ']' AS path,
     CASE WHEN length(text) % 2 = 0 THEN 'uncovered_facet' ELSE 'no_emitted_sentences' END AS cause, CASE WHEN conv_id % 3 = 0 THEN 'abstained' ELSE 'answered' END AS expected FROM conversations),
@@ -353,6 +374,9 @@ QUERIES = {
         """WITH k AS (SELECT conv_id AS query_id, bool_or(role = 'user') AS has_reason, bool_or(role <> 'user') AS has_decision, arg_min(length(text) % 2 = 0, turn) FILTER (role <> 'user') AS covered FROM conversations GROUP BY conv_id)
         SELECT query_id, CASE WHEN query_id % 5 = 0 THEN NULL WHEN NOT (has_reason AND has_decision) THEN 'facet_extraction' WHEN covered THEN 'coverage_directness' WHEN query_id % 2 = 0 THEN 'query_state' END AS stage FROM k""",
     ),
+    "change_windows": (change_windows, "SELECT strftime(time_bucket(INTERVAL '10 minutes', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS changes FROM events GROUP BY ALL"),
+    "change_latest": (change_latest, "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"),
+    "record_digests": (record_digests, None),
     "ledger_live": (ledger_live, f"WITH {BOOKS_SQL} SELECT record_id, active_fingerprint FROM ledger WHERE state <> 'removed'"),
     "source_resolution": (
         source_resolution,

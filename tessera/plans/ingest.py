@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tessera.functions.digest import pipeline_signature, record_digest
 from tessera.operators import chunking, index
 from tessera.providers.ports import Providers
-from tessera.schemas import LEDGER
+from tessera.schemas import LEDGER, S
 from tessera.sources.frontmatter import _dict
 from tessera.store.generation import Store, StoreError
 from tessera.store.shared import cut
@@ -22,7 +22,7 @@ LOCATOR = ["record_id", "fingerprint", "value_path", "ordinal"]
 def with_digest(records: DataFrame) -> DataFrame:
     """``records`` (a struct column ``record``) with ``record_digest``, computed next to the rows."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(S)
     def digest(record: pd.DataFrame) -> pd.Series:
         return pd.Series([record_digest(_dict(r)) for r in record.to_dict("records")])
 
