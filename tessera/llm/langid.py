@@ -13,9 +13,10 @@ there is at least ``keep`` of the highest relative frequency in any language,
 so that strays (loan words, mislabelled documents) do not enter.
 
 Prediction reads the whole text. Null text or text without a letter is ``und``
-with score 0; so is text of which no n-gram is known. Ties go to the first
-language in order of name. Rows with null language or null text teach nothing;
-with no labelled rows at all, everything is ``und``. At most 64 languages.
+with score 0. Text with letters of which no n-gram is known gets the language
+with most labelled texts, with score 0. Ties go to the first language in order
+of name. Rows with null language or null text teach nothing; with no labelled
+rows at all, everything is ``und``. At most 64 languages.
 """
 
 from __future__ import annotations
@@ -58,7 +59,7 @@ def ngram_hashes(text: str, sizes: tuple[int, ...]) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Filters:
-    """Bit-sliced filters: ``masks`` (2**bits slots), the languages, fill of each."""
+    """Bit-sliced filters: ``masks`` (2**bits slots), the languages, fill of each, the most frequent language."""
 
     languages: tuple[str, ...]
     masks: np.ndarray
@@ -66,6 +67,7 @@ class Filters:
     probes: int
     sizes: tuple[int, ...]
     false_rate: np.ndarray
+    common: str = UNKNOWN
 
     def lookup(self, hashes: np.ndarray) -> np.ndarray:
         """The mask of languages that contain each n-gram."""
@@ -90,7 +92,7 @@ class Filters:
                 hits += [np.count_nonzero(found & np.uint64(1 << i)) for i in range(len(self.languages))]
         true = np.maximum(0.0, (hits - total * self.false_rate) / (1.0 - self.false_rate))
         if not true.sum() > 0:
-            return UNKNOWN, 0.0
+            return self.common, 0.0
         best = int(np.argmax(true))
         return self.languages[best], float(min(1.0, true[best] / max(1, total)))
 
@@ -98,17 +100,27 @@ class Filters:
 _HAS = [np.flatnonzero(np.arange(256) >> i & 1) for i in range(8)]
 
 
-def sample_texts(labelled: DataFrame, lang: str, text: str, per_language: int) -> DataFrame:
+def language_sizes(labelled: DataFrame, lang: str, text: str) -> dict[str, int]:
+    """About how many distinct texts each language has."""
+    rows = _labelled(labelled, lang, text)
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
+    if len(sizes) > 64:
+        raise ValueError("at most 64 languages")
+    return sizes
+
+
+def _labelled(labelled: DataFrame, lang: str, text: str) -> DataFrame:
+    rows = bare(labelled, lang, text).toDF("lang", "text").where("lang is not null and text is not null")
+    return rows.withColumn("h", F.pmod(F.xxhash64("text"), F.lit(1 << 40)))
+
+
+def sample_texts(labelled: DataFrame, lang: str, text: str, per_language: int, sizes: dict[str, int]) -> DataFrame:
     """(lang, text): at most ``per_language`` distinct texts a language, those with the smallest hash.
 
     A hash threshold drawn from the number of distinct texts settles nearly
     all rows map-side, so neither a common text nor a common language gathers.
     """
-    rows = bare(labelled, lang, text).toDF("lang", "text").where("lang is not null and text is not null")
-    rows = rows.withColumn("h", F.pmod(F.xxhash64("text"), F.lit(1 << 40)))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
-    if len(sizes) > 64:
-        raise ValueError("at most 64 languages")
+    rows = _labelled(labelled, lang, text)
     if not sizes:
         return rows.select("lang", "text")
     limit = F.coalesce(*[F.when(F.col("lang") == k, F.lit(int((1 << 40) * min(1.0, 1.3 * per_language / max(1, n))))) for k, n in sizes.items()])
@@ -137,7 +149,8 @@ def train(labelled: DataFrame, lang: str = "lang", text: str = "text", *, per_la
 
     What reaches the driver is the n-grams of that bounded sample.
     """
-    sample = sample_texts(labelled, lang, text, per_language).repartition(12)
+    per = language_sizes(labelled, lang, text)
+    sample = sample_texts(labelled, lang, text, per_language, per).repartition(12)
     counts = count_ngrams(sample, "lang", "text", sizes).where(F.col("c") >= least).toArrow()
     names = sorted(set(counts.column("lang").to_pylist()))
     grams, at = np.unique(counts.column("gram").to_numpy(), return_inverse=True)
@@ -153,7 +166,7 @@ def train(labelled: DataFrame, lang: str = "lang", text: str = "text", *, per_la
             masks[h >> np.uint64(64 - bits)] |= masks.dtype.type(1 << i)
             h = mix64(h)
     fill = np.array([np.count_nonzero(masks & masks.dtype.type(1 << i)) for i in range(len(names))]) / (1 << bits)
-    return Filters(tuple(names), masks, bits, probes, sizes, fill**probes)
+    return Filters(tuple(names), masks, bits, probes, sizes, fill**probes, min(per, key=lambda x: (-per[x], x), default=UNKNOWN))
 
 
 def identify(docs: DataFrame, filters: Filters, text: str = "text") -> DataFrame:
