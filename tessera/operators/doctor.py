@@ -13,10 +13,10 @@ def heading_frequency(docs: DataFrame) -> DataFrame:
 
     ``docs`` (path, headings array).
     """
-    total = docs.agg(F.count("*").alias("total"))
+    total = docs.agg(F.count("*")).scalar()
     counts = docs.select("path", F.explode(F.array_distinct("headings")).alias("heading")).groupBy("heading").agg(F.count("*").alias("file_count"))
-    percent = F.round(F.col("file_count").cast("decimal(20,0)") * 100 / F.col("total").cast("decimal(20,0)"), 1).cast("double")
-    return counts.join(F.broadcast(total), how="cross").select("heading", "file_count", percent.alias("percentage"))
+    percent = F.round(F.col("file_count").cast("decimal(20,0)") * 100 / total.cast("decimal(20,0)"), 1).cast("double")
+    return counts.select("heading", "file_count", percent.alias("percentage"))
 
 
 def heading_sets(docs: DataFrame, samples: int = 3) -> DataFrame:
