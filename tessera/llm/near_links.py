@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut
+from tessera.llm.common import cut, stored
 from tessera.llm.components import components
 from tessera.llm.hyperminhash import banded, likely, linked
 
@@ -44,8 +44,10 @@ def near_components(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame
 
     size = able.select(F.col("node").alias("first"), F.col("n").alias("m"))
     met = members.where("node <> first").select("first", "node", "n").distinct().join(size, "first").where(sizes_allow("n", "m", percent))
+    # texts are read again once, for the sets of all that share a bucket with another
+    sets = stored(sets_of(members.select("node").distinct()))
     stars = cut(likely(met.select(F.col("first").alias("a"), F.col("node").alias("b")), able, least))
-    links = cut(linked(stars, sets_of(_ends(stars)), percent))
+    links = cut(linked(stars, sets, percent))
     so_far = components(links)
 
     rest = members.where("size > 2 and node <> first").join(so_far, "node", "left")
@@ -58,7 +60,6 @@ def near_components(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     held = tagged.where("component <> main").select("key", dealt(1, blocks).alias("block"), every(parts).alias("part"), F.lit(0).alias("role"), "node", "component")
     passing = tagged.select("key", every(blocks).alias("block"), dealt(2, parts).alias("part"), F.lit(1).alias("role"), "node", "component")
-    sets = sets_of(tagged.select("node").distinct())
     more = cut(_met_in_blocks(held.unionByName(passing).join(sets, "node"), percent))
     if more.isEmpty():
         return so_far
@@ -129,7 +130,3 @@ class _Block:
                 self.joined[max(x, y)] = min(x, y)
                 out.append((min(node, self.nodes[i]), max(node, self.nodes[i])))
         return out
-
-
-def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()

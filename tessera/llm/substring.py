@@ -34,7 +34,7 @@ from tessera.llm.near_links import near_components
 WIDTH = 5
 
 
-def tune(percent: int, recall: float = 0.9998, rows: int = 3) -> tuple[int, int]:
+def tune(percent: int, recall: float = 0.9998, rows: int = 2) -> tuple[int, int]:
     """(bands, rows): so many bands of ``rows`` registers that pairs at the threshold meet with ``recall``."""
     hit = (percent / 100) ** rows
     return int(np.ceil(np.log(1 - recall) / np.log(1 - hit))), rows
@@ -109,7 +109,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     slim = bare(docs, id_col, text_col).select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text")).where("id is not null")
     units = stored(paragraphs(slim, min_words, bands * rows).withColumn("uid", F.monotonically_increasing_id()))
     classes = stored(units.groupBy("print").agg(F.min("uid").alias("node"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.count("*").alias("c")))
-    found = near_components(classes.select("node", "n", "sig"), lambda nodes: _sets(slim, units, nodes), percent=percent, bands=bands, rows=rows, slack=0.45)
+    found = near_components(classes.select("node", "n", "sig"), lambda nodes: _sets(slim, units, nodes), percent=percent, bands=bands, rows=rows, slack=0.6)
     # classes that repeat exactly or are linked; single paragraphs end here
     heads = classes.select("print", "node", "c").join(found, "node", "left").where("c > 1 or component is not null").select("print", F.coalesce("component", "node").alias("head"))
     hits = cut(units.select("id", "start", "length", "print").join(heads, "print").select("head", "id", "start", "length").distinct())
