@@ -70,11 +70,11 @@ def estimate(equal: np.ndarray, k: int, n_a: np.ndarray, n_b: np.ndarray) -> np.
 
 
 def banded(classes: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(key, node, n): a row for each band of each class (node, n, sig)."""
+    """(key, node): a row for each band of each class (node, sig)."""
     width = 2 * rows
     band = F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("band")
     cutout = F.substring("sig", F.col("band") * width + 1, F.lit(width))
-    return classes.select("node", "n", "sig", band).select(F.xxhash64("band", cutout).alias("key"), "node", "n")
+    return classes.select("node", "sig", band).select(F.xxhash64("band", cutout).alias("key"), "node")
 
 
 def likely(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:

@@ -39,11 +39,11 @@ def near_components(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame
     # a set of fewer than percent/(100-percent) members is as similar as that only to its equal
     able = classes.where(F.col("n") * (100 - percent) >= percent - (100 - percent) + 1) if percent < 100 else classes.limit(0)
     keys = banded(able, bands, rows)
-    shared = keys.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count("*").alias("size")).where("first < last").drop("last")
+    shared = keys.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("size")).where("size > 1")
     members = cut(keys.join(shared, "key"))
 
-    size = able.select(F.col("node").alias("first"), F.col("n").alias("m"))
-    met = members.where("node <> first").select("first", "node", "n").distinct().join(size, "first").where(sizes_allow("n", "m", percent))
+    met = members.where("node <> first").select("first", "node").distinct()
+    met = met.join(able.select("node", "n"), "node").join(able.select(F.col("node").alias("first"), F.col("n").alias("m")), "first").where(sizes_allow("n", "m", percent))
     # texts are read again once, for the sets of all that share a bucket with another
     sets = stored(sets_of(members.select("node").distinct()))
     stars = cut(likely(met.select(F.col("first").alias("a"), F.col("node").alias("b")), able, least))
