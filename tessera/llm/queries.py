@@ -66,6 +66,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeats(table(spark, sf_dir, "documents"))
 
 
+def passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more wherever they lie; the rows of ``op10_substring_dedup`` are the lines its SQL asks for."""
+    return substring.passages(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix": op1_mix,

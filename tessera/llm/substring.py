@@ -15,6 +15,14 @@ Offsets count code points. Rows that repeat an id and text count as one
 document; rows that repeat an id with other text keep their own paragraphs.
 Extra columns are ignored by ``repeats`` and kept by ``remove_repeats``.
 An empty table gives an empty result.
+
+``passages`` does not look at lines: it finds every run of ``min_words`` words
+that two or more documents share, wherever it lies. Of each window of that
+many words the run of half its words with the smallest hash is its anchor, so
+equal windows have equal anchors, and neighbouring windows with one anchor
+form a block. Where all blocks of an anchor are equal they are compared as
+wholes, elsewhere window by window, both on 128 bits. What goes on side by side
+joins to maximal spans.
 """
 
 from __future__ import annotations
@@ -24,10 +32,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bare, cut, mix64, POLY, shingle_hashes, stored, word_hashes
+from tessera.llm.common import _geometric, bare, cut, mix64, MIX_A, POLY, shingle_hashes, stored, word_hashes
 from tessera.llm.hyperminhash import registers
 from tessera.llm.near_links import near_components
 
@@ -142,3 +150,107 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return docs.join(gone, docs[f"`{id_col}`"].cast("bigint") == gone["__id"], "left").drop("__id").mapInArrow(run, schema)
+
+
+def _run_hashes(words: np.ndarray, width: int, base: np.uint64 = POLY) -> np.ndarray:
+    """A hash of each run of ``width`` words, by differences of one cumulated polynomial."""
+    n = words.size - width + 1
+    up, down = _geometric(int(base), words.size), _geometric(pow(int(base), -1, 1 << 64), n)
+    with np.errstate(over="ignore"):
+        sums = np.cumsum(words * up, dtype=np.uint64)
+        return mix64((sums[width - 1 :] - np.concatenate((np.zeros(1, np.uint64), sums[: n - 1]))) * down)
+
+
+def _anchors(words: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and position of each window's anchor; windows are runs of ``min_words`` words."""
+    half = _run_hashes(words, min_words // 2)
+    at = np.lib.stride_tricks.sliding_window_view(half, min_words - min_words // 2 + 1).argmin(axis=1)
+    at += np.arange(at.size)
+    return half[at], at
+
+
+def _blocks(text: str, min_words: int) -> list[np.ndarray]:
+    """anchor, pos, n (windows), start, stop and two prints of each block of a text."""
+    words = word_hashes(text)
+    if words.size < min_words:
+        return []
+    anchor, at = _anchors(words, min_words)
+    lo = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+    n = np.diff(np.append(lo, at.size))
+    begins, ends = _word_ends(text)
+    prints = []
+    for base in (POLY, MIX_A):
+        up, down = _geometric(int(base), words.size), _geometric(pow(int(base), -1, 1 << 64), words.size)
+        with np.errstate(over="ignore"):
+            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * up, dtype=np.uint64)))
+            prints.append(mix64(mix64((sums[lo + n + min_words - 1] - sums[lo]) * down[lo]) + n.astype(np.uint64)).view(np.int64))
+    return [anchor[lo].view(np.int64), *[x.astype(np.int32) for x in (lo, n, begins[lo], ends[lo + n + min_words - 2])], *prints]
+
+
+def _word_ends(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a text begin and end, in code points."""
+    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    gap = (raw == 32) | ((raw >= 9) & (raw <= 13))
+    edge = np.flatnonzero(np.diff(np.concatenate(([True], gap, [True])).astype(np.int8)))
+    points = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))[edge]
+    return points[::2], points[1::2]
+
+
+def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_words: int = 50) -> DataFrame:
+    """A row for each maximal span whose runs of ``min_words`` words all occur in two documents or more.
+
+    id, start, length, words, cluster_doc and cluster_start (where the span
+    first occurs: the smallest id, then position), removed. The first
+    occurrence stays. A span ends where the first occurrence of its words does
+    not go on, so spans of a document may overlap.
+    """
+    if min_words < 2:
+        raise ValueError("a passage has two words or more")
+    slim = bare(docs, id_col, text_col).select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text")).where("id is not null and text is not null")
+    slim = slim.select("id", F.xxhash64("text").alias("copy"), "text")  # rows of one id are told apart by their texts
+
+    names = ["id", "copy", "anchor", "pos", "n", "start", "stop", "one", "two"]
+    schema = "id bigint, copy bigint, anchor bigint, pos int, n int, start int, stop int, one bigint, two bigint"
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 128):
+                part = b.slice(at, 128)
+                found = [_blocks(t.as_py(), min_words) for t in part.column(2)]
+                times = pa.array(np.repeat(np.arange(len(found)), [f[0].size if f else 0 for f in found]))
+                if len(times):
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(times), part.column(1).take(times), *[pa.array(np.concatenate(c)) for c in zip(*filter(None, found), strict=True)]], names)
+
+    group = Window.partitionBy("anchor")
+    first = F.min(F.struct("id", "copy", "pos", "start")).over(group)
+    alike = (F.min("one").over(group) == F.max("one").over(group)) & (F.min("two").over(group) == F.max("two").over(group))
+    blocks = slim.mapInArrow(mark, schema).withColumn("first", first).withColumn("last", F.max("id").over(group)).withColumn("alike", alike)
+    blocks = stored(blocks.where(F.col("first.id") < F.col("last")).select("id", "copy", "anchor", "pos", "n", "start", "stop", "first", "alike"))
+    marks = blocks.where("not alike").groupBy("id", "copy").agg(F.collect_set("anchor").alias("anchors"))
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                text, wanted = b.column(2)[i].as_py(), b.column(3)[i].values.to_numpy(zero_copy_only=False)
+                words = word_hashes(text)
+                anchor = _anchors(words, min_words)[0].view(np.int64)
+                at = np.flatnonzero(np.isin(anchor, wanted))
+                begins, ends = _word_ends(text)
+                cols = [np.full(at.size, b.column(j)[i].as_py(), np.int64) for j in range(2)] + [anchor[at]]
+                cols += [x.astype(np.int32) for x in (at, np.ones_like(at), begins[at], ends[at + min_words - 1])]
+                cols += [_run_hashes(words, min_words, base)[at].view(np.int64) for base in (POLY, MIX_A)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names)
+
+    single = slim.join(marks, ["id", "copy"]).select("id", "copy", "text", "anchors").mapInArrow(windows, schema)
+    group = Window.partitionBy("one", "two")
+    single = single.drop("anchor").withColumn("first", F.min(F.struct("id", "copy", "pos", "start")).over(group)).withColumn("last", F.max("id").over(group)).where(F.col("first.id") < F.col("last"))
+    cols = ["id", "copy", "pos", "n", "start", "stop", "first"]
+    hits = blocks.where("alike").select(*cols).unionByName(single.select(*cols))
+    hits = hits.select(*cols[:-1], F.col("first.id").alias("cluster_doc"), F.col("first.copy").alias("cluster_copy"), (F.col("first.pos") - F.col("pos")).alias("ahead"), F.col("first.start").alias("cluster_start"))
+    same = ["id", "copy", "cluster_doc", "cluster_copy", "ahead"]
+    along = Window.partitionBy(*same).orderBy("pos")
+    upto = F.max(F.col("pos") + F.col("n")).over(along.rowsBetween(Window.unboundedPreceding, -1))
+    parted = hits.withColumn("fresh", F.coalesce(F.col("pos") > upto, F.lit(True)).cast("int")).withColumn("span", F.sum("fresh").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = parted.groupBy(*same, "span").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("cluster_start").alias("cluster_start"), (F.max(F.col("pos") + F.col("n")) - F.min("pos") + min_words - 1).alias("words"))
+    stays = (F.col("id") == F.col("cluster_doc")) & (F.col("copy") == F.col("cluster_copy")) & (F.col("ahead") == 0)
+    return spans.select(F.col("id").alias(id_col), F.col("start").cast("bigint").alias("start"), (F.col("stop") - F.col("start")).cast("bigint").alias("length"), F.col("words").cast("bigint").alias("words"), "cluster_doc", F.col("cluster_start").cast("bigint").alias("cluster_start"), (~stays).alias("removed"))

@@ -1,7 +1,8 @@
 import random
+import re
 from itertools import combinations
 
-from test_near_dedup import shingles
+from test_near_dedup import shingles, words
 
 from tessera.llm import substring
 from tessera.llm.common import table
@@ -77,3 +78,63 @@ def test_bands_reach_the_recall_asked_for():
     for percent in (70, 80, 90):
         bands, rows = substring.tune(percent)
         assert 1 - (1 - (percent / 100) ** rows) ** bands >= 0.9998
+
+
+def brute_passages(rows, n=50):
+    """(doc, start, length, words, first doc, first start, removed) of every maximal span of shared windows."""
+    seen = {}
+    at = {d: [(m.start(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", t or "")] for d, t in rows}
+    for d, t in rows:
+        w = words(t)
+        for i in range(len(w) - n + 1):
+            seen.setdefault(tuple(w[i : i + n]), []).append((d, i))
+    spans = {}
+    for places in seen.values():
+        if len({d for d, _ in places}) > 1:
+            first = min(places)
+            for d, i in places:
+                spans.setdefault((d, first[0], first[1] - i), []).append(i)
+    out = []
+    for (d, head, ahead), found in spans.items():
+        for i in found:
+            if i - 1 not in found:
+                j = i
+                while j + 1 in found:
+                    j += 1
+                start, stop = at[d][i][0], at[d][j + n - 1][1]
+                out.append((d, start, stop - start, j - i + n, head, at[head][i + ahead][0], (d, 0) != (head, ahead)))
+    return sorted(out)
+
+
+def test_passages_within_across_and_in_short_lines(spark):
+    rng = random.Random(7)
+    say = lambda n: " ".join(rng.choice("aäß🙂") + str(rng.randrange(10**6)) for _ in range(n))
+    passage, edge, short = say(51), say(50), say(49)
+    wrapped = "\n".join(" ".join(passage.split()[i : i + 8]) for i in range(0, 51, 8))
+    rows = [
+        (1, f"{say(30)} {passage} {say(90)}"),  # inside a longer line
+        (2, f"{say(5)}\n{say(70)} {passage.replace('a', 'A')} {say(3)}\n{say(4)}"),
+        (3, f"{say(9)} " + "\n".join([" ".join(passage.split()[:20]), " ".join(passage.split()[20:])]) + f" {say(9)}"),  # across a line end
+        (4, f"{say(20)}\n{wrapped}\n{say(20)}"),  # in lines of under 15 words
+        (5, f"{short} {say(40)}"),
+        (6, f"{say(40)} {short}"),
+        (7, edge),
+        (8, f"{say(1)} {edge} {edge}"),
+        (9, None),
+        (10, ""),
+        (11, "ab " * 200),
+        (12, "ab " * 120),
+        (13, f"{passage} {edge}"),
+    ]
+    df = spark.createDataFrame([*rows, (None, passage), rows[1]], "doc_id bigint, text string")
+    got = sorted(tuple(r) for r in substring.passages(df).distinct().collect())
+    assert got == brute_passages(rows)
+    assert {r[0] for r in got} == {1, 2, 3, 4, 7, 8, 11, 12, 13}
+    assert not {1, 2, 3, 4} & {r["doc_id"] for r in substring.repeats(df.where("doc_id < 5")).collect()}
+    assert substring.passages(df.limit(0)).count() == 0
+
+
+def test_passages_of_documents_match_brute_force(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    got = sorted(tuple(r) for r in substring.passages(docs).collect())
+    assert got and got == brute_passages([(r["doc_id"], r["text"]) for r in docs.collect()])
