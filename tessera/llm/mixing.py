@@ -4,12 +4,15 @@
    words whose presence tells most between domains (likelihood ratio), over a
    bounded sample of ``labelled_rows`` labelled documents.
 2. Every document gets a posterior over domains and a token (word) count.
-3. Nonnegative rates x are fitted by projected gradient so that the expected
-   tokens of each domain, sum of tokens * rate * posterior, match the target
-   weights times the budget in least squares, each domain's error weighed by
-   its mass. In that metric the largest curvature is 1, so steps of 1 are safe.
-   Every step is one aggregation to as many numbers as there are domains; a
-   document's rate is a fold over the steps' gradients, so no state is stored.
+3. Nonnegative rates x are fitted so that the expected tokens of each domain,
+   sum of tokens * rate * posterior, match the target weights times the budget
+   in least squares, each domain's error weighed by its mass. Projected
+   gradient comes first (in that metric the largest curvature is 1, so steps
+   of 1 are safe); an open total, and whatever it leaves unmatched, is fitted
+   by proximal steps, each solved by Newton's method on its dual, which has one
+   number a domain. Every step is one aggregation to a few numbers; a
+   document's rate is a fold over the moves, so no state is stored. The fit
+   ends when the totals match or no rates match them better, else it raises.
 
 Null text is empty: no tokens, prior posterior. Rows with a null or unknown
 label teach nothing; with no labels at all every posterior is uniform.
@@ -21,8 +24,10 @@ replaces them. An empty table gives an empty result.
 from __future__ import annotations
 
 import math
+import warnings
 import zlib
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -123,48 +128,100 @@ def _slots(model: list[tuple]) -> dict[int, str]:
     return taken
 
 
-def fit_rates(mass: DataFrame, weights: list[float], *, budget: float | None = None, floor: float | Column = 0.0, rounds: int = 40, tolerance: float = 1e-6) -> tuple[list[list[float]], dict]:
-    """The moves of the projected-gradient steps, and a report.
+def fit_rates(mass: DataFrame, weights: list[float], *, budget: float | None = None, floor: float | Column = 0.0, rounds: int = 40, tolerance: float = 1e-6, passes: int = 400) -> tuple[list[list[float]], dict]:
+    """The moves of the rates from 1, and a report.
 
     ``mass`` has (tokens, posterior). ``budget`` is the expected tokens wanted
     in all, by default those there are. With a ``floor`` on the rates (a number,
     or a column of a document's posterior, see ``at_least_once``) and no budget the total is left open, and each domain's total is fitted to its
-    share of whatever the total becomes.
+    share of whatever the total becomes. The first ``rounds`` moves are plain
+    gradient steps unless the total is open. The report's ``miss`` is the
+    largest gap between totals got and wanted, as a share of all tokens: over
+    ``tolerance`` only if no rates come nearer. A fit that has not ended after
+    ``passes`` aggregations raises RuntimeError.
     """
     k = len(weights)
     if k < 1 or min(weights) < 0 or not sum(weights) > 0:
         raise ValueError("weights must be nonnegative, with a positive sum")
-    goal = [w / sum(weights) for w in weights]
+    goal = np.array(weights, float) / sum(weights)
     domain = [F.col("posterior")[i] for i in range(k)]
-
-    def totals(rate: Column) -> list[float]:
-        row = mass.agg(*[F.sum(F.col("tokens") * rate * p).alias(f"t{i}") for i, p in enumerate(domain)]).first()
-        return [float(row[i] or 0.0) for i in range(k)]
-
-    got = have = totals(F.lit(1.0))
-    all_tokens = sum(have)
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+
+    def measured(steps: list[list[float]]) -> tuple[np.ndarray, np.ndarray, float]:
+        """Totals, their curvature along the last move and half its squared length, token-weighted."""
+        at = mass.withColumn("__from", rate_of(steps[:-1], floor)).withColumn("__to", rate_of(steps[-1:], floor, F.col("__from")))
+        least = floor if isinstance(floor, Column) else F.lit(float(floor))
+        free = F.when(F.col("__to") > least, F.col("tokens")).otherwise(0.0)
+        sums = [F.col("tokens") * F.col("__to") * p for p in domain] + [free * domain[i] * domain[j] for i, j in pairs]
+        sums.append(F.col("tokens") * (F.col("__to") - F.col("__from")) * (F.col("__to") - F.col("__from")) / 2)
+        row = [float(v or 0.0) for v in at.agg(*[F.sum(c).alias(f"t{i}") for i, c in enumerate(sums)]).first()]
+        curve = np.zeros((k, k))
+        for (i, j), v in zip(pairs, row[k:-1], strict=True):
+            curve[i, j] = curve[j, i] = v
+        return np.array(row[:k]), curve, row[-1]
+
+    got, curve, moved = measured([])
+    have, all_tokens = got.tolist(), got.sum()
     if not all_tokens:
-        return [], {"have": have, "want": [0.0] * k, "got": have}
+        return [], {"have": have, "want": [0.0] * k, "got": have, "miss": 0.0}
     open_total = budget is None and (isinstance(floor, Column) or floor > 0)
-    share = [max(h / all_tokens, 1e-12) for h in have]
-    # with an open total the curvature is at most this trace
-    size = 1 / max(1.0, k - 2 + sum(g * g / s for g, s in zip(goal, share, strict=True))) if open_total else 1.0
+    share = np.maximum(got / all_tokens, 1e-12)
+    # the gaps are ``gap @ totals - aim``
+    gap = np.eye(k) - (goal[:, None] if open_total else 0.0)
+    aim = np.zeros(k) if open_total else goal * (budget or all_tokens) / all_tokens
     steps: list[list[float]] = []
+    used = 1
+
+    def report() -> dict:
+        want = goal * got.sum() if open_total else aim * all_tokens
+        return {"have": have, "want": want.tolist(), "got": got.tolist(), "miss": float(np.abs(miss).max())}
+
     while True:
-        want = [g * (sum(got) if open_total else budget or all_tokens) for g in goal]
-        miss = [(t - w) / all_tokens for t, w in zip(got, want, strict=True)]
-        if len(steps) == rounds or max(map(abs, miss)) <= tolerance:
-            return steps, {"have": have, "want": want, "got": got}
-        push = [m / s for m, s in zip(miss, share, strict=True)]
-        common = sum(g * p for g, p in zip(goal, push, strict=True)) if open_total else 0.0
-        steps.append([size * (p - common) for p in push])
-        got = totals(rate_of(steps, floor))
-
-
-def rate_of(steps: list[list[float]], floor: float | Column = 0.0) -> Column:
-    """A document's rate: from 1, each step moves it against its gradient and projects it to ``floor`` or more."""
+        miss = gap @ got / all_tokens - aim
+        if np.abs(miss).max() <= tolerance:
+            return steps, report()
+        if open_total or len(steps) >= rounds:
+            break
+        steps.append((miss / share).tolist())
+        got, curve, moved = measured(steps)
+        used += 1
+
+    while np.abs(miss).max() > tolerance:
+        # least squares and moved / PULL at once: max over y of the dual, which is concave; its gradient is ``slope``
+        y = np.zeros(k)
+        got, curve, moved = measured([*steps, [0.0] * k])
+        used += 1
+        value, slope = 0.0, miss
+        while np.abs(slope).max() > tolerance / 10:
+            way = np.linalg.solve(gap @ curve @ gap.T / all_tokens + np.diag(share / PULL), slope)
+            part = 1.0
+            while True:
+                if used >= passes:
+                    raise RuntimeError(f"rates not fitted after {used} passes: gaps are {miss.tolist()}")
+                tried = y + part * way
+                got, curve, moved = measured([*steps, (gap.T @ tried).tolist()])
+                used += 1
+                miss = gap @ got / all_tokens - aim
+                now = moved / all_tokens + tried @ miss - (share * tried * tried).sum() / (2 * PULL)
+                if now >= value + 1e-4 * part * (slope @ way) - 1e-12 * max(1.0, abs(value)):
+                    break
+                part /= 4
+            y, value, slope = tried, now, miss - share * tried / PULL
+        steps.append((gap.T @ y).tolist())
+        if math.sqrt(2 * moved / all_tokens) <= PULL * tolerance / 100:
+            break  # no gradient left: nothing comes nearer
+    return steps, report()
+
+
+#: How far a proximal step goes: its length counts 1/PULL as much as the gaps.
+PULL = 1e4
+
+
+def rate_of(steps: list[list[float]], floor: float | Column = 0.0, start: Column | None = None) -> Column:
+    """A document's rate: from ``start`` (1), each step moves it against its gradient and projects it to ``floor`` or more."""
+    start = F.lit(1.0) if start is None else start
     if not steps:
-        return F.lit(1.0)
+        return start
     k = len(steps[0])
     least = floor if isinstance(floor, Column) else F.lit(float(floor))
     history = F.split(F.lit(",".join(repr(x) for g in steps for x in g)), ",").cast("array<double>")
@@ -174,7 +231,7 @@ def rate_of(steps: list[list[float]], floor: float | Column = 0.0) -> Column:
         push = [F.get(history, i * k + j) * F.col("posterior")[j] for j in range(k)]
         return F.greatest(least, x - sum(push[1:], push[0]))
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(len(steps) - 1)), F.lit(1.0), step)
+    return F.aggregate(F.sequence(F.lit(0), F.lit(len(steps) - 1)), start, step)
 
 
 def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], *, id_col: str = "doc_id", text_col: str = "text", floor: float | Column = 0.0, budget: float | None = None, labelled_rows: int = 4000, vocabulary: int = 1000, keep: list[str] | None = None) -> DataFrame:
@@ -182,6 +239,7 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], *, id_c
 
     ``copies`` rounds the rate to a whole number, up with the probability of
     its fraction, drawn from a hash of id and text: its expectation is the rate.
+    Weights that no rates match give the nearest rates and a warning.
     """
     names = sorted(weights)
     priors, model = learn(docs, labelled, names, id_col=id_col, text_col=text_col, labelled_rows=labelled_rows, vocabulary=vocabulary)
@@ -190,7 +248,9 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], *, id_c
     # texts are scored once; the steps then read the two columns they need
     scored = posteriors(docs.withColumn("__draw", draw), names, priors, model, text_col=text_col)
     scored = stored(scored.select(*[F.col(f"`{c}`") for c in carried], "__draw", "tokens", "posterior"))
-    steps, _ = fit_rates(scored.select("tokens", "posterior"), [weights[n] for n in names], budget=budget, floor=floor)
+    steps, report = fit_rates(scored.select("tokens", "posterior"), [weights[n] for n in names], budget=budget, floor=floor)
+    if report["miss"] > 1e-6:
+        warnings.warn(f"no rates match the weights: tokens wanted {dict(zip(names, report['want'], strict=True))}, got {dict(zip(names, report['got'], strict=True))}", stacklevel=2)
     mixed = scored.withColumn("rate", rate_of(steps, floor))
     return mixed.withColumn("copies", F.floor(F.col("rate") + F.col("__draw")).cast("bigint")).drop("__draw")
 

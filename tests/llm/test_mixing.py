@@ -75,3 +75,44 @@ def test_labels_to_domains(spark):
     rows = [(1, 1, 0), (2, 0, 0), (3, 1, 1), (4, None, 0), (5, 1, None), (6, None, 1)]
     got = {r["doc_id"]: r["domain"] for r in mixing.domains_of(spark.createDataFrame(rows, "doc_id bigint, quality int, toxic int")).collect()}
     assert got == {1: "good", 2: "low", 3: "toxic", 6: "toxic"}
+
+
+def soft(natural, sharp, n=3000):
+    """(tokens, posterior) of documents whose domains overlap the more the smaller ``sharp`` is."""
+    rng = np.random.default_rng(4)
+    z = rng.normal(size=(n, len(natural)))
+    z[np.arange(n), rng.choice(len(natural), n, p=natural)] += sharp
+    p = np.exp(z)
+    return rng.integers(20, 2000, n).astype(float), p / p.sum(axis=1, keepdims=True)
+
+
+def mass_of(spark, tokens, p):
+    return spark.createDataFrame([(t, r) for t, r in zip(tokens.tolist(), p.tolist(), strict=True)], "tokens double, posterior array<double>")
+
+
+@pytest.mark.parametrize("sharp", [8, 2])
+def test_production_floor_meets_far_targets(spark, sharp):
+    tokens, p = soft([0.5, 0.45, 0.05], sharp)
+    mass, goal = mass_of(spark, tokens, p), np.array([0.88, 0.07, 0.05])
+    floor = mixing.at_least_once(list(WEIGHTS), ["good", "low"])
+    steps, report = mixing.fit_rates(mass, list(goal), floor=floor)
+    x = np.array([r[0] for r in mass.select(mixing.rate_of(steps, floor)).collect()])
+    got = (tokens * x) @ p
+    assert np.abs(got / got.sum() - goal).max() < 1e-5 and report["miss"] <= 1e-6
+    assert np.allclose(got, report["got"])
+    assert (x[p.argmax(axis=1) < 2] >= 1).all() and x.min() >= 0
+
+
+def test_unreachable_targets_get_the_nearest_rates_and_a_miss(spark):
+    tokens, p = soft([0.5, 0.45, 0.05], 1, 300)
+    p = 0.5 * p + 0.5 / 3  # no document is more than two thirds good
+    mass, goal, floor = mass_of(spark, tokens, p), np.array([0.88, 0.07, 0.05]), (p.argmax(axis=1) < 2) * 1.0
+    steps, report = mixing.fit_rates(mass, list(goal), floor=mixing.at_least_once(list(WEIGHTS), ["good", "low"]))
+    x = np.array([r[0] for r in mass.select(mixing.rate_of(steps, mixing.at_least_once(list(WEIGHTS), ["good", "low"]))).collect()])
+    share = tokens @ p / tokens.sum()
+    gap = (np.eye(3) - goal[:, None]) @ ((tokens * x) @ p) / tokens.sum()
+    pull = p @ ((np.eye(3) - goal[:, None]).T @ (gap / share))  # each document's gradient
+    assert report["miss"] > 0.01
+    assert (pull > -1e-6).all() and np.abs(pull[x > floor + 1e-9]).max(initial=0) < 1e-6
+    with pytest.raises(RuntimeError):
+        mixing.fit_rates(mass, list(goal), floor=1.0, passes=2)
