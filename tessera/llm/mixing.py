@@ -84,7 +84,7 @@ def posteriors(docs: DataFrame, domains: list[str], priors: list[float], model:
     ratios of those found are summed. More than ``evidence`` found words count
     as that many of their average, since neighbouring words are not independent.
     """
-    names = [c for c in docs.columns if c not in ("tokens", "posterior", "rate", "copies")]
+    names = [c for c in docs.columns if c not in ("tokens", "posterior", "rate", "copies", "miss")]
     words = words_of(F.col(f"`{text_col}`"))
     slots = _slots(model)
     kept = [r for r in model if slots.get(_slot_key(r[0])) == r[0]]
@@ -235,16 +235,17 @@ def rate_of(steps: list[list[float]], floor: float | Column = 0.0, start: Column
 
 
 def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], *, id_col: str = "doc_id", text_col: str = "text", floor: float | Column = 0.0, budget: float | None = None, labelled_rows: int = 4000, vocabulary: int = 1000, keep: list[str] | None = None) -> DataFrame:
-    """``docs`` (or its columns ``keep``) with tokens, posterior, rate and copies.
+    """``docs`` (or its columns ``keep``) with tokens, posterior, rate, copies and miss.
 
     ``copies`` rounds the rate to a whole number, up with the probability of
     its fraction, drawn from a hash of id and text: its expectation is the rate.
-    Weights that no rates match give the nearest rates and a warning.
+    Weights that no rates match give the nearest rates and a warning; ``miss``,
+    the same in all rows, is the report's (see ``fit_rates``).
     """
     names = sorted(weights)
     priors, model = learn(docs, labelled, names, id_col=id_col, text_col=text_col, labelled_rows=labelled_rows, vocabulary=vocabulary)
     draw = F.pmod(F.xxhash64(F.col(f"`{id_col}`"), F.length(F.col(f"`{text_col}`")), F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
-    carried = [c for c in (docs.columns if keep is None else keep) if c not in ("tokens", "posterior", "rate", "copies")]
+    carried = [c for c in (docs.columns if keep is None else keep) if c not in ("tokens", "posterior", "rate", "copies", "miss")]
     # texts are scored once; the steps then read the two columns they need
     scored = posteriors(docs.withColumn("__draw", draw), names, priors, model, text_col=text_col)
     scored = stored(scored.select(*[F.col(f"`{c}`") for c in carried], "__draw", "tokens", "posterior"))
@@ -252,7 +253,7 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], *, id_c
     if report["miss"] > 1e-6:
         warnings.warn(f"no rates match the weights: tokens wanted {dict(zip(names, report['want'], strict=True))}, got {dict(zip(names, report['got'], strict=True))}", stacklevel=2)
     mixed = scored.withColumn("rate", rate_of(steps, floor))
-    return mixed.withColumn("copies", F.floor(F.col("rate") + F.col("__draw")).cast("bigint")).drop("__draw")
+    return mixed.withColumn("copies", F.floor(F.col("rate") + F.col("__draw")).cast("bigint")).drop("__draw").withColumn("miss", F.lit(report["miss"]))
 
 
 def at_least_once(domains: list[str], which: list[str]) -> Column:

@@ -19,7 +19,7 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     labelled = mixing.domains_of(table(spark, sf_dir, "labels"))
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text"), labelled, WEIGHTS, keep=["doc_id"])
     shares = [F.col("posterior")[i].alias(f"p_{name}") for i, name in enumerate(sorted(WEIGHTS))]
-    return mixed.select("doc_id", "tokens", *shares, "rate", "copies")
+    return mixed.select("doc_id", "tokens", *shares, "rate", "copies", "miss")
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

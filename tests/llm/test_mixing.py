@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import mixing
+from tessera.llm import mixing, queries
 from tessera.llm.common import table
 
 WEIGHTS = {"good": 0.6, "low": 0.3, "toxic": 0.1}
@@ -116,3 +116,23 @@ def test_unreachable_targets_get_the_nearest_rates_and_a_miss(spark):
     assert (pull > -1e-6).all() and np.abs(pull[x > floor + 1e-9]).max(initial=0) < 1e-6
     with pytest.raises(RuntimeError):
         mixing.fit_rates(mass, list(goal), floor=1.0, passes=2)
+
+
+def test_overlapping_domains_meet_the_production_weights(spark):
+    tokens, p = soft([0.3, 0.68, 0.02], 1)
+    mass, goal = mass_of(spark, tokens, p), np.array([0.8, 0.15, 0.05])
+    steps, report = mixing.fit_rates(mass, list(goal))
+    x = np.array([r[0] for r in mass.select(mixing.rate_of(steps)).collect()])
+    assert np.abs((tokens * x) @ p / tokens.sum() - goal).max() < 2e-6 and report["miss"] <= 1e-6 and x.min() >= 0
+
+
+def test_rows_say_how_far_the_weights_are_missed(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = queries.op1_mix(spark, sf).collect()
+    assert {r["miss"] for r in rows} == {rows[0]["miss"]} and rows[0]["miss"] <= 1e-6
+    x = np.array([r["tokens"] * r["rate"] for r in rows])
+    got = np.array([x @ np.array([r[f"p_{d}"] for r in rows]) for d in sorted(queries.WEIGHTS)]) / sum(r["tokens"] for r in rows)
+    assert np.abs(got - [queries.WEIGHTS[d] for d in sorted(queries.WEIGHTS)]).max() < 2e-6
+    few = spark.createDataFrame([(1, "one"), (2, "two")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, "a"), (2, "b"), (3, "b")], "doc_id bigint, domain string")
+    assert all(r["miss"] > 0.05 for r in mixing.mix(few, labels, {"a": 1.0, "b": 1.0}).collect())
