@@ -9,8 +9,9 @@ share of their true neighbours.
 
 Index: every row goes to its most probable partition, and partitions are cut
 into blocks of bounded size. Search: a query visits its most probable
-partitions; a task holds one block and streams queries past it, keeps each
-query's best rows, and the best over all blocks are the answer. Scores are
+partitions (all of them if these hold fewer than ``k`` other rows); a task holds
+one block and streams queries past it, keeps each query's best rows, and the
+best over all blocks are the answer. Scores are
 cosines in double precision on the original vectors, computed pair by pair, so
 equal vectors score exactly alike.
 
@@ -185,9 +186,20 @@ def search(rows: DataFrame, queries: Column, id_col: str = "vec_id", vector_col:
     held = index.select("part", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"), F.lit(0).alias("role"), "id", "vector")
     # queries may have been left out of the index as repeated vectors: they are taken from all rows
     asked = good.where(queries(F.col("id")) if callable(queries) else queries).dropDuplicates(["id", "vector"]).select("id", "vector")
-    asks = _routed(asked, router, router.visits).select("part", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(1).alias("role"), "id", "vector").where("block >= 0")
-    dealt = held.unionByName(asks).repartition("part", "block").sortWithinPartitions("part", "block", "role", "id")
-    found = dealt.mapInArrow(_scan(k), "query_id bigint, vec_id bigint, score double")
+
+    def scanned(asked: DataFrame, visits: int) -> DataFrame:
+        asks = _routed(asked, router, visits).select("part", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(1).alias("role"), "id", "vector").where("block >= 0")
+        dealt = held.unionByName(asks).repartition("part", "block").sortWithinPartitions("part", "block", "role", "id")
+        return dealt.mapInArrow(_scan(k), "query_id bigint, vec_id bigint, score double")
+
+    found, parts = scanned(asked, router.visits), router.weights.shape[1]
+    if router.visits < parts:
+        # queries whose partitions hold too few rows search them all
+        found = cut(found)
+        served = found.groupBy(F.col("query_id").alias("id")).agg(F.countDistinct("vec_id").alias("c")).where(F.col("c") >= k)
+        short = cut(asked.join(served, "id", "left_anti"))
+        if not short.isEmpty():
+            found = found.unionByName(scanned(short, parts))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -51,6 +51,16 @@ def test_exact_on_one_partition_with_ties_and_bad_vectors(spark):
     assert [i for i, _ in got[100]] == [50, 51, 52, 53, 54]
 
 
+def test_sparse_partitions_are_widened(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(i, (np.eye(3)[0 if i < 3 else 1] + 0.1 * rng.normal(size=3)).tolist()) for i in range(60)]
+    # three parts: the first holds three rows, the last none; one is visited
+    monkeypatch.setattr(ann, "fit_router", lambda *_, **__: ann.Router(np.array([[1.0, 0, 0], [0, 1.0, 0], [0, 0, 0]]), np.array([0, 0, -9.0]), 1))
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = answers(ann.search(df, F.col("id") % 50 == 0))
+    assert got == brute(rows) and {len(a) for a in got.values()} == {5}
+
+
 def test_small_tables(spark):
     schema = "vec_id bigint, embedding array<float>"
     assert ann.search(spark.createDataFrame([], schema), F.col("id") % 50 == 0).count() == 0
