@@ -33,13 +33,13 @@ BANDS, ROWS = 30, 5
 
 
 def signed(docs: DataFrame, width: int, k: int) -> DataFrame:
-    """(id, n, print, sig) of rows (id, text): size, 128-bit digest and registers of each set."""
+    """(id, copy, n, print, sig) of rows (id, copy, text): size, 128-bit digest and registers of each set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                sets = [shingle_hashes(word_hashes(t.as_py()), width) for t in part.column(1)]
+                sets = [shingle_hashes(word_hashes(t.as_py()), width) for t in part.column(2)]
                 n = np.array([s.size for s in sets], np.int64)
                 full = np.flatnonzero(n)
                 sig = [b""] * len(sets)
@@ -48,13 +48,13 @@ def signed(docs: DataFrame, width: int, k: int) -> DataFrame:
                     for i, r in zip(full, registers(np.concatenate([sets[i] for i in full]), starts, k), strict=True):
                         sig[i] = r.tobytes()
                 prints = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(prints, pa.binary()), pa.array(sig, pa.binary())], ["id", "n", "print", "sig"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n), pa.array(prints, pa.binary()), pa.array(sig, pa.binary())], ["id", "copy", "n", "print", "sig"])
 
-    return docs.mapInArrow(run, "id bigint, n bigint, print binary, sig binary")
+    return docs.mapInArrow(run, "id bigint, copy bigint, n bigint, print binary, sig binary")
 
 
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(node, members) of rows (id, text): the sorted shingle hashes."""
+    """(node, members) of rows (node, text): the sorted shingle hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -66,25 +66,39 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "node bigint, members binary")
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 5, percent: int = 80) -> DataFrame:
-    """One row per input row: id, n_shingles, component_id, kept. Ids are integers."""
-    slim = bare(docs, id_col, text_col).select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text"))
+def _copy(text: F.Column) -> F.Column:
+    """Tells the texts of rows that repeat an id apart."""
+    return F.xxhash64(text)
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+    """(id, copy, n, head, kept) of each row."""
+    text = F.col(f"`{text_col}`")
+    slim = bare(docs, id_col, text_col).select(F.col(f"`{id_col}`").cast("bigint").alias("id"), _copy(text).alias("copy"), text.alias("text"))
     rows = stored(signed(slim, width, BANDS * ROWS))
     named = rows.where("id is not null and n > 0")
-    classes = stored(named.groupBy("print").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("sig").alias("sig")))
+    classes = named.groupBy("print").agg(F.min(F.struct("id", "copy")).alias("own"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    classes = stored(classes.select(F.monotonically_increasing_id().alias("node"), "print", "own.id", "own.copy", "n", "sig"))  # an id may be in several classes
 
     def sets_of(nodes: DataFrame) -> DataFrame:
-        return full_sets(slim.join(nodes, slim["id"] == nodes["node"], "left_semi"), width)
+        wanted = classes.select("node", "id", "copy").join(nodes, "node", "left_semi")
+        return full_sets(slim.join(wanted, ["id", "copy"]).select("node", "text"), width)
 
     found = near_components(classes.select("node", "n", "sig"), sets_of, percent=percent, bands=BANDS, rows=ROWS, slack=0.2)
-    heads = classes.select("print", "node").join(found, "node", "left").select("print", F.coalesce("component", "node").alias("head"))
-    placed = named.select("id", "n", "print").join(heads, "print").select("id", "n", "head")
-    alone = rows.where("id is null or n = 0").select("id", "n", F.col("id").alias("head"))
-    out = placed.unionByName(alone)
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("head").alias("component_id"), F.coalesce(F.col("id") == F.col("head"), F.lit(True)).alias("kept"))
+    first = found.join(classes.select("node", "id", "print"), "node").groupBy("component").agg(F.min(F.struct("id", "print")).alias("first"))
+    heads = classes.select("print", "node", "id").join(found.join(first, "component").select("node", "first"), "node", "left")
+    heads = heads.select("print", F.coalesce("first.id", "id").alias("head"), F.coalesce(F.col("first.print") == F.col("print"), F.lit(True)).alias("main"))
+    placed = named.select("id", "copy", "n", "print").join(heads, "print").select("id", "copy", "n", "head", ((F.col("id") == F.col("head")) & F.col("main")).alias("kept"))
+    return placed.unionByName(rows.where("id is null or n = 0").select("id", "copy", "n", F.col("id").alias("head"), F.lit(True).alias("kept")))
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 5, percent: int = 80) -> DataFrame:
+    """One row per input row: id, n_shingles, component_id, kept. Ids are integers."""
+    out = _grouped(docs, id_col, text_col, width, percent)
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("head").alias("component_id"), "kept")
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that stay, one document of each group, with all their columns."""
-    gone = near_groups(docs, id_col, text_col, width=width, percent=percent).where(~F.col("kept")).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, docs[f"`{id_col}`"].cast("bigint") == gone["__gone"], "left_anti")
+    gone = _grouped(docs, id_col, text_col, width, percent).where(~F.col("kept")).select(F.col("id").alias("__gone"), F.col("copy").alias("__copy")).distinct()
+    return docs.join(gone, (docs[f"`{id_col}`"].cast("bigint") == gone["__gone"]) & (_copy(docs[f"`{text_col}`"]) == gone["__copy"]), "left_anti")

@@ -73,6 +73,18 @@ def test_edge_cases(spark):
     assert sorted(str(r["doc_id"]) for r in near_dedup.drop_near(odd).collect()) == ["1", "1", "None"]
 
 
+def test_rows_that_share_an_id_are_grouped_each_by_its_text(spark):
+    rng = random.Random(8)
+    say = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    a, other = say(60), say(60)
+    near = a + " more"
+    rows = [(3, a), (5, near), (5, other), (7, other + " end"), (8, say(30)), (9, a + " x"), (9, a + " y")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_groups(df).collect())
+    assert got == sorted([(3, 56, 3, True), (5, 57, 3, False), (5, 56, 5, True), (7, 57, 5, False), (8, 26, 8, True), (9, 57, 3, False), (9, 57, 3, False)])
+    assert sorted(r["text"] for r in near_dedup.drop_near(df).collect()) == sorted([a, other, rows[4][1]])
+
+
 def test_word_and_shingle_hashes_tell_words_apart():
     text = "The the  cat\tsat\non\x0bthe MAT é É x" + " y" * 5000
     h = word_hashes(text)
