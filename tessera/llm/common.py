@@ -56,6 +56,27 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def joined(rows: DataFrame, facts: DataFrame, on: list[str], size: str = "size") -> DataFrame:
+    """``rows`` with the facts of their key, where a key may hold a large part of all rows.
+
+    ``facts`` has one row a key, cut from its lineage, with ``size``, the number
+    of rows of that key. Keys of more than a 1,024th of the rows number under
+    1,024: these keys are broadcast, and their rows are dealt to ``SALTS``
+    copies of their facts. Null keys match nothing.
+    """
+    total = facts.agg(F.sum(size).alias("s")).first()["s"] or 0
+    hot = F.col(size) * 1024 > total
+    many = F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    named = facts.where(hot).select(*on, F.lit(True).alias("__hot"))
+    salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")).otherwise(0)
+    dealt = rows.join(F.broadcast(named), on, "left").withColumn("__salt", salt).drop("__hot")  # 1,023 keys at most
+    return dealt.join(facts.withColumn("__salt", F.explode(many)), [*on, "__salt"]).drop("__salt")
+
+
+#: Tasks among which the rows of one hot key are dealt.
+SALTS = 64
+
+
 def bare(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns: extra columns, whatever they are called, cannot clash."""
     return df.select(*[F.col(f"`{n}`") for n in names])

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import mix64
+from tessera.llm.common import cut, joined, mix64
 
 #: Bits after the leading one that a register keeps.
 MANTISSA = 10
@@ -77,8 +77,8 @@ def banded(classes: DataFrame, bands: int, rows: int) -> DataFrame:
     return classes.select("node", "sig", band).select(F.xxhash64("band", cutout).alias("key"), "node")
 
 
-def likely(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose estimated similarity is at least ``least``."""
+def likely(pairs: DataFrame, classes: DataFrame, least: float, percent: int) -> DataFrame:
+    """The pairs (a, b), cut from their lineage, estimated at ``least`` or more whose sizes allow ``percent``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -86,18 +86,24 @@ def likely(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
                 continue
             x, y = (np.array([np.frombuffer(v.as_buffer(), np.uint16) for v in b.column(i)]) for i in (2, 4))
             equal = (x == y).sum(axis=1)
-            sure = estimate(equal, x.shape[1], b.column(3).to_numpy(), b.column(5).to_numpy()) >= least
-            mask = pa.array(sure)
+            n, m = b.column(3).to_numpy(), b.column(5).to_numpy()
+            sure = estimate(equal, x.shape[1], n, m) >= least
+            mask = pa.array(sure & (100 * np.minimum(n, m) >= percent * np.maximum(n, m)))
             yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], ["a", "b"])
 
     one = classes.select(F.col("node").alias("a"), F.col("sig").alias("sig_a"), F.col("n").alias("n_a"))
     two = classes.select(F.col("node").alias("b"), F.col("sig").alias("sig_b"), F.col("n").alias("n_b"))
-    both = pairs.join(one, "a").join(two, "b").select("a", "b", "sig_a", "n_a", "sig_b", "n_b")
+    both = joined(pairs.join(two, "b"), _sized(pairs, one), ["a"]).select("a", "b", "sig_a", "n_a", "sig_b", "n_b")
     return both.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def _sized(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+    """``facts`` of the nodes ``a`` with the number of their pairs: one node may be in very many."""
+    return cut(pairs.groupBy("a").agg(F.count("*").alias("size")).join(facts, "a"))
+
+
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs with 100 * |A & B| >= percent * |A | B| on full sets (node, members)."""
+    """The pairs, cut from their lineage, with 100 * |A & B| >= percent * |A | B| on full sets (node, members)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bare, shingle_hashes, stored, word_hashes
+from tessera.llm.common import bare, cut, joined, shingle_hashes, stored, word_hashes
 from tessera.llm.hyperminhash import registers
 from tessera.llm.near_links import near_components
 
@@ -77,18 +77,19 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, percent: i
     slim = bare(docs, id_col, text_col).select(F.col(f"`{id_col}`").cast("bigint").alias("id"), _copy(text).alias("copy"), text.alias("text"))
     rows = stored(signed(slim, width, BANDS * ROWS))
     named = rows.where("id is not null and n > 0")
-    classes = named.groupBy("print").agg(F.min(F.struct("id", "copy")).alias("own"), F.first("n").alias("n"), F.first("sig").alias("sig"))
-    classes = stored(classes.select(F.monotonically_increasing_id().alias("node"), "print", "own.id", "own.copy", "n", "sig"))  # an id may be in several classes
+    classes = named.groupBy("print").agg(F.min(F.struct("id", "copy")).alias("own"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.count("*").alias("size"))
+    classes = stored(classes.select(F.monotonically_increasing_id().alias("node"), "print", "own.id", "own.copy", "n", "sig", "size"))  # an id may be in several classes
 
     def sets_of(nodes: DataFrame) -> DataFrame:
         wanted = classes.select("node", "id", "copy").join(nodes, "node", "left_semi")
         return full_sets(slim.join(wanted, ["id", "copy"]).select("node", "text"), width)
 
     found = near_components(classes.select("node", "n", "sig"), sets_of, percent=percent, bands=BANDS, rows=ROWS, slack=0.2)
-    first = found.join(classes.select("node", "id", "print"), "node").groupBy("component").agg(F.min(F.struct("id", "print")).alias("first"))
-    heads = classes.select("print", "node", "id").join(found.join(first, "component").select("node", "first"), "node", "left")
-    heads = heads.select("print", F.coalesce("first.id", "id").alias("head"), F.coalesce(F.col("first.print") == F.col("print"), F.lit(True)).alias("main"))
-    placed = named.select("id", "copy", "n", "print").join(heads, "print").select("id", "copy", "n", "head", ((F.col("id") == F.col("head")) & F.col("main")).alias("kept"))
+    found = cut(found.join(classes.select("node", "id", "print"), "node"))
+    first = cut(found.groupBy("component").agg(F.min(F.struct("id", "print")).alias("first"), F.count("*").alias("size")))
+    heads = classes.select("print", "node", "id", "size").join(joined(found.select("node", "component"), first, ["component"]).select("node", "first"), "node", "left")
+    heads = heads.select("print", "size", F.coalesce("first.id", "id").alias("head"), F.coalesce(F.col("first.print") == F.col("print"), F.lit(True)).alias("main"))
+    placed = joined(named.select("id", "copy", "n", "print"), cut(heads), ["print"]).select("id", "copy", "n", "head", ((F.col("id") == F.col("head")) & F.col("main")).alias("kept"))
     return placed.unionByName(rows.where("id is null or n = 0").select("id", "copy", "n", F.col("id").alias("head"), F.lit(True).alias("kept")))
 
 

@@ -18,16 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, stored
+from tessera.llm.common import cut, joined, stored
 from tessera.llm.components import components
 from tessera.llm.hyperminhash import banded, likely, linked
 
 
-def sizes_allow(n: str, m: str, percent: int) -> F.Column:
-    """A set of n and one of m members can be ``percent`` similar."""
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) if percent else F.lit(True)
-
-
 def near_components(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], *, percent: int, bands: int, rows: int, slack: float) -> DataFrame:
     """(node, component) of the linked classes.
 
@@ -39,22 +34,21 @@ def near_components(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame
     # a set of fewer than percent/(100-percent) members is as similar as that only to its equal
     able = classes.where(F.col("n") * (100 - percent) >= percent - (100 - percent) + 1) if percent < 100 else classes.limit(0)
     keys = banded(able, bands, rows)
-    shared = keys.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("size")).where("size > 1")
-    members = cut(keys.join(shared, "key"))
+    shared = cut(keys.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("size")).where("size > 1"))
+    members = cut(joined(keys, shared, ["key"]))
 
-    met = members.where("node <> first").select("first", "node").distinct()
-    met = met.join(able.select("node", "n"), "node").join(able.select(F.col("node").alias("first"), F.col("n").alias("m")), "first").where(sizes_allow("n", "m", percent))
+    met = cut(members.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct())
     # texts are read again once, for the sets of all that share a bucket with another
     sets = stored(sets_of(members.select("node").distinct()))
-    stars = cut(likely(met.select(F.col("first").alias("a"), F.col("node").alias("b")), able, least))
+    stars = cut(likely(met, able, least, percent))
     links = cut(linked(stars, sets, percent))
     so_far = components(links)
 
     rest = members.where("size > 2 and node <> first").join(so_far, "node", "left")
     placed = cut(rest.select("key", "node", F.coalesce("component", "node").alias("component")))
     parts = placed.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key")
-    mixed = parts.agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.max("c").alias("most"), F.sum("c").alias("total")).where("most < total")
-    tagged = cut(placed.join(mixed, "key"))
+    mixed = cut(parts.agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.max("c").alias("most"), F.sum("c").alias("total")).where("most < total"))
+    tagged = cut(joined(placed, mixed, ["key"], "total"))
     blocks, parts = F.ceil((F.col("total") - F.col("most")) / 256).cast("int"), F.ceil(F.col("total") / 1024).cast("int")
     dealt = lambda seed, n: F.pmod(F.xxhash64("node", F.lit(seed)), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
