@@ -66,11 +66,6 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeats(table(spark, sf_dir, "documents"))
 
 
-def passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Passages of 50 words or more wherever they lie; the rows of ``op10_substring_dedup`` are the lines its SQL asks for."""
-    return substring.passages(table(spark, sf_dir, "documents"))
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix": op1_mix,
@@ -121,9 +116,9 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, n_chars, slot, CAST('0x' || substr(filled, 2 * slot + 1, 2) AS INTEGER) AS shard FROM d, t""",
         "op10_substring_dedup": r"""
             WITH RECURSIVE ls AS (SELECT doc_id, string_split(text, chr(10)) AS xs FROM documents),
-            x AS (SELECT doc_id, i, xs[i] AS line, CAST(list_sum(list_transform(xs[1:i - 1], lambda t: length(t) + 1)) AS BIGINT) AS before FROM (SELECT doc_id, xs, unnest(range(1, len(xs) + 1)) AS i FROM ls)),
+            x AS (SELECT doc_id, xs[i] AS line, CAST(list_sum(list_transform(xs[1:i - 1], lambda t: length(t) + 1)) AS BIGINT) AS before FROM (SELECT doc_id, xs, unnest(range(1, len(xs) + 1)) AS i FROM ls)),
             w AS MATERIALIZED (SELECT doc_id, coalesce(before, 0) AS start, length(line) AS length, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM x),
-            u AS MATERIALIZED (SELECT row_number() OVER (ORDER BY doc_id, start) AS u, * FROM w WHERE len(ws) >= 15),
+            u AS MATERIALIZED (SELECT row_number() OVER (ORDER BY doc_id, start) AS u, * FROM w WHERE len(ws) >= 50),
             s AS MATERIALIZED (SELECT DISTINCT u, unnest(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) AS g FROM u),
             n AS MATERIALIZED (SELECT u, count(*) AS n FROM s GROUP BY u),
             p AS (SELECT a.u AS a, b.u AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.u < b.u GROUP BY ALL),
@@ -131,7 +126,20 @@ def oracle_sql() -> dict[str, str]:
             e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
             r AS (SELECT DISTINCT a AS node, a AS seen FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.seen),
             c AS (SELECT node, min(seen) AS head FROM r GROUP BY node),
-            k AS (SELECT head, count(*) AS cluster_size, min(doc_id) AS lo, max(doc_id) AS hi FROM c JOIN u ON u.u = c.node GROUP BY head)
-            SELECT u.doc_id, u.start, u.length, f.doc_id AS cluster_doc, f.start AS cluster_start, cluster_size, u.u <> head AS removed
-            FROM c JOIN u ON u.u = c.node JOIN k USING (head) JOIN u f ON f.u = head WHERE lo < hi""",
+            k AS (SELECT head, min(doc_id) AS lo, max(doc_id) AS hi FROM c JOIN u ON u.u = c.node GROUP BY head),
+            -- every run of 50 words, with where its first and last word lie
+            t AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws,
+                         regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+') AS pieces FROM documents),
+            y AS (SELECT doc_id, i, ws[i] AS w, length(pieces[i]) AS upto FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM t)),
+            z AS MATERIALIZED (SELECT doc_id, i, CAST(sum(upto) OVER o AS BIGINT) AS stop, CAST(sum(upto) OVER o - length(w) AS BIGINT) AS start, string_agg(w, ' ') OVER f AS run, count(*) OVER f AS words
+                               FROM y WINDOW o AS (PARTITION BY doc_id ORDER BY i), f AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)),
+            g AS (SELECT doc_id, i, start, first_value(doc_id) OVER v AS cluster_doc, first_value(i) OVER v AS first_i, max(doc_id) OVER (PARTITION BY md5(run)) AS last_doc
+                  FROM z WHERE words = 50 WINDOW v AS (PARTITION BY md5(run) ORDER BY doc_id, i)),
+            h AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, cluster_doc, first_i - i ORDER BY i) AS island FROM g WHERE cluster_doc < last_doc),
+            m AS (SELECT doc_id, cluster_doc, first_i - i AS ahead, min(i) AS lo, max(i) + 49 AS hi FROM h GROUP BY doc_id, cluster_doc, first_i - i, island)
+            SELECT u.doc_id, 'line' AS kind, u.start, u.length, len(u.ws) AS words, f.doc_id AS cluster_doc, f.start AS cluster_start, u.u <> head AS removed
+            FROM c JOIN u ON u.u = c.node JOIN k USING (head) JOIN u f ON f.u = head WHERE lo < hi
+            UNION ALL
+            SELECT m.doc_id, 'run', a.start, b.stop - a.start, hi - lo + 1, cluster_doc, d.start, m.doc_id <> cluster_doc OR ahead <> 0
+            FROM m JOIN z a ON a.doc_id = m.doc_id AND a.i = lo JOIN z b ON b.doc_id = m.doc_id AND b.i = hi JOIN z d ON d.doc_id = cluster_doc AND d.i = lo + ahead""",
     }

@@ -1,28 +1,31 @@
-"""Substring dedup: repeated paragraphs, found by MinHash banding.
-
-A paragraph is a line of at least ``min_words`` words. Its set is its distinct
-runs of five words. Bands are tuned for recall: the fewest registers for which
-a pair at the threshold shares a bucket with the wanted probability. Colliding
-paragraphs are joined, confirmed by exact Jaccard on full sets, and clustered
-by connected components. Paragraphs with equal sets form one class first.
+"""Substring dedup: passages that repeat across documents, found by MinHash banding of paragraphs.
+
+Two kinds of paragraph, so that neither line ends nor edits hide a passage:
+
+* ``line``: a line of at least ``min_words`` words, as a set of five-word runs.
+  Bands are tuned for recall: the fewest registers for which a pair at the
+  threshold shares a bucket with the wanted probability. Colliding lines are
+  joined, confirmed by exact Jaccard on full sets, and clustered by connected
+  components. Lines with equal sets form one class first.
+* ``run``: every run of ``min_words`` words, wherever it lies: inside a longer
+  line, across line ends, over many short lines. Its signature is one register,
+  the smallest hash of its runs of half as many words, so equal paragraphs
+  always share a bucket. Neighbouring runs with one register form a block, which
+  is all that is shuffled. Where all blocks of a bucket are equal they are
+  confirmed as wholes, elsewhere run by run, both on 128 bits. Equal runs are a
+  cluster, and what goes on side by side in one cluster document joins to
+  maximal spans.
 
 In each cluster the first occurrence (smallest document id, then position)
 stays and all others are marked for removal. Clusters within one document are
-no repeats across documents and are left alone.
+no repeats across documents and are left alone. A run that a removed line alone
+held may go with it: a line that is near enough stays.
 
 Null or empty text has no paragraphs. Rows with a null id are left alone.
 Offsets count code points. Rows that repeat an id and text count as one
 document; rows that repeat an id with other text keep their own paragraphs.
 Extra columns are ignored by ``repeats`` and kept by ``remove_repeats``.
 An empty table gives an empty result.
-
-``passages`` does not look at lines: it finds every run of ``min_words`` words
-that two or more documents share, wherever it lies. Of each window of that
-many words the run of half its words with the smallest hash is its anchor, so
-equal windows have equal anchors, and neighbouring windows with one anchor
-form a block. Where all blocks of an anchor are equal they are compared as
-wholes, elsewhere window by window, both on 128 bits. What goes on side by side
-joins to maximal spans.
 """
 
 from __future__ import annotations
@@ -35,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import _geometric, bare, cut, mix64, MIX_A, POLY, shingle_hashes, stored, word_hashes
+from tessera.llm.common import MIX_A, POLY, _geometric, bare, cut, joined, mix64, shingle_hashes, stored, word_hashes
 from tessera.llm.hyperminhash import registers
 from tessera.llm.near_links import near_components
 
@@ -48,8 +51,8 @@ def tune(percent: int, recall: float = 0.9998, rows: int = 2) -> tuple[int, int]
     return int(np.ceil(np.log(1 - recall) / np.log(1 - hit))), rows
 
 
-def split_paragraphs(text: str | None, min_words: int) -> list[tuple[int, int, np.ndarray]]:
-    """(start, length, sorted distinct shingle hashes) of each long enough line; start and length in code points."""
+def split_lines(text: str | None, min_words: int) -> list[tuple[int, int, int, np.ndarray]]:
+    """(start, length, words, sorted distinct shingle hashes) of each long enough line; start and length in code points."""
     if not text:
         return []
     raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
@@ -67,29 +70,29 @@ def split_paragraphs(text: str | None, min_words: int) -> list[tuple[int, int, n
         for i in range(WIDTH):
             runs = mix64(runs * POLY + words[i : words.size - WIDTH + 1 + i])
     points = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
-    return [(int(points[begins[i]]), int(points[ends[i]] - points[begins[i]]), np.unique(runs[lo[i] : hi[i] - WIDTH + 1])) for i in long]
+    return [(int(points[begins[i]]), int(points[ends[i]] - points[begins[i]]), int(hi[i] - lo[i]), np.unique(runs[lo[i] : hi[i] - WIDTH + 1])) for i in long]
 
 
 def _print(members: np.ndarray) -> bytes:
     return hashlib.blake2b(members.tobytes(), digest_size=16).digest()
 
 
-def paragraphs(docs: DataFrame, min_words: int, k: int) -> DataFrame:
-    """(id, start, length, n, print, sig) of rows (id, text)."""
-    names = ["id", "start", "length", "n", "print", "sig"]
+def signed_lines(docs: DataFrame, min_words: int, k: int) -> DataFrame:
+    """(id, start, length, words, n, print, sig) of rows (id, text)."""
+    names = ["id", "start", "length", "words", "n", "print", "sig"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 128):
-                found = [(doc, *p) for doc, t in zip(b.column(0).slice(at, 128).to_pylist(), b.column(1).slice(at, 128), strict=True) for p in split_paragraphs(t.as_py(), min_words)]
+                found = [(doc, *p) for doc, t in zip(b.column(0).slice(at, 128).to_pylist(), b.column(1).slice(at, 128), strict=True) for p in split_lines(t.as_py(), min_words)]
                 if not found:
                     continue
-                n = np.array([p[3].size for p in found], np.int64)
-                sig = registers(np.concatenate([p[3] for p in found]), np.concatenate(([0], np.cumsum(n)[:-1])), k)
-                cols = [pa.array([p[i] for p in found], pa.int64()) for i in range(3)]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(n), pa.array([_print(p[3]) for p in found], pa.binary()), pa.array([s.tobytes() for s in sig], pa.binary())], names)
+                n = np.array([p[4].size for p in found], np.int64)
+                sig = registers(np.concatenate([p[4] for p in found]), np.concatenate(([0], np.cumsum(n)[:-1])), k)
+                cols = [pa.array([p[i] for p in found], pa.int64()) for i in range(4)]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(n), pa.array([_print(p[4]) for p in found], pa.binary()), pa.array([s.tobytes() for s in sig], pa.binary())], names)
 
-    return docs.mapInArrow(run, "id bigint, start bigint, length bigint, n bigint, print binary, sig binary")
+    return docs.mapInArrow(run, "id bigint, start bigint, length bigint, words bigint, n bigint, print binary, sig binary")
 
 
 def _sets(docs: DataFrame, units: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -106,29 +109,39 @@ def _sets(docs: DataFrame, units: DataFrame, nodes: DataFrame) -> DataFrame:
     return docs.join(where, "id").select("node", cutout, "print").mapInArrow(run, "node bigint, members binary").dropDuplicates(["node"])
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = 80, min_words: int = 15, recall: float = 0.9998) -> DataFrame:
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = 80, min_words: int = 50, recall: float = 0.9998) -> DataFrame:
     """A row for each occurrence of a paragraph that repeats across documents.
 
-    id, start, length, cluster_doc and cluster_start (the occurrence that
-    stays), cluster_size (occurrences), removed. Documents without such a
-    paragraph have no row. Ids are integers.
+    id, kind ("line", or "run": a maximal span of runs), start, length, words,
+    cluster_doc and cluster_start (the occurrence that stays), removed.
+    Documents without such a paragraph have no row; a line that repeats as it
+    is has a row of either kind. A span ends where the first occurrence of its
+    words does not go on, so spans of a document may overlap. Ids are integers.
     """
+    if min_words < 2:
+        raise ValueError("a paragraph has two words or more")
+    slim = bare(docs, id_col, text_col).select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text")).where("id is not null and text is not null")
+    cols = [F.col("id").alias(id_col), "kind", "start", "length", "words", "cluster_doc", "cluster_start", "removed"]
+    return near_lines(slim, percent, min_words, recall).unionByName(equal_runs(slim, min_words)).select(*cols)
+
+
+def near_lines(docs: DataFrame, percent: int, min_words: int, recall: float) -> DataFrame:
+    """The rows of kind ``line`` of rows (id, text)."""
     bands, rows = tune(percent, recall)
-    slim = bare(docs, id_col, text_col).select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text")).where("id is not null")
-    units = stored(paragraphs(slim, min_words, bands * rows).withColumn("uid", F.monotonically_increasing_id()))
-    classes = stored(units.groupBy("print").agg(F.min("uid").alias("node"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.count("*").alias("c")))
-    found = near_components(classes.select("node", "n", "sig"), lambda nodes: _sets(slim, units, nodes), percent=percent, bands=bands, rows=rows, slack=0.6)
-    # classes that repeat exactly or are linked; single paragraphs end here
-    heads = classes.select("print", "node", "c").join(found, "node", "left").where("c > 1 or component is not null").select("print", F.coalesce("component", "node").alias("head"))
-    hits = cut(units.select("id", "start", "length", "print").join(heads, "print").select("head", "id", "start", "length").distinct())
-    clusters = hits.groupBy("head").agg(F.min(F.struct("id", "start")).alias("first"), F.max("id").alias("last"), F.count("*").alias("cluster_size")).where(F.col("first.id") < F.col("last"))
-    out = hits.join(clusters, "head")
+    units = stored(signed_lines(docs, min_words, bands * rows).withColumn("uid", F.monotonically_increasing_id()))
+    classes = stored(units.groupBy("print").agg(F.min("uid").alias("node"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.count("*").alias("size")))
+    found = near_components(classes.select("node", "n", "sig"), lambda nodes: _sets(docs, units, nodes), percent=percent, bands=bands, rows=rows, slack=0.6)
+    # classes that repeat exactly or are linked; single lines end here
+    heads = classes.select("print", "node", "size").join(found, "node", "left").where("size > 1 or component is not null").select("print", "size", F.coalesce("component", "node").alias("head"))
+    hits = cut(joined(units.select("id", "start", "length", "words", "print"), cut(heads), ["print"]).select("head", "id", "start", "length", "words").distinct())
+    clusters = hits.groupBy("head").agg(F.min(F.struct("id", "start")).alias("first"), F.max("id").alias("last"), F.count("*").alias("size"))
+    out = joined(hits, cut(clusters.where(F.col("first.id") < F.col("last"))), ["head"])
     stays = (F.col("id") == F.col("first.id")) & (F.col("start") == F.col("first.start"))
-    return out.select(F.col("id").alias(id_col), "start", "length", F.col("first.id").alias("cluster_doc"), F.col("first.start").alias("cluster_start"), "cluster_size", (~stays).alias("removed"))
+    return out.select("id", F.lit("line").alias("kind"), "start", "length", "words", F.col("first.id").alias("cluster_doc"), F.col("first.start").alias("cluster_start"), (~stays).alias("removed"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kwargs) -> DataFrame:
-    """``docs`` with the removed paragraphs (and their line ends) cut out of the text."""
+    """``docs`` with the removed spans cut out of the text; a line that goes as a whole takes its line end along."""
     gone = repeats(docs, id_col, text_col, **kwargs).where("removed").groupBy(F.col(id_col).alias("__id")).agg(F.array_sort(F.collect_list(F.struct("start", "length"))).alias("__gone"))
     at = docs.columns.index(text_col)
     names = docs.columns
@@ -137,13 +150,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for b in batches:
             texts = []
             for t, gone in zip(b.column(at).to_pylist(), b.column(len(names)).to_pylist(), strict=True):
-                if gone and t is not None:
-                    parts, upto = [], 0
-                    for g in gone:
-                        parts.append(t[upto : g["start"]])
-                        upto = g["start"] + g["length"] + 1
-                    t = "".join([*parts, t[upto:]])
-                texts.append(t)
+                texts.append(without(t, [(g["start"], g["start"] + g["length"]) for g in gone]) if gone and t is not None else t)
             cols = list(b.columns[: len(names)])
             cols[at] = pa.array(texts, cols[at].type)
             yield pa.RecordBatch.from_arrays(cols, names)
@@ -152,6 +159,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return docs.join(gone, docs[f"`{id_col}`"].cast("bigint") == gone["__id"], "left").drop("__id").mapInArrow(run, schema)
 
 
+def without(text: str, spans: list[tuple[int, int]]) -> str:
+    """A text less its spans (start, stop), sorted by start; they may overlap."""
+    parts, upto = [], 0
+    for i, (start, stop) in enumerate(spans):
+        parts.append(text[upto:start])
+        upto = max(upto, stop)
+        open_end = i + 1 == len(spans) or spans[i + 1][0] > upto
+        if open_end and (start == 0 or text[start - 1] == "\n") and text[upto : upto + 1] == "\n":
+            upto += 1
+    return "".join([*parts, text[upto:]])
+
+
 def _run_hashes(words: np.ndarray, width: int, base: np.uint64 = POLY) -> np.ndarray:
     """A hash of each run of ``width`` words, by differences of one cumulated polynomial."""
     n = words.size - width + 1
@@ -196,18 +215,9 @@ def _word_ends(text: str) -> tuple[np.ndarray, np.ndarray]:
     return points[::2], points[1::2]
 
 
-def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_words: int = 50) -> DataFrame:
-    """A row for each maximal span whose runs of ``min_words`` words all occur in two documents or more.
-
-    id, start, length, words, cluster_doc and cluster_start (where the span
-    first occurs: the smallest id, then position), removed. The first
-    occurrence stays. A span ends where the first occurrence of its words does
-    not go on, so spans of a document may overlap.
-    """
-    if min_words < 2:
-        raise ValueError("a passage has two words or more")
-    slim = bare(docs, id_col, text_col).select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text")).where("id is not null and text is not null")
-    slim = slim.select("id", F.xxhash64("text").alias("copy"), "text")  # rows of one id are told apart by their texts
+def equal_runs(docs: DataFrame, min_words: int) -> DataFrame:
+    """The rows of kind ``run`` of rows (id, text)."""
+    slim = docs.select("id", F.xxhash64("text").alias("copy"), "text")  # rows of one id are told apart by their texts
 
     names = ["id", "copy", "anchor", "pos", "n", "start", "stop", "one", "two"]
     schema = "id bigint, copy bigint, anchor bigint, pos int, n int, start int, stop int, one bigint, two bigint"
@@ -221,11 +231,13 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
                 if len(times):
                     yield pa.RecordBatch.from_arrays([part.column(0).take(times), part.column(1).take(times), *[pa.array(np.concatenate(c)) for c in zip(*filter(None, found), strict=True)]], names)
 
-    group = Window.partitionBy("anchor")
-    first = F.min(F.struct("id", "copy", "pos", "start")).over(group)
-    alike = (F.min("one").over(group) == F.max("one").over(group)) & (F.min("two").over(group) == F.max("two").over(group))
-    blocks = slim.mapInArrow(mark, schema).withColumn("first", first).withColumn("last", F.max("id").over(group)).withColumn("alike", alike)
-    blocks = stored(blocks.where(F.col("first.id") < F.col("last")).select("id", "copy", "anchor", "pos", "n", "start", "stop", "first", "alike"))
+    every = stored(slim.mapInArrow(mark, schema))
+    buckets = cut(every.groupBy("anchor").agg(F.count("*").alias("size"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("anchor", "size"))
+    shared = stored(joined(every, buckets, ["anchor"]).drop("size"))
+    here = F.struct("id", "copy", "pos", "start")
+    same = F.min("one").eqNullSafe(F.max("one")) & F.min("two").eqNullSafe(F.max("two"))
+    facts = cut(shared.groupBy("anchor").agg(F.count("*").alias("size"), F.min(here).alias("first"), same.alias("alike")))
+    blocks = stored(joined(shared, facts, ["anchor"]).select("id", "copy", "anchor", "pos", "n", "start", "stop", "first", "alike"))
     marks = blocks.where("not alike").groupBy("id", "copy").agg(F.collect_set("anchor").alias("anchors"))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,8 +254,9 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names)
 
     single = slim.join(marks, ["id", "copy"]).select("id", "copy", "text", "anchors").mapInArrow(windows, schema)
-    group = Window.partitionBy("one", "two")
-    single = single.drop("anchor").withColumn("first", F.min(F.struct("id", "copy", "pos", "start")).over(group)).withColumn("last", F.max("id").over(group)).where(F.col("first.id") < F.col("last"))
+    single = stored(single.drop("anchor", "n"))
+    facts = single.groupBy("one", "two").agg(F.count("*").alias("size"), F.min(here).alias("first"), F.max("id").alias("hi"))
+    single = joined(single, cut(facts.where(F.col("first.id") < F.col("hi"))), ["one", "two"]).withColumn("n", F.lit(1))
     cols = ["id", "copy", "pos", "n", "start", "stop", "first"]
     hits = blocks.where("alike").select(*cols).unionByName(single.select(*cols))
     hits = hits.select(*cols[:-1], F.col("first.id").alias("cluster_doc"), F.col("first.copy").alias("cluster_copy"), (F.col("first.pos") - F.col("pos")).alias("ahead"), F.col("first.start").alias("cluster_start"))
@@ -253,4 +266,5 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     parted = hits.withColumn("fresh", F.coalesce(F.col("pos") > upto, F.lit(True)).cast("int")).withColumn("span", F.sum("fresh").over(along.rowsBetween(Window.unboundedPreceding, 0)))
     spans = parted.groupBy(*same, "span").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("cluster_start").alias("cluster_start"), (F.max(F.col("pos") + F.col("n")) - F.min("pos") + min_words - 1).alias("words"))
     stays = (F.col("id") == F.col("cluster_doc")) & (F.col("copy") == F.col("cluster_copy")) & (F.col("ahead") == 0)
-    return spans.select(F.col("id").alias(id_col), F.col("start").cast("bigint").alias("start"), (F.col("stop") - F.col("start")).cast("bigint").alias("length"), F.col("words").cast("bigint").alias("words"), "cluster_doc", F.col("cluster_start").cast("bigint").alias("cluster_start"), (~stays).alias("removed"))
+    long = [F.col(c).cast("bigint").alias(c) for c in ("start", "words", "cluster_doc", "cluster_start")]
+    return spans.select("id", F.lit("run").alias("kind"), *long, (F.col("stop") - F.col("start")).cast("bigint").alias("length"), (~stays).alias("removed"))

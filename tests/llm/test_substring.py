@@ -2,20 +2,21 @@ import random
 import re
 from itertools import combinations
 
+import pytest
 from test_near_dedup import shingles, words
 
 from tessera.llm import substring
 from tessera.llm.common import table
 
 
-def brute(rows, min_words=15, percent=80):
-    """(doc, start, length, cluster_doc, cluster_start, size, removed) of every repeated paragraph."""
+def brute_lines(rows, min_words, percent=80):
+    """(doc, kind, start, length, words, cluster_doc, cluster_start, removed) of every repeated line."""
     paras = []
     for doc, text in rows:
         at = 0
         for line in (text or "").split("\n"):
-            if len(line.split()) >= min_words:
-                paras.append((doc, at, len(line), shingles(line, 5)))
+            if len(words(line)) >= max(min_words, 5):
+                paras.append((doc, at, len(line), len(words(line)), shingles(line, 5)))
             at += len(line) + 1
     head = list(range(len(paras)))
 
@@ -25,7 +26,7 @@ def brute(rows, min_words=15, percent=80):
         return x
 
     for i, j in combinations(range(len(paras)), 2):
-        a, b = paras[i][3], paras[j][3]
+        a, b = paras[i][4], paras[j][4]
         if 100 * len(a & b) >= percent * len(a | b):
             head[find(j)] = find(i)
     groups = {}
@@ -35,15 +36,50 @@ def brute(rows, min_words=15, percent=80):
     for g in groups.values():
         first = min(g)[:2]
         if len({p[0] for p in g}) > 1:
-            out += [(p[0], p[1], p[2], *first, len(g), (p[0], p[1]) != first) for p in g]
-    return sorted(out)
+            out += [(p[0], "line", p[1], p[2], p[3], *first, p[:2] != first) for p in g]
+    return out
 
 
-def test_documents_match_brute_force(spark, sf_dir):
+def brute_runs(rows, n):
+    """The same of every maximal span of shared runs of n words."""
+    seen = {}
+    at = {d: [(m.start(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", t or "")] for d, t in rows}
+    for d, t in rows:
+        w = words(t)
+        for i in range(len(w) - n + 1):
+            seen.setdefault(tuple(w[i : i + n]), []).append((d, i))
+    spans = {}
+    for places in seen.values():
+        if len({d for d, _ in places}) > 1:
+            first = min(places)
+            for d, i in places:
+                spans.setdefault((d, first[0], first[1] - i), set()).add(i)
+    out = []
+    for (d, head, ahead), found in spans.items():
+        for i in found:
+            if i - 1 not in found:
+                j = i
+                while j + 1 in found:
+                    j += 1
+                start, stop = at[d][i][0], at[d][j + n - 1][1]
+                out.append((d, "run", start, stop - start, j - i + n, head, at[head][i + ahead][0], (d, 0) != (head, ahead)))
+    return out
+
+
+def brute(rows, min_words=50):
+    return sorted(brute_lines(rows, min_words) + brute_runs(rows, min_words))
+
+
+def rows_of(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+@pytest.mark.parametrize("min_words", [50, 15])
+def test_documents_match_brute_force(spark, sf_dir, min_words):
     docs = table(spark, sf_dir, "documents")
-    got = sorted(tuple(r) for r in substring.repeats(docs).collect())
-    assert got == brute([(r["doc_id"], r["text"]) for r in docs.collect()])
-    assert got
+    got = rows_of(substring.repeats(docs, min_words=min_words))
+    assert got == brute([(r["doc_id"], r["text"]) for r in docs.collect()], min_words)
+    assert {r[1] for r in got} == {"line", "run"}
 
 
 def test_planted_passages_and_edge_cases(spark):
@@ -55,7 +91,7 @@ def test_planted_passages_and_edge_cases(spark):
     rows = [
         (1, f"{say(30)}\n{passage}\n{say(40)}"),
         (2, f"{passage.replace(chr(97), chr(65))}\n"),
-        (3, f"x\n\n{' '.join(words)}"),
+        (3, f"x\n\n{' '.join(words)}"),  # edited
         (4, f"{own}\n{own}"),  # repeats in one document only
         (5, None),
         (6, ""),
@@ -66,46 +102,29 @@ def test_planted_passages_and_edge_cases(spark):
         (None, passage),
     ]
     df = spark.createDataFrame([(d, t, 1, "x") for d, t in rows], "doc_id bigint, text string, start int, sig string")
-    got = sorted(tuple(r) for r in substring.repeats(df).collect())
-    assert got == brute([r for r in rows if r[0] is not None])
-    assert {r[0] for r in got} == {1, 2, 3, 10}
-    cleaned = {r["doc_id"]: r["text"] for r in substring.remove_repeats(df).collect()}
-    assert cleaned[1] == rows[0][1] and cleaned[10] == "🙂\n" and cleaned[2] == "" and cleaned[4] == rows[3][1] and cleaned[None] == passage and cleaned[5] is None
+    for min_words in (50, 15):
+        got = rows_of(substring.repeats(df, min_words=min_words))
+        assert got == brute([r for r in rows if r[0] is not None], min_words)
+        assert {r[0] for r in got} == {1, 2, 3, 10}
+        cleaned = {r["doc_id"]: r["text"] for r in substring.remove_repeats(df, min_words=min_words).collect()}
+        assert cleaned[1] == rows[0][1] and cleaned[10] == "🙂\n" and cleaned[2] == "" and cleaned[4] == rows[3][1] and cleaned[None] == passage and cleaned[5] is None
+        assert cleaned[3] == "x\n\n"
     assert substring.repeats(df.limit(0)).count() == 0
 
 
+def test_overlapping_spans_are_cut_once():
+    assert substring.without("ab\ncd\nef", [(3, 5)]) == "ab\nef"
+    assert substring.without("ab\ncd\nef", [(0, 2), (1, 4)]) == "d\nef"
+    assert substring.without("ab cd ef", [(0, 5), (1, 3), (6, 8)]) == " "
+    assert substring.without("ab", [(0, 2)]) == ""
+
+
 def test_bands_reach_the_recall_asked_for():
     for percent in (70, 80, 90):
         bands, rows = substring.tune(percent)
         assert 1 - (1 - (percent / 100) ** rows) ** bands >= 0.9998
 
 
-def brute_passages(rows, n=50):
-    """(doc, start, length, words, first doc, first start, removed) of every maximal span of shared windows."""
-    seen = {}
-    at = {d: [(m.start(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", t or "")] for d, t in rows}
-    for d, t in rows:
-        w = words(t)
-        for i in range(len(w) - n + 1):
-            seen.setdefault(tuple(w[i : i + n]), []).append((d, i))
-    spans = {}
-    for places in seen.values():
-        if len({d for d, _ in places}) > 1:
-            first = min(places)
-            for d, i in places:
-                spans.setdefault((d, first[0], first[1] - i), []).append(i)
-    out = []
-    for (d, head, ahead), found in spans.items():
-        for i in found:
-            if i - 1 not in found:
-                j = i
-                while j + 1 in found:
-                    j += 1
-                start, stop = at[d][i][0], at[d][j + n - 1][1]
-                out.append((d, start, stop - start, j - i + n, head, at[head][i + ahead][0], (d, 0) != (head, ahead)))
-    return sorted(out)
-
-
 def test_passages_within_across_and_in_short_lines(spark):
     rng = random.Random(7)
     say = lambda n: " ".join(rng.choice("aäß🙂") + str(rng.randrange(10**6)) for _ in range(n))
@@ -127,14 +146,15 @@ def test_passages_within_across_and_in_short_lines(spark):
         (13, f"{passage} {edge}"),
     ]
     df = spark.createDataFrame([*rows, (None, passage), rows[1]], "doc_id bigint, text string")
-    got = sorted(tuple(r) for r in substring.passages(df).distinct().collect())
-    assert got == brute_passages(rows)
+    got = rows_of(substring.repeats(df).distinct())
+    assert got == brute(rows)
     assert {r[0] for r in got} == {1, 2, 3, 4, 7, 8, 11, 12, 13}
-    assert not {1, 2, 3, 4} & {r["doc_id"] for r in substring.repeats(df.where("doc_id < 5")).collect()}
-    assert substring.passages(df.limit(0)).count() == 0
 
 
-def test_passages_of_documents_match_brute_force(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    got = sorted(tuple(r) for r in substring.passages(docs).collect())
-    assert got and got == brute_passages([(r["doc_id"], r["text"]) for r in docs.collect()])
+def test_a_passage_that_a_third_of_all_documents_hold(spark):
+    rng = random.Random(4)
+    say = lambda n: " ".join("w" + str(rng.randrange(10**6)) for _ in range(n))
+    passage = say(70)
+    rows = [(i, f"{say(20)} {passage} {say(20)}" if i % 3 == 0 else say(90)) for i in range(300)]
+    got = rows_of(substring.repeats(spark.createDataFrame(rows, "doc_id bigint, text string")))
+    assert got == brute(rows) and len(got) == 100
