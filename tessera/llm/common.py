@@ -7,10 +7,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Odd 64-bit multipliers (fixed values of the word and mixing hashes).
 POLY = np.uint64(0x9E3779B97F4A7C15)
@@ -53,7 +57,40 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tessera-{uuid.uuid4().hex}.parquet"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the tables of ``stored`` frames that nothing will read any more."""
+    for df in frames:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def heavy_keys(keys: DataFrame, k: int = 1024) -> list:
+    """At most ``k`` values of the one column of ``keys``, among them all that more than 1/k of the rows have.
+
+    Each task keeps a Misra-Gries summary of ``k`` counters; summaries are
+    added up and cut to ``k`` once more. What reaches the driver is ``k`` rows,
+    whatever the input. Nulls don't count.
+    """
+    kind = keys.schema[0].dataType
+
+    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        for b in batches:
+            for x in b.column(0).drop_null().value_counts():
+                seen[x["values"].as_py()] += x["counts"].as_py()
+            if len(seen) > k:
+                floor = sorted(seen.values(), reverse=True)[k]
+                seen = Counter({d: c - floor for d, c in seen.items() if c > floor})
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), to_arrow_type(kind)), pa.array(list(seen.values()), pa.int64())], ["key", "c"])
+
+    merged = keys.mapInArrow(summarise, f"key {kind.simpleString()}, c bigint").groupBy("key").agg(F.sum("c").alias("c"))
+    return [r["key"] for r in merged.where("c > 1").orderBy(F.desc("c"), "key").limit(k).collect()]
 
 
 def joined(rows: DataFrame, facts: DataFrame, on: list[str], size: str = "size") -> DataFrame:
@@ -92,43 +129,58 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-_powers = np.ones(1, np.uint64)
-_inverse = np.ones(1, np.uint64)
+_powers: dict[int, np.ndarray] = {}
 
 
-def _geometric(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    with np.errstate(over="ignore"):
-        return np.multiply.accumulate(out)
+def powers(base: int, n: int) -> np.ndarray:
+    """The first ``n`` powers of an odd base, modulo 2**64; kept for the next call."""
+    have = _powers.get(base)
+    if have is None or have.size < n:
+        have = np.full(1 << max(10, int(n).bit_length()), base, np.uint64)
+        have[0] = 1
+        with np.errstate(over="ignore"):
+            have = _powers[base] = np.multiply.accumulate(have)
+    return have[:n]
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    """A 64-bit hash of each word of a text, in order.
+def inverse(base: int) -> int:
+    """What an odd base must be multiplied with to give 1 modulo 2**64."""
+    return pow(base, -1, 1 << 64)
+
+
+def located_words(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words of a text, where they begin and end in bytes, and the bytes.
 
     Words are maximal runs outside ``[\\x20\\x09-\\x0D]``; A-Z count as a-z. The
     hash is a polynomial in the word's bytes, so the whole text takes a few
     array operations and no Python loop over words.
     """
-    global _powers, _inverse
     raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
-    if not raw.size:
-        return np.empty(0, np.uint64)
     gap = (raw == 32) | ((raw >= 9) & (raw <= 13))
     edge = np.flatnonzero(np.diff(np.concatenate(([True], gap, [True])).astype(np.int8)))
     starts, ends = edge[::2], edge[1::2]
     if not starts.size:
-        return np.empty(0, np.uint64)
+        return np.empty(0, np.uint64), starts, ends, raw
     low = raw + ((raw >= 65) & (raw <= 90)).astype(np.uint8) * np.uint8(32)
-    if _powers.size <= raw.size:
-        n = 1 << int(raw.size).bit_length()
-        _powers = _geometric(int(POLY), n)
-        _inverse = _geometric(pow(int(POLY), -1, 1 << 64), n)
     with np.errstate(over="ignore"):
-        value = (low.astype(np.uint64) + np.uint64(1)) * _powers[: raw.size]
+        value = (low.astype(np.uint64) + np.uint64(1)) * powers(int(POLY), raw.size)
         value[gap] = 0
         total = np.add.reduceat(value, starts)
-        return mix64(total * _inverse[starts] + (ends - starts).astype(np.uint64))
+        return mix64(total * powers(inverse(int(POLY)), raw.size)[starts] + (ends - starts).astype(np.uint64)), starts, ends, raw
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """A 64-bit hash of each word of a text, in order (see ``located_words``)."""
+    return located_words(text)[0]
+
+
+def run_hashes(words: np.ndarray, width: int, base: int = int(POLY)) -> np.ndarray:
+    """A hash of each run of ``width`` words, by differences of one cumulated polynomial."""
+    n = words.size - width + 1
+    with np.errstate(over="ignore"):
+        sums = np.cumsum(words * powers(base, words.size), dtype=np.uint64)
+        sums[width:] -= sums[: n - 1].copy()
+        return mix64(sums[width - 1 :] * powers(inverse(base), n))
 
 
 def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:

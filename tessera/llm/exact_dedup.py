@@ -16,7 +16,6 @@ number, and exactly one of them stays. An empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bare, cut
+from tessera.llm.common import bare, cut, heavy_keys
 
 #: Characters that do not count when texts are compared: [\x20\x09-\x0D].
 BLANK = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -44,28 +43,6 @@ def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return slim.mapInArrow(run, f"id {kind}, digest string, n bigint")
 
 
-def heavy_digests(digests: DataFrame, k: int = 1024) -> list[str]:
-    """At most ``k`` digests, among them all with more than 1/k of the rows.
-
-    Each task keeps a Misra-Gries summary of ``k`` counters; summaries are
-    added up and cut to ``k`` once more. What reaches the driver is ``k`` rows,
-    whatever the input.
-    """
-
-    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[str] = Counter()
-        for b in batches:
-            for x in b.column(0).value_counts():
-                seen[x["values"].as_py()] += x["counts"].as_py()
-            if len(seen) > k:
-                floor = sorted(seen.values(), reverse=True)[k]
-                seen = Counter({d: c - floor for d, c in seen.items() if c > floor})
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["digest", "c"])
-
-    merged = digests.select("digest").mapInArrow(summarise, "digest string, c bigint").groupBy("digest").agg(F.sum("c").alias("c"))
-    return [r["digest"] for r in merged.where("c > 1").orderBy(F.desc("c"), "digest").limit(k).collect()]
-
-
 def resolve_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 1024) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256."""
     return settle(cut(digest_rows(docs, id_col, text_col)), k).withColumnRenamed("id", id_col)
@@ -73,7 +50,7 @@ def resolve_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def settle(digests: DataFrame, k: int = 1024) -> DataFrame:
     """The decision for rows (id, digest, n): id, keep_id, group_size, kept, text_sha256."""
-    heavy = heavy_digests(digests, k)
+    heavy = heavy_keys(digests.select("digest"), k)
     frequent = F.col("digest").isin(heavy) if heavy else F.lit(False)
     best = F.min_by(F.struct("id", "n"), F.struct((-F.col("n")).alias("n"), F.col("id").isNull().alias("z"), F.col("id").alias("i")))
 

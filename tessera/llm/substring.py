@@ -9,12 +9,12 @@ Two kinds of paragraph, so that neither line ends nor edits hide a passage:
   components. Lines with equal sets form one class first.
 * ``run``: every run of ``min_words`` words, wherever it lies: inside a longer
   line, across line ends, over many short lines. Its signature is one register,
-  the smallest hash of its runs of half as many words, so equal paragraphs
+  the smallest hash of its runs of 0.3 times as many words, so equal paragraphs
   always share a bucket. Neighbouring runs with one register form a block, which
   is all that is shuffled. Where all blocks of a bucket are equal they are
-  confirmed as wholes, elsewhere run by run, both on 128 bits. Equal runs are a
-  cluster, and what goes on side by side in one cluster document joins to
-  maximal spans.
+  confirmed as wholes; elsewhere one block of each kind is read again and
+  confirmed run by run; both on 128 bits. Equal runs are a cluster, and what
+  goes on side by side in one cluster document joins to maximal spans.
 
 In each cluster the first occurrence (smallest document id, then position)
 stays and all others are marked for removal. Clusters within one document are
@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import MIX_A, POLY, _geometric, bare, cut, joined, mix64, shingle_hashes, stored, word_hashes
+from tessera.llm.common import MIX_A, POLY, bare, cut, discard, heavy_keys, inverse, joined, located_words, mix64, powers, run_hashes, shingle_hashes, stored, word_hashes
 from tessera.llm.hyperminhash import registers
 from tessera.llm.near_links import near_components
 
@@ -55,22 +55,15 @@ def split_lines(text: str | None, min_words: int) -> list[tuple[int, int, int, n
     """(start, length, words, sorted distinct shingle hashes) of each long enough line; start and length in code points."""
     if not text:
         return []
-    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    words, first, _, raw = located_words(text)
     ends = np.append(np.flatnonzero(raw == 10), raw.size)
     begins = np.append(0, ends[:-1] + 1)
-    gap = (raw == 32) | ((raw >= 9) & (raw <= 13))
-    first = np.flatnonzero(~gap & np.concatenate(([True], gap[:-1])))  # where words begin
     lo, hi = np.searchsorted(first, begins), np.searchsorted(first, ends)
     long = np.flatnonzero(hi - lo >= max(min_words, WIDTH))
     if not long.size:
         return []
-    words = word_hashes(text)
-    runs = np.full(words.size - WIDTH + 1, WIDTH, np.uint64)
-    with np.errstate(over="ignore"):
-        for i in range(WIDTH):
-            runs = mix64(runs * POLY + words[i : words.size - WIDTH + 1 + i])
     points = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
-    return [(int(points[begins[i]]), int(points[ends[i]] - points[begins[i]]), int(hi[i] - lo[i]), np.unique(runs[lo[i] : hi[i] - WIDTH + 1])) for i in long]
+    return [(int(points[begins[i]]), int(points[ends[i]] - points[begins[i]]), int(hi[i] - lo[i]), shingle_hashes(words[lo[i] : hi[i]], WIDTH)) for i in long]
 
 
 def _print(members: np.ndarray) -> bytes:
@@ -171,56 +164,78 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*parts, text[upto:]])
 
 
-def _run_hashes(words: np.ndarray, width: int, base: np.uint64 = POLY) -> np.ndarray:
-    """A hash of each run of ``width`` words, by differences of one cumulated polynomial."""
-    n = words.size - width + 1
-    up, down = _geometric(int(base), words.size), _geometric(pow(int(base), -1, 1 << 64), n)
-    with np.errstate(over="ignore"):
-        sums = np.cumsum(words * up, dtype=np.uint64)
-        return mix64((sums[width - 1 :] - np.concatenate((np.zeros(1, np.uint64), sums[: n - 1]))) * down)
+def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
+    """The least of each ``width`` neighbours, in time that does not depend on the width."""
+    n = x.size - width + 1
+    rows = np.concatenate((x, np.full(-x.size % width, np.iinfo(x.dtype).max, x.dtype))).reshape(-1, width)
+    ahead = np.minimum.accumulate(rows, axis=1).ravel()
+    behind = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
+
+
+def _points(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Places in bytes as places in code points."""
+    more = (raw & 0xC0) == 0x80
+    return at - np.concatenate(([0], np.cumsum(more)))[at] if more.any() else at
 
 
-def _anchors(words: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and position of each window's anchor; windows are runs of ``min_words`` words."""
-    half = _run_hashes(words, min_words // 2)
-    at = np.lib.stride_tricks.sliding_window_view(half, min_words - min_words // 2 + 1).argmin(axis=1)
-    at += np.arange(at.size)
-    return half[at], at
+def _paired(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Two numbers below 2**31 as one of 64 bits."""
+    return (high.astype(np.int64) << 32) | low.astype(np.int64)
 
 
 def _blocks(text: str, min_words: int) -> list[np.ndarray]:
-    """anchor, pos, n (windows), start, stop and two prints of each block of a text."""
-    words = word_hashes(text)
+    """anchor, place (first window, windows), span (start, stop) and form of each block of a text.
+
+    A window is a run of ``min_words`` words, its anchor the least hash of its
+    runs of ``gram`` words; a block is a maximal run of windows with one anchor.
+    Blocks of one form have the same words in the same distances.
+    """
+    words, starts, ends, raw = located_words(text)
     if words.size < min_words:
         return []
-    anchor, at = _anchors(words, min_words)
-    lo = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    n = np.diff(np.append(lo, at.size))
-    begins, ends = _word_ends(text)
-    prints = []
-    for base in (POLY, MIX_A):
-        up, down = _geometric(int(base), words.size), _geometric(pow(int(base), -1, 1 << 64), words.size)
-        with np.errstate(over="ignore"):
-            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * up, dtype=np.uint64)))
-            prints.append(mix64(mix64((sums[lo + n + min_words - 1] - sums[lo]) * down[lo]) + n.astype(np.uint64)).view(np.int64))
-    return [anchor[lo].view(np.int64), *[x.astype(np.int32) for x in (lo, n, begins[lo], ends[lo + n + min_words - 2])], *prints]
-
-
-def _word_ends(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Where the words of a text begin and end, in code points."""
-    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-    gap = (raw == 32) | ((raw >= 9) & (raw <= 13))
-    edge = np.flatnonzero(np.diff(np.concatenate(([True], gap, [True])).astype(np.int8)))
-    points = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))[edge]
-    return points[::2], points[1::2]
+    gram = max(2, 3 * min_words // 10)
+    anchor = sliding_least(run_hashes(words, gram), min_words - gram + 1)
+    lo = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
+    n = np.diff(np.append(lo, anchor.size))
+    last = lo + n + min_words - 2
+    starts, ends = _points(raw, starts), _points(raw, ends)
+    gaps = np.zeros(words.size, np.uint64)
+    gaps[1:] = starts[1:] - ends[:-1]
+    up, down = powers(int(MIX_A), words.size), powers(inverse(int(MIX_A)), words.size)
+    with np.errstate(over="ignore"):
+        said, apart = (np.concatenate((np.zeros(1, np.uint64), np.cumsum(x * up, dtype=np.uint64))) for x in (words, gaps))
+        form = mix64((said[last + 1] - said[lo]) * down[lo] + mix64((apart[last + 1] - apart[lo + 1]) * down[lo])) + n.astype(np.uint64)
+        form = mix64(form)
+    return [anchor[lo].view(np.int64), _paired(lo, n), _paired(starts[lo], ends[last]), form.view(np.int64)]
+
+
+def _high(pair: str) -> F.Column:
+    return F.shiftright(pair, 32).cast("int")
+
+
+def _low(pair: str) -> F.Column:
+    return F.col(pair).bitwiseAND(0x7FFFFFFF).cast("int")
+
+
+def with_facts(rows: DataFrame, key: str, **facts: F.Column) -> DataFrame:
+    """``rows``, cut from their lineage, with aggregates over the rows of their key.
+
+    Frequent keys (more than a 1,024th of the rows, so 1,024 at most) are
+    aggregated map-side and their facts broadcast; all others take one shuffle.
+    """
+    heavy = heavy_keys(rows.select(key))
+    often = F.coalesce(F.col(key).isin(heavy), F.lit(False)) if heavy else F.lit(False)
+    group = Window.partitionBy(key)
+    rest = rows.where(~often).withColumns({name: c.over(group) for name, c in facts.items()})
+    few = rows.where(often)
+    return rest.unionByName(few.join(F.broadcast(few.groupBy(key).agg(*[c.alias(name) for name, c in facts.items()])), key))
 
 
 def equal_runs(docs: DataFrame, min_words: int) -> DataFrame:
     """The rows of kind ``run`` of rows (id, text)."""
     slim = docs.select("id", F.xxhash64("text").alias("copy"), "text")  # rows of one id are told apart by their texts
-
-    names = ["id", "copy", "anchor", "pos", "n", "start", "stop", "one", "two"]
-    schema = "id bigint, copy bigint, anchor bigint, pos int, n int, start int, stop int, one bigint, two bigint"
+    schema = "id bigint, copy bigint, anchor bigint, place bigint, span bigint, form bigint"
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -229,42 +244,63 @@ def equal_runs(docs: DataFrame, min_words: int) -> DataFrame:
                 found = [_blocks(t.as_py(), min_words) for t in part.column(2)]
                 times = pa.array(np.repeat(np.arange(len(found)), [f[0].size if f else 0 for f in found]))
                 if len(times):
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(times), part.column(1).take(times), *[pa.array(np.concatenate(c)) for c in zip(*filter(None, found), strict=True)]], names)
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(times), part.column(1).take(times), *[pa.array(np.concatenate(c)) for c in zip(*filter(None, found), strict=True)]], ["id", "copy", "anchor", "place", "span", "form"])
 
     every = stored(slim.mapInArrow(mark, schema))
-    buckets = cut(every.groupBy("anchor").agg(F.count("*").alias("size"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("anchor", "size"))
-    shared = stored(joined(every, buckets, ["anchor"]).drop("size"))
-    here = F.struct("id", "copy", "pos", "start")
-    same = F.min("one").eqNullSafe(F.max("one")) & F.min("two").eqNullSafe(F.max("two"))
-    facts = cut(shared.groupBy("anchor").agg(F.count("*").alias("size"), F.min(here).alias("first"), same.alias("alike")))
-    blocks = stored(joined(shared, facts, ["anchor"]).select("id", "copy", "anchor", "pos", "n", "start", "stop", "first", "alike"))
-    marks = blocks.where("not alike").groupBy("id", "copy").agg(F.collect_set("anchor").alias("anchors"))
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    where = F.struct("id", "copy", _high("place").alias("pos"), _high("span").alias("start"))
+    shared = with_facts(every, "anchor", first=F.min(where), last=F.max("id"), least=F.min("form"), most=F.max("form"))
+    shared = stored(shared.where(F.col("first.id") < F.col("last")).withColumn("alike", F.col("least") == F.col("most")).drop("last", "least", "most"))
+    discard(every)
+    spot = [_high("place").alias("pos"), _low("place").alias("n"), _high("span").alias("start"), _low("span").alias("stop")]
+    whole = shared.where("alike").select("id", "copy", *spot, "first")
+
+    # of the blocks of one form in a mixed bucket, one is read again
+    mixed = shared.where("not alike").drop("first", "alike")
+    forms = mixed.groupBy("anchor", "form").agg(F.min(F.struct("id", "copy", "place", "span")).alias("r"), F.max("id").alias("hi"), F.count("*").alias("size"))
+    forms = stored(forms.select(F.monotonically_increasing_id().alias("node"), "anchor", "form", "r.*", "hi", "size"))
+    wanted = forms.groupBy("id", "copy").agg(F.collect_list(F.struct("node", "place", "hi")).alias("blocks"))
+
+    def reread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(b.num_rows):
-                text, wanted = b.column(2)[i].as_py(), b.column(3)[i].values.to_numpy(zero_copy_only=False)
-                words = word_hashes(text)
-                anchor = _anchors(words, min_words)[0].view(np.int64)
-                at = np.flatnonzero(np.isin(anchor, wanted))
-                begins, ends = _word_ends(text)
-                cols = [np.full(at.size, b.column(j)[i].as_py(), np.int64) for j in range(2)] + [anchor[at]]
-                cols += [x.astype(np.int32) for x in (at, np.ones_like(at), begins[at], ends[at + min_words - 1])]
-                cols += [_run_hashes(words, min_words, base)[at].view(np.int64) for base in (POLY, MIX_A)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names)
-
-    single = slim.join(marks, ["id", "copy"]).select("id", "copy", "text", "anchors").mapInArrow(windows, schema)
-    single = stored(single.drop("anchor", "n"))
-    facts = single.groupBy("one", "two").agg(F.count("*").alias("size"), F.min(here).alias("first"), F.max("id").alias("hi"))
-    single = joined(single, cut(facts.where(F.col("first.id") < F.col("hi"))), ["one", "two"]).withColumn("n", F.lit(1))
-    cols = ["id", "copy", "pos", "n", "start", "stop", "first"]
-    hits = blocks.where("alike").select(*cols).unionByName(single.select(*cols))
-    hits = hits.select(*cols[:-1], F.col("first.id").alias("cluster_doc"), F.col("first.copy").alias("cluster_copy"), (F.col("first.pos") - F.col("pos")).alias("ahead"), F.col("first.start").alias("cluster_start"))
+            for doc, copy, text, blocks in zip(*(b.column(i) for i in range(4)), strict=True):
+                words, starts, ends, raw = located_words(text.as_py())
+                starts, ends = _points(raw, starts), _points(raw, ends)
+                prints = np.stack([run_hashes(words, min_words, int(base)) for base in (POLY, MIX_A)], axis=1)
+                node, place, hi = (blocks.values.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+                lo, n = place >> 32, place & 0x7FFFFFFF
+                off = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                pos = np.repeat(lo, n) + off
+                cols = [np.repeat(node, n), off.astype(np.int32), np.full(pos.size, doc.as_py()), np.full(pos.size, copy.as_py()), pos.astype(np.int32), _paired(starts[pos], ends[pos + min_words - 1]), np.repeat(hi, n)]
+                for at in range(0, pos.size, 100_000):
+                    own = prints[pos[at : at + 100_000]]
+                    own = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(own), [None, pa.py_buffer(own.tobytes())]).cast(pa.binary())
+                    yield pa.RecordBatch.from_arrays([*[pa.array(c[at : at + 100_000]) for c in cols], own], ["node", "off", "id", "copy", "pos", "span", "hi", "print"])
+
+    windows = slim.join(wanted, ["id", "copy"]).dropDuplicates(["id", "copy"]).select("id", "copy", "text", "blocks")
+    windows = stored(windows.mapInArrow(reread, "node bigint, off int, id bigint, copy bigint, pos int, span bigint, hi bigint, print binary"))
+    where = F.struct("id", "copy", "pos", _high("span").alias("start"))
+    runs = with_facts(windows, "print", first=F.min(where), last=F.max("hi")).where(F.col("first.id") < F.col("last"))
+    line = ["node", "cluster_doc", "cluster_copy", "ahead"]
+    runs = runs.select("node", "off", _high("span").alias("start"), _low("span").alias("stop"), F.col("first.id").alias("cluster_doc"), F.col("first.copy").alias("cluster_copy"), (F.col("first.pos") - F.col("off")).alias("ahead"), F.col("first.start").alias("cluster_start"))
+    runs = runs.withColumn("island", F.col("off") - F.row_number().over(Window.partitionBy(*line).orderBy("off")))
+    parts = runs.groupBy(*line, "island").agg(F.min("off").alias("off"), F.count("*").cast("int").alias("n"), F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("cluster_start").alias("cluster_start"))
+    parts = parts.groupBy("node").agg(F.collect_list(F.struct("off", "n", "start", "stop", "cluster_doc", "cluster_copy", "ahead", "cluster_start")).alias("parts"))  # as many as a block has windows at most
+    found = stored(forms.join(parts, "node").select("anchor", "form", F.col("span").alias("from"), "size", "parts"))
+    back = joined(mixed, found, ["anchor", "form"]).select("id", "copy", *spot, F.explode("parts").alias("p"), _high("from").alias("base"))
+    shift = F.col("start") - F.col("base")
+    pieces = back.select("id", "copy", (F.col("pos") + F.col("p.off")).alias("pos"), F.col("p.n").alias("n"), (F.col("p.start") + shift).alias("start"), (F.col("p.stop") + shift).alias("stop"), "p.cluster_doc", "p.cluster_copy", (F.col("p.ahead") - F.col("pos")).alias("ahead"), "p.cluster_start")
+    hits = whole.select("id", "copy", "pos", "n", "start", "stop", F.col("first.id").alias("cluster_doc"), F.col("first.copy").alias("cluster_copy"), (F.col("first.pos") - F.col("pos")).alias("ahead"), F.col("first.start").alias("cluster_start")).unionByName(pieces)
+    discard(windows)
+    return _spans(hits, min_words)
+
+
+def _spans(hits: DataFrame, min_words: int) -> DataFrame:
+    """Maximal spans of blocks that go on side by side in their cluster document."""
     same = ["id", "copy", "cluster_doc", "cluster_copy", "ahead"]
     along = Window.partitionBy(*same).orderBy("pos")
     upto = F.max(F.col("pos") + F.col("n")).over(along.rowsBetween(Window.unboundedPreceding, -1))
-    parted = hits.withColumn("fresh", F.coalesce(F.col("pos") > upto, F.lit(True)).cast("int")).withColumn("span", F.sum("fresh").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = parted.groupBy(*same, "span").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("cluster_start").alias("cluster_start"), (F.max(F.col("pos") + F.col("n")) - F.min("pos") + min_words - 1).alias("words"))
+    parted = hits.withColumn("fresh", F.coalesce(F.col("pos") > upto, F.lit(True)).cast("int")).withColumn("part", F.sum("fresh").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = parted.groupBy(*same, "part").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("cluster_start").alias("cluster_start"), (F.max(F.col("pos") + F.col("n")) - F.min("pos") + min_words - 1).alias("words"))
     stays = (F.col("id") == F.col("cluster_doc")) & (F.col("copy") == F.col("cluster_copy")) & (F.col("ahead") == 0)
     long = [F.col(c).cast("bigint").alias(c) for c in ("start", "words", "cluster_doc", "cluster_start")]
     return spans.select("id", F.lit("run").alias("kind"), *long, (F.col("stop") - F.col("start")).cast("bigint").alias("length"), (~stays).alias("removed"))
