@@ -187,17 +187,21 @@ def _paired(high: np.ndarray, low: np.ndarray) -> np.ndarray:
 def _blocks(text: str, min_words: int) -> list[np.ndarray]:
     """anchor, place (first window, windows), span (start, stop) and form of each block of a text.
 
-    A window is a run of ``min_words`` words, its anchor the least hash of its
-    runs of ``gram`` words; a block is a maximal run of windows with one anchor.
-    Blocks of one form have the same words in the same distances.
+    A window is a run of ``min_words`` words, its anchor the run of ``gram`` words
+    in it with the least hash; a block is a maximal run of windows with one
+    anchor, so no two of its windows are equal. Blocks of one form have the
+    same words in the same distances.
     """
     words, starts, ends, raw = located_words(text)
     if words.size < min_words:
         return []
     gram = max(2, 3 * min_words // 10)
-    anchor = sliding_least(run_hashes(words, gram), min_words - gram + 1)
-    lo = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
-    n = np.diff(np.append(lo, anchor.size))
+    runs = run_hashes(words, gram)
+    bits = np.uint64(int(runs.size).bit_length())  # the lowest bits give way to the place: of equal hashes the first counts
+    least = sliding_least((runs >> bits << bits) | np.arange(runs.size, dtype=np.uint64), min_words - gram + 1)
+    at = (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    lo = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+    n = np.diff(np.append(lo, at.size))
     last = lo + n + min_words - 2
     starts, ends = _points(raw, starts), _points(raw, ends)
     gaps = np.zeros(words.size, np.uint64)
@@ -207,7 +211,7 @@ def _blocks(text: str, min_words: int) -> list[np.ndarray]:
         said, apart = (np.concatenate((np.zeros(1, np.uint64), np.cumsum(x * up, dtype=np.uint64))) for x in (words, gaps))
         form = mix64((said[last + 1] - said[lo]) * down[lo] + mix64((apart[last + 1] - apart[lo + 1]) * down[lo])) + n.astype(np.uint64)
         form = mix64(form)
-    return [anchor[lo].view(np.int64), _paired(lo, n), _paired(starts[lo], ends[last]), form.view(np.int64)]
+    return [runs[at[lo]].view(np.int64), _paired(lo, n), _paired(starts[lo], ends[last]), form.view(np.int64)]
 
 
 def _high(pair: str) -> F.Column:

@@ -144,11 +144,14 @@ def test_passages_within_across_and_in_short_lines(spark):
         (11, "ab " * 200),
         (12, "ab " * 120),
         (13, f"{passage} {edge}"),
+        (14, ("x y z " + say(20) + " ") * 6),  # repeats within itself, and in another document
+        (15, "and"),
     ]
+    rows[14] = (15, f"{say(7)} {rows[13][1]}")
     df = spark.createDataFrame([*rows, (None, passage), rows[1]], "doc_id bigint, text string")
     got = rows_of(substring.repeats(df).distinct())
     assert got == brute(rows)
-    assert {r[0] for r in got} == {1, 2, 3, 4, 7, 8, 11, 12, 13}
+    assert {r[0] for r in got} == {1, 2, 3, 4, 7, 8, 11, 12, 13, 14, 15}
 
 
 def test_a_passage_that_a_third_of_all_documents_hold(spark):
