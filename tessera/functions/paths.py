@@ -7,8 +7,11 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The grammar of value paths, and the selectors with a star.
 GRAMMAR = r"^[A-Za-z_][A-Za-z0-9_]*((\.[A-Za-z_][A-Za-z0-9_]*)|(\[[0-9]+\]))*$"
 
+STARRED = ("decision.alternatives[*]", "why[*]", "consequences.positive[*]", "consequences.negative[*]", "body[*]")
+
 # The chunkable paths in schema order, and their labels.
 CHUNKABLE = ("context.problem", "context.triggering_change", "decision.chosen", "decision.alternatives", "why", "rationale_summary", "consequences.positive", "consequences.negative", "body")
 LABELS = {

@@ -1,11 +1,15 @@
 """Approximate nearest neighbours with learned partitions.
 
-Fit, on a bounded sample: a nearest-neighbour graph of the sample is cut into
-balanced partitions (recursive halving, then moves of nodes to the partition
-where most of their neighbours are, within a size limit), and a small softmax
-classifier learns to name a vector's partition. The number of partitions a
-query visits is the smallest for which held-out sample queries find the wanted
-share of their true neighbours.
+Fit, on bounded samples, at two levels of equally many parts: a
+nearest-neighbour graph of the sample is cut into balanced partitions
+(recursive halving, then moves of nodes to the partition where most of their
+neighbours are, within a size limit), and a small softmax classifier learns to
+name a vector's partition. The upper level is fitted on a sample of all
+vectors, the lower ones each on a sample of one upper partition, by the
+executors. Partitions grow in number with the square root of the rows (``per_level``),
+so work grows with rows to the power of one and a half. The number of
+partitions a query visits is the smallest for which held-out sample queries
+surely find the wanted share of their true neighbours.
 
 Index: every row goes to its most probable partition, and partitions are cut
 into blocks of bounded size. Search: a query visits its most probable
@@ -13,7 +17,9 @@ partitions (all of them if these hold fewer than ``k`` other rows); a task holds
 one block and streams queries past it, keeps each query's best rows, and the
 best over all blocks are the answer. Scores are
 cosines in double precision on the original vectors, computed pair by pair, so
-equal vectors score exactly alike.
+equal vectors score exactly alike. Vectors are first scaled by a power of two,
+which changes no score but those whose squares would leave the range of
+doubles.
 
 Rows with equal vectors can only differ in id, so of each vector only the
 ``k`` + 1 rows with the smallest ids can be among a query's ``k`` nearest; the
@@ -29,7 +35,7 @@ empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -39,12 +45,19 @@ from pyspark.sql import functions as F
 from tessera.llm.common import bare, cut
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Rows times a power of two each, so that the largest component lies between a half and one."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, keepdims=True))[1])
+
+
 def unit(vectors: np.ndarray) -> np.ndarray:
+    vectors = scaled(vectors)
     return vectors / np.sqrt((vectors * vectors).sum(axis=1))[:, None]
 
 
 def cosine(one: np.ndarray, many: np.ndarray) -> np.ndarray:
     """Cosines of paired rows; each depends on its own two vectors alone."""
+    one, many = scaled(one), scaled(many)
     dot = (one * many).sum(axis=1)
     return dot / (np.sqrt((one * one).sum(axis=1)) * np.sqrt((many * many).sum(axis=1)))
 
@@ -122,34 +135,69 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 @dataclass(frozen=True)
-class Router:
-    """Names a vector's partitions, the most probable first."""
+class Level:
+    """Names a unit vector's partition at one level."""
 
     weights: np.ndarray
     bias: np.ndarray
-    visits: int
+
+    def chances(self, points: np.ndarray) -> np.ndarray:
+        """Logarithms of the probabilities of the partitions."""
+        z = 8.0 * (points @ self.weights + self.bias)
+        z -= z.max(axis=1, keepdims=True)
+        return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+
+
+@dataclass(frozen=True)
+class Router:
+    """Names a vector's partitions, the most probable first."""
+
+    upper: Level
+    lower: tuple[Level, ...]
+    visits: int = 1
+
+    @property
+    def parts(self) -> int:
+        return sum(len(x.bias) for x in self.lower)
 
     def order(self, points: np.ndarray, first: int) -> np.ndarray:
-        score = unit(points) @ self.weights + self.bias
-        return np.argsort(-score, axis=1, kind="stable")[:, :first]
+        out = []
+        for at in range(0, len(points), 1024):
+            own = unit(points[at : at + 1024])
+            above = self.upper.chances(own)
+            score = np.concatenate([above[:, i : i + 1] + x.chances(own) for i, x in enumerate(self.lower)], axis=1)
+            out.append(np.argsort(-score, axis=1, kind="stable")[:, :first])
+        return np.concatenate(out) if out else np.empty((0, first), np.int64)
 
 
-def fit_router(sample: np.ndarray, parts: int, *, k: int = 5, degree: int = 12, wanted: float = 0.97) -> Router:
-    """A router for ``parts`` partitions from a sample of vectors."""
-    points = unit(sample)
+def per_level(n: int) -> int:
+    """Parts at either level for ``n`` rows: their square is about a fifth of the root of n."""
+    return max(2, round(n**0.25 / 2.2))
+
+
+def fit_level(points: np.ndarray, parts: int, degree: int = 12) -> Level:
+    """Balanced parts of the graph of unit vectors, and the classifier that names them."""
     parts = max(1, min(parts, len(points) // 8))
     if parts == 1:
-        return Router(np.zeros((points.shape[1], 1)), np.zeros(1), 1)
-    held = np.arange(len(points)) % 5 == 0  # these teach nothing and set the number of visits
-    teach = points[~held]
-    label = balanced_parts(teach, neighbour_graph(teach, degree), parts)
-    w, b = fit_softmax(teach, label, parts)
-    order = np.argsort(-(points @ w + b), axis=1, kind="stable")
-    near = neighbour_graph(points, k)[held]
-    rank = np.argsort(order, axis=1)[held]  # where each partition stands in a held-out query's order
-    at = rank[np.arange(len(near))[:, None], order[near, 0]]
-    reach = [(at < m).mean() for m in range(1, parts + 1)]
-    return Router(w, b, 1 + next(i for i, r in enumerate(reach) if r >= min(wanted, reach[-1])))
+        return Level(np.zeros((points.shape[1], 1)), np.zeros(1))
+    label = balanced_parts(points, neighbour_graph(points, degree), parts)
+    return Level(*fit_softmax(points, label, parts))
+
+
+def visits_for(router: Router, teach: np.ndarray, held: np.ndarray, *, k: int, wanted: float) -> int:
+    """The fewest partitions in which held-out queries find the wanted share of their nearest sample vectors."""
+    if not len(held) or len(teach) <= k:
+        return router.parts
+    order = router.order(held, router.parts)
+    rank = np.argsort(order, axis=1)  # where each partition stands in a query's order
+    home = router.order(teach, 1)[:, 0]
+    near = np.concatenate([np.argpartition(-(unit(held[at : at + 512]) @ unit(teach).T), k - 1, axis=1)[:, :k] for at in range(0, len(held), 512)])
+    at = rank[np.arange(len(near))[:, None], home[near]]
+    # found with 95 % confidence (Wilson's lower bound): few queries prove little
+    z, n = 1.96**2, at.size
+    share = np.array([(at < m).mean() for m in range(1, router.parts + 1)])
+    sure = (share + z / (2 * n) - np.sqrt(z * (share * (1 - share) / n + z / (4 * n * n)))) / (1 + z / n)
+    return 1 + int(np.argmax(sure >= wanted)) if (sure >= wanted).any() else router.parts
 
 
 def usable(vector: Column) -> Column:
@@ -158,12 +206,38 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & (F.size(vector) > 0) & finite & F.exists(vector, lambda x: x != 0)
 
 
-def search(rows: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: str = "embedding", *, k: int = 5, sample_rows: int = 6000, part_rows: int = 2000, max_parts: int = 256, block_rows: int = 2048, wanted: float = 0.97) -> DataFrame:
+def fit_router(rows: DataFrame, n: int, *, k: int, sample_rows: int, wanted: float) -> Router:
+    """A router for ``n`` rows (vector, print).
+
+    What reaches the driver is ``sample_rows`` vectors and a lower level of each
+    upper partition; an executor holds ``sample_rows`` vectors of one partition.
+    """
+    parts = per_level(n)
+    draw = F.pmod("print", F.lit(1 << 30)) / float(1 << 30)
+    held = F.pmod(F.xxhash64("print"), F.lit(5)) == 0  # these teach nothing and set the number of visits
+    own = rows.dropDuplicates(["print"]).withColumn("held", held)
+    picked = own.where(draw <= min(1.0, 1.2 * sample_rows / n)).orderBy("print").limit(sample_rows).select("vector", "held").collect()
+    sample, aside = np.array([r["vector"] for r in picked]), np.array([r["held"] for r in picked], bool)
+    teach = sample[~aside] if (~aside).any() else sample
+    upper = fit_level(unit(teach), parts)
+    seen = _routed(own.where(~held & (draw <= min(1.0, 1.5 * parts * sample_rows / n))).select(F.col("print").alias("id"), "vector"), Router(upper, (Level(np.zeros((sample.shape[1], 1)), np.zeros(1)),) * len(upper.bias)), 1)
+    few = seen.withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy("id"))).where(F.col("r") <= sample_rows).select("part", "vector")
+
+    def below(group: pa.Table) -> pa.Table:
+        level = fit_level(unit(_matrix(group.column(1).combine_chunks())), parts)
+        return pa.table({"part": [group.column(0)[0].as_py()], "weights": [level.weights.ravel().tolist()], "bias": [level.bias.tolist()]}, schema=pa.schema([("part", pa.int32()), ("weights", pa.list_(pa.float64())), ("bias", pa.list_(pa.float64()))]))
+
+    fitted = {r["part"]: Level(np.array(r["weights"]).reshape(sample.shape[1], -1), np.array(r["bias"])) for r in few.groupBy("part").applyInArrow(below, "part int, weights array<double>, bias array<double>").collect()}
+    one = Level(np.zeros((sample.shape[1], 1)), np.zeros(1))
+    router = Router(upper, tuple(fitted.get(i, one) for i in range(len(upper.bias))))
+    return replace(router, visits=visits_for(router, teach, sample[aside], k=k, wanted=wanted))
+
+
+def search(rows: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: str = "embedding", *, k: int = 5, sample_rows: int = 6000, block_rows: int = 8192, wanted: float = 0.97) -> DataFrame:
     """The ``k`` nearest other rows of each row for which ``queries`` holds.
 
     query_id, rank (from 1), vec_id, score; ties go to the smaller id.
-    ``queries`` is a condition on the id column. What reaches the driver is
-    ``sample_rows`` vectors and one count for each of ``max_parts`` partitions.
+    ``queries`` is a condition on the id column.
     """
     slim = bare(rows, id_col, vector_col).toDF("id", "vector").withColumn("id", F.col("id").cast("bigint"))
     good = slim.where(F.col("id").isNotNull() & usable(F.col("vector"))).withColumn("vector", F.col("vector").cast("array<double>"))
@@ -174,25 +248,21 @@ def search(rows: DataFrame, queries: Column, id_col: str = "vec_id", vector_col:
     good = good.where(F.size("vector") == widths[0]["d"]).withColumn("print", F.xxhash64("vector"))
     same = Window.partitionBy("print", "vector").orderBy("id")
     kept = cut(good.dropDuplicates(["id", "vector"]).withColumn("r", F.row_number().over(same)).where(F.col("r") <= k + 1).select("id", "vector", "print"))
-    n = kept.count()
-    share = min(1.0, 1.2 * sample_rows / n)
-    picked = kept.where(F.pmod("print", F.lit(1 << 30)) <= share * (1 << 30)).dropDuplicates(["print"]).orderBy("print").limit(sample_rows)
-    sample = np.array([r["vector"] for r in picked.select("vector").collect()])
-    router = fit_router(sample, min(max_parts, n // part_rows), k=k, wanted=wanted)
+    router = fit_router(kept, kept.count(), k=k, sample_rows=sample_rows, wanted=wanted)
 
     index = cut(_routed(kept, router, 1))
-    sizes = {r["part"]: r["n"] for r in index.groupBy("part").agg(F.count("*").alias("n")).collect()}
-    blocks = F.coalesce(*[F.when(F.col("part") == p, F.lit(-(-c // block_rows))) for p, c in sizes.items()], F.lit(0))
-    held = index.select("part", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"), F.lit(0).alias("role"), "id", "vector")
+    sizes = cut(index.groupBy("part").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks")))
+    sizes = F.broadcast(sizes)  # a row for each partition: per_level(n) squared at most
+    held = index.join(sizes, "part").select("part", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), F.lit(0).alias("role"), "id", "vector")
     # queries may have been left out of the index as repeated vectors: they are taken from all rows
     asked = good.where(queries(F.col("id")) if callable(queries) else queries).dropDuplicates(["id", "vector"]).select("id", "vector")
 
     def scanned(asked: DataFrame, visits: int) -> DataFrame:
-        asks = _routed(asked, router, visits).select("part", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(1).alias("role"), "id", "vector").where("block >= 0")
+        asks = _routed(asked, router, visits).join(sizes, "part").select("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), "id", "vector")
         dealt = held.unionByName(asks).repartition("part", "block").sortWithinPartitions("part", "block", "role", "id")
         return dealt.mapInArrow(_scan(k), "query_id bigint, vec_id bigint, score double")
 
-    found, parts = scanned(asked, router.visits), router.weights.shape[1]
+    found, parts = scanned(asked, router.visits), router.parts
     if router.visits < parts:
         # queries whose partitions hold too few rows search them all
         found = cut(found)

@@ -1,20 +1,18 @@
-"""Shared plumbing: table access, cutting lineage in shared storage, word hashing.
+"""Shared plumbing: table access, frequent keys and joins on them, word hashing.
 
 Every helper here works row by row or on a bounded batch; nothing collects.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
+
+from tessera.store.shared import cut, discard, shared_dir, stored  # noqa: F401  (used through this module)
 
 #: Odd 64-bit multipliers (fixed values of the word and mixing hashes).
 POLY = np.uint64(0x9E3779B97F4A7C15)
@@ -27,49 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    A cluster names it in ``spark.checkpoint.dir``. Only a local master may
-    leave it unset: driver and executors are then one process on one disk.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    own = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if own.isDefined():
-        return own.get()
-    path = tempfile.mkdtemp(prefix="tessera-", dir="/tmp")
-    spark.sparkContext.setCheckpointDir(path)
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once into the shared folder; later reads survive lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Like ``cut`` for wide rows: a compressed Parquet table in the shared folder."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tessera-{uuid.uuid4().hex}.parquet"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._stored_at = path
-    return out
-
-
-def discard(*frames: DataFrame) -> None:
-    """Delete the tables of ``stored`` frames that nothing will read any more."""
-    for df in frames:
-        jvm = df.sparkSession._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._stored_at)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def heavy_keys(keys: DataFrame, k: int = 1024) -> list:
     """At most ``k`` values of the one column of ``keys``, among them all that more than 1/k of the rows have.
 
@@ -79,20 +34,33 @@ def heavy_keys(keys: DataFrame, k: int = 1024) -> list:
     """
     kind = keys.schema[0].dataType
 
+    def counted(parts: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(parts).group_by("key").aggregate([("c", "sum")]).rename_columns(["key", "c"]).select(["key", "c"])
+
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        parts, rows = [], 0
         for b in batches:
-            for x in b.column(0).drop_null().value_counts():
-                seen[x["values"].as_py()] += x["counts"].as_py()
-            if len(seen) > k:
-                floor = sorted(seen.values(), reverse=True)[k]
-                seen = Counter({d: c - floor for d, c in seen.items() if c > floor})
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), to_arrow_type(kind)), pa.array(list(seen.values()), pa.int64())], ["key", "c"])
+            own = b.column(0).drop_null()
+            parts.append(pa.table({"key": own, "c": np.ones(len(own), np.int64)}))
+            rows += len(own)
+            if rows > 200_000:
+                parts, rows = [_fewer(counted(parts), k)], 0
+        if parts:
+            yield from _fewer(counted(parts), k).to_batches()
 
     merged = keys.mapInArrow(summarise, f"key {kind.simpleString()}, c bigint").groupBy("key").agg(F.sum("c").alias("c"))
     return [r["key"] for r in merged.where("c > 1").orderBy(F.desc("c"), "key").limit(k).collect()]
 
 
+def _fewer(counts: pa.Table, k: int) -> pa.Table:
+    """A Misra-Gries summary cut to ``k`` counters: all give up the count of the first that must go."""
+    if counts.num_rows <= k:
+        return counts
+    c = counts["c"].to_numpy()
+    left = c - np.partition(c, -k - 1)[-k - 1]
+    return pa.table({"key": counts["key"], "c": left}).filter(pa.array(left > 0))
+
+
 def joined(rows: DataFrame, facts: DataFrame, on: list[str], size: str = "size") -> DataFrame:
     """``rows`` with the facts of their key, where a key may hold a large part of all rows.
 
@@ -183,18 +151,21 @@ def run_hashes(words: np.ndarray, width: int, base: int = int(POLY)) -> np.ndarr
         return mix64(sums[width - 1 :] * powers(inverse(base), n))
 
 
+def shingles_in_order(words: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of the runs of ``width`` words, in order."""
+    out = np.full(max(0, words.size - width + 1), width, np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(width):
+            out = mix64(out * POLY + words[i : i + out.size])
+    return out
+
+
 def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
     """Sorted distinct hashes of the runs of ``width`` words; fewer words make one run."""
-    n = words.size
-    if not n:
-        return np.empty(0, np.uint64)
-    with np.errstate(over="ignore"):
-        if n < width:
-            out = np.full(1, n, np.uint64)
+    if 0 < words.size < width:
+        out = np.full(1, words.size, np.uint64)
+        with np.errstate(over="ignore"):
             for w in words:
                 out = mix64(out * POLY + w)
-            return out
-        out = np.full(n - width + 1, width, np.uint64)
-        for i in range(width):
-            out = mix64(out * POLY + words[i : n - width + 1 + i])
-    return np.unique(out)
+        return out
+    return np.unique(shingles_in_order(words, width))

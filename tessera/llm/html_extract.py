@@ -16,8 +16,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,27 +26,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import bare
-from tessera.llm.html_blocks import Block, blocks
+from tessera.llm.html_blocks import Block, Path, blocks
 from tessera.llm.html_pages import labelled_pages
 
 WORD = re.compile(r"[a-z]+")
 
 
-def path_features(path: tuple[str, ...]) -> set[str]:
-    """Ancestor tags, the words and whole names of their classes and ids, the nearest three tags."""
-    out = set()
-    article = False
-    for name in path:
-        tag, _, words = name.partition(" ")
-        article = article or tag in ("article", "main")
-        out.add(f"t={tag}")
-        if article:
-            out.add(f"in-article={tag}")
-        for token in words.split():
-            out.add(f"n={token}")
-            out.update(f"w={w}" for w in WORD.findall(token))
-    for i, name in enumerate(path[-1:-4:-1]):
-        out.add(f"up{i}={name.partition(' ')[0]}")
+def own_features(name: str, in_article: bool) -> set[str]:
+    """Of one ancestor: its tag, the words and whole names of its classes and ids."""
+    tag, _, words = name.partition(" ")
+    out = {f"t={tag}"}
+    if in_article:
+        out.add(f"in-article={tag}")
+    for token in words.split():
+        out.add(f"n={token}")
+        out.update(f"w={w}" for w in WORD.findall(token))
+    return out
+
+
+def near_features(path: Path | None) -> list[str]:
+    """The nearest three tags."""
+    return [f"up{i}={p.name.partition(' ')[0]}" for i, p in enumerate(islice(path.up(), 3))] if path else []
+
+
+def opens_article(name: str) -> bool:
+    return name.partition(" ")[0] in ("article", "main")
+
+
+def path_features(path: Path | None) -> set[str]:
+    """The features of all ancestors."""
+    out, article = set(near_features(path)), False
+    for p in reversed(list(path.up()) if path else []):
+        article = article or opens_article(p.name)
+        out |= own_features(p.name, article)
     return out
 
 
@@ -66,6 +79,9 @@ def places(n: int) -> list[list[str]]:
     return [[f"place={4 * i // max(1, n)}"] + (["first"] if i == 0 else []) + (["last"] if i == n - 1 else []) for i in range(n)]
 
 
+NONE = (0.0, 0.0)
+
+
 @dataclass
 class Field:
     """Weights: a row (other, article) per feature, and between neighbours."""
@@ -73,21 +89,33 @@ class Field:
     weights: dict[str, tuple[float, float]]
     between: np.ndarray
     start: np.ndarray
-    _paths: dict = field(default_factory=dict)
+
+    def of_path(self, path: Path | None) -> tuple[float, float]:
+        """The summed weights of a path's features. What is above is summed once, whatever stands below it."""
+        todo = []
+        for p in path.up() if path else ():
+            if p.known is not None:
+                break
+            todo.append(p)
+        for p in reversed(todo):
+            x, y, seen, article = p.above.known[:4] if p.above else (0.0, 0.0, frozenset(), False)
+            article = article or opens_article(p.name)
+            new = {f for f in own_features(p.name, article) if f in self.weights} - seen
+            for f in sorted(new):
+                x, y = x + self.weights[f][0], y + self.weights[f][1]
+            nx, ny = x, y
+            for f in near_features(p):
+                w = self.weights.get(f, NONE)
+                nx, ny = nx + w[0], ny + w[1]
+            p.known = (x, y, seen | new if new else seen, article, nx, ny)
+        return path.known[4:] if path else NONE
 
     def scores(self, page: list[Block]) -> np.ndarray:
-        none = (0.0, 0.0)
         out = []
         for b, place in zip(page, places(len(page)), strict=True):
-            known = self._paths.get(b.path)
-            if known is None:
-                known = np.sum([self.weights.get(f, none) for f in sorted(path_features(b.path))] or [none], axis=0)
-                if len(self._paths) > 50_000:
-                    self._paths.clear()
-                self._paths[b.path] = known
-            x, y = known
+            x, y = self.of_path(b.path)
             for f in (*text_features(b), *place):
-                w = self.weights.get(f, none)
+                w = self.weights.get(f, NONE)
                 x, y = x + w[0], y + w[1]
             out.append((x, y))
         return np.array(out).reshape(-1, 2)

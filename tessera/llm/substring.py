@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import MIX_A, POLY, bare, cut, discard, heavy_keys, inverse, joined, located_words, mix64, powers, run_hashes, shingle_hashes, stored, word_hashes
+from tessera.llm.common import MIX_A, POLY, bare, cut, discard, heavy_keys, inverse, joined, located_words, mix64, powers, run_hashes, shingle_hashes, shingles_in_order, stored, word_hashes
 from tessera.llm.hyperminhash import registers
 from tessera.llm.near_links import near_components
 
@@ -62,8 +62,9 @@ def split_lines(text: str | None, min_words: int) -> list[tuple[int, int, int, n
     long = np.flatnonzero(hi - lo >= max(min_words, WIDTH))
     if not long.size:
         return []
-    points = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
-    return [(int(points[begins[i]]), int(points[ends[i]] - points[begins[i]]), int(hi[i] - lo[i]), shingle_hashes(words[lo[i] : hi[i]], WIDTH)) for i in long]
+    runs = shingles_in_order(words, WIDTH)
+    starts, stops = _points(raw, begins[long]), _points(raw, ends[long])
+    return [(int(a), int(b - a), int(hi[i] - lo[i]), np.unique(runs[lo[i] : hi[i] - WIDTH + 1])) for i, a, b in zip(long, starts, stops, strict=True)]
 
 
 def _print(members: np.ndarray) -> bytes:
@@ -266,19 +267,28 @@ def equal_runs(docs: DataFrame, min_words: int) -> DataFrame:
 
     def reread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            parts: list[list[np.ndarray]] = []
             for doc, copy, text, blocks in zip(*(b.column(i) for i in range(4)), strict=True):
                 words, starts, ends, raw = located_words(text.as_py())
                 starts, ends = _points(raw, starts), _points(raw, ends)
-                prints = np.stack([run_hashes(words, min_words, int(base)) for base in (POLY, MIX_A)], axis=1)
                 node, place, hi = (blocks.values.field(i).to_numpy(zero_copy_only=False) for i in range(3))
                 lo, n = place >> 32, place & 0x7FFFFFFF
                 off = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 pos = np.repeat(lo, n) + off
-                cols = [np.repeat(node, n), off.astype(np.int32), np.full(pos.size, doc.as_py()), np.full(pos.size, copy.as_py()), pos.astype(np.int32), _paired(starts[pos], ends[pos + min_words - 1]), np.repeat(hi, n)]
-                for at in range(0, pos.size, 100_000):
-                    own = prints[pos[at : at + 100_000]]
-                    own = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(own), [None, pa.py_buffer(own.tobytes())]).cast(pa.binary())
-                    yield pa.RecordBatch.from_arrays([*[pa.array(c[at : at + 100_000]) for c in cols], own], ["node", "off", "id", "copy", "pos", "span", "hi", "print"])
+                prints = np.stack([run_hashes(words, min_words, int(base))[pos] for base in (POLY, MIX_A)], axis=1)
+                parts.append([np.repeat(node, n), off.astype(np.int32), np.full(pos.size, doc.as_py()), np.full(pos.size, copy.as_py()), pos.astype(np.int32), _paired(starts[pos], ends[pos + min_words - 1]), np.repeat(hi, n), prints])
+                if sum(p[1].size for p in parts) > 50_000:
+                    yield from told(parts)
+                    parts = []
+            if parts:
+                yield from told(parts)
+
+    def told(parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        *cols, prints = (np.concatenate(c) for c in zip(*parts, strict=True))
+        for at in range(0, len(prints), 100_000):
+            own = prints[at : at + 100_000]
+            own = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(own), [None, pa.py_buffer(own.tobytes())]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([*[pa.array(c[at : at + 100_000]) for c in cols], own], ["node", "off", "id", "copy", "pos", "span", "hi", "print"])
 
     windows = slim.join(wanted, ["id", "copy"]).dropDuplicates(["id", "copy"]).select("id", "copy", "text", "blocks")
     windows = stored(windows.mapInArrow(reread, "node bigint, off int, id bigint, copy bigint, pos int, span bigint, hi bigint, print binary"))

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import paragraphs, sentences, token_count, unix_lines
+from tessera.functions.text import json_text, paragraphs, sentences, token_count, unix_lines
 
 TARGET, OVERLAP, MODEL_LIMIT = 400, 0.15, 8191
 BATCH_CHUNKS, BATCH_TOKENS = 64, 50_000
@@ -129,9 +129,8 @@ def embedding_input(title: Column, value_path: Column, text: Column) -> Column:
 
 def chunk_id(generation: str, record_id: Column, fingerprint: Column, value_path: Column, ordinal: Column) -> Column:
     """``ch_`` and the SHA-256 of the compact JSON array of the locator."""
-    # to_json escapes a slash; the canonical form does not
-    quote = lambda c: F.regexp_extract(F.regexp_replace(F.to_json(F.struct(c.alias("x"))), r"\\/", "/"), r'^\{"x":(.*)\}$', 1)
-    text = F.concat(F.lit('["chunk-v1",'), quote(F.lit(generation)), F.lit(","), quote(record_id), F.lit(","), quote(fingerprint), F.lit(","), quote(value_path), F.lit(","), ordinal.cast("string"), F.lit("]"))
+    parts = [F.lit('"chunk-v1"'), *[json_text(c) for c in (F.lit(generation), record_id, fingerprint, value_path)], ordinal.cast("string")]
+    text = F.concat(F.lit("["), F.concat_ws(",", *parts), F.lit("]"))
     return F.concat(F.lit("ch_"), F.sha2(text, 256))
 
 

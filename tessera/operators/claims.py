@@ -20,13 +20,37 @@ def contained(claims: DataFrame, cited: DataFrame) -> DataFrame:
     return own.join(chunks, "claim_id", "left").groupBy("claim_id").agg(F.bool_or(hit).alias("contained"))
 
 
+def holders(claims: DataFrame, chunks: DataFrame, claim_id: str, chunk_id: str, width: int = 3) -> DataFrame:
+    """(claim_id, chunk_id): which chunks hold which claims, both folded (columns ``claim`` and ``chunk``).
+
+    A chunk that holds a claim has all runs of ``width`` words between the
+    claim's first and last word, which may be parts of words. The longest such
+    run, likely the rarest, finds the chunks by an equi-join; these are then
+    searched. Claims too short for a run are searched for in every chunk.
+    """
+    words = F.split("claim", " ")
+    inner = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))
+    runs = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - width + 1), lambda i: F.array_join(F.slice(w, i, width), " "))
+    longest = F.aggregate(runs(F.col("inner")), F.lit(""), lambda best, r: F.when(F.length(r) > F.length(best), r).otherwise(best))
+    named = claims.where("claim <> ''").select(claim_id, "claim", inner.alias("inner"))
+    keyed = named.where(F.size("inner") >= width).select(claim_id, F.xxhash64(longest).alias("key"))
+    said = F.split("chunk", " ")
+    hashed = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("said") - width + 1), lambda i: F.xxhash64(F.array_join(F.slice("said", i, width), " "))))
+    found = chunks.select(chunk_id, said.alias("said")).where(F.size("said") >= width).select(chunk_id, F.explode(hashed).alias("key"))
+    pairs = found.join(keyed, "key").select(claim_id, chunk_id).distinct()
+    hits = pairs.join(claims.select(claim_id, "claim"), claim_id).join(chunks.select(chunk_id, "chunk"), chunk_id).where(F.contains("chunk", "claim"))
+    short = named.where(F.size("inner") < width)
+    rest = chunks.join(short, F.contains(F.col("chunk"), F.col("claim")))
+    return hits.select(claim_id, chunk_id).unionByName(rest.select(claim_id, chunk_id))
+
+
 def decomposition_verdicts(rows: DataFrame) -> DataFrame:
     """``rows`` (sentence_id, parent, sub_claims) with disposition, additive_failure, failure_token, failure_side.
 
     In this order: over_cap, duplicate, not_additive (the first failing claim
     and token), incomplete (the first parent word not covered), valid.
     """
-    rows = rows.withColumn("__claims", F.transform("sub_claims", containment_form_ascii)).withColumn("__parent", prepared(sentence_tokens(containment_form(F.col("parent")))))
+    rows = rows.withColumn("__claims", folded_all(F.col("sub_claims"))).withColumn("__parent", prepared(sentence_tokens(containment_form(F.col("parent")))))
     rows = rows.withColumn("__tokens", F.transform("__claims", lambda c: prepared(sentence_tokens(c))))
     rows = rows.withColumn("__failures", F.transform("__tokens", lambda t: additive_failure(t, F.col("__parent"))))
     rows = rows.withColumn("__failed", F.try_element_at(F.filter("__failures", lambda f: f.isNotNull()), F.lit(1)))
@@ -47,9 +71,18 @@ def decomposition_verdicts(rows: DataFrame) -> DataFrame:
     return rows.drop("__claims", "__parent", "__tokens", "__failures", "__failed", "__response", "__missed")
 
 
-def containment_form_ascii(text: Column) -> Column:
-    """``containment_form`` inside an array function, where no Python can run: lower case and blanks."""
-    return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
+def folded_all(claims: Column) -> Column:
+    """``containment_form`` of each text of an array.
+
+    No Python can run inside an array function, so the texts are folded as one
+    and parted again; ``PART``, which no text holds, survives folding.
+    """
+    parts = F.transform(F.split(containment_form(F.array_join(claims, PART, "")), PART), lambda c: F.trim(c))
+    return F.when(F.size(claims) > 0, parts).otherwise(F.array().cast("array<string>"))
+
+
+#: A code point that is set aside as no character.
+PART = "\ufdd0"
 
 
 def sentence_fates(drafts: DataFrame, chunks: DataFrame, decompositions: DataFrame, entailments: DataFrame) -> DataFrame:

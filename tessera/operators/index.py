@@ -1,15 +1,22 @@
 """Index maintenance: plans, drift, parity, supersession, citations, ledgers.
 
-Everything here compares keyed tables by outer and anti joins; nothing collects.
+Tables are compared by outer and anti joins on their keys; nothing collects.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.digest import canonical_json
+from tessera.functions.text import json_text, nfc
 from tessera.store.shared import cut
 
+
 def ingest_plan(manifest: DataFrame, ledger: DataFrame) -> DataFrame:
     """(record_id, action): manifest (record_id, fingerprint) against ledger (record_id, state, active_fingerprint).
 
@@ -58,16 +65,26 @@ def parity_problems(chunks: DataFrame, vectors: DataFrame, locator: list[str]) -
     return rows.select("chunk_id", problem.alias("problem")).where("problem is not null")
 
 
-def active_set_digest(chunks: DataFrame, parts: int = 4096) -> DataFrame:
-    """(n, digest): the count and a digest of the sorted chunk ids.
+def active_set_digest(chunks: DataFrame) -> DataFrame:
+    """(n, digest): the count and the SHA-256 of the canonical JSON list of the sorted chunk ids; empty for none.
 
-    Ids are digested per hash part first, so no task holds more than its part
-    and the last step joins ``parts`` digests.
+    The ids are sorted by all tasks. The digest itself is sequential by
+    definition: one task streams the sorted ids through it and holds a batch.
     """
-    ids = chunks.select(F.col("chunk_id").cast("string").alias("c"))
-    part = F.conv(F.substring(F.md5("c"), 1, 3), 16, 10).cast("int") % parts
-    by_part = ids.groupBy(part.alias("part")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("c")), "\n"), 256).alias("d"))
-    return by_part.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "d"))), lambda x: x["d"]), "\n"), 256).alias("digest"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, whole = 0, hashlib.sha256(b"[")
+        for b in batches:
+            if b.num_rows:
+                listed = canonical_json(b.column(0).to_pylist())[1:-1]
+                whole.update(f"{',' if n else ''}{listed}".encode())
+                n += b.num_rows
+        whole.update(b"]")
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([whole.hexdigest() if n else ""])], ["n", "digest"])
+
+    ids = chunks.select(F.col("chunk_id").cast("string").alias("c")).orderBy("c")
+    one = ids.coalesce(1).mapInArrow(run, "n bigint, digest string")
+    return one.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), F.coalesce(F.max("digest"), F.lit("")).alias("digest"))
 
 
 def latest_state(ledger: DataFrame, order: list[str]) -> DataFrame:
@@ -90,7 +107,7 @@ def stale_records(ledger: DataFrame) -> DataFrame:
 def supersession_edges(records: DataFrame) -> DataFrame:
     """(successor_id, predecessor_id, evidence_id) of records that name a predecessor."""
     named = records.where("supersedes is not null and trim(supersedes) <> ''")
-    evidence = F.concat(F.lit("mev_"), F.sha2(F.concat_ws("\n", F.lit("supersedes"), "id", "supersedes"), 256))
+    evidence = F.concat(F.lit("mev_"), F.sha2(F.concat(F.lit('["supersession-v1",'), json_text(nfc(F.col("supersedes"))), F.lit(","), json_text(nfc(F.col("id"))), F.lit("]")), 256))
     return named.select(F.col("id").alias("successor_id"), F.col("supersedes").alias("predecessor_id"), evidence.alias("evidence_id"))
 
 
@@ -103,6 +120,22 @@ def supersession_notices(accepted: DataFrame, edges: DataFrame, records: DataFra
     return rows.dropDuplicates(["query_id", "predecessor_id", "successor_id"]).select("query_id", "predecessor_id", "successor_id", "successor_title", "evidence_id", F.row_number().over(order).alias("disclosure_no"), text.alias("sentence"))
 
 
+def disclosure_citations(notices: DataFrame, sources: DataFrame | None, stale: DataFrame, after: DataFrame) -> DataFrame:
+    """(query_id, disclosure_no, citation_no, evidence_id, record_id, path, section, resolution, freshness): what each notice cites.
+
+    ``sources`` (record_id, path, section): where a manifest says that a record
+    names its predecessor, the first for each; ``after`` (query_id, last): the
+    numbers that are taken. A successor without a source keeps an empty path.
+    """
+    rows = notices.withColumnRenamed("successor_id", "record_id").join(after, "query_id", "left").join(stale.select("record_id", F.lit(True).alias("stale")), "record_id", "left")
+    none = F.lit(None).cast("string")
+    rows = rows.withColumn("path", none).withColumn("section", none) if sources is None else rows.join(sources.select("record_id", "path", "section").dropDuplicates(["record_id"]), "record_id", "left")
+    return rows.select(
+        "query_id", "disclosure_no", (F.coalesce("last", F.lit(0)) + F.col("disclosure_no")).alias("citation_no"), "evidence_id", "record_id", F.coalesce("path", F.lit("")).alias("path"), F.coalesce("section", F.lit("")).alias("section"),
+        F.when(F.col("path").isNull(), "hint_unavailable").otherwise("named").alias("resolution"), F.when(F.col("stale"), "stale_version").otherwise("current").alias("freshness"),
+    )
+
+
 def cyclic_records(edges: DataFrame, rounds: int = 64) -> DataFrame:
     """(record_id) of records on a supersession cycle (each names at most one predecessor).
 

@@ -72,7 +72,7 @@ bm AS (SELECT query_id, chunk_id, sum(qf * idf * tf * 2.5 / (tf + 1.5 * (0.25 +
        FROM q JOIN idf USING (word) JOIN tf USING (word), stats GROUP BY query_id, chunk_id)"""
 LEX_SQL = f"""lex AS (SELECT * FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, {KEY}) AS lexical_rank
        FROM bm JOIN snap USING (chunk_id) WHERE round(score, 9) > 0) WHERE lexical_rank <= 24)"""
-FAR_SQL = """far AS (SELECT b.item_id AS query_id, d.doc_id AS chunk_id,
+FAR_SQL = """far AS MATERIALIZED (SELECT b.item_id AS query_id, d.doc_id AS chunk_id,
        greatest(0.0, least(2.0, list_cosine_distance(e.embedding::DOUBLE[], v.embedding::DOUBLE[]))) AS distance
        FROM benchmark b JOIN embeddings v ON v.vec_id = b.item_id, embeddings e JOIN documents d ON d.doc_id = e.vec_id)"""
 SEM_SQL = f"""sem AS (SELECT * FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), {KEY}) AS semantic_rank

@@ -96,7 +96,7 @@ def citation_numbering(spark, d):
 
 
 def active_set_digest(spark, d):
-    return index.active_set_digest(snapshot(spark, d), parts=4096)
+    return index.active_set_digest(snapshot(spark, d))
 
 
 def latest_state_per_record(spark, d):
@@ -294,7 +294,7 @@ QUERIES = {
         WHEN c.a <> v.a OR c.b <> v.b THEN 'locator_mismatch' END AS problem FROM c FULL OUTER JOIN v ON c.chunk_id = v.chunk_id) WHERE problem IS NOT NULL""",
     ),
     "stale_citations": (stale_citations, f"WITH {BOOKS_SQL} SELECT vec_id AS citation_id, CASE WHEN l.record_id IS NOT NULL THEN 'stale_version' ELSE 'current' END AS freshness FROM embeddings LEFT JOIN ledger l ON l.record_id = vec_id AND l.desired_fingerprint IS DISTINCT FROM l.active_fingerprint"),
-    "supersession_edges": (supersession_edges, f"WITH {RECORDS_SQL} SELECT id AS successor_id, supersedes AS predecessor_id, 'mev_' || sha256('supersedes' || chr(10) || id || chr(10) || supersedes) AS evidence_id FROM rec WHERE supersedes IS NOT NULL"),
+    "supersession_edges": (supersession_edges, f"""WITH {RECORDS_SQL} SELECT id AS successor_id, supersedes AS predecessor_id, 'mev_' || sha256('["supersession-v1","' || supersedes || '","' || id || '"]') AS evidence_id FROM rec WHERE supersedes IS NOT NULL"""),
     "supersession_notices": (
         supersession_notices,
         f"""WITH {RECORDS_SQL} SELECT query_id, predecessor_id, id AS successor_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY id, predecessor_id) AS INTEGER) AS disclosure_no,
@@ -315,8 +315,7 @@ QUERIES = {
     ),
     "active_set_digest": (
         active_set_digest,
-        """WITH p AS (SELECT CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 3) AS INTEGER) % 4096 AS part, CAST(doc_id AS VARCHAR) AS c FROM documents),
-        q AS (SELECT part, count(*) AS n, sha256(string_agg(c, chr(10) ORDER BY c)) AS d FROM p GROUP BY part) SELECT CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(d, chr(10) ORDER BY part)) AS digest FROM q""",
+        """SELECT count(*) AS n, sha256('["' || string_agg(c, '","' ORDER BY c) || '"]') AS digest FROM (SELECT CAST(doc_id AS VARCHAR) AS c FROM documents)""",
     ),
     "latest_state_per_record": (latest_state_per_record, "SELECT user_id AS record_id, event_id, event_type AS state FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"),
     "store_diff": (
@@ -376,7 +375,16 @@ QUERIES = {
     ),
     "change_windows": (change_windows, "SELECT strftime(time_bucket(INTERVAL '10 minutes', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS changes FROM events GROUP BY ALL"),
     "change_latest": (change_latest, "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"),
-    "record_digests": (record_digests, None),
+    "record_digests": (
+        record_digests,
+        f"""WITH {RECORDS_SQL}, t AS (SELECT id, '\\n' AS nl, CASE WHEN k % 4 = 0 THEN '"' || p_type || '"' ELSE 'null' END AS trigger, CASE WHEN k % 3 = 0 THEN '"too small"' ELSE 'null' END AS lost,
+            coalesce('"' || kind || '"', 'null') AS kind, CASE WHEN k % 2 = 0 THEN '"' || p_type || '"' ELSE 'null' END AS summary, coalesce('"' || status || '"', 'null') AS status,
+            coalesce('"' || supersedes || '"', 'null') AS supersedes, CASE WHEN k % 5 = 0 THEN '' ELSE '"' || p_name || '","' || p_brand || '"' END AS why, p_name, p_brand, p_type, p_size, chosen, target, date FROM rec)
+        SELECT id, sha256('{{"body":"Intro of ' || p_name || nl || '## Notes' || nl || p_type || nl || '## Size' || nl || p_size || '","consequences":{{"negative":[],"positive":["' || p_type || '"]}},"context":{{"problem":"' || p_brand
+            || '","triggering_change":' || trigger || '}},"date":"' || date || '","decision":{{"alternatives":[{{"rejection_reason":' || lost || ',"title":"' || p_brand || '"}}],"chosen":"' || chosen
+            || '"}},"evidence":[{{"kind":' || kind || ',"note":null,"target":"' || target || '"}}],"id":"' || id || '","rationale_summary":' || summary || ',"status":' || status || ',"supersedes":' || supersedes
+            || ',"tags":["' || p_brand || '"],"title":"' || p_name || '","why":[' || why || ']}}') AS record_digest FROM t""",
+    ),
     "ledger_live": (ledger_live, f"WITH {BOOKS_SQL} SELECT record_id, active_fingerprint FROM ledger WHERE state <> 'removed'"),
     "source_resolution": (
         source_resolution,

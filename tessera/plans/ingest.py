@@ -13,10 +13,10 @@ from tessera.operators import chunking, index
 from tessera.providers.ports import Providers
 from tessera.schemas import LEDGER, S
 from tessera.sources.frontmatter import _dict
-from tessera.store.generation import Store, StoreError
+from tessera.store.generation import LOCATOR, Store, StoreError
 from tessera.store.shared import cut
-
-LOCATOR = ["record_id", "fingerprint", "value_path", "ordinal"]
+#: Fixed value: why a record is removed.
+REMOVED = "absent_from_manifest"
 
 
 def with_digest(records: DataFrame) -> DataFrame:
@@ -41,36 +41,41 @@ def embedded(chunks: DataFrame, providers: Providers) -> DataFrame:
     return chunks.select("chunk_id", "embedding_input").mapInPandas(run, "chunk_id string, vector array<double>")
 
 
-def ingest(spark: SparkSession, store: Store, entries: DataFrame, providers: Providers | None = None, *, now: str = "", rebuild: bool = False, dry_run: bool = False, manifest_digest: str | None = None) -> DataFrame:
+def ingest(spark: SparkSession, store: Store, entries: DataFrame, providers: Providers | None = None, *, now: str = "", rebuild: bool = False, dry_run: bool = False, fresh_if_other: bool = False, manifest_digest: str | None = None) -> DataFrame:
     """Bring the store to ``entries`` and return (record_id, action, failure_code).
 
     ``entries``: record (struct), fingerprint, entry_digest, record_digest,
     field_sources. Unchanged records keep their rows; changed ones are replaced
     as a whole; a record that fails keeps its former rows and a failed ledger
-    row. The generation is published only if every chunk has its vector.
+    row. Unchanged records are read again too: one that cannot be read, whose
+    digest differs or that lacks a source fails. Entries may name a
+    ``record_id`` of their own, for records that cannot be read. The generation
+    is published only if every chunk has its vector. A store of another
+    pipeline is refused, or with ``fresh_if_other`` a fresh generation is built.
     """
     providers = providers or Providers()
     signature = pipeline_signature(providers.model, providers.dimensions, providers.encoding)
     active = None if rebuild else store.active()
     if active and store.meta(active)["signature"] != signature:
-        raise StoreError("the store was built by another pipeline; rebuild it")
+        if not fresh_if_other:
+            raise StoreError("the store was built by another pipeline; rebuild it")
+        active = None
     old = {name: store.table(name, active) for name in ("chunk", "vector", "tag", "chunk_source", "snapshot", "ledger")} if active else {}
     ledger = old["ledger"] if active else spark.createDataFrame([], LEDGER)
-    rows = with_digest(entries.withColumnRenamed("record_digest", "stated_digest")).withColumn("record_id", F.col("record.id"))
+    rows = with_digest(entries.withColumnRenamed("record_digest", "stated_digest")).withColumn("record_id", F.coalesce(F.col("record.id"), F.col("record_id") if "record_id" in entries.columns else F.lit(None)))
     plan = cut(index.ingest_plan(rows.select("record_id", "fingerprint"), ledger))
     code = F.when(F.col("record").isNull(), "record.unreadable").when(F.coalesce(F.col("stated_digest") != F.col("record_digest"), F.lit(False)), "digest.record_mismatch")
     work = rows.join(plan, "record_id").withColumn("failure_code", code)
-    touched = work.where("action in ('added', 'updated')")
-    flat = touched.where("failure_code is null").select("record.*", "fingerprint")
-    units = chunking.units(flat)
-    sources = touched.select(F.col("record_id").alias("id"), F.explode("field_sources").alias("value_path", "refs"))
+    readable = work.where("failure_code is null")
+    flat = readable.where("action in ('added', 'updated')").select("record.*", "fingerprint")
+    sources = readable.select(F.col("record_id").alias("id"), F.explode("field_sources").alias("value_path", "refs"))
     given = sources.select("id", F.regexp_replace("value_path", r"^(decision\.alternatives\[\d+\])\..*$", "$1").alias("value_path"), "refs")
-    unsourced = chunking.missing_provenance(units, given).select(F.col("id").alias("record_id")).distinct().withColumn("lost", F.lit(True))
-    chunks = cut(chunking.plan(units, "g"))
+    unsourced = chunking.missing_provenance(chunking.units(readable.select("record.*", "fingerprint")), given).select(F.col("id").alias("record_id")).distinct().withColumn("lost", F.lit(True))
+    chunks = cut(chunking.plan(chunking.units(flat), "g"))
     oversize = chunks.where("oversize").select(F.col("id").alias("record_id")).distinct().withColumn("big", F.lit(True))
     judged = work.select("record_id", "action", "failure_code").join(unsourced, "record_id", "left").join(oversize, "record_id", "left")
     failed = F.coalesce("failure_code", F.when(F.col("lost"), "provenance.missing"), F.when(F.col("big"), "chunking.oversize"))
-    fates = judged.select("record_id", "action", F.when(F.col("action") != "unchanged", failed).alias("failure_code"))
+    fates = judged.select("record_id", "action", failed.alias("failure_code"))
     gone = plan.where("action = 'removed'").select("record_id", "action", F.lit(None).cast("string").alias("failure_code"))
     report = cut(fates.unionByName(gone).withColumn("action", F.when(F.col("failure_code").isNotNull(), "failed").otherwise(F.col("action"))))
     if dry_run:
@@ -92,7 +97,7 @@ def ingest(spark: SparkSession, store: Store, entries: DataFrame, providers: Pro
     state = F.when(F.col("action") == "removed", "removed").when(F.col("action") == "failed", "failed").otherwise("current")
     prior = ledger.select("record_id", F.col("active_fingerprint").alias("prior"))
     book = report.join(known, "record_id", "left").join(prior, "record_id", "left")
-    book = book.select("record_id", state.alias("state"), F.col("desired").alias("desired_fingerprint"), F.when(state == "current", F.col("desired")).when(state == "failed", F.col("prior")).alias("active_fingerprint"), "entry_digest", "record_digest", "failure_code", F.lit(now).alias("changed_at"))
+    book = book.select("record_id", state.alias("state"), F.col("desired").alias("desired_fingerprint"), F.when(state == "current", F.col("desired")).when(state == "failed", F.col("prior")).alias("active_fingerprint"), "entry_digest", "record_digest", "failure_code", F.when(F.col("action") == "removed", REMOVED).alias("removal_reason"), F.lit(now).alias("changed_at"))
     tables["ledger"] = index.replace_rows(ledger, book, ["record_id"])
     tables["link"] = index.supersession_edges(tables["snapshot"].withColumnRenamed("record_id", "id"))
     tables = {name: cut(df) for name, df in tables.items()}

@@ -18,16 +18,15 @@ def tokenize_documents(spark, d):
 
 
 def token_document_frequency(spark, d):
-    return r.postings(snapshot(spark, d)).groupBy("word").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+    return r.postings(r.term_counts(snapshot(spark, d))).groupBy("word").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
 
 
 def corpus_length_stats(spark, d):
-    return r.corpus_stats(snapshot(spark, d)).select("n", F.round("avgdl", 6).alias("avgdl"))
+    return r.corpus_stats(r.term_counts(snapshot(spark, d))).select("n", F.round("avgdl", 6).alias("avgdl"))
 
 
 def _scores(spark, d):
-    snap = snapshot(spark, d)
-    return r.bm25(r.postings(snap), r.corpus_stats(snap), questions(spark, d))
+    return r.bm25(r.lexical_index(snapshot(spark, d)), questions(spark, d))
 
 
 def bm25_scores(spark, d):
@@ -54,7 +53,7 @@ def semantic_stage(spark, d):
 
 def _fused(spark, d):
     snap = snapshot(spark, d)
-    return r.fuse(r.lexical_top(snap, _scores(spark, d)), r.semantic_top(snap, _far(spark, d)), snap)
+    return r.fuse(r.lexical_top(snap, _scores(spark, d)), r.semantic_top(snap, vectors(spark, d), question_vectors(spark, d)), snap)
 
 
 def rrf_fusion(spark, d):

@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from tessera.functions import claims as fc
 from tessera.functions.paths import LABELS, evidence_block
-from tessera.functions.text import SENTENCE_END, is_one_sentence, paragraphs, sentences, without_markers
+from tessera.functions.text import containment_form, is_one_sentence, paragraphs, sentences, token_count, without_markers
 from tessera.operators import chunking, doctor
 from tessera.operators import claims as oc
 from tessera.plans.base import quoted, table, texts
-
-END = SENTENCE_END.replace("'", "''")
+from tessera.plans.text_sql import ADDITIVE_VERDICT, DECOMPOSITION_VERDICT, END, FOLD_SQL, MARK, OVERLAP_CHUNKS, PACK_CHUNKS, SENTENCE_FATE, batches_sql
+from tessera.plans.text_sql import base_sql as _base_sql
+from tessera.plans.text_sql import tokens_sql as _tokens_sql
 
 
 def _spaced(spark, d):
@@ -113,17 +114,21 @@ def overlap_chunks(spark, d):
     return rows.select("doc_id", F.posexplode(chunking.with_overlap(F.col("chunks"))).alias("ordinal", "text"))
 
 
+#: Chunks and tokens a batch of a document holds at most.
+BATCH = (3, 900)
+
+
 def batch_assignment(spark, d):
-    """Documents of a source in order of id, dealt to batches of bounded size."""
-    tokens = texts(spark, d).select("source", "doc_id", (F.length("text") / 4 + 1).cast("bigint").alias("tokens"))
-    lists = tokens.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", "tokens"))).alias("own"))
-    numbered = lists.select("own", chunking.batches(F.transform("own", lambda x: x["tokens"])).alias("batch"))
-    return numbered.select(F.inline(F.arrays_zip("own", "batch"))).select("own.doc_id", "batch")
+    """The chunks of each document, dealt to batches of bounded size."""
+    rows = _spaced(spark, d).select("doc_id", chunking.packed(F.col("text")).alias("chunks"))
+    rows = rows.withColumn("batches", chunking.batches(F.transform("chunks", token_count), *BATCH))
+    return rows.select("doc_id", F.posexplode("batches").alias("ordinal", "batch")).withColumn("ordinal", F.col("ordinal").cast("bigint"))
 
 
 def marker_strip(spark, d):
     docs = texts(spark, d)
-    marked = F.concat(F.lit("[ch_"), F.sha2("text", 256), F.lit("] "), F.col("text"), F.lit(" ch_"), F.sha2("source", 256), F.lit(" ."))
+    one, two = F.sha2("text", 256), F.upper(F.sha2("source", 256))
+    marked = F.concat(F.lit("[ch_"), one, F.lit(", CH_"), two, F.lit("] "), F.col("text"), F.lit(" (see [ch_"), one, F.lit("] )  and [ more\tch_"), two, F.lit(" ] ."))
     return docs.select("doc_id", without_markers(marked).alias("text"))
 
 
@@ -132,20 +137,19 @@ def one_sentence(spark, d):
 
 
 def claim_containment(spark, d):
-    """Which documents hold which benchmark passage: a bounded set of claims against all rows."""
-    fold = oc.containment_form_ascii
-    claims = table(spark, d, "benchmark").select("item_id", fold(F.col("text")).alias("claim"))
-    docs = texts(spark, d).select("doc_id", fold(F.col("text")).alias("chunk"))
-    return docs.join(F.broadcast(claims), F.contains(F.col("chunk"), F.col("claim"))).select("item_id", "doc_id")
+    """Which documents hold which benchmark passage: a set of claims against all rows."""
+    claims = table(spark, d, "benchmark").select("item_id", containment_form(F.col("text")).alias("claim"))
+    docs = texts(spark, d).select("doc_id", containment_form(F.col("text")).alias("chunk"))
+    return oc.holders(claims, docs, "item_id", "doc_id")
 
 
 def sentence_tokens(spark, d):
-    tokens = fc.sentence_tokens(oc.containment_form_ascii(F.col("text")))
+    tokens = fc.sentence_tokens(containment_form(F.col("text")))
     return texts(spark, d).select("doc_id", F.posexplode(tokens).alias("pos", "token")).withColumn("pos", F.col("pos").cast("bigint"))
 
 
 def _vocabulary(spark, d):
-    return texts(spark, d).select(F.explode(fc.sentence_tokens(oc.containment_form_ascii(F.col("text")))).alias("token")).distinct()
+    return texts(spark, d).select(F.explode(fc.sentence_tokens(containment_form(F.col("text")))).alias("token")).distinct()
 
 
 def base_sets(spark, d):
@@ -169,7 +173,7 @@ def _decompositions(spark, d):
     part = both.select(F.concat(F.lit("part-"), F.col("item_id").cast("string")).alias("sentence_id"), "parent", F.slice("own", 1, 1).alias("sub_claims"))
     twice = both.select(F.concat(F.lit("twice-"), F.col("item_id").cast("string")).alias("sentence_id"), "parent", F.concat(F.slice("own", 1, 2), F.slice("own", 1, 1)).alias("sub_claims"))
     other = both.where("next is not null").select(F.concat(F.lit("other-"), F.col("item_id").cast("string")).alias("sentence_id"), "parent", "next")
-    return own.union(part).union(twice).union(other)
+    return own.union(part).union(twice).union(other).withColumn("parent", F.upper("parent"))
 
 
 def decomposition_verdict(spark, d):
@@ -178,7 +182,7 @@ def decomposition_verdict(spark, d):
 
 def additive_verdict(spark, d):
     rows = _decompositions(spark, d).select("sentence_id", "parent", F.posexplode("sub_claims").alias("pos", "claim"))
-    tokens = lambda c: fc.prepared(fc.sentence_tokens(oc.containment_form_ascii(F.col(c))))
+    tokens = lambda c: fc.prepared(fc.sentence_tokens(containment_form(F.col(c))))
     rows = rows.withColumn("c", tokens("claim")).withColumn("p", tokens("parent"))
     rows = rows.select("sentence_id", F.col("pos").cast("bigint").alias("pos"), fc.additive_failure(F.col("c"), F.col("p")).alias("v"))
     return rows.select("sentence_id", "pos", "v.category", "v.token")
@@ -186,7 +190,7 @@ def additive_verdict(spark, d):
 
 def completeness_verdict(spark, d):
     """The first word of a passage that its first sentence lacks."""
-    fold = lambda c: fc.prepared(fc.sentence_tokens(oc.containment_form_ascii(c)))
+    fold = lambda c: fc.prepared(fc.sentence_tokens(containment_form(c)))
     items = table(spark, d, "benchmark").select("item_id", fold(F.col("text")).alias("p"), fold(F.get(sentences(F.col("text")), F.lit(0))).alias("r"))
     return items.select("item_id", fc.first_uncovered(F.col("p"), F.col("r")).alias("missed"))
 
@@ -231,23 +235,11 @@ def doctor_skip_summary(spark, d):
 
 
 LABEL_SQL = "CASE split_part(value_path, '[', 1) " + " ".join(f"WHEN '{k}' THEN '{v.replace(chr(39), chr(39) * 2)}'" for k, v in LABELS.items()) + " ELSE '' END"
-TOKENS_SQL = r"""list_filter(list_transform(string_split_regex(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), '\s+'),
-    lambda t: regexp_replace(t, '^[.,;:!?"''()\[\]{}<>]+|[.,;:!?"''()\[\]{}<>]+$', '', 'g')), lambda t: t <> '')"""
-
-
-def _base_sql(t: str) -> str:
-    cut = lambda s: f"CASE WHEN ends_with({t}, '{s}') THEN left({t}, length({t}) - {len(s)}) END"
-    doubled = lambda s: f"CASE WHEN ends_with({t}, '{s}') AND length({t}) >= {len(s) + 2} AND substr({t}, length({t}) - {len(s)}, 1) = substr({t}, length({t}) - {len(s)} - 1, 1) THEN left({t}, length({t}) - {len(s)} - 1) END"
-    to_y = lambda s: f"CASE WHEN ends_with({t}, 'i{s}') THEN left({t}, length({t}) - {len(s)} - 1) || 'y' END"
-    parts = [cut("s"), cut("es"), cut("ed"), cut("ing"), f"{cut('ed')} || 'e'", f"{cut('ing')} || 'e'", doubled("ed"), doubled("ing"), to_y("es"), to_y("ed")]
-    return f"list_distinct(list_concat([{t}], list_filter([{', '.join(parts)}], lambda b: b IS NOT NULL AND length(b) >= 3)))"
-
-
+TOKENS_SQL = _tokens_sql("text")
 VOCAB_SQL = f"vocab AS (SELECT DISTINCT unnest({TOKENS_SQL}) AS token FROM documents)"
 NUMBERED = "SELECT doc_id, CAST(i - 1 AS BIGINT) AS pos, xs[i] AS {name} FROM (SELECT doc_id, xs, unnest(range(1, len(xs) + 1)) AS i FROM ({inner}))"
 SENTENCES_SQL = "list_filter(list_transform(string_split(regexp_replace(text, '({end})', '{put}', 'g'), chr(30)), lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: s <> '')"
 SURVEY_SQL = "survey AS (SELECT 'docs/' || doc_id || '.md' AS path, list_filter(list_distinct(list_transform(string_split(text, chr(10)), lambda l: split_part(l, ' ', 1))), lambda h: h <> '') AS headings FROM documents)"
-MARK = "\x1e"
 
 QUERIES = {
     "paragraph_split": (paragraph_split, NUMBERED.format(name="paragraph", inner="SELECT doc_id, list_filter(string_split(regexp_replace(text, '^[ \\t\\n]+|[ \\t\\n]+$', '', 'g'), chr(10)), lambda p: length(trim(p, ' ' || chr(9) || chr(10))) > 0) AS xs FROM documents")),
@@ -262,16 +254,17 @@ QUERIES = {
     ),
     "evidence_blocks": (evidence_blocks, f"WITH {RECORDS_SQL}, {UNITS_SQL} SELECT id, value_path, 'CHUNK ' || (schema_order + 1) || ' (' || id || ')' || chr(10) || 'Field: ' || {LABEL_SQL} || chr(10) || text AS block FROM units"),
     "missing_provenance": (missing_provenance, f"WITH {RECORDS_SQL}, {UNITS_SQL} SELECT DISTINCT id, value_path FROM units WHERE schema_order NOT IN (0, 2, 4, 8)"),
-    "pack_chunks": (pack_chunks, None),
-    "overlap_chunks": (overlap_chunks, None),
-    "batch_assignment": (batch_assignment, None),
+    "pack_chunks": (pack_chunks, PACK_CHUNKS),
+    "overlap_chunks": (overlap_chunks, OVERLAP_CHUNKS),
+    "batch_assignment": (batch_assignment, batches_sql(*BATCH)),
     "marker_strip": (
         marker_strip,
-        r"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace('[ch_' || sha256(text) || '] ' || text || ' ch_' || sha256(source) || ' .',
-        '\[\s*ch_[0-9a-f]{64}(?:\s*,\s*ch_[0-9a-f]{64})*\s*\]', '', 'g'), '\bch_[0-9a-f]{64}\b', '', 'g'), '\s+([.,;:!?])', '\1', 'g'), '\s{2,}', ' ', 'g')) AS text FROM documents""",
+        r"""WITH m AS (SELECT doc_id, '[ch_' || sha256(text) || ', CH_' || upper(sha256(source)) || '] ' || text || ' (see [ch_' || sha256(text) || '] )  and [ more' || chr(9) || 'ch_' || upper(sha256(source)) || ' ] .' AS t FROM documents),
+        g AS (SELECT doc_id, regexp_replace(regexp_replace(t, '\[\s*ch_[0-9a-f]{64}(?:\s*,\s*ch_[0-9a-f]{64})*\s*\]', '', 'gi'), '\bch_[0-9a-f]{64}\b', '', 'gi') AS t FROM m)
+        SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(t, '\s+', ' ', 'g'), ' ([.,;:!?)\]}])', '\1', 'g'), '([(\[{]) ', '\1', 'g')) AS text FROM g""",
     ),
     "one_sentence": (one_sentence, f"SELECT doc_id, len(regexp_extract_all(text, '{END}')) = 1 AS one FROM documents"),
-    "claim_containment": (claim_containment, r"SELECT item_id, doc_id FROM benchmark b, documents d WHERE contains(trim(regexp_replace(lower(d.text), '\s+', ' ', 'g')), trim(regexp_replace(lower(b.text), '\s+', ' ', 'g')))"),
+    "claim_containment": (claim_containment, f"SELECT item_id, doc_id FROM (SELECT item_id, {FOLD_SQL.format('text')} AS claim FROM benchmark) b, (SELECT doc_id, {FOLD_SQL.format('text')} AS chunk FROM documents) d WHERE contains(chunk, claim)"),
     "sentence_tokens": (sentence_tokens, NUMBERED.format(name="token", inner="SELECT doc_id, " + "__T__" + " AS xs FROM documents").replace("__T__", TOKENS_SQL)),
     "base_sets": (base_sets, f"WITH {VOCAB_SQL} SELECT token, array_to_string(list_sort({_base_sql('token')}), ',') AS bases FROM vocab"),
     "token_match_pairs": (
@@ -279,11 +272,11 @@ QUERIES = {
         f"""WITH {VOCAB_SQL}, b AS (SELECT token, unnest({_base_sql("token")}) AS base FROM vocab WHERE token NOT IN ({quoted(fc.FUNCTION_WORDS)}))
         SELECT DISTINCT a.token, b.token AS other FROM b a JOIN b USING (base) WHERE a.token < b.token""",
     ),
-    "additive_verdict": (additive_verdict, None),
+    "additive_verdict": (additive_verdict, ADDITIVE_VERDICT),
     "completeness_verdict": (
         completeness_verdict,
         f"""WITH t AS (SELECT item_id, {TOKENS_SQL} AS ts, {SENTENCES_SQL.format(end=END, put=chr(92) + "1" + MARK)}[1] AS s FROM benchmark),
-        r AS (SELECT item_id, {TOKENS_SQL.replace("lower(text)", "lower(s)")} AS rs FROM t),
+        r AS (SELECT item_id, {_tokens_sql("s")} AS rs FROM t),
         p AS (SELECT item_id, i, ts[i] AS token FROM (SELECT item_id, ts, unnest(range(1, len(ts) + 1)) AS i FROM t)),
         rb AS (SELECT item_id, token, unnest({_base_sql("token")}) AS base FROM (SELECT item_id, unnest(rs) AS token FROM r) WHERE token NOT IN ({quoted(fc.FUNCTION_WORDS)})),
         pb AS (SELECT item_id, i, unnest({_base_sql("token")}) AS base FROM p WHERE token NOT IN ({quoted(fc.FUNCTION_WORDS)})),
@@ -292,8 +285,8 @@ QUERIES = {
                  WHERE p.token NOT IN ({quoted(fc.FUNCTION_WORDS + fc.CLAUSE_CONNECTIVES)}) GROUP BY p.item_id)
         SELECT t.item_id, p.token AS missed FROM t LEFT JOIN miss USING (item_id) LEFT JOIN p ON p.item_id = miss.item_id AND p.i = miss.i""",
     ),
-    "decomposition_verdict": (decomposition_verdict, None),
-    "sentence_fate": (sentence_fate, None),
+    "decomposition_verdict": (decomposition_verdict, DECOMPOSITION_VERDICT),
+    "sentence_fate": (sentence_fate, SENTENCE_FATE),
     "coverage_abstention": (
         coverage_abstention,
         """WITH r AS (SELECT conv_id AS query_id, CASE WHEN role <> 'system' THEN length(text) % 5 > 0 END AS covered, CASE WHEN role = 'system' OR turn % 2 = 0 THEN true ELSE false END AS nothing FROM conversations)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import re
 import time
@@ -46,6 +47,64 @@ def with_retries(call: Callable, pauses: tuple[float, ...] = PAUSES, sleep: Call
     return run
 
 
+def schema_of(shape: object) -> dict:
+    """The strict JSON schema of a shape: a dict of fields, a list of one shape, or ``str`` or ``bool``."""
+    if isinstance(shape, dict):
+        return {"type": "object", "properties": {k: schema_of(v) for k, v in shape.items()}, "required": list(shape), "additionalProperties": False}
+    if isinstance(shape, list):
+        return {"type": "array", "items": schema_of(shape[0])}
+    return {"type": {str: "string", bool: "boolean"}[shape]}
+
+
+def mismatch(value: object, shape: object, at: str = "answer") -> str | None:
+    """Where a parsed answer departs from its shape; None if nowhere."""
+    if isinstance(shape, dict):
+        if not isinstance(value, dict) or set(value) != set(shape):
+            return f"{at} must be an object of exactly {', '.join(shape)}"
+        inner = [(value[k], s, f"{at}.{k}") for k, s in shape.items()]
+    elif isinstance(shape, list):
+        if not isinstance(value, list):
+            return f"{at} must be a list"
+        inner = [(v, shape[0], f"{at}[{i}]") for i, v in enumerate(value)]
+    else:
+        return None if type(value) is shape else f"{at} must be of type {schema_of(shape)['type']}"
+    return next((m for v, s, where in inner if (m := mismatch(v, s, where))), None)
+
+
+#: What each concern answers (fixed values: field names of the answers).
+SHAPES = {
+    "facets": {"facets": [{"id": str, "text": str}]},
+    "draft": {"sentences": [{"id": str, "text": str, "chunk_ids": [str]}]},
+    "decompose": {"sub_claims": [{"text": str}]},
+    "entail": {"supported": bool, "reason": str},
+    "coverage": {"rows": [{"facet_id": str, "covered": bool, "reason": str, "sentence_ids": [str]}]},
+}
+
+
+def structured(ask: Callable[[dict, str | None], str | None], concern: str, check: Callable = lambda value: value, pauses: tuple[float, ...] = PAUSES, log: list | None = None):
+    """The checked answer of a model that is asked with a JSON schema.
+
+    ``ask`` takes the schema and the problem of the answer before (None at
+    first) and gives text. An answer that is no JSON object, not of the shape,
+    or refused by ``check`` (which raises ``Invalid``) is asked for once more.
+    """
+    problem = None
+    for _ in range(2):
+        text = with_retries(ask, pauses, log=log, concern=concern)(schema_of(SHAPES[concern]), problem)
+        try:
+            value = json.loads(text or "")
+        except ValueError:
+            problem = "answer is not JSON"
+            continue
+        problem = mismatch(value, SHAPES[concern])
+        if problem is None:
+            try:
+                return check(value)
+            except Invalid as e:
+                problem = str(e)
+    raise Invalid(f"{concern}: {problem}")
+
+
 def tokens(text: str) -> list[str]:
     return re.findall(r"\w+", text.lower())
 
@@ -90,6 +149,15 @@ def entailed(claim: str, evidence: list[str]) -> bool:
     return any(flat in " ".join(e.split()).casefold() for e in evidence)
 
 
+def covered_by(question: str, facets: list[tuple[str, str]], said: list[tuple[str, str]]) -> list[dict]:
+    """A row for each facet: the sentences that share a longer word with it."""
+    rows = []
+    for facet_id, facet in facets:
+        named = [i for i, s in said if covers(facet, [s])]
+        rows.append({"facet_id": facet_id, "covered": bool(named), "reason": "shares a word" if named else "shares no word", "sentence_ids": named})
+    return rows
+
+
 def covers(facet: str, said: list[str]) -> bool:
     asked = {w for w in tokens(facet) if len(w) > 3}
     return any(asked & set(tokens(s)) for s in said)
@@ -104,7 +172,7 @@ class Providers:
     answer: Callable[[str, list[tuple[str, str]]], list[tuple[str, list[str]]]] = extract_answer
     decompose: Callable[[str], list[str]] = split_sentence
     entail: Callable[[str, list[str]], bool] = entailed
-    covers: Callable[[str, list[str]], bool] = covers
+    coverage: Callable[[str, list[tuple[str, str]], list[tuple[str, str]]], list[dict]] = covered_by
     model: str = "hash-64"
     dimensions: int = 64
     encoding: str = "words-and-marks"
@@ -122,6 +190,24 @@ class Providers:
             raise Invalid("an answer has at most 12 sentences, each citing 1 to 8 known chunks")
         return out
 
+    def checked_decomposition(self, sentence: str) -> list[str]:
+        """Sub-claims, trimmed; any number (the verdict judges it), none of them blank."""
+        out = [c.strip() for c in with_retries(self.decompose, self.pauses)(sentence)]
+        if "" in out:
+            raise Invalid("a sub-claim is blank")
+        return out
+
+    def checked_coverage(self, question: str, facets: list[tuple[str, str]], said: list[tuple[str, str]]) -> list[dict]:
+        """One row for each facet, in order; a covered one names sentences, in order, another none."""
+        rows, place = with_retries(self.coverage, self.pauses)(question, facets, said), {i: n for n, (i, _) in enumerate(said)}
+        if [r["facet_id"] for r in rows] != [i for i, _ in facets]:
+            raise Invalid("coverage has one row for each facet, in their order")
+        for r in rows:
+            named = r["sentence_ids"]
+            if not r["reason"].strip() or set(named) - set(place) or [place[i] for i in named] != sorted({place[i] for i in named}) or bool(named) != r["covered"]:
+                raise Invalid(f"coverage of {r['facet_id']} needs a reason, and sentences if and only if it is covered")
+        return rows
+
     def checked_embedding(self, texts: list[str]) -> list[list[float]]:
         out = with_retries(self.embed, self.pauses)(texts)
         if len(out) != len(texts) or any(len(v) != self.dimensions or not all(map(math.isfinite, v)) for v in out):

@@ -47,7 +47,7 @@ MANIFEST = struct(
 )
 CHUNK = struct(chunk_id=S, record_id=S, record_title=S, record_status=S, record_tags=array(S), value_path=S, fingerprint=S, ordinal=L, text=S)
 PARSED = struct(record=RECORD, violations=array(VIOLATION), unknown_fields=array(S))
-LEDGER = struct(record_id=S, state=S, desired_fingerprint=S, active_fingerprint=S, entry_digest=S, record_digest=S, failure_code=S, changed_at=S)
+LEDGER = struct(record_id=S, state=S, desired_fingerprint=S, active_fingerprint=S, entry_digest=S, record_digest=S, failure_code=S, removal_reason=S, changed_at=S)
 
 # The closed vocabularies.
 STATUSES = ("proposed", "accepted", "superseded", "rejected")

@@ -1,7 +1,10 @@
 """Index generations: immutable Parquet tables and a pointer to the active one.
 
 ``FORMAT``, ``ACTIVE`` and ``generations/<id>/<table>``. A reader pins the
-generation that ACTIVE names, so it needs no lock; a writer holds ``LOCK``.
+generation that ACTIVE names, so it needs no lock to read; one that must not
+lose it to ``drop_inactive`` holds a shared lock, a file under ``READERS``. A
+writer holds ``LOCK``. Locks name when they end; one that a crashed process
+left behind counts no more after that.
 Files are reached through Hadoop's file systems, so a store may lie anywhere
 Spark can write.
 """
@@ -9,12 +12,21 @@ Spark can write.
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-FORMAT = "2"
+from tessera.operators.index import parity_problems
+
+FORMAT = "3"
+LOCATOR = ["record_id", "fingerprint", "value_path", "ordinal"]
+#: The columns that a table must have.
+KEYS = {
+    "chunk": {"chunk_id", *LOCATOR, "text"}, "vector": {"chunk_id", *LOCATOR, "vector"}, "tag": {"record_id", "tag"}, "chunk_source": {"chunk_id", "path", "section"},
+    "snapshot": {"record_id", "title", "status", "fingerprint"}, "ledger": {"record_id", "state", "desired_fingerprint", "active_fingerprint"}, "link": {"successor_id", "predecessor_id"},
+}
 TABLES = ("chunk", "vector", "tag", "chunk_source", "snapshot", "ledger", "link")
 
 
@@ -75,23 +87,77 @@ class Store:
         self._write("ACTIVE", generation)
         return generation
 
-    @contextmanager
-    def writing(self):
-        """Hold the writer's lock; a second writer fails at once."""
+    def _lock_ends(self, name: str) -> float:
+        try:
+            return float(self._read(name) or 0)
+        except Exception:  # it went meanwhile, or is being written
+            return float("inf") if self._exists(name) else 0.0
+
+    def _create(self, name: str, lease: float) -> bool:
+        """Write a lock that must not exist yet."""
         try:
-            self._fs.create(self._path("LOCK"), False).close()
-        except Exception as e:
-            raise StoreError("another writer holds the store") from e
+            out = self._fs.create(self._path(name), False)
+        except Exception:
+            return False
+        out.write(bytearray(str(time.time() + lease).encode()))
+        out.close()
+        return True
+
+    @contextmanager
+    def writing(self, lease: float = 86_400.0):
+        """Hold the writer's lock for ``lease`` seconds at most; a second writer fails at once."""
+        if not self._create("LOCK", lease):
+            if self._lock_ends("LOCK") > time.time():
+                raise StoreError("another writer holds the store")
+            self._fs.delete(self._path("LOCK"), False)
+            if not self._create("LOCK", lease):
+                raise StoreError("another writer holds the store")
         try:
             yield self
         finally:
             self._fs.delete(self._path("LOCK"), False)
 
+    @contextmanager
+    def reading(self, lease: float = 86_400.0):
+        """Hold a shared lock: any number at once, and no generation goes meanwhile."""
+        name = f"READERS/{uuid.uuid4().hex}"
+        self._create(name, lease)
+        try:
+            yield self
+        finally:
+            self._fs.delete(self._path(name), False)
+
+    def readers(self) -> int:
+        if not self._exists("READERS"):
+            return 0
+        names = [x.getPath().getName() for x in self._fs.listStatus(self._path("READERS"))]
+        return sum(self._lock_ends(f"READERS/{n}") > time.time() for n in names)
+
+    def problems(self) -> list[str]:
+        """What is wrong with the active generation: missing or unreadable tables, other columns, chunks without vectors."""
+        active = self.active()
+        if active is None:
+            return ["no active generation"]
+        found = []
+        for name in TABLES:
+            try:
+                columns = set(self.table(name, active).columns)
+            except Exception as e:
+                found.append(f"{name}: {type(e).__name__}")
+                continue
+            if lost := KEYS[name] - columns:
+                found.append(f"{name}: no column {', '.join(sorted(lost))}")
+        if not found and not parity_problems(self.table("chunk", active), self.table("vector", active), LOCATOR).isEmpty():
+            found.append("chunks and vectors do not match")
+        return found
+
     def drop_inactive(self) -> list[str]:
-        """Delete generations other than the active one; no reader may still pin them."""
+        """Delete generations other than the active one; refused while readers hold the store."""
         active, gone = self.active(), []
         if active is None:
             return gone
+        if self.readers():
+            raise StoreError("readers hold the store")
         for status in self._fs.listStatus(self._path("generations")):
             name = status.getPath().getName()
             if name != active:

@@ -3,15 +3,49 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once into ``spark.checkpoint.dir``; only a local master may leave that unset."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share.
+
+    A cluster names it in ``spark.checkpoint.dir``. Only a local master may
+    leave it unset: driver and executors are then one process on one disk.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    own = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not own.isDefined():
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-", dir="/tmp"))
+        own = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return own.get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once into the shared folder; later reads survive lost executors."""
+    folder, context = shared_dir(df.sparkSession), df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Like ``cut`` for wide rows or rows of which some columns are read: a compressed Parquet table."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/tessera-{uuid.uuid4().hex}.parquet"
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the tables of ``stored`` frames that nothing will read any more."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

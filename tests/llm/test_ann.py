@@ -31,7 +31,10 @@ def recall(got, want):
 
 
 def test_recall_against_brute_force(spark):
-    rows = table(spark, "/root/testdata/check_s", "embeddings")
+    rows = table(spark, "/root/testdata/sf0.1", "embeddings")
+    good = rows.where(ann.usable(F.col("embedding"))).select(F.col("embedding").cast("array<double>").alias("vector"), F.xxhash64("embedding").alias("print"))
+    router = ann.fit_router(good, good.count(), k=5, sample_rows=6000, wanted=0.97)
+    assert router.parts >= 8 and router.visits < router.parts
     got = answers(ann.search(rows, F.col("id") % 50 == 0))
     want = brute([(r["vec_id"], r["embedding"]) for r in rows.collect()])
     assert recall(got, want) >= 0.95
@@ -40,6 +43,22 @@ def test_recall_against_brute_force(spark):
     assert all(abs(exact[q][i] - s) < 1e-15 for q, a in got.items() for i, s in a if i in exact[q])
 
 
+def test_recall_over_many_clusters_and_partitions(spark):
+    rng = np.random.default_rng(9)
+    points = np.repeat(rng.normal(size=(60, 16)), 150, axis=0) + 0.5 * rng.normal(size=(9000, 16))
+    rows = [(i, v) for i, v in enumerate(points.tolist())]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(8)
+    got, want = answers(ann.search(df, F.col("id") % 50 == 0, sample_rows=1500)), brute(rows)
+    assert ann.per_level(9000) == 4 and recall(got, want) >= 0.9
+    assert {len(a) for a in got.values()} == {5}
+
+
+def test_huge_and_tiny_components(spark):
+    rows = [(i, [x * (1.0 + i % 7), x]) for i, x in enumerate([1e300, -1e300, 1e-300, 5e-200, 1.0, 3.0] * 10)]
+    got = answers(ann.search(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), F.col("id") % 50 == 0))
+    assert got == brute(rows) and all(-1.0000001 <= s <= 1.0000001 for a in got.values() for _, s in a)
+
+
 def test_exact_on_one_partition_with_ties_and_bad_vectors(spark):
     rng = np.random.default_rng(0)
     rows = [(i, rng.normal(size=4).astype(np.float32).tolist()) for i in range(40)] + [(i, [1.0, 2.0, 3.0, 4.0]) for i in range(50, 120)]
@@ -55,7 +74,8 @@ def test_sparse_partitions_are_widened(spark, monkeypatch):
     rng = np.random.default_rng(3)
     rows = [(i, (np.eye(3)[0 if i < 3 else 1] + 0.1 * rng.normal(size=3)).tolist()) for i in range(60)]
     # three parts: the first holds three rows, the last none; one is visited
-    monkeypatch.setattr(ann, "fit_router", lambda *_, **__: ann.Router(np.array([[1.0, 0, 0], [0, 1.0, 0], [0, 0, 0]]), np.array([0, 0, -9.0]), 1))
+    level, one = ann.Level(np.array([[1.0, 0, 0], [0, 1.0, 0], [0, 0, 0]]), np.array([0, 0, -9.0])), ann.Level(np.zeros((3, 1)), np.zeros(1))
+    monkeypatch.setattr(ann, "fit_router", lambda *_, **__: ann.Router(level, (one,) * 3, 1))
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
     got = answers(ann.search(df, F.col("id") % 50 == 0))
     assert got == brute(rows) and {len(a) for a in got.values()} == {5}
@@ -82,6 +102,9 @@ def test_parts_are_balanced_and_follow_the_graph():
 @pytest.mark.parametrize("parts", [1, 6])
 def test_router_visits_enough(parts):
     rng = np.random.default_rng(2)
-    points = rng.normal(size=(1500, 8))
-    router = ann.fit_router(points, parts)
-    assert 1 <= router.visits <= parts
+    points = ann.unit(rng.normal(size=(1500, 8)))
+    upper = ann.fit_level(points[:1200], parts)
+    router = ann.Router(upper, tuple(ann.fit_level(points[:1200], 2) for _ in range(parts)))
+    assert len(upper.bias) == parts and router.parts == 2 * parts
+    assert 1 <= ann.visits_for(router, points[:1200], points[1200:], k=5, wanted=0.97) <= router.parts
+    assert ann.visits_for(router, points[:1200], points[:0], k=5, wanted=0.97) == router.parts

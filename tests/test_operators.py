@@ -23,7 +23,7 @@ def on(spark, texts, column):
 
 def test_tokenizer_vectors(spark):
     texts = ["Server-side", "don't retry", "DM-0019", "O’Reilly", "_why_not_", "no not nor", "Café", None, "", "'a' b' 'c", "the of"]
-    got = on(spark, texts, lambda t: ft.lexical_tokens(ft.nfc(t)))
+    got = on(spark, texts, lambda t: ft.lexical_tokens(t))
     assert got == [["server", "side"], ["retry"], ["dm", "0019"], ["o’reilly"], ["not"], ["no", "not", "nor"], ["café"], None, [], ["b", "c"], []]
 
 
@@ -35,6 +35,50 @@ def test_sentences_and_paragraphs(spark):
     assert on(spark, ["One.", "One. Two.", "none"], ft.is_one_sentence) == [True, False, False]
     mark = "ch_" + "a" * 64
     assert on(spark, [f"Said [{mark}, {mark}]. And {mark} again ."], ft.without_markers) == ["Said. And again."]
+    texts = [f"A (see [{mark}] ) b", f"A [{mark.upper()},{mark}]!", f"a {{ x {mark}\n }}", "[see " + mark + "]", None, ""]
+    assert on(spark, texts, ft.without_markers) == ["A (see) b", "A!", "a {x}", "[see]", None, ""]
+
+
+def test_texts_in_other_forms_than_nfc(spark):
+    decomposed = ["Cafe\u0301 cre\u0300me", "\u212bngstro\u0308m", "\u1112\u1161\u11ab", "\u2126 \uf900"]
+    assert on(spark, decomposed, ft.lexical_tokens) == [["café", "crème"], ["ångström"], ["한"], ["ω", "豈"]]
+    import sys
+    import unicodedata
+
+    lost = [c for c in map(chr, range(sys.maxunicode + 1)) if not 0xD800 <= ord(c) < 0xE000 and unicodedata.normalize("NFC", c) != c or unicodedata.combining(c)]
+    assert on(spark, ["".join(lost)], lambda t: ft.nfc(t)) == [unicodedata.normalize("NFC", "".join(lost))]
+    singles = [c for c in lost if not unicodedata.combining(c)]
+    assert on(spark, singles, lambda t: ft.nfc(t)) == [unicodedata.normalize("NFC", c) for c in singles]
+
+
+def test_claims_are_folded_like_their_parent(spark):
+    rows = [
+        ("a", "Die Straße bleibt gesperrt.", ["Die Straße bleibt gesperrt."]),
+        ("b", "Die STRASSE bleibt gesperrt.", ["Die Straße bleibt gesperrt."]),
+        ("c", "The ﬁle is ＯＰＥＮ.", ["The file is open."]),
+        ("d", "The file is open.", ["The ﬁle\u2003is open.", "the FILE is open."]),
+        ("e", "The file is open.", ["The file is red."]),
+        ("f", "The file is open.", []),
+    ]
+    got = claims.decomposition_verdicts(spark.createDataFrame(rows, "sentence_id string, parent string, sub_claims array<string>")).orderBy("sentence_id").collect()
+    assert [(r["disposition"], r["failure_token"]) for r in got] == [("valid", ""), ("valid", ""), ("valid", ""), ("duplicate", ""), ("not_additive", "red"), ("incomplete", "file")]
+
+
+def test_chunks_that_hold_claims(spark):
+    chunks = spark.createDataFrame([(1, "one two three four five six seven"), (2, "xone two three four five sixy"), (3, "two three four"), (4, "")], "c int, chunk string")
+    said = spark.createDataFrame([("a", "one two three four five six"), ("b", "ne two three four five si"), ("c", "three four"), ("d", "e"), ("e", ""), ("f", "two three four five six nine")], "k string, claim string")
+    want = sorted((k, c) for k, t in [tuple(r) for r in said.collect()] for c, x in [tuple(r) for r in chunks.collect()] if t and t in x)
+    assert sorted(tuple(r) for r in claims.holders(said, chunks, "k", "c").collect()) == want
+
+
+def test_digest_of_the_active_set(spark):
+    import hashlib
+    import json
+
+    ids = [f"ch_{i}ü" for i in range(500)]
+    row = index.active_set_digest(spark.createDataFrame([(i,) for i in reversed(ids)], "chunk_id string").repartition(7)).first()
+    assert tuple(row) == (500, hashlib.sha256(json.dumps(sorted(ids), ensure_ascii=False, separators=(",", ":")).encode()).hexdigest())
+    assert tuple(index.active_set_digest(spark.createDataFrame([], "chunk_id string")).first()) == (0, "")
 
 
 def test_value_paths(spark):
@@ -196,20 +240,20 @@ def snapshot(spark, rows):
 def test_lexical_dispositions(spark):
     snap = snapshot(spark, [("c1", "r1", "alpha beta"), ("c2", "r2", "alpha gamma delta"), ("c3", "r3", "omega"), ("c4", "r4", "the of"), ("c5", "r5", "kappa alpha")])
     asked = spark.createDataFrame([(1, "alpha beta?"), (2, "the")], "query_id int, question string")
-    scores = retrieval.bm25(retrieval.postings(snap), retrieval.corpus_stats(snap), asked)
+    scores = retrieval.bm25(retrieval.lexical_index(snap), asked)
     rows = {(r["query_id"], r["chunk_id"]): r for r in retrieval.lexical_stage(snap, scores, asked).collect()}
     assert len(rows) == 10
     assert rows[1, "c1"]["rank"] == 1 and rows[1, "c3"]["disposition"] == "no_term_match"
     assert all(rows[2, c]["disposition"] == "no_term_match" for c in ("c1", "c2", "c3", "c4", "c5"))
     shuffled = snapshot(spark, [("c5", "r5", "kappa alpha"), ("c4", "r4", "the of"), ("c3", "r3", "omega"), ("c2", "r2", "alpha gamma delta"), ("c1", "r1", "alpha beta")]).repartition(3)
-    again = retrieval.bm25(retrieval.postings(shuffled), retrieval.corpus_stats(shuffled), asked)
+    again = retrieval.bm25(retrieval.lexical_index(shuffled), asked)
     assert sorted((r[0], r[1], round(r[2], 9)) for r in scores.collect()) == sorted((r[0], r[1], round(r[2], 9)) for r in again.collect())
 
 
 def test_nonpositive_score(spark):
     snap = snapshot(spark, [("c1", "r1", "alpha"), ("c2", "r2", "beta")])
     asked = spark.createDataFrame([(1, "alpha")], "query_id int, question string")
-    scores = retrieval.bm25(retrieval.postings(snap), retrieval.corpus_stats(snap), asked)
+    scores = retrieval.bm25(retrieval.lexical_index(snap), asked)
     assert {r["chunk_id"]: r["disposition"] for r in retrieval.lexical_stage(snap, scores, asked).collect()} == {"c1": "nonpositive_score", "c2": "no_term_match"}
 
 
@@ -260,6 +304,10 @@ def test_filters():
     for bad in ({"statuses": ["odd"]}, {"tags": [" "]}):
         with pytest.raises(ValueError):
             retrieval.Filters.build(**bad)
+    for path in ("body[*].x", "title[*]", "a..b", "body[x]"):
+        with pytest.raises(ValueError):
+            retrieval.Filters.build(value_paths=[path])
+    assert retrieval.Filters.build(value_paths=[" body[*] ", "why[0]"]).value_paths == ("body[*]", "why[0]")
 
 
 def test_filter_trace_reports_all_reasons_in_order(spark):

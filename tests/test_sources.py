@@ -181,6 +181,7 @@ def test_read_and_write_records(spark, tmp_path):
 
 def test_digests():
     assert digest.canonical_json({"b": "é\r\n", "a": None}) == '{"a":null,"b":"é\\n"}'
+    assert digest.canonical_json({"k": [1, True, 2.5, "e\u0301\r", {"z": "\n\u0303", "y": '"\\'}], 1: {}}) == '{"1":{},"k":[1,true,2.5,"\u00e9\\n",{"y":"\\"\\\\","z":"\\n\u0303"}]}'
     assert digest.record_digest(RECORD) == digest.record_digest(dict(reversed(RECORD.items())))
     assert digest.record_digest(RECORD) != digest.record_digest(RECORD | {"title": "U"})
     entry = {"id": "a", "fingerprint": "f", "contributing_files": ["x"], "record_path": "p", "record_digest": "d", "field_sources": {"why[0]": [{"path": "x", "section": "s"}] * 2}}
