@@ -144,7 +144,7 @@ class Field:
 
 def train(pages: list[list[Block]], *, steps: int = 250, rate: float = 0.1, decay: float = 2e-4, least: int = 3) -> Field:
     """Maximum likelihood by forward-backward and Adam, all pages at once."""
-    pages = [p for p in pages if p]
+    pages = sorted((p for p in pages if p), key=len, reverse=True)
     seen: dict[str, int] = {}
     rows = []
     for p in pages:
@@ -165,34 +165,40 @@ def train(pages: list[list[Block]], *, steps: int = 250, rate: float = 0.1, deca
         where[i, : len(p)] = np.arange(upto, upto + len(p))
         upto += len(p)
     there = where >= 0
+    going = there.sum(axis=0)  # so many pages, the first, have a block at each place
     gold = np.array([b.label == "1" for p in pages for b in p]).astype(int)
     y = np.where(there, gold[np.maximum(where, 0)], 0)
     both = there[:, 1:]
     pair_gold = np.zeros((2, 2))
     np.add.at(pair_gold, (y[:, :-1][both], y[:, 1:][both]), 1)
     start_gold = np.bincount(y[:, 0], minlength=2)
-    target = np.eye(2)[gold]
     params = [np.zeros((len(names), 2)), np.zeros((2, 2)), np.zeros(2)]
     memory = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
     for step in range(1, steps + 1):
         w, t, s = params
-        emit = np.zeros((n, longest, 2))
-        emit[there] = (x @ w.astype(np.float32)).astype(float)
+        # with two labels a message is one number: by how much "article" is ahead of "other"
+        emit = np.zeros((longest, n))
+        emit.T[there] = x @ (w[:, 1] - w[:, 0]).astype(np.float32)
+        (t00, t01), (t10, t11) = t
         fore, rear = np.zeros_like(emit), np.zeros_like(emit)
-        fore[:, 0] = s + emit[:, 0]
+        (e00, e01), (e10, e11) = np.exp(t)
+        fore[0] = s[1] - s[0] + emit[0]
         for j in range(1, longest):
-            move = np.logaddexp(fore[:, j - 1, :1] + t[0], fore[:, j - 1, 1:] + t[1]) + emit[:, j]
-            fore[:, j] = np.where(there[:, j, None], move, fore[:, j - 1])
-        total = np.logaddexp(fore[:, -1, 0], fore[:, -1, 1])
+            here = slice(0, going[j])
+            odds = np.exp(fore[j - 1, here].clip(-300, 300))
+            fore[j, here] = np.log((e01 + e11 * odds) / (e00 + e10 * odds)) + emit[j, here]
         for j in range(longest - 2, -1, -1):
-            ahead = emit[:, j + 1] + rear[:, j + 1]
-            move = np.logaddexp(t[:, 0] + ahead[:, :1], t[:, 1] + ahead[:, 1:])
-            rear[:, j] = np.where(there[:, j + 1, None], move, 0.0)
-        single = np.exp(fore + rear - total[:, None, None])[there]
-        pair = fore[:, :-1, :, None] + t + (emit + rear)[:, 1:, None, :] - total[:, None, None, None]
-        pair = np.exp(pair[both]).sum(axis=0)
-        first = np.exp(fore[:, 0] + rear[:, 0] - total[:, None]).sum(axis=0)
-        grads = [x.T @ (single - target).astype(np.float32) / n + decay * w, (pair - pair_gold) / n + decay * t, (first - start_gold) / n]
+            here = slice(0, going[j + 1])
+            odds = np.exp((emit[j + 1, here] + rear[j + 1, here]).clip(-300, 300))
+            rear[j, here] = np.log((e10 + e11 * odds) / (e00 + e01 * odds))
+        chance = 1 / (1 + np.exp(-(fore + rear).T))
+        over = (chance[there] - gold).astype(np.float32) @ x
+        left, right = fore[:-1].T[both], (emit + rear)[1:].T[both]
+        four = np.stack([np.full_like(left, t00), t01 + right, t10 + left, t11 + left + right])
+        four = np.exp(four - four.max(axis=0))
+        pair = (four / four.sum(axis=0)).sum(axis=1).reshape(2, 2)
+        first = np.array([(1 - chance[:, 0]).sum(), chance[:, 0].sum()])
+        grads = [np.stack([-over, over], axis=1) / n + decay * w, (pair - pair_gold) / n + decay * t, (first - start_gold) / n]
         for p, g, (m, v) in zip(params, grads, memory, strict=True):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
