@@ -1,10 +1,10 @@
 """Approximate nearest neighbours with learned partitions.
 
-Fit, on bounded samples, at two levels of equally many parts: a
+Fit, on bounded samples, at two levels (the lower has one part more): a
 nearest-neighbour graph of the sample is cut into balanced partitions
 (recursive halving, then moves of nodes to the partition where most of their
-neighbours are, within a size limit), and a small softmax classifier learns to
-name a vector's partition. The upper level is fitted on a sample of all
+neighbours are, within a size limit), and a small softmax classifier learns in
+which partitions a vector's neighbours lie. The upper level is fitted on a sample of all
 vectors, the lower ones each on a sample of one upper partition, by the
 executors. Partitions grow in number with the square root of the rows (``per_level``),
 so work grows with rows to the power of one and a half. The number of
@@ -111,17 +111,24 @@ def balanced_parts(points: np.ndarray, graph: np.ndarray, parts: int, sweeps: in
     return label
 
 
-def fit_softmax(points: np.ndarray, label: np.ndarray, parts: int, steps: int = 400, rate: float = 0.05, decay: float = 1e-5, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and biases of a softmax classifier, by Adam on mini-batches."""
+def neighbour_shares(graph: np.ndarray, label: np.ndarray, parts: int) -> np.ndarray:
+    """The share of each point's neighbours that lie in each partition."""
+    out = np.zeros((len(graph), parts))
+    np.add.at(out, (np.repeat(np.arange(len(graph)), graph.shape[1]), label[graph].ravel()), 1.0 / graph.shape[1])
+    return out
+
+
+def fit_softmax(points: np.ndarray, shares: np.ndarray, steps: int = 400, rate: float = 0.05, decay: float = 1e-5, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and biases of a softmax classifier that foretells ``shares``, by Adam on mini-batches."""
     rng = np.random.default_rng(seed)
+    parts = shares.shape[1]
     w, b = np.zeros((points.shape[1], parts)), np.zeros(parts)
     state = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(b), np.zeros_like(b)]
     for t in range(1, steps + 1):
         pick = rng.integers(0, len(points), min(1024, len(points)))
-        x, y = points[pick], label[pick]
-        p = _softmax(8.0 * (x @ w + b))
-        p[np.arange(len(y)), y] -= 1.0
-        for i, (value, grad) in enumerate(((w, x.T @ p / len(y) + decay * w), (b, p.mean(axis=0)))):
+        x = points[pick]
+        p = _softmax(8.0 * (x @ w + b)) - shares[pick]
+        for i, (value, grad) in enumerate(((w, x.T @ p / len(x) + decay * w), (b, p.mean(axis=0)))):
             m, v = state[2 * i], state[2 * i + 1]
             m += 0.1 * (grad - m)
             v += 0.001 * (grad * grad - v)
@@ -171,7 +178,7 @@ class Router:
 
 
 def per_level(n: int) -> int:
-    """Parts at either level for ``n`` rows: their square is about a fifth of the root of n."""
+    """Parts of the upper level for ``n`` rows: their square is about a fifth of the root of n."""
     return max(2, round(n**0.25 / 2.2))
 
 
@@ -180,8 +187,8 @@ def fit_level(points: np.ndarray, parts: int, degree: int = 12) -> Level:
     parts = max(1, min(parts, len(points) // 8))
     if parts == 1:
         return Level(np.zeros((points.shape[1], 1)), np.zeros(1))
-    label = balanced_parts(points, neighbour_graph(points, degree), parts)
-    return Level(*fit_softmax(points, label, parts))
+    graph = neighbour_graph(points, degree)
+    return Level(*fit_softmax(points, neighbour_shares(graph, balanced_parts(points, graph, parts), parts)))
 
 
 def visits_for(router: Router, teach: np.ndarray, held: np.ndarray, *, k: int, wanted: float) -> int:
@@ -224,7 +231,7 @@ def fit_router(rows: DataFrame, n: int, *, k: int, sample_rows: int, wanted: flo
     few = seen.withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy("id"))).where(F.col("r") <= sample_rows).select("part", "vector")
 
     def below(group: pa.Table) -> pa.Table:
-        level = fit_level(unit(_matrix(group.column(1).combine_chunks())), parts)
+        level = fit_level(unit(_matrix(group.column(1).combine_chunks())), parts + 1)
         return pa.table({"part": [group.column(0)[0].as_py()], "weights": [level.weights.ravel().tolist()], "bias": [level.bias.tolist()]}, schema=pa.schema([("part", pa.int32()), ("weights", pa.list_(pa.float64())), ("bias", pa.list_(pa.float64()))]))
 
     fitted = {r["part"]: Level(np.array(r["weights"]).reshape(sample.shape[1], -1), np.array(r["bias"])) for r in few.groupBy("part").applyInArrow(below, "part int, weights array<double>, bias array<double>").collect()}
@@ -252,7 +259,7 @@ def search(rows: DataFrame, queries: Column, id_col: str = "vec_id", vector_col:
 
     index = cut(_routed(kept, router, 1))
     sizes = cut(index.groupBy("part").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks")))
-    sizes = F.broadcast(sizes)  # a row for each partition: per_level(n) squared at most
+    sizes = F.broadcast(sizes)  # a row for each partition: about per_level(n) squared
     held = index.join(sizes, "part").select("part", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), F.lit(0).alias("role"), "id", "vector")
     # queries may have been left out of the index as repeated vectors: they are taken from all rows
     asked = good.where(queries(F.col("id")) if callable(queries) else queries).dropDuplicates(["id", "vector"]).select("id", "vector")
