@@ -45,7 +45,13 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def discard(*frames: DataFrame) -> None:
-    """Delete the tables of ``stored`` frames that nothing will read any more."""
+    """Delete the tables of ``stored`` frames that nothing will read any more.
+
+    The driver's heap is collected as well: Spark removes the shuffle files of a
+    plan only when the driver finds that nothing refers to it any more.
+    """
     for df in frames:
         path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stored_at)
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    if frames:
+        frames[0].sparkSession._jvm.System.gc()
