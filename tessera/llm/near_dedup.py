@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bare, cut, joined, shingle_hashes, stored, word_hashes
+from tessera.llm.common import bare, cut, discard, joined, shingle_hashes, stored, word_hashes
 from tessera.llm.hyperminhash import registers
 from tessera.llm.near_links import near_components
 
@@ -89,7 +89,9 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, percent: i
     first = cut(found.groupBy("component").agg(F.min(F.struct("id", "print")).alias("first"), F.count("*").alias("size")))
     heads = classes.select("print", "node", "id", "size").join(joined(found.select("node", "component"), first, ["component"]).select("node", "first"), "node", "left")
     heads = heads.select("print", "size", F.coalesce("first.id", "id").alias("head"), F.coalesce(F.col("first.print") == F.col("print"), F.lit(True)).alias("main"))
-    placed = joined(named.select("id", "copy", "n", "print"), cut(heads), ["print"]).select("id", "copy", "n", "head", ((F.col("id") == F.col("head")) & F.col("main")).alias("kept"))
+    heads = cut(heads)
+    discard(classes)
+    placed = joined(named.select("id", "copy", "n", "print"), heads, ["print"]).select("id", "copy", "n", "head", ((F.col("id") == F.col("head")) & F.col("main")).alias("kept"))
     return placed.unionByName(rows.where("id is null or n = 0").select("id", "copy", "n", F.col("id").alias("head"), F.lit(True).alias("kept")))
 
 

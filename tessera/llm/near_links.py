@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, joined, stored
+from tessera.llm.common import cut, discard, joined, stored
 from tessera.llm.components import components
 from tessera.llm.hyperminhash import banded, likely, linked
 
@@ -55,6 +55,7 @@ def near_components(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame
     held = tagged.where("component <> main").select("key", dealt(1, blocks).alias("block"), every(parts).alias("part"), F.lit(0).alias("role"), "node", "component")
     passing = tagged.select("key", every(blocks).alias("block"), dealt(2, parts).alias("part"), F.lit(1).alias("role"), "node", "component")
     more = cut(_met_in_blocks(held.unionByName(passing).join(sets, "node"), percent))
+    discard(sets)
     if more.isEmpty():
         return so_far
     return components(links.unionByName(more))

@@ -128,6 +128,7 @@ def near_lines(docs: DataFrame, percent: int, min_words: int, recall: float) ->
     # classes that repeat exactly or are linked; single lines end here
     heads = classes.select("print", "node", "size").join(found, "node", "left").where("size > 1 or component is not null").select("print", "size", F.coalesce("component", "node").alias("head"))
     hits = cut(joined(units.select("id", "start", "length", "words", "print"), cut(heads), ["print"]).select("head", "id", "start", "length", "words").distinct())
+    discard(units, classes)
     clusters = hits.groupBy("head").agg(F.min(F.struct("id", "start")).alias("first"), F.max("id").alias("last"), F.count("*").alias("size"))
     out = joined(hits, cut(clusters.where(F.col("first.id") < F.col("last"))), ["head"])
     stays = (F.col("id") == F.col("first.id")) & (F.col("start") == F.col("first.start"))
