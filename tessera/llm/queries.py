@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, chat, exact_dedup, html_extract, langid, mixing, near_dedup, pack, shard, substring
+from tessera.llm import ann, chat, exact_dedup, exact_topk, hard_negatives, html_extract, langid, lexical_search, mixing, near_dedup, pack, shard, substring
 from tessera.llm.common import table
 
 
@@ -15,6 +15,10 @@ from tessera.llm.common import table
 WEIGHTS = {"good": 0.80, "low": 0.15, "toxic": 0.05}
 
 
+#: In SQL: vectors that take part in the exact searches.
+VALID = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     labelled = mixing.domains_of(table(spark, sf_dir, "labels"))
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text"), labelled, WEIGHTS, keep=["doc_id"])
@@ -66,6 +70,19 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeats(table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"))
+    return hard_negatives.mine(rows, lambda i: i % 50 == 0)
+
+
+def op13_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk.search(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix": op1_mix,
@@ -78,6 +95,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": op8_language_id,
         "op9_shard": op9_shard,
         "op10_substring_dedup": op10_substring_dedup,
+        "op11_lexical_search": op11_lexical_search,
+        "op12_hard_negatives": op12_hard_negatives,
+        "op13_exact_topk": op13_exact_topk,
     }
 
 
@@ -142,4 +162,24 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL
             SELECT m.doc_id, 'run', a.start, b.stop - a.start, hi - lo + 1, cluster_doc, d.start, m.doc_id <> cluster_doc OR ahead <> 0
             FROM m JOIN z a ON a.doc_id = m.doc_id AND a.i = lo JOIN z b ON b.doc_id = m.doc_id AND b.i = hi JOIN z d ON d.doc_id = cluster_doc AND d.i = lo + ahead""",
+        "op11_lexical_search": r"""
+            WITH d AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+            s AS (SELECT count(*) AS docs, CAST(sum(len(ts)) AS BIGINT) AS total FROM d WHERE len(ts) > 0),
+            q AS MATERIALIZED (SELECT item_id, term, count(*) AS qf FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL),
+            f AS MATERIALIZED (SELECT r, any_value(doc_id) AS doc_id, any_value(n) AS n, term, count(*) AS tf FROM (SELECT r, doc_id, len(ts) AS n, unnest(ts) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY r, term),
+            w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM f GROUP BY term), s),
+            p AS (SELECT item_id, r, doc_id, CAST(sum(qf * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // total)))) AS BIGINT) AS score FROM q JOIN w USING (term) JOIN f USING (term), s GROUP BY item_id, r, doc_id),
+            k AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM p WHERE score > 0)
+            SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 20""",
+        "op12_hard_negatives": r"""
+            WITH v AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+                FROM embeddings WHERE label IS NOT NULL AND VALID),
+            s AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+            p AS (SELECT a, b, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5)
+            SELECT p.a AS anchor_id, p.b AS positive_id, CAST(row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.score DESC, n.b) AS INTEGER) AS rank, n.b AS negative_id, p.score AS positive_score, n.score AS negative_score
+            FROM p JOIN s n ON n.a = p.a AND NOT n.same AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score QUALIFY rank <= 3""".replace("VALID", VALID),
+        "op13_exact_topk": r"""
+            WITH v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings WHERE VALID),
+            s AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
+            SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s QUALIFY rank <= 5""".replace("VALID", VALID),
     }
