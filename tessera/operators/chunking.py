@@ -43,7 +43,9 @@ def units(records: DataFrame) -> DataFrame:
         listed(8, "body", body_units(F.col("body"))),
     )
     shown = F.filter(parts, lambda p: F.coalesce(F.trim(F.regexp_replace(p["text"], r"\s+", " ")) != "", F.lit(False)))
-    return records.select("id", "title", "fingerprint", F.inline(shown)).select("id", "title", "fingerprint", "schema_order", "i", "value_path", "text")
+    # ``inline_outer``, so that no filter on the array's size is inferred and evaluated along with all that makes the array
+    rows = records.select("id", "title", "fingerprint", F.inline_outer(shown)).where("value_path is not null")
+    return rows.select("id", "title", "fingerprint", "schema_order", "i", "value_path", "text")
 
 
 def alternative_text(a: Column) -> Column:
@@ -140,7 +142,7 @@ def plan(unit_rows: DataFrame, generation: str, count: Counter = token_count, co
     Ordinals number a value path's chunks. ``oversize`` rows fail their record.
     """
     rows = unit_rows.withColumn("parts", packed(F.col("text"), TARGET, count, compat)).withColumn("parts", with_overlap(F.col("parts"), count, compat))
-    rows = rows.select("id", "title", "fingerprint", "schema_order", "i", "value_path", F.posexplode("parts").alias("ordinal", "text"))
+    rows = rows.select("id", "title", "fingerprint", "schema_order", "i", "value_path", F.posexplode_outer("parts").alias("ordinal", "text")).where("ordinal is not null")
     given = embedding_input(F.col("title"), F.col("value_path"), F.col("text"))
     rows = rows.withColumn("chunk_id", chunk_id(generation, F.col("id"), F.col("fingerprint"), F.col("value_path"), F.col("ordinal")))
     rows = rows.withColumn("embedding_input", given).withColumn("evidence_tokens", count(F.col("text"))).withColumn("input_tokens", count(given))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tessera.functions.claims import base_set
@@ -12,6 +14,8 @@ from tessera.plans.base import FAR_SQL, question_vectors, snapshot, table, vecto
 from tessera.plans.ingest import with_digest
 from tessera.plans.text_queries import RECORDS_SQL, VOCAB_SQL, _base_sql, _vocabulary, records
 from tessera.schemas import RECORD
+from tessera.store.generation import Store
+from tessera.store.shared import shared_dir
 from tessera.streaming import cdc
 
 
@@ -104,6 +108,18 @@ def latest_state_per_record(spark, d):
     return index.latest_state(rows, ["ts", "event_id"]).select("record_id", "event_id", "state")
 
 
+def streamed_latest_state(spark, d):
+    """``events`` as a stream of files, each batch upserted into a table in buckets; its last generation."""
+    rows = table(spark, d, "events").select(F.col("user_id").alias("record_id"), "ts", "event_id", F.col("event_type").alias("state"))
+    home = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    store = Store(spark, f"{home}/store", {"state": ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)})
+    stream = spark.readStream.schema(table(spark, d, "events").schema).option("maxFilesPerTrigger", 4).parquet(f"{d}/event[s].parquet")  # as a pattern, the table may be a file or a folder
+    changes = stream.select(F.col("user_id").alias("record_id"), "ts", "event_id", F.col("event_type").alias("state"))
+    query = cdc.upsert_stream(changes, store, "state", f"{home}/checkpoint", name="events", order=["ts", "event_id"])
+    query.awaitTermination()
+    return store.table("state").select("record_id", "event_id", "state")
+
+
 def store_diff(spark, d):
     """Two stores of chunk texts by their stable triple."""
     docs = table(spark, d, "documents")
@@ -318,6 +334,7 @@ QUERIES = {
         """SELECT count(*) AS n, sha256('["' || string_agg(c, '","' ORDER BY c) || '"]') AS digest FROM (SELECT CAST(doc_id AS VARCHAR) AS c FROM documents)""",
     ),
     "latest_state_per_record": (latest_state_per_record, "SELECT user_id AS record_id, event_id, event_type AS state FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"),
+    "streamed_latest_state": (streamed_latest_state, "SELECT user_id AS record_id, event_id, event_type AS state FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"),
     "store_diff": (
         store_diff,
         """WITH a AS (SELECT source AS record_id, sha256(text) AS fingerprint, count(*) AS in_one FROM documents GROUP BY ALL),

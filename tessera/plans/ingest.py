@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import nullcontext
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -13,8 +14,9 @@ from tessera.operators import chunking, index
 from tessera.providers.ports import Providers
 from tessera.schemas import LEDGER, S
 from tessera.sources.frontmatter import _dict
-from tessera.store.generation import LOCATOR, Store, StoreError
-from tessera.store.shared import cut
+from tessera.store.generation import LOCATOR, TABLES, Store, StoreError, bucket_of, buckets_for
+from tessera.store.shared import cut, discard, stored
+
 #: Fixed value: why a record is removed.
 REMOVED = "absent_from_manifest"
 
@@ -41,7 +43,10 @@ def embedded(chunks: DataFrame, providers: Providers) -> DataFrame:
     return chunks.select("chunk_id", "embedding_input").mapInPandas(run, "chunk_id string, vector array<double>")
 
 
-def ingest(spark: SparkSession, store: Store, entries: DataFrame, providers: Providers | None = None, *, now: str = "", rebuild: bool = False, dry_run: bool = False, fresh_if_other: bool = False, manifest_digest: str | None = None) -> DataFrame:
+def ingest(
+    spark: SparkSession, store: Store, entries: DataFrame, providers: Providers | None = None, *, now: str = "", rebuild: bool = False, dry_run: bool = False, fresh_if_other: bool = False,
+    manifest_digest: str | None = None, removed: DataFrame | None = None, whole: bool = True, batch: tuple[str, int] | None = None, buckets: int | None = None,
+) -> DataFrame:
     """Bring the store to ``entries`` and return (record_id, action, failure_code).
 
     ``entries``: record (struct), fingerprint, entry_digest, record_digest,
@@ -52,57 +57,104 @@ def ingest(spark: SparkSession, store: Store, entries: DataFrame, providers: Pro
     ``record_id`` of their own, for records that cannot be read. The generation
     is published only if every chunk has its vector. A store of another
     pipeline is refused, or with ``fresh_if_other`` a fresh generation is built.
+
+    Only buckets with a changed record are written; the new generation shares
+    the others' files with the one before. ``whole=False``: ``entries`` are
+    changes, other records stay as they are, and ``removed`` (record_id) names
+    those that go. ``batch`` (stream, number): changes nothing if the store has
+    seen that number of that stream, so a batch may be run again.
     """
-    providers = providers or Providers()
+    with nullcontext(store) if dry_run else store.as_writer():
+        return _ingest(spark, store, entries, providers or Providers(), now, rebuild, dry_run, fresh_if_other, manifest_digest, removed, whole, batch, buckets)
+
+
+REPORT = "record_id string, action string, failure_code string"
+
+
+def _ingest(spark, store, entries, providers, now, rebuild, dry_run, fresh_if_other, manifest_digest, removed, whole, batch, buckets) -> DataFrame:
     signature = pipeline_signature(providers.model, providers.dimensions, providers.encoding)
-    active = None if rebuild else store.active()
-    if active and store.meta(active)["signature"] != signature:
+    base = store.active()
+    meta = store.meta(base) if base else {}
+    if batch and meta.get("batches", {}).get(batch[0], -1) >= batch[1]:
+        return spark.createDataFrame([], REPORT)
+    active = None if rebuild else base
+    if active and meta["signature"] != signature:
         if not fresh_if_other:
             raise StoreError("the store was built by another pipeline; rebuild it")
         active = None
-    old = {name: store.table(name, active) for name in ("chunk", "vector", "tag", "chunk_source", "snapshot", "ledger")} if active else {}
-    ledger = old["ledger"] if active else spark.createDataFrame([], LEDGER)
+    ledger = store.table("ledger", active) if active else spark.createDataFrame([], LEDGER)
     rows = with_digest(entries.withColumnRenamed("record_digest", "stated_digest")).withColumn("record_id", F.coalesce(F.col("record.id"), F.col("record_id") if "record_id" in entries.columns else F.lit(None)))
-    plan = cut(index.ingest_plan(rows.select("record_id", "fingerprint"), ledger))
     code = F.when(F.col("record").isNull(), "record.unreadable").when(F.coalesce(F.col("stated_digest") != F.col("record_digest"), F.lit(False)), "digest.record_mismatch")
-    work = rows.join(plan, "record_id").withColumn("failure_code", code)
+    rows = stored(rows.withColumn("failure_code", code))  # every record is read and digested once
+    known = ledger
+    if not whole:
+        named = rows.select("record_id")
+        known = ledger.join(named.unionByName(removed.select("record_id")) if removed is not None else named, "record_id", "left_semi")
+    plan = cut(index.ingest_plan(rows.select("record_id", "fingerprint"), known))
+    work = rows.join(plan, "record_id")
     readable = work.where("failure_code is null")
-    flat = readable.where("action in ('added', 'updated')").select("record.*", "fingerprint")
     sources = readable.select(F.col("record_id").alias("id"), F.explode("field_sources").alias("value_path", "refs"))
     given = sources.select("id", F.regexp_replace("value_path", r"^(decision\.alternatives\[\d+\])\..*$", "$1").alias("value_path"), "refs")
     unsourced = chunking.missing_provenance(chunking.units(readable.select("record.*", "fingerprint")), given).select(F.col("id").alias("record_id")).distinct().withColumn("lost", F.lit(True))
-    chunks = cut(chunking.plan(chunking.units(flat), "g"))
+    flat = readable.where("action in ('added', 'updated')").select("record.*", "fingerprint")
+    chunks = stored(chunking.plan(chunking.units(flat), "g"))
     oversize = chunks.where("oversize").select(F.col("id").alias("record_id")).distinct().withColumn("big", F.lit(True))
     judged = work.select("record_id", "action", "failure_code").join(unsourced, "record_id", "left").join(oversize, "record_id", "left")
     failed = F.coalesce("failure_code", F.when(F.col("lost"), "provenance.missing"), F.when(F.col("big"), "chunking.oversize"))
     fates = judged.select("record_id", "action", failed.alias("failure_code"))
     gone = plan.where("action = 'removed'").select("record_id", "action", F.lit(None).cast("string").alias("failure_code"))
     report = cut(fates.unionByName(gone).withColumn("action", F.when(F.col("failure_code").isNotNull(), "failed").otherwise(F.col("action"))))
-    if dry_run:
-        return report
+    if not dry_run:
+        if buckets is None:
+            buckets = meta["buckets"] if active else buckets_for(report.count())
+        files = _written(store, active, buckets, rows, flat, given, chunks, ledger, report, providers, now)
+        batches = meta.get("batches", {}) | ({batch[0]: batch[1]} if batch else {})
+        store.publish(files, {"signature": signature, "model": providers.model, "manifest_digest": manifest_digest, "written_at": now, "buckets": buckets, "batches": batches}, base)
+    discard(rows, chunks)
+    return report
 
+
+def _written(store: Store, active: str | None, buckets: int, rows: DataFrame, flat: DataFrame, given: DataFrame, chunks: DataFrame, ledger: DataFrame, report: DataFrame, providers: Providers, now: str) -> dict[str, dict[str, str]]:
+    """The files of the next generation: touched buckets written anew, the others as they were."""
+    before = store.meta(active)["files"] if active else {}
     fresh = report.where("action in ('added', 'updated')").select("record_id")
     stale = report.where("action in ('added', 'updated', 'removed')").select("record_id")
-    ready = chunks.withColumnRenamed("id", "record_id").join(fresh, "record_id", "left_semi")
-    new = {
-        "chunk": ready.select("chunk_id", *LOCATOR, "text", "evidence_tokens", "input_tokens"),
-        "chunk_source": ready.select("chunk_id", F.col("record_id").alias("id"), "value_path").join(given, ["id", "value_path"]).select("chunk_id", F.col("id").alias("record_id"), F.explode("refs").alias("r")).select("chunk_id", "record_id", "r.path", "r.section").distinct(),
-        "snapshot": flat.withColumnRenamed("id", "record_id").join(fresh, "record_id", "left_semi").select("record_id", "title", "status", "supersedes", "fingerprint"),
-        "tag": flat.withColumnRenamed("id", "record_id").join(fresh, "record_id", "left_semi").select("record_id", F.explode("tags").alias("tag")).distinct(),
-    }
-    vectors = embedded(ready, providers).join(ready.select("chunk_id", *LOCATOR), "chunk_id")
-    new["vector"] = vectors.select("chunk_id", *LOCATOR, "vector")
-    tables = {name: (old[name].join(stale, "record_id", "left_anti").unionByName(df) if active else df) for name, df in new.items()}
-    known = rows.select("record_id", F.col("fingerprint").alias("desired"), "entry_digest", "record_digest")
+    touched = {r["b"] for r in stale.select(bucket_of(F.col("record_id"), buckets).alias("b")).distinct().collect()}  # a number for each bucket at most
+    files = {name: dict(before.get(name, {})) for name in TABLES}
+
+    def replaced(name: str, new: DataFrame, key: str, gone: DataFrame, where: set[int]) -> DataFrame:
+        if not active:
+            return new
+        old = store.table(name, active, where)
+        return old.join(gone.withColumnRenamed("record_id", key), key, "left_anti").unionByName(new.select(*old.columns))
+
+    def put(name: str, table: DataFrame, where: set[int]) -> None:
+        kept = {b: path for b, path in files[name].items() if int(b) not in where}
+        files[name] = kept | store.write(name, table, buckets)
+
+    if touched:
+        ready = chunks.withColumnRenamed("id", "record_id").join(fresh, "record_id", "left_semi")
+        records = flat.withColumnRenamed("id", "record_id").join(fresh, "record_id", "left_semi")
+        sources = ready.select("chunk_id", F.col("record_id").alias("id"), "value_path").join(given, ["id", "value_path"])
+        snapshot = replaced("snapshot", records.select("record_id", "title", "status", "supersedes", "fingerprint"), "record_id", stale, touched)
+        put("chunk", replaced("chunk", ready.select("chunk_id", *LOCATOR, "text", "evidence_tokens", "input_tokens"), "record_id", stale, touched), touched)
+        put("vector", replaced("vector", embedded(ready, providers).join(ready.select("chunk_id", *LOCATOR), "chunk_id").select("chunk_id", *LOCATOR, "vector"), "record_id", stale, touched), touched)
+        put("tag", replaced("tag", records.select("record_id", F.explode("tags").alias("tag")).distinct(), "record_id", stale, touched), touched)
+        put("chunk_source", replaced("chunk_source", sources.select("chunk_id", F.col("id").alias("record_id"), F.explode("refs").alias("r")).select("chunk_id", "record_id", "r.path", "r.section").distinct(), "record_id", stale, touched), touched)
+        put("snapshot", snapshot, touched)
+        put("link", index.supersession_edges(snapshot.withColumnRenamed("record_id", "id")), touched)
+        here = [[f"{store.root}/{files[name][b]}" for b in sorted(files[name]) if int(b) in touched] for name in ("chunk", "vector")]
+        if not index.parity_problems(store.read("chunk", here[0]), store.read("vector", here[1]), LOCATOR).isEmpty():
+            raise StoreError("chunks and vectors do not match; nothing was published")
+
+    wanted = rows.select("record_id", F.col("fingerprint").alias("desired"), "entry_digest", "record_digest")
     state = F.when(F.col("action") == "removed", "removed").when(F.col("action") == "failed", "failed").otherwise("current")
-    prior = ledger.select("record_id", F.col("active_fingerprint").alias("prior"))
-    book = report.join(known, "record_id", "left").join(prior, "record_id", "left")
-    book = book.select("record_id", state.alias("state"), F.col("desired").alias("desired_fingerprint"), F.when(state == "current", F.col("desired")).when(state == "failed", F.col("prior")).alias("active_fingerprint"), "entry_digest", "record_digest", "failure_code", F.when(F.col("action") == "removed", REMOVED).alias("removal_reason"), F.lit(now).alias("changed_at"))
-    tables["ledger"] = index.replace_rows(ledger, book, ["record_id"])
-    tables["link"] = index.supersession_edges(tables["snapshot"].withColumnRenamed("record_id", "id"))
-    tables = {name: cut(df) for name, df in tables.items()}
-    problems = index.parity_problems(tables["chunk"], tables["vector"], LOCATOR)
-    if not problems.isEmpty():
-        raise StoreError("chunks and vectors do not match; nothing was published")
-    store.publish(tables, {"signature": signature, "model": providers.model, "manifest_digest": manifest_digest, "written_at": now})
-    return report
+    prior = ledger.select("record_id", F.col("active_fingerprint").alias("prior"), F.struct(*[c for c in ledger.columns if c not in ("record_id", "changed_at")]).alias("was"))
+    book = report.join(wanted, "record_id", "left").join(prior, "record_id", "left")
+    held = F.when(state == "current", F.col("desired")).when(state == "failed", F.col("prior"))
+    now_is = [state.alias("state"), F.col("desired").alias("desired_fingerprint"), held.alias("active_fingerprint"), "entry_digest", "record_digest", "failure_code", F.when(F.col("action") == "removed", REMOVED).alias("removal_reason")]
+    changed = cut(book.select("record_id", *now_is, "was").where(~F.struct("state", "desired_fingerprint", "active_fingerprint", "entry_digest", "record_digest", "failure_code", "removal_reason").eqNullSafe(F.col("was"))).drop("was").withColumn("changed_at", F.lit(now)))
+    pages = {r["b"] for r in changed.select(bucket_of(F.col("record_id"), buckets).alias("b")).distinct().collect()}
+    if pages:
+        put("ledger", replaced("ledger", changed, "record_id", changed.select("record_id"), pages), pages)
+    return files

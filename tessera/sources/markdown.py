@@ -372,8 +372,8 @@ def adapt_folder(folder: str, index: bytes | None, rationale: bytes | None) -> d
 
 
 def listing(spark: SparkSession, root: str) -> DataFrame:
-    """(path) of all files under a folder, relative to it."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
+    """(path) of all files under a folder, relative to it; files that go meanwhile are passed over."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").load(root).select("path")
     base = spark._jvm.org.apache.hadoop.fs.Path(root)
     base = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toUri().getPath()
     name = F.regexp_replace("path", r"^[a-z0-9]+:/*(?=/)", "")
