@@ -25,6 +25,8 @@ LABELS = {
     "consequences.negative": "a negative consequence this record accepts",
     "body": "other prose from this record",
 }
+#: The labels that rankings by field see.
+RANKED_LABELS = LABELS | {"decision.chosen": "what this record decided"}
 SPECS = "docs/specs/"
 
 

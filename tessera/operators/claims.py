@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tessera.functions.claims import MAX_CLAIMS, additive_failure, first_uncovered, prepared, sentence_tokens
 from tessera.functions.text import containment_form
 
+#: Characters of claims that one automaton is made of; a character costs it some 30 bytes.
+BLOCK_CHARS = 4_000_000
+
 
 def contained(claims: DataFrame, cited: DataFrame) -> DataFrame:
     """(claim_id, contained): the folded claim is a substring of a cited chunk.
@@ -20,28 +29,60 @@ def contained(claims: DataFrame, cited: DataFrame) -> DataFrame:
     return own.join(chunks, "claim_id", "left").groupBy("claim_id").agg(F.bool_or(hit).alias("contained"))
 
 
-def holders(claims: DataFrame, chunks: DataFrame, claim_id: str, chunk_id: str, width: int = 3) -> DataFrame:
+def holders(claims: DataFrame, chunks: DataFrame, claim_id: str, chunk_id: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(claim_id, chunk_id): which chunks hold which claims, both folded (columns ``claim`` and ``chunk``).
 
-    A chunk that holds a claim has all runs of ``width`` words between the
-    claim's first and last word, which may be parts of words. The longest such
-    run, likely the rarest, finds the chunks by an equi-join; these are then
-    searched. Claims too short for a run are searched for in every chunk.
+    The claims make one Aho-Corasick automaton, so that a chunk is read once
+    whatever their number. They reach the tasks in blocks of ``block_chars``
+    characters (or one claim), each a pass over the chunks; a task holds one
+    automaton. Blank claims are in no chunk.
     """
-    words = F.split("claim", " ")
-    inner = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))
-    runs = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - width + 1), lambda i: F.array_join(F.slice(w, i, width), " "))
-    longest = F.aggregate(runs(F.col("inner")), F.lit(""), lambda best, r: F.when(F.length(r) > F.length(best), r).otherwise(best))
-    named = claims.where("claim <> ''").select(claim_id, "claim", inner.alias("inner"))
-    keyed = named.where(F.size("inner") >= width).select(claim_id, F.xxhash64(longest).alias("key"))
-    said = F.split("chunk", " ")
-    hashed = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("said") - width + 1), lambda i: F.xxhash64(F.array_join(F.slice("said", i, width), " "))))
-    found = chunks.select(chunk_id, said.alias("said")).where(F.size("said") >= width).select(chunk_id, F.explode(hashed).alias("key"))
-    pairs = found.join(keyed, "key").select(claim_id, chunk_id).distinct()
-    hits = pairs.join(claims.select(claim_id, "claim"), claim_id).join(chunks.select(chunk_id, "chunk"), chunk_id).where(F.contains("chunk", "claim"))
-    short = named.where(F.size("inner") < width)
-    rest = chunks.join(short, F.contains(F.col("chunk"), F.col("claim")))
-    return hits.select(claim_id, chunk_id).unionByName(rest.select(claim_id, chunk_id))
+    out = [_found(chunks, claims, block, claim_id, chunk_id) for block in _claim_blocks(claims.where("claim <> ''").select(claim_id, "claim").distinct(), block_chars)]
+    return reduce(DataFrame.unionByName, out) if out else claims.select(claim_id).limit(0).join(chunks.select(chunk_id).limit(0))
+
+
+def _claim_blocks(claims: DataFrame, limit: int) -> Iterator[list[tuple]]:
+    block, chars = [], 0
+    for row in claims.toLocalIterator():
+        if block and chars + len(row[1]) + 8 > limit:
+            yield block
+            block, chars = [], 0
+        block.append(tuple(row))
+        chars += len(row[1]) + 8
+    if block:
+        yield block
+
+
+#: The last block that a Python worker has seen, and its automaton.
+_last: list = [None, None]
+
+
+def _found(chunks: DataFrame, claims: DataFrame, block: list[tuple], claim_id: str, chunk_id: str) -> DataFrame:
+    shared = chunks.sparkSession.sparkContext.broadcast(block)
+    ctype, ktype = claims.schema[claim_id].dataType, chunks.schema[chunk_id].dataType
+    kind = to_arrow_type(ctype)
+
+    def automaton() -> ahocorasick.Automaton:
+        if _last[0] is not shared.value:
+            made = ahocorasick.Automaton()
+            for i, (_, text) in enumerate(shared.value):
+                made.add_word(text, [*made.get(text, []), i])
+            made.make_automaton()
+            _last[:] = shared.value, made
+        return _last[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = automaton()
+        ids = pa.array([r[0] for r in shared.value], kind)
+        for b in batches:
+            rows, hits = [], []
+            for row, text in enumerate(b.column(1)):
+                own = {i for _, same in find.iter(text.as_py() or "") for i in same}
+                rows += [row] * len(own)
+                hits += own
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(hits, pa.int64())), b.column(0).take(pa.array(rows, pa.int64()))], [claim_id, chunk_id])
+
+    return chunks.select(chunk_id, "chunk").mapInArrow(run, f"`{claim_id}` {ctype.simpleString()}, `{chunk_id}` {ktype.simpleString()}")
 
 
 def decomposition_verdicts(rows: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.digest import pipeline_signature, record_digest
-from tessera.operators import chunking, index
+from tessera.operators import chunking, index, packing
 from tessera.providers.ports import Providers
 from tessera.schemas import LEDGER, S
 from tessera.sources.frontmatter import _dict
@@ -97,7 +97,8 @@ def _ingest(spark, store, entries, providers, now, rebuild, dry_run, fresh_if_ot
     given = sources.select("id", F.regexp_replace("value_path", r"^(decision\.alternatives\[\d+\])\..*$", "$1").alias("value_path"), "refs")
     unsourced = chunking.missing_provenance(chunking.units(readable.select("record.*", "fingerprint")), given).select(F.col("id").alias("record_id")).distinct().withColumn("lost", F.lit(True))
     flat = readable.where("action in ('added', 'updated')").select("record.*", "fingerprint")
-    chunks = stored(chunking.plan(chunking.units(flat), "g"))
+    planned = packing.plan(chunking.units(flat), "g", packing.bpe_counter, *providers.vocabulary) if providers.vocabulary else chunking.plan(chunking.units(flat), "g")
+    chunks = stored(planned)
     oversize = chunks.where("oversize").select(F.col("id").alias("record_id")).distinct().withColumn("big", F.lit(True))
     judged = work.select("record_id", "action", "failure_code").join(unsourced, "record_id", "left").join(oversize, "record_id", "left")
     failed = F.coalesce("failure_code", F.when(F.col("lost"), "provenance.missing"), F.when(F.col("big"), "chunking.oversize"))

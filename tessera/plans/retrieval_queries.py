@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.functions.paths import path_selected
-from tessera.functions.text import lexical_tokens
+from tessera.functions.paths import RANKED_LABELS, path_selected
+from tessera.functions.text import STEM_SUFFIXES, canonical_stem, lexical_tokens
 from tessera.operators import retrieval as r
 from tessera.plans.base import BM25_SQL, DIVERSE_SQL, FAR_SQL, FUSED_SQL, KEY, LEX_SQL, SEM_SQL, SNAPSHOT_SQL, question_vectors, questions, snapshot, texts, tokens_sql, vectors
 
@@ -76,6 +76,17 @@ def hybrid_retrieve_filtered(spark, d):
     return rows.where("final_rank is not null").select("query_id", "final_rank", "chunk_id", F.round("fused_score", 9).alias("fused_score"))
 
 
+def canonical_stems(spark, d):
+    """Every token of the documents with its canonical stem."""
+    words = texts(spark, d).select(F.explode_outer(lexical_tokens(F.col("text"))).alias("token")).where("token is not null").distinct()
+    return words.select("token", canonical_stem(F.col("token")).alias("stem"))
+
+
+def field_aware_ranks(spark, d):
+    rows = r.field_aware(snapshot(spark, d), vectors(spark, d), questions(spark, d), question_vectors(spark, d))
+    return rows.select("query_id", "chunk_id", *[F.col(c).cast("bigint").alias(c) for c in ("lexical_rank", "semantic_rank", "fused_rank")], F.round("fused_score", 9).alias("fused_score"))
+
+
 def filter_trace(spark, d):
     rows = r.filter_trace(snapshot(spark, d), FILTERS)
     return rows.select("chunk_id", "state", F.array_join("exclusion_reasons", ",").alias("reasons"))
@@ -97,6 +108,33 @@ def tag_value_paths(spark, d):
     return snap.groupBy("record_id").agg(F.array_join(F.array_sort(F.collect_set("value_path")), ",").alias("value_paths"), F.count_if(F.col("record_status") == "en").alias("n_en"), F.count_if(F.col("record_status").isNull()).alias("n_unparsed"))
 
 
+def _less(t: str, n: int) -> str:
+    return f"CASE WHEN length({t}) >= {n + 2} THEN left({t}, length({t}) - {n}) ELSE {t} END"
+
+
+#: One round of the canonical stem, on a column t.
+BARE_SQL = "CASE " + " ".join(f"WHEN suffix(t, '{x}') THEN {_less('t', len(x))}" for x in STEM_SUFFIXES) + " ELSE t END"
+ROUND_SQL = f"CASE WHEN length(b) >= 2 AND right(b, 1) = substr(b, length(b) - 1, 1) THEN {_less('b', 1)} WHEN suffix(b, 'i') THEN left(b, length(b) - 1) || 'y' WHEN suffix(b, 'e') THEN {_less('b', 1)} ELSE b END"
+STEM_SQL = f"""rounds AS (SELECT word, word AS t, 0 AS i FROM voc UNION ALL SELECT word, u, i + 1 FROM (SELECT word, i, t, {ROUND_SQL} AS u FROM (SELECT word, i, t, {BARE_SQL} AS b FROM rounds WHERE length(word) >= 3)) WHERE u <> t),
+stem AS MATERIALIZED (SELECT word, arg_max(t, i) AS stem FROM rounds GROUP BY word)"""
+RANKED_LABEL_SQL = "CASE split_part(value_path, '[', 1) " + " ".join(f"WHEN '{k}' THEN '{v.replace(chr(39), chr(39) * 2)}' || chr(10) || chr(10)" for k, v in RANKED_LABELS.items()) + " ELSE '' END"
+FIELD_AWARE_SQL = f"""WITH RECURSIVE {SNAPSHOT_SQL}, {FAR_SQL},
+    keyed AS MATERIALIZED (SELECT chunk_id, row_number() OVER (ORDER BY {KEY}) AS place FROM snap),
+    toks AS MATERIALIZED (SELECT chunk_id, unnest({tokens_sql(f"{RANKED_LABEL_SQL} || text")}) AS word FROM snap),
+    asked AS MATERIALIZED (SELECT item_id AS query_id, unnest({tokens_sql("text")}) AS word FROM benchmark),
+    voc AS MATERIALIZED (SELECT word FROM toks UNION SELECT word FROM asked), {STEM_SQL},
+    tf AS MATERIALIZED (SELECT chunk_id, stem AS word, count(*) AS tf FROM toks JOIN stem USING (word) GROUP BY ALL),
+    dl AS MATERIALIZED (SELECT chunk_id, CAST(sum(tf) AS BIGINT) AS dl FROM tf GROUP BY chunk_id),
+    stats AS (SELECT (SELECT count(*) FROM snap) AS n, (SELECT sum(dl) FROM dl) / (SELECT count(*) FROM snap) AS avgdl),
+    raw AS MATERIALIZED (SELECT word, ln(n - df + 0.5) - ln(df + 0.5) AS r FROM (SELECT word, count(*) AS df FROM tf GROUP BY word), stats),
+    idf AS MATERIALIZED (SELECT word, CASE WHEN r < 0 THEN 0.25 * (SELECT avg(r) FROM raw) ELSE r END AS idf FROM raw),
+    q AS MATERIALIZED (SELECT query_id, stem AS word, count(*) AS qf FROM asked JOIN stem USING (word) GROUP BY ALL),
+    bm AS MATERIALIZED (SELECT query_id, chunk_id, sum(qf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM q JOIN idf USING (word) JOIN tf USING (word) JOIN dl USING (chunk_id), stats GROUP BY query_id, chunk_id),
+    lex AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, place) AS lexical_rank FROM bm JOIN keyed USING (chunk_id) WHERE round(score, 9) > 0),
+    sem AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), place) AS semantic_rank FROM far JOIN keyed USING (chunk_id)),
+    both_ranks AS (SELECT query_id, chunk_id, lexical_rank, semantic_rank, coalesce(1.0::DOUBLE / (60 + lexical_rank), 0.0) + coalesce(1.0::DOUBLE / (60 + semantic_rank), 0.0) AS fused FROM lex FULL OUTER JOIN sem USING (query_id, chunk_id))
+    SELECT query_id, chunk_id, lexical_rank, semantic_rank, row_number() OVER (PARTITION BY query_id ORDER BY round(fused, 9) DESC, place) AS fused_rank, round(fused, 9) AS fused_score FROM both_ranks JOIN keyed USING (chunk_id)"""
+
 FILTERED_SNAPSHOT = SNAPSHOT_SQL.replace("FROM documents)", "FROM documents WHERE lang IN ('en', 'fr') AND doc_id % 7 <> 0)")
 
 QUERIES = {
@@ -140,6 +178,8 @@ QUERIES = {
         f"""WITH {BM25_SQL.replace(SNAPSHOT_SQL, FILTERED_SNAPSHOT)}, {LEX_SQL}, {FAR_SQL}, {SEM_SQL}, {FUSED_SQL}, {DIVERSE_SQL}
         SELECT query_id, final_rank, chunk_id, round(fused_score, 9) AS fused_score FROM div WHERE final_rank IS NOT NULL""",
     ),
+    "canonical_stems": (canonical_stems, f"WITH RECURSIVE voc AS MATERIALIZED (SELECT DISTINCT unnest({tokens_sql('text')}) AS word FROM documents), {STEM_SQL} SELECT word AS token, stem FROM stem"),
+    "field_aware_ranks": (field_aware_ranks, FIELD_AWARE_SQL),
     "filter_trace": (
         filter_trace,
         f"""WITH {SNAPSHOT_SQL}, r AS (SELECT chunk_id, list_filter([

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions import claims as fc
 from tessera.functions.paths import LABELS, evidence_block
 from tessera.functions.text import containment_form, is_one_sentence, paragraphs, sentences, token_count, without_markers
-from tessera.operators import chunking, doctor
+from tessera.operators import chunking, doctor, packing
 from tessera.operators import claims as oc
 from tessera.plans.base import quoted, table, texts
 from tessera.plans.text_sql import ADDITIVE_VERDICT, DECOMPOSITION_VERDICT, END, FOLD_SQL, MARK, OVERLAP_CHUNKS, PACK_CHUNKS, SENTENCE_FATE, batches_sql
@@ -114,6 +114,22 @@ def overlap_chunks(spark, d):
     return rows.select("doc_id", F.posexplode(chunking.with_overlap(F.col("chunks"))).alias("ordinal", "text"))
 
 
+def lateral_chunks(spark, d):
+    """The chunks of ``overlap_chunks`` by the table function, in Spark's SQL."""
+    spark.udtf.register("text_chunks", packing.TextChunks)
+    _spaced(spark, d).createOrReplaceTempView("spaced_documents")
+    return spark.sql("SELECT doc_id, c.ordinal, c.chunk AS text FROM spaced_documents, LATERAL text_chunks(text) c")
+
+
+def bpe_chunks(spark, d):
+    """Chunks of at most 400 byte-pair tokens before overlap, with their counts."""
+    import public_tokenizers
+
+    units = _spaced(spark, d).select(F.col("doc_id").cast("string").alias("id"), F.lit("t").alias("title"), F.lit("f").alias("fingerprint"), F.lit(0).alias("schema_order"), F.lit(0).alias("i"), F.lit("body[0]").alias("value_path"), "text")
+    rows = packing.plan(units, "g", packing.bpe_counter, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return rows.select(F.col("id").cast("bigint").alias("doc_id"), "ordinal", "text", "evidence_tokens")
+
+
 #: Chunks and tokens a batch of a document holds at most.
 BATCH = (3, 900)
 
@@ -256,6 +272,8 @@ QUERIES = {
     "missing_provenance": (missing_provenance, f"WITH {RECORDS_SQL}, {UNITS_SQL} SELECT DISTINCT id, value_path FROM units WHERE schema_order NOT IN (0, 2, 4, 8)"),
     "pack_chunks": (pack_chunks, PACK_CHUNKS),
     "overlap_chunks": (overlap_chunks, OVERLAP_CHUNKS),
+    "lateral_chunks": (lateral_chunks, OVERLAP_CHUNKS),
+    "bpe_chunks": (bpe_chunks, None),
     "batch_assignment": (batch_assignment, batches_sql(*BATCH)),
     "marker_strip": (
         marker_strip,

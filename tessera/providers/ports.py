@@ -176,6 +176,8 @@ class Providers:
     model: str = "hash-64"
     dimensions: int = 64
     encoding: str = "words-and-marks"
+    #: A byte-pair vocabulary file and its pattern, by which chunks are counted and packed; name it in ``encoding``.
+    vocabulary: tuple[str, str] | None = None
     pauses: tuple[float, ...] = field(default=PAUSES)
 
     def checked_facets(self, question: str) -> list[str]:
