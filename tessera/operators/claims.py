@@ -116,9 +116,11 @@ def folded_all(claims: Column) -> Column:
     """``containment_form`` of each text of an array.
 
     No Python can run inside an array function, so the texts are folded as one
-    and parted again; ``PART``, which no text holds, survives folding.
+    and parted again at ``PART``, which survives folding and which texts lose
+    before; null claims count as empty.
     """
-    parts = F.transform(F.split(containment_form(F.array_join(claims, PART, "")), PART), lambda c: F.trim(c))
+    plain = F.transform(claims, lambda c: F.translate(F.coalesce(c, F.lit("")), PART, ""))
+    parts = F.transform(F.split(containment_form(F.array_join(plain, PART)), PART), lambda c: F.trim(c))
     return F.when(F.size(claims) > 0, parts).otherwise(F.array().cast("array<string>"))
 
 

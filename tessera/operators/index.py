@@ -68,22 +68,28 @@ def parity_problems(chunks: DataFrame, vectors: DataFrame, locator: list[str]) -
 def active_set_digest(chunks: DataFrame) -> DataFrame:
     """(n, digest): the count and the SHA-256 of the canonical JSON list of the sorted chunk ids; empty for none.
 
-    The ids are sorted by all tasks. The digest itself is sequential by
-    definition: one task streams the sorted ids through it and holds a batch.
+    The ids are sorted by all tasks, in numbered ranges, and each task joins
+    its own to pieces of text. The digest itself is sequential by definition:
+    one task streams the pieces through it, by range and place, and holds one.
     """
 
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for place, b in enumerate(b for b in batches if b.num_rows):
+            listed = canonical_json(b.column(1).to_pylist())[1:-1]
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(0, 1), pa.array([place], pa.int64()), pa.array([b.num_rows], pa.int64()), pa.array([listed])], ["stretch", "place", "ids", "listed"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, whole = 0, hashlib.sha256(b"[")
         for b in batches:
-            if b.num_rows:
-                listed = canonical_json(b.column(0).to_pylist())[1:-1]
-                whole.update(f"{',' if n else ''}{listed}".encode())
-                n += b.num_rows
+            for ids, listed in zip(b.column(2).to_pylist(), b.column(3), strict=True):
+                whole.update(f"{',' if n else ''}{listed.as_py()}".encode())
+                n += ids
         whole.update(b"]")
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([whole.hexdigest() if n else ""])], ["n", "digest"])
 
-    ids = chunks.select(F.col("chunk_id").cast("string").alias("c")).orderBy("c")
-    one = ids.coalesce(1).mapInArrow(run, "n bigint, digest string")
+    ids = chunks.select(F.col("chunk_id").cast("string").alias("c")).repartitionByRange("c").sortWithinPartitions("c")
+    pieces = ids.select(F.spark_partition_id().alias("stretch"), "c").mapInArrow(joined, "stretch int, place bigint, ids bigint, listed string")
+    one = pieces.repartition(1).sortWithinPartitions("stretch", "place").mapInArrow(run, "n bigint, digest string")
     return one.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), F.coalesce(F.max("digest"), F.lit("")).alias("digest"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tessera.functions.digest import pipeline_signature
 from tessera.operators import claims, index, retrieval
 from tessera.operators.corpus import active_chunks
-from tessera.providers.ports import Invalid, Providers, Retryable
+from tessera.providers.ports import Invalid, Providers, Retryable, in_order
 from tessera.schemas import ACCEPTED, BM25_B, BM25_EPSILON, BM25_K1, CANDIDATES, RECORD_CAP, RRF_K
 from tessera.store.generation import Store, StoreError
 from tessera.store.shared import cut
@@ -119,8 +119,8 @@ class Engine:
         def draft(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for f in frames:
                 out = []
-                for q, text, ev in zip(f["query_id"], f["question"], f["evidence"], strict=True):
-                    said, problem = _tried(providers.checked_answer, text, [(e["chunk_id"], e["text"]) for e in ev])
+                asks = [(providers.checked_answer, text, [(e["chunk_id"], e["text"]) for e in ev]) for text, ev in zip(f["question"], f["evidence"], strict=True)]
+                for q, (said, problem) in zip(f["query_id"], in_order(_tried, asks, providers.at_once), strict=True):
                     out += [(q, i, s, list(c), None) for i, (s, c) in enumerate(said)] if problem is None else [(q, -1, None, None, problem)]
                 yield pd.DataFrame(out, columns=["query_id", "pos", "text", "chunk_ids", "problem"])
 
@@ -133,7 +133,8 @@ class Engine:
 
         def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for f in frames:
-                out = [(q, i, *_tried(providers.checked_decomposition, s)) for q, i, s in zip(f["query_id"], f["sentence_id"], f["text"], strict=True)]
+                told = in_order(_tried, [(providers.checked_decomposition, s) for s in f["text"]], providers.at_once)
+                out = [(q, i, *t) for q, i, t in zip(f["query_id"], f["sentence_id"], told, strict=True)]
                 yield pd.DataFrame(out, columns=["query_id", "sentence_id", "sub_claims", "problem"])
 
         shape = f"query_id {kind}, sentence_id string, sub_claims array<string>, problem string"
@@ -146,7 +147,8 @@ class Engine:
 
         def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for f in frames:
-                out = [(q, i, c, *_tried(providers.entail, c, list(e))) for q, i, c, e in zip(f["query_id"], f["sentence_id"], f["sub_claim"], f["evidence"], strict=True)]
+                told = in_order(_tried, [(providers.checked_entailment, c, list(e)) for c, e in zip(f["sub_claim"], f["evidence"], strict=True)], providers.at_once)
+                out = [(q, i, c, *t) for q, i, c, t in zip(f["query_id"], f["sentence_id"], f["sub_claim"], told, strict=True)]
                 yield pd.DataFrame(out, columns=["query_id", "sentence_id", "sub_claim", "supported", "problem"])
 
         shown = cited.groupBy("sentence_id").agg(F.collect_list("text").alias("evidence"))
@@ -157,16 +159,17 @@ class Engine:
         emitted = cut(drafts.join(fates.where("fate = 'emitted'").select("sentence_id"), "sentence_id"))
         kept = emitted.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda s: s["text"]).alias("said"))
 
+        def covered(text: str, said: list[str] | None) -> tuple[list, list | None, str | None]:
+            facets, problem = _tried(providers.checked_facets, text)
+            named = [(f"F{i + 1}", x) for i, x in enumerate(facets or [])]
+            sentences = [(f"S{i + 1}", s) for i, s in enumerate([] if said is None else said)]
+            judged, problem = (None, problem) if problem is not None or not sentences else _tried(providers.checked_coverage, text, named, sentences)
+            return named, judged, problem
+
         def cover(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for f in frames:
                 out = []
-                for q, text, said in zip(f["query_id"], f["question"], f["said"], strict=True):
-                    facets, problem = _tried(providers.checked_facets, text)
-                    named = [(f"F{i + 1}", x) for i, x in enumerate(facets or [])]
-                    sentences = [(f"S{i + 1}", s) for i, s in enumerate([] if said is None else said)]
-                    judged = None
-                    if problem is None and sentences:
-                        judged, problem = _tried(providers.checked_coverage, text, named, sentences)
+                for q, (named, judged, problem) in zip(f["query_id"], in_order(covered, zip(f["question"], f["said"], strict=True), providers.at_once), strict=True):
                     if problem is not None:
                         out.append((q, None, None, False, None, problem))
                         continue

@@ -7,7 +7,9 @@ import json
 import math
 import re
 import time
-from collections.abc import Callable
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 # Attempts and pauses, bounds of answers.
@@ -179,6 +181,8 @@ class Providers:
     #: A byte-pair vocabulary file and its pattern, by which chunks are counted and packed; name it in ``encoding``.
     vocabulary: tuple[str, str] | None = None
     pauses: tuple[float, ...] = field(default=PAUSES)
+    #: Calls that one task has under way at once.
+    at_once: int = 4
 
     def checked_facets(self, question: str) -> list[str]:
         out = [f.strip() for f in with_retries(self.facets, self.pauses)(question)]
@@ -199,6 +203,9 @@ class Providers:
             raise Invalid("a sub-claim is blank")
         return out
 
+    def checked_entailment(self, claim: str, evidence: list[str]) -> bool:
+        return with_retries(self.entail, self.pauses)(claim, evidence)
+
     def checked_coverage(self, question: str, facets: list[tuple[str, str]], said: list[tuple[str, str]]) -> list[dict]:
         """One row for each facet, in order; a covered one names sentences, in order, another none."""
         rows, place = with_retries(self.coverage, self.pauses)(question, facets, said), {i: n for n, (i, _) in enumerate(said)}
@@ -215,3 +222,75 @@ class Providers:
         if len(out) != len(texts) or any(len(v) != self.dimensions or not all(map(math.isfinite, v)) for v in out):
             raise Invalid("an embedding has one finite vector of the stated size for each text")
         return out
+
+
+def in_order(call: Callable, rows: Iterable[tuple], at_once: int) -> Iterator:
+    """What ``call`` says of each row, in their order, with ``at_once`` calls under way at most."""
+    if at_once < 2:
+        yield from (call(*row) for row in rows)
+        return
+    with ThreadPoolExecutor(at_once) as pool:
+        waiting: deque = deque()
+        for row in rows:
+            waiting.append(pool.submit(call, *row))
+            if len(waiting) == at_once:
+                yield waiting.popleft().result()
+        while waiting:
+            yield waiting.popleft().result()
+
+
+def model_providers(ask: Callable[[str, dict, dict, str | None], str | None], **options) -> Providers:
+    """Providers that put every question to one model, as structured calls.
+
+    ``ask`` takes the concern, what it is about, the JSON schema of the answer
+    and, after an answer that broke the contract, what was wrong with it; it
+    gives text and raises ``Retryable`` for failures that may pass.
+    ``options`` are those of ``Providers``.
+    """
+
+    def call(concern: str, payload: dict, check: Callable):
+        return structured(lambda schema, problem: ask(concern, payload, schema, problem), concern, check, pauses=())
+
+    def distinct(rows: list[dict], key: str, what: str) -> list[dict]:
+        if len({r[key] for r in rows}) < len(rows) or not all(r[key].strip() for r in rows):
+            raise Invalid(f"{what} need different {key}s")
+        return rows
+
+    def facets(question: str) -> list[str]:
+        def check(value: dict) -> list[str]:
+            rows = distinct(value["facets"], "id", "facets")
+            if not 1 <= len(rows) <= MAX_FACETS:
+                raise Invalid(f"a question has 1 to {MAX_FACETS} facets")
+            return [r["text"] for r in distinct(rows, "text", "facets")]
+
+        return call("facets", {"question": question}, check)
+
+    def answer(question: str, evidence: list[tuple[str, str]]) -> list[tuple[str, list[str]]]:
+        known = {chunk_id for chunk_id, _ in evidence}
+
+        def check(value: dict) -> list[tuple[str, list[str]]]:
+            rows = distinct(value["sentences"], "id", "sentences")
+            if len(rows) > MAX_SENTENCES:
+                raise Invalid(f"an answer has at most {MAX_SENTENCES} sentences")
+            for r in rows:
+                if not r["text"].strip() or not 1 <= len(r["chunk_ids"]) <= MAX_CITED or set(r["chunk_ids"]) - known:
+                    raise Invalid(f"sentence {r['id']} needs a text and 1 to {MAX_CITED} known chunks")
+            return [(r["text"], r["chunk_ids"]) for r in rows]
+
+        return call("draft", {"question": question, "evidence": [{"chunk_id": c, "text": t} for c, t in evidence]}, check)
+
+    def decompose(sentence: str) -> list[str]:
+        return call("decompose", {"sentence": sentence}, lambda value: [r["text"] for r in value["sub_claims"]])
+
+    def entail(claim: str, evidence: list[str]) -> bool:
+        return call("entail", {"claim": claim, "evidence": evidence}, lambda value: value["supported"])
+
+    def coverage(question: str, named: list[tuple[str, str]], said: list[tuple[str, str]]) -> list[dict]:
+        def check(value: dict) -> list[dict]:
+            if [r["facet_id"] for r in value["rows"]] != [i for i, _ in named]:
+                raise Invalid("coverage has one row for each facet, in their order")
+            return value["rows"]
+
+        return call("coverage", {"question": question, "facets": [{"id": i, "text": t} for i, t in named], "sentences": [{"id": i, "text": t} for i, t in said]}, check)
+
+    return Providers(facets=facets, answer=answer, decompose=decompose, entail=entail, coverage=coverage, **options)

@@ -16,7 +16,11 @@ from tessera.sources import markdown
 
 
 class Adapter(Protocol):
-    """Turns a corpus into rows (folder, record_id, skip_reason, fingerprint, files, record, field_sources, ...)."""
+    """Turns a corpus into rows (folder, record_id, skip_reason, fingerprint, files, record, field_sources, ...).
+
+    One that also has ``rows(root)``, the same rows of a local folder as dicts
+    and without Spark, can be tested on executors.
+    """
 
     adapter_id: str
     adapter_version: str
@@ -31,6 +35,12 @@ class SpecFolders:
     def adapt(self, spark: SparkSession, root: str) -> DataFrame:
         return markdown.adapt(spark, root)
 
+    def rows(self, root: str) -> list[dict]:
+        from tessera.sources.datasource import ROW, FolderReader
+
+        reader = FolderReader(root, 1 << 20)
+        return [dict(zip(ROW.fieldNames(), row, strict=True)) for part in reader.partitions() for row in reader.read(part)]
+
 
 class FlatRecords:
     """One record file each under ``decisions``, front matter and body."""

@@ -10,6 +10,7 @@ must move the fingerprint, and nothing else may change. Adapters must not write.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import shutil
 import tempfile
@@ -17,6 +18,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from pathlib import Path, PurePosixPath
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -178,97 +180,131 @@ def contract(adapter: object) -> Iterator[tuple[str, str]]:
         yield "contract.signature", f"adapt must take a session and a root: {e}"
 
 
-@dataclass
-class _Seen:
-    sources: dict[str, dict]
-    skips: list[str]
-    collisions: list[dict]
+REPORT = "rule string, passed boolean, detail string, case_id string, source_id string, path string, variant string"
 
 
-def _adapted(spark: SparkSession, adapter: Adapter, root: Path) -> _Seen:
-    rows = [r.asDict(recursive=True) for r in adapter.adapt(spark, str(root)).orderBy("folder").collect()]  # a case's corpus is small
+def _seen(rows: list[dict]) -> dict:
+    """Sources in use by id, skipped folders and collisions among an adapter's rows."""
+    rows = sorted(rows, key=lambda r: r["folder"])
     good = [r for r in rows if r["record_id"] is not None and r["skip_reason"] is None]
     by_id: dict[str, list[dict]] = {}
     for r in good:
         by_id.setdefault(r["record_id"], []).append(r)
     collisions = [{"id": i, "paths": [r["folder"] for r in rs], "used": next((r["folder"] for r in rs if r["used"]), None)} for i, rs in sorted(by_id.items()) if len(rs) > 1]
-    return _Seen({r["record_id"]: r for r in good if r["used"]}, [r["folder"] for r in rows if r["skip_reason"] is not None], collisions)
+    return {"sources": {r["record_id"]: r for r in good if r["used"]}, "skips": [r["folder"] for r in rows if r["skip_reason"] is not None], "collisions": collisions}
+
+
+def variants(case: Case) -> list[tuple[str, str | None]]:
+    """(variant, changed file) of all runs of a case: as it is, twice, then one file changed at a time."""
+    probes = [("probe", path) for s in case.sources for path in s["contributing_files"]]
+    broken = [(change, path) for s in case.sources for path in s["required_files"] for change in ("empty", "invalid_utf8")]
+    return [("original", None), ("again", None), *dict.fromkeys(probes + broken)]
+
+
+def observe(adapt: Callable[[str], list[dict]], files: dict[str, bytes], variant: str, path: str | None, keep: str | None = None) -> dict:
+    """What an adapter makes of a copy of a corpus: what ``_seen`` tells, or ``error``; and whether it ``touched`` the copy."""
+    with tempfile.TemporaryDirectory() as folder:
+        root = Path(folder) / "corpus"
+        for name, content in files.items():
+            (root / name).parent.mkdir(parents=True, exist_ok=True)
+            (root / name).write_bytes(CHANGES[variant](content) if name == path else content)
+        before, out = _state(root), {}
+        try:
+            out = _seen(adapt(str(root)))
+        except Exception as e:
+            out = {"error": f"{type(e).__name__}: {e}"[:500]}
+        out["touched"] = _state(root) != before
+        if keep and ("error" in out or out["touched"]):
+            shutil.copytree(root, Path(keep) / f"{variant}-{hashlib.sha256(repr((path, sorted(files))).encode()).hexdigest()[:12]}", dirs_exist_ok=True)
+        return out
 
 
 def run_cases(spark: SparkSession, adapter: Adapter, cases: list[Case], keep: str | None = None) -> DataFrame:
     """(rule, passed, detail, case_id, source_id, path, variant): a row for every check.
 
-    Copies of failing corpora are kept in the folder ``keep``, if one is named.
+    One job: its rows are the cases' variants, each adapted by an executor in a
+    folder of its own, and executors judge each case. An adapter without
+    ``rows`` needs a session and is run by the driver. Copies of failing
+    corpora are kept in the folder ``keep``, if one is named.
     """
     rows = [(rule, not bad, bad, None, None, None, None) for rule, bad in contract(adapter)]
-    if all(r[1] for r in rows):
-        for case in cases:
-            rows += _run_case(spark, adapter, case, keep)
-    return spark.createDataFrame(rows, "rule string, passed boolean, detail string, case_id string, source_id string, path string, variant string")
+    checks = spark.createDataFrame(rows, REPORT)
+    if not all(r[1] for r in rows) or not cases:
+        return checks
+    files = {case.id: {p.relative_to(case.corpus).as_posix(): p.read_bytes() for p in sorted(case.corpus.rglob("*")) if p.is_file()} for case in cases}
+    if not hasattr(adapter, "rows"):
+        local = lambda root: [r.asDict(recursive=True) for r in adapter.adapt(spark, root).collect()]  # noqa: E731  a case's corpus is small
+        told = [row for case in cases for row in judge(case, {v: observe(local, files[case.id], *v, keep) for v in variants(case)})]
+        return checks.unionByName(spark.createDataFrame(told, REPORT))
 
+    asked = spark.createDataFrame([(case.id, *v) for case in cases for v in variants(case)], "case_id string, variant string, path string")
+    held = spark.createDataFrame([(case_id, name, bytearray(content)) for case_id, own in files.items() for name, content in own.items()], "case_id string, name string, content binary")
+    listed = held.groupBy("case_id").agg(F.collect_list(F.struct("name", "content")).alias("files"))  # a case's corpus is small
 
-def _run_case(spark: SparkSession, adapter: Adapter, case: Case, keep: str | None) -> list[tuple]:
-    rows: list[tuple] = []
+    def seen(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            said = [json.dumps(observe(adapter.rows, {x["name"]: bytes(x["content"]) for x in own}, variant, path, keep)) for own, variant, path in zip(f["files"], f["variant"], f["path"], strict=True)]
+            yield pd.DataFrame({"case_id": f["case_id"], "variant": f["variant"], "path": f["path"], "seen": said})
+
+    by_id = {case.id: case for case in cases}
+
+    def judged(f: pd.DataFrame) -> pd.DataFrame:
+        looks = {(variant, path): json.loads(said) for variant, path, said in zip(f["variant"], f["path"], f["seen"], strict=True)}
+        return pd.DataFrame(judge(by_id[f["case_id"].iloc[0]], looks), columns=[c.split()[0] for c in REPORT.split(", ")])
 
-    def adapted(change: str | None = None, path: str | None = None) -> _Seen | None:
-        """What the adapter makes of a copy, one file of it changed; checks that it leaves the copy alone."""
-
-        def note(rule: str, bad: str | None) -> None:
-            rows.append((rule, not bad, bad or "", case.id, None, path, change or "original"))
-
-        with tempfile.TemporaryDirectory() as folder:
-            root = Path(folder) / "corpus"
-            shutil.copytree(case.corpus, root)
-            if change:
-                (root / path).write_bytes(CHANGES[change]((root / path).read_bytes()))
-            before, seen = _state(root), None
-            try:
-                seen = _adapted(spark, adapter, root)
-                note("adapter.exception", None)
-            except Exception as e:
-                note("adapter.exception", f"{type(e).__name__}: {e}"[:500])
-            touched = _state(root) != before
-            note("fixture.unchanged", "the adapter changed the corpus" if touched else None)
-            if keep and (seen is None or touched):
-                shutil.copytree(root, Path(keep) / f"{case.id}-{change or 'original'}", dirs_exist_ok=True)
-            return seen
+    dealt = asked.join(listed, "case_id").repartition("case_id", "variant", "path")
+    told = dealt.mapInPandas(seen, "case_id string, variant string, path string, seen string").groupBy("case_id").applyInPandas(judged, REPORT)
+    return checks.unionByName(told)
+
+
+def judge(case: Case, looks: dict[tuple[str, str | None], dict]) -> list[tuple]:
+    """All checks of a case, given what was seen of each of its variants."""
+    rows: list[tuple] = []
 
     def check(rule: str, bad: str | None, source: str | None = None, path: str | None = None, variant: str = "original") -> None:
         rows.append((rule, not bad, bad or "", case.id, source, path, variant))
 
-    seen, again = adapted(), adapted()
+    def shown(variant: str, path: str | None = None) -> dict | None:
+        seen = looks[variant, path]
+        check("adapter.exception", seen.get("error"), None, path, variant)
+        check("fixture.unchanged", "the adapter changed the corpus" if seen["touched"] else None, None, path, variant)
+        return None if "error" in seen else seen
+
+    seen, again = shown("original"), shown("again")
     if seen is None or again is None:
         return rows
-    check("discovery.deterministic", first_difference(vars(again), vars(seen)))
-    check("discovery.sources", first_difference(sorted(seen.sources), sorted(s["id"] for s in case.sources), "sources"))
-    check("discovery.skips", first_difference(seen.skips, sorted(case.skips), "skips"))
-    check("discovery.collisions", first_difference(seen.collisions, sorted(case.collisions, key=lambda c: c["id"]), "collisions"))
+    sources = seen["sources"]
+    check("discovery.deterministic", first_difference({k: v for k, v in again.items() if k != "touched"}, {k: v for k, v in seen.items() if k != "touched"}))
+    check("discovery.sources", first_difference(sorted(sources), sorted(s["id"] for s in case.sources), "sources"))
+    check("discovery.skips", first_difference(seen["skips"], sorted(case.skips), "skips"))
+    check("discovery.collisions", first_difference(seen["collisions"], sorted(case.collisions, key=lambda c: c["id"]), "collisions"))
     for want in case.sources:
-        got = seen.sources.get(want["id"])
+        name = want["id"]
+        got = sources.get(name)
         if got is None:
             continue
         result = want["result"]
-        check("discovery.root", first_difference(got["folder"], want["root"], "root"), want["id"])
-        check("discovery.files", first_difference(got["files"], want["contributing_files"], "files"), want["id"])
-        check("parse.record", first_difference(got["record"], want["record"], "record"), want["id"])
-        check("parse.field_sources", first_difference(got["field_sources"] or {}, result["field_sources"] or {}, "field_sources"), want["id"])
+        check("discovery.root", first_difference(got["folder"], want["root"], "root"), name)
+        check("discovery.files", first_difference(got["files"], want["contributing_files"], "files"), name)
+        check("parse.record", first_difference(got["record"], want["record"], "record"), name)
+        check("parse.field_sources", first_difference(got["field_sources"] or {}, result["field_sources"] or {}, "field_sources"), name)
         if "attempted_fields" in got:
-            check("parse.attempted_fields", first_difference(got["attempted_fields"], sorted(result["attempted_fields"]), "attempted_fields"), want["id"])
-            check("parse.unresolved_mentions", first_difference(got["unresolved_mentions"], result["unresolved_mention_count"], "unresolved_mentions"), want["id"])
+            check("parse.attempted_fields", first_difference(got["attempted_fields"], sorted(result["attempted_fields"]), "attempted_fields"), name)
+            check("parse.unresolved_mentions", first_difference(got["unresolved_mentions"], result["unresolved_mention_count"], "unresolved_mentions"), name)
         for path in want["contributing_files"]:
-            probed = adapted("probe", path)
-            now = probed and probed.sources.get(want["id"])
-            check("fingerprint.follows_file", None if now and now["fingerprint"] != got["fingerprint"] else "the fingerprint stays as it was", want["id"], path, "probe")
+            probed = shown("probe", path)
+            now = probed and probed["sources"].get(name)
+            check("fingerprint.follows_file", None if now and now["fingerprint"] != got["fingerprint"] else "the fingerprint stays as it was", name, path, "probe")
         for path in want["required_files"]:
             for change in ("empty", "invalid_utf8"):
-                broken = adapted(change, path)
+                broken = shown(change, path)
                 if broken is None:
                     continue
-                now = broken.sources.get(want["id"])
-                check("corruption.noticed", "the record is as before" if now and first_difference(now["record"], got["record"]) is None else None, want["id"], path, change)
-                check("corruption.others_unaffected", first_difference({k: v for k, v in broken.sources.items() if k != want["id"]}, {k: v for k, v in seen.sources.items() if k != want["id"]}), want["id"], path, change)
+                now = broken["sources"].get(name)
+                check("corruption.noticed", "the record is as before" if now and first_difference(now["record"], got["record"]) is None else None, name, path, change)
+                check("corruption.others_unaffected", first_difference({k: v for k, v in broken["sources"].items() if k != name}, {k: v for k, v in sources.items() if k != name}), name, path, change)
     if case.category == "missing_required_field":
-        holders = [s for s in seen.sources.values() if case.subject in s["files"]]
+        holders = [s for s in sources.values() if case.subject in s["files"]]
         filled = [t for t in case.targets for s in holders if _value(s["record"], t)]
         check("category.missing_required_field", f"{', '.join(filled)} has a value" if filled else None, path=case.subject)
     return rows
