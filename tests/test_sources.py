@@ -266,3 +266,25 @@ def test_command_line(spark, corpus, tmp_path, capsys):
     assert main(["ingest", "--corpus-root", corpus, "--store", store]) == 0
     assert main(["query", "Why are surveys slow?", "--store", store]) == 0
     assert "Surveys were slow." in capsys.readouterr().out
+
+
+def test_the_tree_is_listed_level_by_level(spark, tmp_path):
+    from tessera.operators.index import source_states
+    from tessera.sources import walk
+
+    for name in ("a/b/c/deep.md", "a/b/One.py", "a/x.txt", ".hid/y.md", "top.md"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x")
+    (tmp_path / "a/link").symlink_to(tmp_path / "a/b")
+    (tmp_path / "a/up.md").symlink_to(tmp_path / "top.md")
+    got = {(r["path"], r["kind"], r["reason"]) for r in walk.tree(spark, str(tmp_path)).collect()}
+    assert got == {
+        ("a", "folder", None), ("a/b", "folder", None), ("a/b/c", "folder", None), ("a/b/c/deep.md", "file", None), ("a/b/One.py", "file", None), ("a/x.txt", "file", None), ("top.md", "file", None),
+        (".hid", "skipped", walk.HIDDEN), ("a/link", "skipped", walk.LINK), ("a/up.md", "skipped", walk.LINK),
+    }
+    refs = spark.createDataFrame([(p,) for p in ("a/b/One.py", "a/b/one.py", "a/link/One.py", "a/up.md", "../top.md", "a//x.txt", "top.md", "a/b")], "path string")
+    states = {r["path"]: r["resolution"] for r in source_states(refs, walk.files(spark, str(tmp_path))).collect()}
+    assert {p for p, s in states.items() if s == "resolved"} == {"a/b/One.py", "top.md"}
+    assert {p for p, s in states.items() if s == "invalid_relative_path"} == {"../top.md", "a//x.txt"}
+    (gone,) = walk.entries(str(tmp_path), "nowhere")
+    assert gone == ("nowhere", "skipped", walk.DISAPPEARED)
