@@ -5,6 +5,7 @@ Every helper here works row by row or on a bounded batch; nothing collects.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -82,6 +83,21 @@ def joined(rows: DataFrame, facts: DataFrame, on: list[str], size: str = "size")
 SALTS = 64
 
 
+def stored_apart(df: DataFrame, column: str, values: list) -> list[DataFrame]:
+    """``df`` stored in one pass as a table for each of the values that ``column`` has; they are discarded one by one."""
+    spark, path = df.sparkSession, f"{shared_dir(df.sparkSession).rstrip('/')}/tessera-{uuid.uuid4().hex}.parquet"
+    df.write.option("compression", "zstd").partitionBy(column).parquet(path)
+    kind = df.drop(column).schema
+    out = []
+    for value in values:
+        at = f"{path}/{column}={value}"
+        there = spark._jvm.org.apache.hadoop.fs.Path(at)
+        part = spark.read.schema(kind).parquet(at) if there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there) else spark.createDataFrame([], kind)
+        part._stored_at = at
+        out.append(part)
+    return out
+
+
 def bare(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns: extra columns, whatever they are called, cannot clash."""
     return df.select(*[F.col(f"`{n}`") for n in names])

@@ -2,7 +2,7 @@
 
 Two kinds of paragraph, so that neither line ends nor edits hide a passage:
 
-* ``line``: a line of at least ``min_words`` words, as a set of five-word runs.
+* ``line``: a line of at least ``line_words`` words, as a set of five-word runs.
   Bands are tuned for recall: the fewest registers for which a pair at the
   threshold shares a bucket with the wanted probability. Colliding lines are
   joined, confirmed by exact Jaccard on full sets, and clustered by connected
@@ -31,14 +31,14 @@ An empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import MIX_A, POLY, bare, cut, discard, heavy_keys, inverse, joined, located_words, mix64, powers, run_hashes, shingle_hashes, shingles_in_order, stored, word_hashes
+from tessera.llm.common import MIX_A, POLY, bare, cut, discard, heavy_keys, inverse, joined, located_words, mix64, powers, run_hashes, shingle_hashes, shingles_in_order, stored, stored_apart, word_hashes
 from tessera.llm.hyperminhash import registers
 from tessera.llm.near_links import near_components
 
@@ -51,11 +51,12 @@ def tune(percent: int, recall: float = 0.9998, rows: int = 2) -> tuple[int, int]
     return int(np.ceil(np.log(1 - recall) / np.log(1 - hit))), rows
 
 
-def split_lines(text: str | None, min_words: int) -> list[tuple[int, int, int, np.ndarray]]:
-    """(start, length, words, sorted distinct shingle hashes) of each long enough line; start and length in code points."""
-    if not text:
-        return []
-    words, first, _, raw = located_words(text)
+Located = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def split_lines(located: Located, min_words: int) -> list[tuple[int, int, int, np.ndarray]]:
+    """(start, length, words, sorted distinct shingle hashes) of each long enough line of a text as ``located_words``; start and length in code points."""
+    words, first, _, raw = located
     ends = np.append(np.flatnonzero(raw == 10), raw.size)
     begins = np.append(0, ends[:-1] + 1)
     lo, hi = np.searchsorted(first, begins), np.searchsorted(first, ends)
@@ -71,22 +72,36 @@ def _print(members: np.ndarray) -> bytes:
     return hashlib.blake2b(members.tobytes(), digest_size=16).digest()
 
 
-def signed_lines(docs: DataFrame, min_words: int, k: int) -> DataFrame:
-    """(id, start, length, words, n, print, sig) of rows (id, text)."""
-    names = ["id", "start", "length", "words", "n", "print", "sig"]
+LINE = "id bigint, start bigint, length bigint, words bigint, n bigint, print binary, sig binary"
+BLOCK = "copy bigint, anchor bigint, place bigint, span bigint, form bigint"
+
+
+def marked(docs: DataFrame, line_words: int, min_words: int, k: int) -> DataFrame:
+    """The paragraphs of rows (id, copy, text), in one pass over the texts: ``role`` 0 is a line (LINE), 1 a block (id and BLOCK)."""
+    fields = [("role", pa.int32()), *[(c, pa.binary() if c in ("print", "sig") else pa.int64()) for c in ("id", "start", "length", "words", "n", "print", "sig", "copy", "anchor", "place", "span", "form")]]
+    schema = pa.schema(fields)
+
+    def rows(n: int, /, **columns: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, f.type)) for f in schema], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 128):
-                found = [(doc, *p) for doc, t in zip(b.column(0).slice(at, 128).to_pylist(), b.column(1).slice(at, 128), strict=True) for p in split_lines(t.as_py(), min_words)]
-                if not found:
-                    continue
-                n = np.array([p[4].size for p in found], np.int64)
-                sig = registers(np.concatenate([p[4] for p in found]), np.concatenate(([0], np.cumsum(n)[:-1])), k)
-                cols = [pa.array([p[i] for p in found], pa.int64()) for i in range(4)]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(n), pa.array([_print(p[4]) for p in found], pa.binary()), pa.array([s.tobytes() for s in sig], pa.binary())], names)
+                part = b.slice(at, 128)
+                located = [located_words(t.as_py()) for t in part.column(2)]
+                found = [(doc, *p) for doc, own in zip(part.column(0).to_pylist(), located, strict=True) for p in split_lines(own, line_words)]
+                if found:
+                    n = np.array([p[4].size for p in found], np.int64)
+                    sig = registers(np.concatenate([p[4] for p in found]), np.concatenate(([0], np.cumsum(n)[:-1])), k)
+                    cols = {c: pa.array([p[i] for p in found], pa.int64()) for i, c in enumerate(("id", "start", "length", "words"))}
+                    yield rows(n.size, role=pa.array(np.zeros(n.size, np.int32)), **cols, n=pa.array(n), print=pa.array([_print(p[4]) for p in found], pa.binary()), sig=pa.array([s.tobytes() for s in sig], pa.binary()))
+                blocks = [_blocks(own, min_words) for own in located]
+                times = pa.array(np.repeat(np.arange(len(blocks)), [f[0].size if f else 0 for f in blocks]))
+                if len(times):
+                    cols = dict(zip(("anchor", "place", "span", "form"), (pa.array(np.concatenate(c)) for c in zip(*filter(None, blocks), strict=True)), strict=True))
+                    yield rows(len(times), role=pa.array(np.ones(len(times), np.int32)), id=part.column(0).take(times), copy=part.column(1).take(times), **cols)
 
-    return docs.mapInArrow(run, "id bigint, start bigint, length bigint, words bigint, n bigint, print binary, sig binary")
+    return docs.mapInArrow(run, f"role int, {LINE}, {BLOCK}")
 
 
 def _sets(docs: DataFrame, units: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -103,32 +118,36 @@ def _sets(docs: DataFrame, units: DataFrame, nodes: DataFrame) -> DataFrame:
     return docs.join(where, "id").select("node", cutout, "print").mapInArrow(run, "node bigint, members binary").dropDuplicates(["node"])
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = 80, min_words: int = 50, recall: float = 0.9998) -> DataFrame:
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = 80, min_words: int = 50, line_words: int = 15, recall: float = 0.9998) -> DataFrame:
     """A row for each occurrence of a paragraph that repeats across documents.
 
     id, kind ("line", or "run": a maximal span of runs), start, length, words,
     cluster_doc and cluster_start (the occurrence that stays), removed.
     Documents without such a paragraph have no row; a line that repeats as it
-    is has a row of either kind. A span ends where the first occurrence of its
-    words does not go on, so spans of a document may overlap. Ids are integers.
+    is and has ``min_words`` words has a row of either kind. A span ends where
+    the first occurrence of its words does not go on, so spans of a document
+    may overlap. Ids are integers.
     """
-    if min_words < 2:
+    if min(min_words, line_words) < 2:
         raise ValueError("a paragraph has two words or more")
-    slim = bare(docs, id_col, text_col).select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text")).where("id is not null and text is not null")
+    slim = bare(docs, id_col, text_col).select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("copy"), F.col(f"`{text_col}`").alias("text")).where("id is not null and text is not null")
     cols = [F.col("id").alias(id_col), "kind", "start", "length", "words", "cluster_doc", "cluster_start", "removed"]
-    return near_lines(slim, percent, min_words, recall).unionByName(equal_runs(slim, min_words)).select(*cols)
+    bands, rows = tune(percent, recall)
+    lines, blocks = stored_apart(marked(slim, line_words, min_words, bands * rows).withColumn("uid", F.monotonically_increasing_id()), "role", [0, 1])
+    runs = equal_runs(slim, blocks.select("id", "copy", "anchor", "place", "span", "form"), min_words, lambda: discard(blocks))
+    near = near_lines(slim.select("id", "text"), lines.drop("copy", "anchor", "place", "span", "form"), percent, bands, rows)
+    discard(lines)
+    return near.unionByName(runs).select(*cols)
 
 
-def near_lines(docs: DataFrame, percent: int, min_words: int, recall: float) -> DataFrame:
-    """The rows of kind ``line`` of rows (id, text)."""
-    bands, rows = tune(percent, recall)
-    units = stored(signed_lines(docs, min_words, bands * rows).withColumn("uid", F.monotonically_increasing_id()))
+def near_lines(docs: DataFrame, units: DataFrame, percent: int, bands: int, rows: int) -> DataFrame:
+    """The rows of kind ``line``: of documents (id, text) and their lines (LINE and ``uid``)."""
     classes = stored(units.groupBy("print").agg(F.min("uid").alias("node"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.count("*").alias("size")))
     found = near_components(classes.select("node", "n", "sig"), lambda nodes: _sets(docs, units, nodes), percent=percent, bands=bands, rows=rows, slack=0.6)
     # classes that repeat exactly or are linked; single lines end here
     heads = classes.select("print", "node", "size").join(found, "node", "left").where("size > 1 or component is not null").select("print", "size", F.coalesce("component", "node").alias("head"))
     hits = cut(joined(units.select("id", "start", "length", "words", "print"), cut(heads), ["print"]).select("head", "id", "start", "length", "words").distinct())
-    discard(units, classes)
+    discard(classes)
     clusters = hits.groupBy("head").agg(F.min(F.struct("id", "start")).alias("first"), F.max("id").alias("last"), F.count("*").alias("size"))
     out = joined(hits, cut(clusters.where(F.col("first.id") < F.col("last"))), ["head"])
     stays = (F.col("id") == F.col("first.id")) & (F.col("start") == F.col("first.start"))
@@ -186,15 +205,15 @@ def _paired(high: np.ndarray, low: np.ndarray) -> np.ndarray:
     return (high.astype(np.int64) << 32) | low.astype(np.int64)
 
 
-def _blocks(text: str, min_words: int) -> list[np.ndarray]:
-    """anchor, place (first window, windows), span (start, stop) and form of each block of a text.
+def _blocks(located: Located, min_words: int) -> list[np.ndarray]:
+    """anchor, place (first window, windows), span (start, stop) and form of each block of a text as ``located_words``.
 
     A window is a run of ``min_words`` words, its anchor the run of ``gram`` words
     in it with the least hash; a block is a maximal run of windows with one
     anchor, so no two of its windows are equal. Blocks of one form have the
     same words in the same distances.
     """
-    words, starts, ends, raw = located_words(text)
+    words, starts, ends, raw = located
     if words.size < min_words:
         return []
     gram = max(2, 3 * min_words // 10)
@@ -238,25 +257,15 @@ def with_facts(rows: DataFrame, key: str, **facts: F.Column) -> DataFrame:
     return rest.unionByName(few.join(F.broadcast(few.groupBy(key).agg(*[c.alias(name) for name, c in facts.items()])), key))
 
 
-def equal_runs(docs: DataFrame, min_words: int) -> DataFrame:
-    """The rows of kind ``run`` of rows (id, text)."""
-    slim = docs.select("id", F.xxhash64("text").alias("copy"), "text")  # rows of one id are told apart by their texts
-    schema = "id bigint, copy bigint, anchor bigint, place bigint, span bigint, form bigint"
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 128):
-                part = b.slice(at, 128)
-                found = [_blocks(t.as_py(), min_words) for t in part.column(2)]
-                times = pa.array(np.repeat(np.arange(len(found)), [f[0].size if f else 0 for f in found]))
-                if len(times):
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(times), part.column(1).take(times), *[pa.array(np.concatenate(c)) for c in zip(*filter(None, found), strict=True)]], ["id", "copy", "anchor", "place", "span", "form"])
+def equal_runs(slim: DataFrame, every: DataFrame, min_words: int, read: Callable[[], None]) -> DataFrame:
+    """The rows of kind ``run``: of documents (id, copy, text) and their blocks (id and BLOCK); ``read`` is called once these are read.
 
-    every = stored(slim.mapInArrow(mark, schema))
+    ``copy`` tells rows of one id apart by their texts.
+    """
     where = F.struct("id", "copy", _high("place").alias("pos"), _high("span").alias("start"))
     shared = with_facts(every, "anchor", first=F.min(where), last=F.max("id"), least=F.min("form"), most=F.max("form"))
     shared = stored(shared.where(F.col("first.id") < F.col("last")).withColumn("alike", F.col("least") == F.col("most")).drop("last", "least", "most"))
-    discard(every)
+    read()
     spot = [_high("place").alias("pos"), _low("place").alias("n"), _high("span").alias("start"), _low("span").alias("stop")]
     whole = shared.where("alike").select("id", "copy", *spot, "first")
 

@@ -66,8 +66,8 @@ def brute_runs(rows, n):
     return out
 
 
-def brute(rows, min_words=50):
-    return sorted(brute_lines(rows, min_words) + brute_runs(rows, min_words))
+def brute(rows, min_words=50, line_words=15):
+    return sorted(brute_lines(rows, line_words) + brute_runs(rows, min_words))
 
 
 def rows_of(df):
@@ -102,7 +102,7 @@ def test_planted_passages_and_edge_cases(spark):
         (None, passage),
     ]
     df = spark.createDataFrame([(d, t, 1, "x") for d, t in rows], "doc_id bigint, text string, start int, sig string")
-    for min_words in (50, 15):
+    for min_words in (50, 15):  # runs; lines count from 15 words on
         got = rows_of(substring.repeats(df, min_words=min_words))
         assert got == brute([r for r in rows if r[0] is not None], min_words)
         assert {r[0] for r in got} == {1, 2, 3, 10}
