@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import nullcontext
 
 import pandas as pd
@@ -138,12 +139,17 @@ def _written(store: Store, active: str | None, buckets: int, rows: DataFrame, fl
         records = flat.withColumnRenamed("id", "record_id").join(fresh, "record_id", "left_semi")
         sources = ready.select("chunk_id", F.col("record_id").alias("id"), "value_path").join(given, ["id", "value_path"])
         snapshot = replaced("snapshot", records.select("record_id", "title", "status", "supersedes", "fingerprint"), "record_id", stale, touched)
-        put("chunk", replaced("chunk", ready.select("chunk_id", *LOCATOR, "text", "evidence_tokens", "input_tokens"), "record_id", stale, touched), touched)
-        put("vector", replaced("vector", embedded(ready, providers).join(ready.select("chunk_id", *LOCATOR), "chunk_id").select("chunk_id", *LOCATOR, "vector"), "record_id", stale, touched), touched)
-        put("tag", replaced("tag", records.select("record_id", F.explode("tags").alias("tag")).distinct(), "record_id", stale, touched), touched)
-        put("chunk_source", replaced("chunk_source", sources.select("chunk_id", F.col("id").alias("record_id"), F.explode("refs").alias("r")).select("chunk_id", "record_id", "r.path", "r.section").distinct(), "record_id", stale, touched), touched)
-        put("snapshot", snapshot, touched)
-        put("link", index.supersession_edges(snapshot.withColumnRenamed("record_id", "id")), touched)
+        one = lambda name, new: (name, replaced(name, new, "record_id", stale, touched), touched)
+        tables = [
+            one("chunk", ready.select("chunk_id", *LOCATOR, "text", "evidence_tokens", "input_tokens")),
+            one("vector", embedded(ready, providers).join(ready.select("chunk_id", *LOCATOR), "chunk_id").select("chunk_id", *LOCATOR, "vector")),
+            one("tag", records.select("record_id", F.explode("tags").alias("tag")).distinct()),
+            one("chunk_source", sources.select("chunk_id", F.col("id").alias("record_id"), F.explode("refs").alias("r")).select("chunk_id", "record_id", "r.path", "r.section").distinct()),
+            ("snapshot", snapshot, touched),
+            ("link", index.supersession_edges(snapshot.withColumnRenamed("record_id", "id")), touched),
+        ]
+        with ThreadPoolExecutor(len(tables)) as pool:  # the tables don't depend on one another: small writes share the cores
+            list(pool.map(lambda t: put(*t), tables))
         here = [[f"{store.root}/{files[name][b]}" for b in sorted(files[name]) if int(b) in touched] for name in ("chunk", "vector")]
         if not index.parity_problems(store.read("chunk", here[0]), store.read("vector", here[1]), LOCATOR).isEmpty():
             raise StoreError("chunks and vectors do not match; nothing was published")
