@@ -62,9 +62,8 @@ def settle(digests: DataFrame, k: int = 1024) -> DataFrame:
     few, rest = rows.where(frequent), rows.where(~frequent)
     done = few.join(F.broadcast(winners(few)), "digest")  # winners(few): k rows at most
     done = done.unionByName(rest.join(winners(rest), "digest"))
-    copy = F.explode(F.sequence(F.lit(1), F.col("c").cast("int"))).alias("copy")
     is_best = F.col("id").eqNullSafe(F.col("best.id")) & (F.col("n") == F.col("best.n"))
-    return done.select("*", copy).select(
+    return _unfolded(done).select(
         "id",
         F.col("best.id").alias("keep_id"),
         F.col("group_size").cast("bigint").alias("group_size"),
@@ -73,6 +72,20 @@ def settle(digests: DataFrame, k: int = 1024) -> DataFrame:
     )
 
 
+#: Copies of one row that a task writes out at once.
+COPIES = 100_000
+
+
+def _unfolded(rows: DataFrame) -> DataFrame:
+    """Each row ``c`` times, with ``copy`` from 1; those of very many copies are dealt to many tasks."""
+    some = lambda lo, hi: F.explode(F.sequence(lo, hi))
+    few = rows.where(F.col("c") <= COPIES).select("*", some(F.lit(1).cast("bigint"), F.col("c")).alias("copy"))
+    many = rows.where(F.col("c") > COPIES).select("*", some(F.lit(0).cast("bigint"), F.expr(f"(c - 1) div {COPIES}")).alias("part"))
+    start = F.col("part") * COPIES
+    dealt = many.repartition("digest", "part").select("*", some(start + 1, F.least(F.col("c"), start + COPIES)).alias("copy")).drop("part")
+    return few.unionByName(dealt)
+
+
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 1024) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.
 
@@ -90,5 +103,6 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     multi = joined.join(dup, joined["__id"].eqNullSafe(dup["__i2"]) & (joined["__d"] == dup["__d2"]), "left")
     single = multi.where(F.col("__d2").isNull()).select(*docs.columns)
     several = multi.where(F.col("__d2").isNotNull())
-    one = several.groupBy("__id", "__d").agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), n).alias("r")).select("r.*")
+    whole = [F.col(f"`{c}`") for c in docs.columns]  # among equal lengths the choice hangs on the row alone
+    one = several.groupBy("__id", "__d").agg(F.max_by(F.struct(*whole), F.struct(n, F.xxhash64(*whole))).alias("r")).select("r.*")
     return single.unionByName(one)

@@ -23,6 +23,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
+from unicodedata import category
 
 import numpy as np
 import pyarrow as pa
@@ -36,25 +38,41 @@ LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
 
 
-def ngram_hashes(text: str, sizes: tuple[int, ...]) -> np.ndarray:
-    """Hashes of the code-point n-grams of a text; anything but letters is one kind of gap."""
+@cache
+def letters() -> np.ndarray:
+    """For each code point whether it is a letter or a mark on one; made once a process."""
+    return np.array([category(chr(i))[0] in "LM" for i in range(0x110000)])
+
+
+def points_of(text: str) -> np.ndarray:
+    """The code points of a text in lower case between two gaps; whatever is no letter or mark is a gap, and a run of gaps counts once."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    letter = (points >= 97) & (points <= 122) | (points >= 0xAA)
-    points = np.where(letter, points, 32).astype(np.uint64)
-    points = np.concatenate(([np.uint64(32)], points, [np.uint64(32)]))
-    keep = np.ones(points.size, bool)  # a run of gaps counts once
+    points = np.where(letters()[points], points, 32).astype(np.uint32)
+    points = np.concatenate(([np.uint32(32)], points, [np.uint32(32)]))
+    keep = np.ones(points.size, bool)
     keep[1:] = (points[1:] != 32) | (points[:-1] != 32)
-    points = points[keep]
-    out = []
+    return points[keep]
+
+
+def window_hashes(points: np.ndarray, sizes: tuple[int, ...], first: int, last: int) -> np.ndarray:
+    """Hashes of the n-grams of ``points`` that begin at ``first`` to ``last`` (exclusive)."""
+    out = [np.empty(0, np.uint64)]
     with np.errstate(over="ignore"):
         for n in sizes:
-            if points.size >= n:
-                h = np.full(points.size - n + 1, n, np.uint64)
+            stop = min(last, points.size - n + 1)
+            if stop > first:
+                h = np.full(stop - first, n, np.uint64)
                 for i in range(n):
-                    h = (h ^ points[i : points.size - n + 1 + i]) * MIX_A
+                    h = (h ^ points[first + i : stop + i].astype(np.uint64)) * MIX_A
                     h ^= h >> np.uint64(29)
                 out.append(h * MIX_B)
-    return np.concatenate(out) if out else np.empty(0, np.uint64)
+    return np.concatenate(out)
+
+
+def ngram_hashes(text: str, sizes: tuple[int, ...]) -> np.ndarray:
+    """Hashes of the code-point n-grams of a text."""
+    points = points_of(text)
+    return window_hashes(points, sizes, 0, points.size)
 
 
 @dataclass(frozen=True)
@@ -81,9 +99,9 @@ class Filters:
     def predict(self, text: str | None) -> tuple[str, float]:
         if not text or not self.languages or not LETTER.search(text):
             return UNKNOWN, 0.0
-        hits, total = np.zeros(len(self.languages)), 0
-        for at in range(0, len(text), 1 << 16):  # whole text, in bounded pieces
-            found = self.lookup(ngram_hashes(text[at : at + (1 << 16)], self.sizes))
+        hits, total, points = np.zeros(len(self.languages)), 0, points_of(text)
+        for at in range(0, points.size, 1 << 16):  # all n-grams of the whole text, by where they begin
+            found = self.lookup(window_hashes(points, self.sizes, at, at + (1 << 16)))
             total += found.size
             if self.masks.dtype == np.uint8:
                 counts = np.bincount(found, minlength=256)

@@ -51,3 +51,16 @@ def test_drop_copies_of_repeated_rows_and_null_ids(spark):
     rows = [(1, "a", "p"), (1, "a", "p"), (1, "a ", "q"), (None, "b", "r"), (None, "b", "r"), (2, None, "s")]
     kept = exact_dedup.drop_copies(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
     assert sorted(map(str, kept.collect())) == sorted(map(str, spark.createDataFrame([(1, "a ", "q"), (None, "b", "r"), (2, None, "s")], "doc_id bigint, text string, lang string").collect()))
+
+
+def test_very_many_equal_rows_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "COPIES", 7)
+    rows = [(1, "a b")] * 50 + [(2, "ab")] * 7 + [(3, "x")] * 8 + [(4, "y")]
+    df = spark.createDataFrame([(d, t, "z", "z") for d, t in rows], SCHEMA)
+    assert sorted(map(str, (tuple(r) for r in exact_dedup.resolve_copies(df).collect()))) == sorted(map(str, brute(rows)))
+
+
+def test_equal_lengths_are_settled_by_the_rows_alone(spark):
+    rows = [(1, "a b", "p"), (1, "ab ", "q"), (1, " ab", "r")]
+    kept = {tuple(exact_dedup.drop_copies(spark.createDataFrame(order, "doc_id bigint, text string, lang string")).first()) for order in (rows, rows[::-1], rows[1:] + rows[:1])}
+    assert len(kept) == 1

@@ -40,3 +40,39 @@ def test_edge_cases(spark):
     assert langid.identify(docs.limit(0), filters).count() == 0
     untaught = langid.train(learn.limit(0))
     assert {r["lang_pred"] for r in langid.identify(docs, untaught).collect()} == {"und"}
+
+
+def test_gaps_and_cuts_change_no_ngram():
+    grams = lambda t: sorted(langid.ngram_hashes(t, (2, 3, 4, 5)).tolist())
+    assert grams("a “b”") == grams("a b") == grams(" a — b… ") and grams("ab") != grams("a b") and len(grams("a b")) == 4 + 3 + 2 + 1
+    assert grams("naïve été") != grams("na ve t") and grams("A B") == grams("a b")
+    points = langid.points_of("the quick brown fox " * 50)
+    parts = [langid.window_hashes(points, (2, 5), at, at + 7) for at in range(0, points.size, 7)]
+    assert sorted(np.concatenate(parts).tolist()) == sorted(langid.window_hashes(points, (2, 5), 0, points.size).tolist())
+
+
+def test_predictions_like_counting_in_sets():
+    """Exact sets of n-grams, counted one by one and corrected by the same rate, decide alike."""
+    said = {"de": "der hund und die katze sind im haus", "en": "the dog and the cat are in the house", "fr": "le chien et le chat sont dans la maison"}
+    sizes, bits = (2, 3), 20
+
+    def grams(text):
+        text = " " + "".join(c if c.isalpha() else " " for c in text.lower()) + " "
+        text = "".join(c for i, c in enumerate(text) if c != " " or i == 0 or text[i - 1] != " ")
+        return [text[i : i + n] for n in sizes for i in range(len(text) - n + 1)]
+
+    masks = np.zeros(1 << bits, np.uint8)
+    for i, text in enumerate(said.values()):
+        h = langid.ngram_hashes(text, sizes)
+        for _ in range(2):
+            masks[h >> np.uint64(64 - bits)] |= np.uint8(1 << i)
+            h = langid.mix64(h)
+    rates = np.array([0.001, 0.002, 0.003])
+    model = langid.Filters(tuple(said), masks, bits, 2, sizes, rates, "en")
+    sets = [set(grams(t)) for t in said.values()]
+    for text in ["the cat", "die Katze!", "Le chat…", "house Haus maison", "“in” le", "zzz", "und the la " * 9000, "xq dog, der"]:
+        own = grams(text)
+        true = np.maximum(0, (np.array([sum(g in s for g in own) for s in sets]) - len(own) * rates) / (1 - rates))
+        want = (tuple(said)[int(np.argmax(true))], min(1.0, true.max() / len(own))) if true.sum() > 0 else ("en", 0.0)
+        got = model.predict(text)
+        assert got[0] == want[0] and abs(got[1] - want[1]) < 1e-12, text
