@@ -8,8 +8,9 @@ task cuts its stretch of the curve into full sequences. The last, partial stretc
 need no padding, so no padding remains.
 
 Null text counts as empty: such a document is its end id alone. Rows that
-repeat an id are packed as documents of their own. An empty table packs to an
-empty result.
+repeat an id are packed as documents of their own; a hash of the text keeps the
+slices of different texts under one id apart. An empty table packs to an empty
+result.
 """
 
 from __future__ import annotations
@@ -81,12 +82,12 @@ def project(ids: np.ndarray, dims: int) -> np.ndarray:
 
 
 def tokenized(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, end_id: int, dims: int, bits: int, slice_tokens: int) -> DataFrame:
-    """(id, key, start, n, ids): slices of a document's ids, ``end_id`` last, and its Hilbert key.
+    """(id, copy, key, start, n, ids): slices of a document's ids, ``end_id`` last, its Hilbert key and a hash of its text.
 
     ``ids`` are little-endian 16-bit numbers, ``n`` counts the whole document.
     Slices bound the size of a row, and with it what a range of rows weighs.
     """
-    names = ["id", "key", "start", "n", "ids"]
+    names = ["id", "copy", "key", "start", "n", "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = load_encoder(tokenizer)
@@ -104,19 +105,19 @@ def tokenized(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, end_i
                 rows = [(i, at, x[at : at + slice_tokens].tobytes()) for i, x in enumerate(ids) for at in range(0, x.size, slice_tokens)]
                 which = np.array([r[0] for r in rows])
                 sizes = np.array([x.size for x in ids])
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(which)), pa.array(keys[which], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(sizes[which], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(which)), part.column(2).take(pa.array(which)), pa.array(keys[which], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(sizes[which], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names)
 
-    slim = bare(docs, id_col, text_col).toDF("id", "text")
-    return slim.mapInArrow(run, f"id {slim.schema['id'].dataType.simpleString()}, key bigint, start bigint, n bigint, ids binary")
+    slim = bare(docs, id_col, text_col).toDF("id", "text").withColumn("copy", F.xxhash64("text"))
+    return slim.mapInArrow(run, f"id {slim.schema['id'].dataType.simpleString()}, copy bigint, key bigint, start bigint, n bigint, ids binary")
 
 
 class _Packer:
-    """Cuts a stream of documents into sequences; holds one open sequence."""
+    """Cuts a stream of documents (id, copy) into sequences; holds one open sequence."""
 
     def __init__(self, task: int, size: int):
         self.next, self.size, self.at, self.open, self.done = task << 40, size, 0, [], []
 
-    def add(self, doc: object, first: int, total: int, ids: np.ndarray) -> None:
+    def add(self, doc: tuple, first: int, total: int, ids: np.ndarray) -> None:
         start = 0
         while start < ids.size:
             take = min(ids.size - start, self.size - self.at)
@@ -136,7 +137,7 @@ class _Packer:
         for doc, start, ids, total in self.open:
             take = min(ids.size, upto - offset)
             if take:
-                self.done.append((doc, start, take, ids[:take].astype("<u4").tobytes(), total, self.next, offset))
+                self.done.append((doc[0], start, take, ids[:take].astype("<u4").tobytes(), total, self.next, offset))
                 offset += take
             if take < ids.size:
                 rest.append((doc, start + take, ids[take:], total))
@@ -166,15 +167,15 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, siz
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = _Packer(TaskContext.get().partitionId(), size)
         for b in batches:
-            for doc, first, total, ids in zip(*(b.column(i).to_pylist() for i in range(3)), b.column(3), strict=True):
-                packer.add(doc, first, total, np.frombuffer(ids.as_buffer(), np.uint16))
+            for doc, copy, first, total, ids in zip(*(b.column(i).to_pylist() for i in range(4)), b.column(4), strict=True):
+                packer.add((doc, copy), first, total, np.frombuffer(ids.as_buffer(), np.uint16))
                 if len(packer.done) >= 4096:
                     yield packer.flush(schema)
         packer.finish()
         yield packer.flush(schema)
 
-    ranged = rows.repartitionByRange("key", "id", "start").sortWithinPartitions("key", "id", "n", "start", "ids")
-    return ranged.select("id", "start", "n", "ids").mapInArrow(run, PIECES.format(id=kind)).withColumnRenamed("id", id_col)
+    ranged = rows.repartitionByRange("key", "id", "copy", "start").sortWithinPartitions("key", "id", "copy", "start", "ids")
+    return ranged.select("id", "copy", "start", "n", "ids").mapInArrow(run, PIECES.format(id=kind)).withColumnRenamed("id", id_col)
 
 
 def _arrow(df: DataFrame, name: str) -> pa.DataType:

@@ -54,6 +54,19 @@ def test_edge_cases(spark, encode):
     assert pack.pack(df.limit(0)).count() == 0
 
 
+def test_texts_under_one_id_keep_apart(spark, encode):
+    one, other = "a b " * 3000, "b a " * 3000
+    df = spark.createDataFrame([(1, one), (1, other), (1, one)], "doc_id bigint, text string").repartition(1)
+    whole = [encode(one), encode(other)]
+    assert len(whole[0]) == len(whole[1]) > 4096
+    pieces = pack.pack(df).collect()
+    assert sum(p["length"] for p in pieces) == 2 * len(whole[0]) + len(whole[1])
+    for p in pieces:
+        ids = np.frombuffer(p["ids"], "<u4").tolist()
+        assert any(ids == w[p["start"] : p["start"] + p["length"]] for w in whole)
+    check([(1, one), (1, other), (1, one)], pieces, encode)
+
+
 def test_digest_is_crc32_of_the_ids(spark):
     pieces = pack.pack(spark.createDataFrame([(1, "some words")], "doc_id bigint, text string"))
     ids = pieces.first()["ids"]
