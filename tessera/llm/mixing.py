@@ -10,10 +10,12 @@
 3. Nonnegative rates x are fitted so that the expected tokens of each domain,
    sum of tokens * rate * posterior, match the target weights times the budget
    in least squares, each domain's error weighed by its mass. Projected
-   gradient comes first (in that metric the largest curvature is 1, so steps
-   of 1 are safe); an open total, and whatever it leaves unmatched, is fitted
-   by proximal steps, each solved by Newton's method on its dual, which has one
-   number a domain. Every step is one aggregation to a few numbers; a
+   gradient fits them: plain steps first (in that metric the largest curvature
+   is 1, so steps of 1 are safe), then, or at once if the total is open, steps
+   scaled by the totals' own curvature over the rates free to move, which halve
+   the gaps or more each. Only where those come no nearer, as when no rates match,
+   proximal steps decide, each solved by Newton's method on its dual, which has
+   one number a domain. Every step is one aggregation to a few numbers; a
    document's rate is a fold over the moves, so no state is stored. The fit
    ends when the totals match or no rates match them better, else it raises.
 
@@ -188,7 +190,7 @@ def fit_rates(mass: DataFrame, weights: list[float], *, budget: float | None = N
     in all, by default those there are. With a ``floor`` on the rates (a number,
     or a column of a document's posterior, see ``at_least_once``) and no budget the total is left open, and each domain's total is fitted to its
     share of whatever the total becomes. The first ``rounds`` moves are plain
-    gradient steps unless the total is open. The report's ``miss`` is the
+    projected-gradient steps unless the total is open; the next are scaled ones. The report's ``miss`` is the
     largest gap between totals got and wanted, as a share of all tokens: over
     ``tolerance`` only if no rates come nearer. A fit that has not ended after
     ``passes`` aggregations raises RuntimeError.
@@ -204,7 +206,7 @@ def fit_rates(mass: DataFrame, weights: list[float], *, budget: float | None = N
         """Totals, their curvature along the last move and half its squared length, token-weighted."""
         at = mass.withColumn("__from", rate_of(steps[:-1], floor)).withColumn("__to", rate_of(steps[-1:], floor, F.col("__from")))
         least = floor if isinstance(floor, Column) else F.lit(float(floor))
-        free = F.when(F.col("__to") > least, F.col("tokens")).otherwise(0.0)
+        free = F.when(F.col("__to") > least, F.col("tokens")).otherwise(0.0) if steps else F.col("tokens")  # at first any rate may rise
         sums = [F.col("tokens") * F.col("__to") * p for p in domain] + [free * domain[i] * domain[j] for i, j in pairs]
         sums.append(F.col("tokens") * (F.col("__to") - F.col("__from")) * (F.col("__to") - F.col("__from")) / 2)
         row = [float(v or 0.0) for v in at.agg(*[F.sum(c).alias(f"t{i}") for i, c in enumerate(sums)]).first()]
@@ -239,6 +241,19 @@ def fit_rates(mass: DataFrame, weights: list[float], *, budget: float | None = N
         got, curve, moved = measured(steps)
         used += 1
 
+    while np.abs(miss).max() > tolerance and used < passes:
+        push = gap.T @ np.linalg.lstsq(gap @ curve @ gap.T / all_tokens, miss, rcond=1e-9)[0]
+        for part in (1.0, 0.3, 0.1):
+            tried = measured([*steps, (part * push).tolist()])
+            used += 1
+            left = gap @ tried[0] / all_tokens - aim
+            if (left * left / share).sum() <= (miss * miss / share).sum() / 2:
+                break
+        else:
+            break  # no shorter step helps: the dual decides
+        steps.append((part * push).tolist())
+        (got, curve, moved), miss = tried, left
+
     while np.abs(miss).max() > tolerance:
         # least squares and moved / PULL at once: max over y of the dual, which is concave; its gradient is ``slope``
         y = np.zeros(k)
