@@ -16,7 +16,7 @@
    the gaps or more each. Only where those come no nearer, as when no rates match,
    proximal steps decide, each solved by Newton's method on its dual, which has
    one number a domain. Every step is one aggregation to a few numbers; a
-   document's rate is a fold over the moves, so no state is stored. The fit
+   document's rate is a fold over the moves, stored every few of them. The fit
    ends when the totals match or no rates match them better, else it raises.
 
 Null text is empty: no tokens, prior posterior. Rows with a null or unknown
@@ -36,7 +36,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, stored
+from tessera.llm.common import cut, discard, stored
 
 
 def words_of(text: Column) -> Column:
@@ -195,31 +195,67 @@ def fit_rates(mass: DataFrame, weights: list[float], *, budget: float | None = N
     ``tolerance`` only if no rates come nearer. A fit that has not ended after
     ``passes`` aggregations raises RuntimeError.
     """
-    k = len(weights)
-    if k < 1 or min(weights) < 0 or not sum(weights) > 0:
+    if not weights or min(weights) < 0 or not sum(weights) > 0:
         raise ValueError("weights must be nonnegative, with a positive sum")
-    goal = np.array(weights, float) / sum(weights)
-    domain = [F.col("posterior")[i] for i in range(k)]
-    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    rates = _Rates(mass, len(weights), floor)
+    try:
+        return _fitted(rates, np.array(weights, float) / sum(weights), budget, budget is None and (isinstance(floor, Column) or floor > 0), rounds, tolerance, passes)
+    finally:
+        rates.discard()
 
-    def measured(steps: list[list[float]]) -> tuple[np.ndarray, np.ndarray, float]:
+
+#: Rates are stored anew after so many moves.
+SETTLE = 8
+
+
+class _Rates:
+    """Documents and their rates after some moves.
+
+    Every ``SETTLE`` moves the rates are stored, so that a pass folds no more
+    moves than that over a document, however many came before.
+    """
+
+    def __init__(self, mass: DataFrame, k: int, floor: float | Column):
+        self.at, self.k, self.floor, self.moves = mass.select("tokens", "posterior"), k, floor, 0
+        self.domain = [F.col("posterior")[i] for i in range(k)]
+        self.pairs = [(i, j) for i in range(k) for j in range(i, k)]
+
+    def after(self, steps: list[list[float]]) -> Column:
+        """The rate after ``steps``, of which the first ``moves`` are in the stored one."""
+        return rate_of(steps[self.moves :], self.floor, F.col("__rate") if self.moves else None)
+
+    def measured(self, steps: list[list[float]]) -> tuple[np.ndarray, np.ndarray, float]:
         """Totals, their curvature along the last move and half its squared length, token-weighted."""
-        at = mass.withColumn("__from", rate_of(steps[:-1], floor)).withColumn("__to", rate_of(steps[-1:], floor, F.col("__from")))
-        least = floor if isinstance(floor, Column) else F.lit(float(floor))
+        at = self.at.withColumn("__from", self.after(steps[:-1])).withColumn("__to", rate_of(steps[-1:], self.floor, F.col("__from")))
+        least = self.floor if isinstance(self.floor, Column) else F.lit(float(self.floor))
         free = F.when(F.col("__to") > least, F.col("tokens")).otherwise(0.0) if steps else F.col("tokens")  # at first any rate may rise
-        sums = [F.col("tokens") * F.col("__to") * p for p in domain] + [free * domain[i] * domain[j] for i, j in pairs]
+        sums = [F.col("tokens") * F.col("__to") * p for p in self.domain] + [free * self.domain[i] * self.domain[j] for i, j in self.pairs]
         sums.append(F.col("tokens") * (F.col("__to") - F.col("__from")) * (F.col("__to") - F.col("__from")) / 2)
         row = [float(v or 0.0) for v in at.agg(*[F.sum(c).alias(f"t{i}") for i, c in enumerate(sums)]).first()]
-        curve = np.zeros((k, k))
-        for (i, j), v in zip(pairs, row[k:-1], strict=True):
+        curve = np.zeros((self.k, self.k))
+        for (i, j), v in zip(self.pairs, row[self.k : -1], strict=True):
             curve[i, j] = curve[j, i] = v
-        return np.array(row[:k]), curve, row[-1]
+        return np.array(row[: self.k]), curve, row[-1]
+
+    def settle(self, steps: list[list[float]]) -> None:
+        """Moves are made and will not be taken back."""
+        if len(steps) - self.moves >= SETTLE:
+            now = stored(self.at.select("tokens", "posterior", self.after(steps).alias("__rate")))
+            self.discard()
+            self.at, self.moves = now, len(steps)
+
+    def discard(self) -> None:
+        if self.moves:
+            discard(self.at)
+
 
+def _fitted(rates: _Rates, goal: np.ndarray, budget: float | None, open_total: bool, rounds: int, tolerance: float, passes: int) -> tuple[list[list[float]], dict]:
+    """See ``fit_rates``; ``goal`` sums to 1."""
+    k, measured = goal.size, rates.measured
     got, curve, moved = measured([])
     have, all_tokens = got.tolist(), got.sum()
     if not all_tokens:
         return [], {"have": have, "want": [0.0] * k, "got": have, "miss": 0.0}
-    open_total = budget is None and (isinstance(floor, Column) or floor > 0)
     share = np.maximum(got / all_tokens, 1e-12)
     # the gaps are ``gap @ totals - aim``
     gap = np.eye(k) - (goal[:, None] if open_total else 0.0)
@@ -237,11 +273,13 @@ def fit_rates(mass: DataFrame, weights: list[float], *, budget: float | None = N
             return steps, report()
         if open_total or len(steps) >= rounds:
             break
+        rates.settle(steps)
         steps.append((miss / share).tolist())
         got, curve, moved = measured(steps)
         used += 1
 
     while np.abs(miss).max() > tolerance and used < passes:
+        rates.settle(steps)
         push = gap.T @ np.linalg.lstsq(gap @ curve @ gap.T / all_tokens, miss, rcond=1e-9)[0]
         for part in (1.0, 0.3, 0.1):
             tried = measured([*steps, (part * push).tolist()])
@@ -256,6 +294,7 @@ def fit_rates(mass: DataFrame, weights: list[float], *, budget: float | None = N
 
     while np.abs(miss).max() > tolerance:
         # least squares and moved / PULL at once: max over y of the dual, which is concave; its gradient is ``slope``
+        rates.settle(steps)
         y = np.zeros(k)
         got, curve, moved = measured([*steps, [0.0] * k])
         used += 1
