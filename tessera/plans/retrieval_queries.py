@@ -25,8 +25,8 @@ def corpus_length_stats(spark, d):
     return r.corpus_stats(r.term_counts(snapshot(spark, d))).select("n", F.round("avgdl", 6).alias("avgdl"))
 
 
-def _scores(spark, d):
-    return r.bm25(r.lexical_index(snapshot(spark, d)), questions(spark, d))
+def _scores(spark, d, best=None):
+    return r.bm25(r.lexical_index(snapshot(spark, d)), questions(spark, d), best=best)
 
 
 def bm25_scores(spark, d):
@@ -53,7 +53,7 @@ def semantic_stage(spark, d):
 
 def _fused(spark, d):
     snap = snapshot(spark, d)
-    return r.fuse(r.lexical_top(snap, _scores(spark, d)), r.semantic_top(snap, vectors(spark, d), question_vectors(spark, d)), snap)
+    return r.fuse(r.lexical_top(snap, _scores(spark, d, r.CANDIDATES)), r.semantic_top(snap, vectors(spark, d), question_vectors(spark, d)), snap)
 
 
 def rrf_fusion(spark, d):

@@ -375,3 +375,34 @@ def test_deviations_are_written_whole(spark, tmp_path):
 def test_sources_without_a_root(spark):
     refs = spark.createDataFrame([("a/b",), ("/a",), ("",), (None,)], "path string")
     assert [r["resolution"] for r in index.source_states(refs, None).collect()] == ["hint_unavailable"] + ["invalid_relative_path"] * 3
+
+
+def test_leading_rows_hold_every_winner_and_few_others(spark):
+    rng = random.Random(5)
+    rows = [(q, f"c{i}", float(rng.randrange(500))) for i in range(6000) for q in (1, 2)]
+    df = spark.createDataFrame(rows, "query_id int, chunk_id string, score double").coalesce(1)
+    for sign in (True, False):
+        kept = {(r[0], r[1]) for r in retrieval.leading(df, 24, "score", sign).collect()}
+        assert len(kept) < 3000
+        for q in (1, 2):
+            own = sorted((-s if sign else s) for x, _, s in rows if x == q)
+            assert {(x, c) for x, c, s in rows if x == q and (-s if sign else s) <= own[23]} <= kept
+    assert retrieval.leading(df, retrieval.EVERY).count() == len(rows)
+
+
+def test_scores_take_no_shuffle_and_equal_texts_score_equally(spark):
+    words = [f"w{i}" for i in range(60)]
+    rng = random.Random(6)
+    texts = [" ".join(rng.choices(words, k=40)) for _ in range(50)]
+    rows = [(f"c{i}", "r", " ".join(rng.sample(t.split(), 40))) for i, t in enumerate(texts * 3)]
+    asked = spark.createDataFrame([(q, " ".join(rng.choices(words, k=30))) for q in range(5)], "query_id int, question string")
+    index = retrieval.lexical_index(snapshot(spark, rows))
+    scores = retrieval.bm25(index, asked)
+    assert "Exchange" not in scores._jdf.queryExecution().executedPlan().toString()
+    of = {(r["query_id"], r["chunk_id"]): r["score"] for r in scores.collect()}
+    assert all(of[q, f"c{i}"] == of[q, f"c{i + 50}"] == of[q, f"c{i + 100}"] for q in range(5) for i in range(50))
+    few = {(r["query_id"], r["chunk_id"]) for r in retrieval.bm25(index, asked, best=3).collect()}
+    for q in range(5):
+        third = sorted((s for (x, _), s in of.items() if x == q), reverse=True)[2]
+        assert {k for k, s in of.items() if k[0] == q and s >= third} <= few
+    assert len(few) < len(of)
