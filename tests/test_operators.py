@@ -406,3 +406,9 @@ def test_scores_take_no_shuffle_and_equal_texts_score_equally(spark):
         third = sorted((s for (x, _), s in of.items() if x == q), reverse=True)[2]
         assert {k for k, s in of.items() if k[0] == q and s >= third} <= few
     assert len(few) < len(of)
+
+
+def test_a_small_file_of_parts_is_dealt_to_all_cores(spark, sf_dir):
+    from tessera.plans import text_queries
+
+    assert text_queries.records(spark, sf_dir).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
