@@ -111,16 +111,16 @@ def plan(unit_rows: DataFrame, generation: str, counter: Callable[..., Count], *
             at = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays([*[b.column(i).take(at) for i in range(6)], pa.array(ordinals, pa.int32()), pa.array(texts, pa.string()), pa.array([count(t) for t in texts], pa.int32())], [*columns[:-1], "ordinal", "text", "evidence_tokens"])
 
-    def inputs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("int")
+    def counted(texts: pa.Array) -> pa.Array:
         count = counter(*args) if args else counter
-        for b in batches:
-            given = b.column(b.schema.get_field_index("embedding_input")).to_pylist()
-            yield b.append_column("input_tokens", pa.array([count(t) for t in given], pa.int32()))
+        return pa.array([count(t) for t in texts.to_pylist()], pa.int32())
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields)
     rows = unit_rows.select(*columns).where("text is not null").mapInArrow(run, f"{kinds}, ordinal int, text string, evidence_tokens int")
     rows = rows.withColumn("chunk_id", chunk_id(generation, F.col("id"), F.col("fingerprint"), F.col("value_path"), F.col("ordinal"))).withColumn("embedding_input", embedding_input(F.col("title"), F.col("value_path"), F.col("text")))
-    rows = rows.mapInArrow(inputs, f"{kinds}, ordinal int, text string, evidence_tokens int, chunk_id string, embedding_input string, input_tokens int")
+    # a column, so that a query that doesn't ask for it doesn't count each chunk once more
+    rows = rows.withColumn("input_tokens", counted(F.col("embedding_input")))
     return rows.withColumn("oversize", F.col("input_tokens") > MODEL_LIMIT)
 
 

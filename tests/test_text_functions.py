@@ -101,3 +101,11 @@ def test_containment_by_automaton(spark, block):
     want = sorted({(k, c) for k, t in [tuple(r) for r in said.collect()] for c, x in [tuple(r) for r in chunks.collect()] if t and x and t in x})
     assert sorted(map(tuple, claims.holders(said, chunks, "k", "c", block).collect())) == want
     assert claims.holders(said.limit(0), chunks, "k", "c").collect() == [] == claims.holders(said, chunks.limit(0), "k", "c").collect()
+
+
+def test_inputs_are_counted_only_where_asked_for(spark):
+    units = spark.createDataFrame([("a", "t", "f", 0, 0, "body[0]", "One. Two.")], "id string, title string, fingerprint string, schema_order int, i int, value_path string, text string")
+    rows = packing.plan(units, "g", packing.word_count)
+    assert rows.select("id", "text", "evidence_tokens")._jdf.queryExecution().optimizedPlan().toString().count("counted") == 0
+    assert [tuple(r) for r in rows.select("text", "evidence_tokens", "input_tokens", "oversize").collect()] == [("One. Two.", 4, packing.word_count(rows.first()["embedding_input"]), False)]
+    assert str(rows.select("id", "text")._jdf.queryExecution().optimizedPlan()).count("MapInArrow") == 1
