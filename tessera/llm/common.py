@@ -132,14 +132,36 @@ def inverse(base: int) -> int:
     return pow(base, -1, 1 << 64)
 
 
-def located_words(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+Located = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def located_words(text: str | None) -> Located:
     """Hashes of the words of a text, where they begin and end in bytes, and the bytes.
 
     Words are maximal runs outside ``[\\x20\\x09-\\x0D]``; A-Z count as a-z. The
     hash is a polynomial in the word's bytes, so the whole text takes a few
     array operations and no Python loop over words.
     """
-    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+    return _located((text or "").encode("utf-8", "surrogatepass"))
+
+
+def located_together(texts: list[str | None]) -> tuple[Located, np.ndarray]:
+    """The words of some texts as of one, a line end between two, and where each text begins in bytes."""
+    parts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    return _located(b"\n".join(parts)), np.cumsum([0, *[len(p) + 1 for p in parts[:-1]]])
+
+
+def in_parts(sizes: np.ndarray, most: int = 1 << 17) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbours of ``most`` bytes at most together, or of one."""
+    before, low = np.concatenate(([0], np.cumsum(sizes))), 0
+    while low < sizes.size:
+        high = max(low + 1, int(np.searchsorted(before, before[low] + most, "right")) - 1)
+        yield low, high
+        low = high
+
+
+def _located(text: bytes) -> Located:
+    raw = np.frombuffer(text, np.uint8)
     gap = (raw == 32) | ((raw >= 9) & (raw <= 13))
     edge = np.flatnonzero(np.diff(np.concatenate(([True], gap, [True])).astype(np.int8)))
     starts, ends = edge[::2], edge[1::2]

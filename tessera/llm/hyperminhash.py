@@ -77,6 +77,14 @@ def banded(classes: DataFrame, bands: int, rows: int) -> DataFrame:
     return classes.select("node", "sig", band).select(F.xxhash64("band", cutout).alias("key"), "node")
 
 
+def flat(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers that the values of a binary column hold, one value after the other, and where each begins; without nulls."""
+    column = column.cast(pa.binary())
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    whole = np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    return whole.view(kind), (ends - ends[0]) // np.dtype(kind).itemsize
+
+
 def likely(pairs: DataFrame, classes: DataFrame, least: float, percent: int) -> DataFrame:
     """The pairs (a, b), cut from their lineage, estimated at ``least`` or more whose sizes allow ``percent``."""
 
@@ -84,7 +92,7 @@ def likely(pairs: DataFrame, classes: DataFrame, least: float, percent: int) ->
         for b in batches:
             if not b.num_rows:
                 continue
-            x, y = (np.array([np.frombuffer(v.as_buffer(), np.uint16) for v in b.column(i)]) for i in (2, 4))
+            x, y = (flat(b.column(i), np.uint16)[0].reshape(b.num_rows, -1) for i in (2, 4))
             equal = (x == y).sum(axis=1)
             n, m = b.column(3).to_numpy(), b.column(5).to_numpy()
             sure = estimate(equal, x.shape[1], n, m) >= least
@@ -107,12 +115,15 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                common = np.intersect1d(p, q, assume_unique=True).size
-                ok.append(100 * common >= percent * (p.size + q.size - common))
-            mask = pa.array(ok, pa.bool_())
+            if not b.num_rows:
+                continue
+            (x, at), (y, by) = flat(b.column(2), np.uint64), flat(b.column(3), np.uint64)
+            common = np.empty(b.num_rows, np.int64)
+            for i, (p, q, r, t) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), by[:-1].tolist(), by[1:].tolist(), strict=True)):
+                both = np.concatenate((x[p:q], y[r:t]))
+                both.sort()
+                common[i] = np.count_nonzero(both[1:] == both[:-1])
+            mask = pa.array(100 * common >= percent * (np.diff(at) + np.diff(by) - common))
             yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], ["a", "b"])
 
     one = sets.select(F.col("node").alias("a"), F.col("members").alias("in_a"))

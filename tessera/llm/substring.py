@@ -35,10 +35,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import MIX_A, POLY, bare, cut, discard, heavy_keys, inverse, joined, located_words, mix64, powers, run_hashes, shingle_hashes, shingles_in_order, stored, stored_apart, word_hashes
+from tessera.llm.common import MIX_A, POLY, Located, bare, cut, discard, heavy_keys, in_parts, inverse, joined, located_together, located_words, mix64, powers, run_hashes, shingles_in_order, stored, stored_apart
 from tessera.llm.hyperminhash import registers
 from tessera.llm.near_links import near_components
 
@@ -51,25 +52,37 @@ def tune(percent: int, recall: float = 0.9998, rows: int = 2) -> tuple[int, int]
     return int(np.ceil(np.log(1 - recall) / np.log(1 - hit))), rows
 
 
-Located = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+def distinct_runs(words: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct hashes of the runs of ``WIDTH`` words of each range of words, one after the other, and their number in each."""
+    size = np.maximum(hi - lo - WIDTH + 1, 0)
+    first = np.cumsum(size) - size
+    runs = shingles_in_order(words, WIDTH)[np.repeat(lo - first, size) + np.arange(size.sum())]
+    for a, b in zip(first.tolist(), (first + size).tolist(), strict=True):
+        runs[a:b].sort()
+    new = np.ones(runs.size, bool)
+    new[1:] = runs[1:] != runs[:-1]
+    new[first[size > 0]] = True
+    upto = np.concatenate(([0], np.cumsum(new)))
+    return runs[new], upto[first + size] - upto[first]
 
 
-def split_lines(located: Located, min_words: int) -> list[tuple[int, int, int, np.ndarray]]:
-    """(start, length, words, sorted distinct shingle hashes) of each long enough line of a text as ``located_words``; start and length in code points."""
+def split_lines(located: Located, begin: np.ndarray, min_words: int) -> list[np.ndarray]:
+    """text, start, length, words, members of each long enough line of texts as ``located_together``, and all members; start and length in code points."""
     words, first, _, raw = located
     ends = np.append(np.flatnonzero(raw == 10), raw.size)
     begins = np.append(0, ends[:-1] + 1)
     lo, hi = np.searchsorted(first, begins), np.searchsorted(first, ends)
     long = np.flatnonzero(hi - lo >= max(min_words, WIDTH))
-    if not long.size:
-        return []
-    runs = shingles_in_order(words, WIDTH)
-    starts, stops = _points(raw, begins[long]), _points(raw, ends[long])
-    return [(int(a), int(b - a), int(hi[i] - lo[i]), np.unique(runs[lo[i] : hi[i] - WIDTH + 1])) for i, a, b in zip(long, starts, stops, strict=True)]
+    members, n = distinct_runs(words, lo[long], hi[long])
+    text = np.searchsorted(begin, begins[long], "right") - 1
+    start, stop = _points(raw, begins[long]), _points(raw, ends[long])
+    return [text, start - _points(raw, begin)[text], stop - start, hi[long] - lo[long], n, members]
 
 
-def _print(members: np.ndarray) -> bytes:
-    return hashlib.blake2b(members.tobytes(), digest_size=16).digest()
+def _prints(members: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """A digest of each set of ``n`` neighbours."""
+    said, ends = memoryview(members.tobytes()), (8 * np.cumsum(n)).tolist()
+    return [hashlib.blake2b(said[a:b], digest_size=16).digest() for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
 
 LINE = "id bigint, start bigint, length bigint, words bigint, n bigint, print binary, sig binary"
@@ -86,20 +99,21 @@ def marked(docs: DataFrame, line_words: int, min_words: int, k: int) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 128):
-                part = b.slice(at, 128)
-                located = [located_words(t.as_py()) for t in part.column(2)]
-                found = [(doc, *p) for doc, own in zip(part.column(0).to_pylist(), located, strict=True) for p in split_lines(own, line_words)]
-                if found:
-                    n = np.array([p[4].size for p in found], np.int64)
-                    sig = registers(np.concatenate([p[4] for p in found]), np.concatenate(([0], np.cumsum(n)[:-1])), k)
-                    cols = {c: pa.array([p[i] for p in found], pa.int64()) for i, c in enumerate(("id", "start", "length", "words"))}
-                    yield rows(n.size, role=pa.array(np.zeros(n.size, np.int32)), **cols, n=pa.array(n), print=pa.array([_print(p[4]) for p in found], pa.binary()), sig=pa.array([s.tobytes() for s in sig], pa.binary()))
-                blocks = [_blocks(own, min_words) for own in located]
-                times = pa.array(np.repeat(np.arange(len(blocks)), [f[0].size if f else 0 for f in blocks]))
-                if len(times):
-                    cols = dict(zip(("anchor", "place", "span", "form"), (pa.array(np.concatenate(c)) for c in zip(*filter(None, blocks), strict=True)), strict=True))
-                    yield rows(len(times), role=pa.array(np.ones(len(times), np.int32)), id=part.column(0).take(times), copy=part.column(1).take(times), **cols)
+            for low, high in in_parts(pc.binary_length(b.column(2)).to_numpy(zero_copy_only=False)):
+                part = b.slice(low, high - low)
+                located, begin = located_together(part.column(2).to_pylist())
+                text, *found, members = split_lines(located, begin, line_words)
+                n = found[-1]
+                if n.size:
+                    sig = registers(members, np.cumsum(n) - n, k)
+                    sig = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * k), n.size, [None, pa.py_buffer(sig.tobytes())]).cast(pa.binary())
+                    cols = {c: pa.array(x, pa.int64()) for c, x in zip(("start", "length", "words", "n"), found, strict=True)}
+                    yield rows(n.size, role=pa.array(np.zeros(n.size, np.int32)), id=part.column(0).take(pa.array(text)), **cols, print=pa.array(_prints(members, n), pa.binary()), sig=sig)
+                text, *found = _blocks(located, begin, min_words)
+                if text.size:
+                    cols = {c: pa.array(x) for c, x in zip(("anchor", "place", "span", "form"), found, strict=True)}
+                    times = pa.array(text)
+                    yield rows(text.size, role=pa.array(np.ones(text.size, np.int32)), id=part.column(0).take(times), copy=part.column(1).take(times), **cols)
 
     return docs.mapInArrow(run, f"role int, {LINE}, {BLOCK}")
 
@@ -109,9 +123,15 @@ def _sets(docs: DataFrame, units: DataFrame, nodes: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingle_hashes(word_hashes(t.as_py()), WIDTH) for t in b.column(1)]
-            ok = pa.array([_print(s) == p.as_py() for s, p in zip(sets, b.column(2), strict=True)], pa.bool_())  # else another text of the same id
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), pa.array([s.tobytes() for s in sets], pa.binary()).filter(ok)], ["node", "members"])
+            for low, high in in_parts(pc.binary_length(b.column(1)).to_numpy(zero_copy_only=False)):
+                part = b.slice(low, high - low)
+                (words, starts, *_), begin = located_together(part.column(1).to_pylist())
+                at = np.append(np.searchsorted(starts, begin), starts.size)
+                members, n = distinct_runs(words, at[:-1], at[1:])
+                ok = pa.array([p == q for p, q in zip(_prints(members, n), part.column(2).to_pylist(), strict=True)], pa.bool_())  # else another text of the same id
+                ends = pa.py_buffer(np.concatenate(([0], 8 * np.cumsum(n))).astype(np.int32).tobytes())
+                sets = pa.Array.from_buffers(pa.binary(), n.size, [None, ends, pa.py_buffer(members.tobytes())])
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(ok), sets.filter(ok)], ["node", "members"])
 
     where = units.select(F.col("uid").alias("node"), "id", "start", "length", "print").join(nodes, "node", "left_semi")
     cutout = F.substring("text", (F.col("start") + 1).cast("int"), F.col("length").cast("int"))
@@ -205,8 +225,8 @@ def _paired(high: np.ndarray, low: np.ndarray) -> np.ndarray:
     return (high.astype(np.int64) << 32) | low.astype(np.int64)
 
 
-def _blocks(located: Located, min_words: int) -> list[np.ndarray]:
-    """anchor, place (first window, windows), span (start, stop) and form of each block of a text as ``located_words``.
+def _blocks(located: Located, begin: np.ndarray, min_words: int) -> list[np.ndarray]:
+    """text, anchor, place (first window, windows), span (start, stop) and form of each block of texts as ``located_together``.
 
     A window is a run of ``min_words`` words, its anchor the run of ``gram`` words
     in it with the least hash; a block is a maximal run of windows with one
@@ -215,16 +235,20 @@ def _blocks(located: Located, min_words: int) -> list[np.ndarray]:
     """
     words, starts, ends, raw = located
     if words.size < min_words:
-        return []
+        return [np.empty(0, np.int64)] * 5
     gram = max(2, 3 * min_words // 10)
     runs = run_hashes(words, gram)
     bits = np.uint64(int(runs.size).bit_length())  # the lowest bits give way to the place: of equal hashes the first counts
     least = sliding_least((runs >> bits << bits) | np.arange(runs.size, dtype=np.uint64), min_words - gram + 1)
-    at = (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-    lo = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    n = np.diff(np.append(lo, at.size))
+    head = np.searchsorted(starts, begin)  # the first word of each text
+    text = np.repeat(np.arange(head.size), np.diff(np.append(head, words.size)))
+    inside = np.flatnonzero(text[: least.size] == text[min_words - 1 :])  # windows of one text
+    at = (least[inside] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    new = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (np.diff(inside) > 1)))[: at.size])
+    lo, n = inside[new], np.diff(np.append(new, at.size))
     last = lo + n + min_words - 2
-    starts, ends = _points(raw, starts), _points(raw, ends)
+    text = text[lo]
+    starts, ends, begin = _points(raw, starts), _points(raw, ends), _points(raw, begin)
     gaps = np.zeros(words.size, np.uint64)
     gaps[1:] = starts[1:] - ends[:-1]
     up, down = powers(int(MIX_A), words.size), powers(inverse(int(MIX_A)), words.size)
@@ -232,7 +256,7 @@ def _blocks(located: Located, min_words: int) -> list[np.ndarray]:
         said, apart = (np.concatenate((np.zeros(1, np.uint64), np.cumsum(x * up, dtype=np.uint64))) for x in (words, gaps))
         form = mix64((said[last + 1] - said[lo]) * down[lo] + mix64((apart[last + 1] - apart[lo + 1]) * down[lo])) + n.astype(np.uint64)
         form = mix64(form)
-    return [runs[at[lo]].view(np.int64), _paired(lo, n), _paired(starts[lo], ends[last]), form.view(np.int64)]
+    return [text, runs[at[new]].view(np.int64), _paired(lo - head[text], n), _paired(starts[lo] - begin[text], ends[last] - begin[text]), form.view(np.int64)]
 
 
 def _high(pair: str) -> F.Column:

@@ -1,12 +1,14 @@
 import random
 import re
+import time
 from itertools import combinations
 
+import numpy as np
 import pytest
 from test_near_dedup import shingles, words
 
 from tessera.llm import substring
-from tessera.llm.common import table
+from tessera.llm.common import in_parts, located_together, table
 
 
 def brute_lines(rows, min_words, percent=80):
@@ -161,3 +163,31 @@ def test_a_passage_that_a_third_of_all_documents_hold(spark):
     rows = [(i, f"{say(20)} {passage} {say(20)}" if i % 3 == 0 else say(90)) for i in range(300)]
     got = rows_of(substring.repeats(spark.createDataFrame(rows, "doc_id bigint, text string")))
     assert got == brute(rows) and len(got) == 100
+
+
+def test_texts_taken_together_give_what_each_gives_alone():
+    rng = random.Random(5)
+    texts = ["", "a", "\n", None, " ä\n"] + ["".join(rng.choice(["ä", "🙂b", "c ", " d", "e\n", "\tX "]) for _ in range(rng.choice([3, 60, 900]))) for _ in range(40)]
+    located, begin = located_together(texts)
+    text, *found, members = substring.split_lines(located, begin, 6)
+    blocks = substring._blocks(located, begin, 12)
+    assert len(text) and blocks[0].size
+    upto = 0
+    for i, t in enumerate(texts):
+        own, at = located_together([t])
+        _, *lines, sets = substring.split_lines(own, at, 6)
+        assert [x[text == i].tolist() for x in found] == [x.tolist() for x in lines]
+        assert members[upto : upto + sets.size].tolist() == sets.tolist()
+        upto += sets.size
+        # at which of two equally small runs a block is anchored does not depend on the other texts
+        assert [x[blocks[0] == i].tolist() for x in blocks[1:]] == [x.tolist() for x in substring._blocks(own, at, 12)[1:]]
+
+
+def test_many_short_lines_take_few_array_operations():
+    lines = [" ".join(f"w{i * j % 9973}" for j in range(20)) for i in range(20_000)]
+    began = time.process_time()
+    for low, high in in_parts(np.array([len(x) for x in lines])):
+        (words, starts, *_), begin = located_together(lines[low:high])
+        at = np.append(np.searchsorted(starts, begin), starts.size)
+        assert substring.distinct_runs(words, at[:-1], at[1:])[1].size == high - low
+    assert time.process_time() - began < 2  # line by line: 5 s
