@@ -35,27 +35,30 @@ def near_components(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame
     able = classes.where(F.col("n") * (100 - percent) >= percent - (100 - percent) + 1) if percent < 100 else classes.limit(0)
     keys = banded(able, bands, rows)
     shared = cut(keys.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("size")).where("size > 1"))
-    members = cut(joined(keys, shared, ["key"]))
+    members = stored(joined(keys, shared, ["key"]))
 
-    met = cut(members.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct())
+    met = stored(members.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct())
     # texts are read again once, for the sets of all that share a bucket with another
     sets = stored(sets_of(members.select("node").distinct()))
     stars = cut(likely(met, able, least, percent))
+    discard(met)
     links = cut(linked(stars, sets, percent))
     so_far = components(links)
 
     rest = members.where("size > 2 and node <> first").join(so_far, "node", "left")
-    placed = cut(rest.select("key", "node", F.coalesce("component", "node").alias("component")))
+    placed = stored(rest.select("key", "node", F.coalesce("component", "node").alias("component")))
+    discard(members)
     parts = placed.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key")
     mixed = cut(parts.agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.max("c").alias("most"), F.sum("c").alias("total")).where("most < total"))
-    tagged = cut(joined(placed, mixed, ["key"], "total"))
+    tagged = stored(joined(placed, mixed, ["key"], "total"))
+    discard(placed)
     blocks, parts = F.ceil((F.col("total") - F.col("most")) / 256).cast("int"), F.ceil(F.col("total") / 1024).cast("int")
     dealt = lambda seed, n: F.pmod(F.xxhash64("node", F.lit(seed)), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     held = tagged.where("component <> main").select("key", dealt(1, blocks).alias("block"), every(parts).alias("part"), F.lit(0).alias("role"), "node", "component")
     passing = tagged.select("key", every(blocks).alias("block"), dealt(2, parts).alias("part"), F.lit(1).alias("role"), "node", "component")
     more = cut(_met_in_blocks(held.unionByName(passing).join(sets, "node"), percent))
-    discard(sets)
+    discard(sets, tagged)
     if more.isEmpty():
         return so_far
     return components(links.unionByName(more))
