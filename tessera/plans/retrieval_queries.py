@@ -84,7 +84,7 @@ def canonical_stems(spark, d):
 
 def field_aware_ranks(spark, d):
     rows = r.field_aware(snapshot(spark, d), vectors(spark, d), questions(spark, d), question_vectors(spark, d))
-    return rows.select("query_id", "chunk_id", *[F.col(c).cast("bigint").alias(c) for c in ("lexical_rank", "semantic_rank", "fused_rank")], F.round("fused_score", 9).alias("fused_score"))
+    return rows.select("query_id", "chunk_id", *[F.col(c).cast("bigint").alias(c) for c in ("lexical_rank", "semantic_rank", "fused_rank")], "fused_score")
 
 
 def filter_trace(spark, d):

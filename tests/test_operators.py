@@ -4,7 +4,9 @@ import math
 import random
 import re
 import unicodedata
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -423,3 +425,50 @@ def test_the_mean_idf_does_not_depend_on_the_order_of_the_words(spark):
     for frequency in (rows.coalesce(1), rows.repartition(7, "word"), rows.orderBy(F.desc("df")).coalesce(1)):
         floor = retrieval.idf(frequency, n).where("word = 200000").first()["idf"]
         assert abs(floor - 0.25 * mean) <= 2 * math.ulp(floor)
+
+
+def test_stems_are_made_where_the_texts_are(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choices("aeiysgnd\u00e9\U0001d54f", k=rng.randint(1, 9))) for _ in range(3000)] + ["ssss", "iiii", "eeee", "ess", "singing", "horses", "busied"]
+    rows = [(f"c{i}", "r", " ".join(rng.choices(words, k=20))) for i in range(300)] + [("empty", "r", ""), ("none", "r", None), ("stop", "r", "the of")]
+    counts = retrieval.stem_counts(snapshot(spark, rows))
+    assert "Exchange" not in counts._jdf.queryExecution().executedPlan().toString()
+    got = {r["chunk_id"]: (r["dl"], [tuple(t) for t in r["terms"]]) for r in counts.collect()}
+    stems = snapshot(spark, rows).select("chunk_id", F.coalesce(ft.stemmed_tokens(F.col("text")), F.array()).alias("stems")).collect()
+    assert got == {r["chunk_id"]: (len(r["stems"]), sorted(Counter(r["stems"]).items())) for r in stems}
+
+
+def test_field_aware_moves_a_pair_once(spark):
+    rng = random.Random(9)
+    words = [f"w{i}ing" for i in range(30)]
+    rows = [(f"c{i}", f"r{i % 4}", " ".join(rng.choices(words, k=12))) for i in range(60)] + [("c60", "r0", "other"), ("c61", "r0", None)]
+    asked = spark.createDataFrame([(q, " ".join(rng.choices(words, k=8))) for q in range(3)] + [(3, "the of")], "query_id int, question string")
+    vectors = spark.createDataFrame([(f"c{i}", [float(i % 7), 1.0]) for i in range(0, 62, 2)] + [("c1", [0.0, 0.0]), ("c3", None), ("gone", [1.0, 1.0])], "chunk_id string, vector array<float>")
+    near = spark.createDataFrame([(0, [1.0, 2.0]), (3, [2.0, 1.0])], "query_id int, vector array<double>")
+    snap = snapshot(spark, rows)
+    ranked = retrieval.field_aware(snap, vectors, asked, near, {"no.field": "label"})
+    plan = ranked._jdf.queryExecution().sparkPlan().toString() + ranked._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "fingerprint" not in plan and plan.count("Exchange hashpartitioning(query_id") == 1
+    key = {r["chunk_id"]: (r["record_id"], r["fingerprint"], r["value_path"], r["ordinal"]) for r in snap.collect()}
+    scores = {(r["query_id"], r["chunk_id"]): r["score"] for r in retrieval.bm25(retrieval.stem_counts(snap), asked, tokens=ft.stemmed_tokens).collect()}
+    want = {}
+    for q, v in ((0, (1.0, 2.0)), (1, None), (2, None), (3, (2.0, 1.0))):
+        lexical = sorted((c for (x, c), s in scores.items() if x == q and round(s, 9) > 0), key=lambda c: (-round(scores[q, c], 9), key[c]))
+        have = {c: (float(int(c[1:]) % 7), 1.0) for c in key if int(c[1:]) % 2 == 0} if v else {}
+        far = {c: 1 - (x[0] * v[0] + x[1] * v[1]) / math.hypot(*x) / math.hypot(*v) for c, x in have.items()} | ({"c1": 2.0} if v else {})
+        semantic = sorted(far, key=lambda c: (round(far[c], 9), key[c]))
+        lexical, semantic = ({c: n for n, c in enumerate(x, 1)} for x in (lexical, semantic))
+        fused = {c: round(sum(1 / (60 + x[c]) for x in (lexical, semantic) if c in x), 9) for c in lexical | semantic}
+        for n, c in enumerate(sorted(fused, key=lambda c: (-fused[c], key[c])), 1):
+            want[q, c] = (lexical.get(c), semantic.get(c), fused[c], n)
+    assert {(r["query_id"], r["chunk_id"]): (r["lexical_rank"], r["semantic_rank"], r["fused_score"], r["fused_rank"]) for r in ranked.collect()} == want
+    for some, seen, lexical in ((vectors.limit(0), near, asked), (vectors, near.limit(0), asked), (vectors, near, asked.limit(0))):
+        rows = retrieval.field_aware(snap, some, lexical, seen, {"no.field": "label"}).collect()
+        assert {(r["query_id"], r["chunk_id"]): r["lexical_rank"] for r in rows if r["lexical_rank"]} == {k: w[0] for k, w in want.items() if w[0] and lexical is asked}
+        assert {(r["query_id"], r["chunk_id"]): r["semantic_rank"] for r in rows if r["semantic_rank"]} == {k: w[1] for k, w in want.items() if w[1] and lexical is not asked}
+
+
+def test_equal_vectors_are_equally_far_wherever_they_lie():
+    rng = np.random.default_rng(3)
+    far = retrieval._far(np.repeat(rng.normal(size=(1, 64)), 333, 0), rng.normal(size=(200, 64)))
+    assert (far == far[0]).all()
